@@ -1,0 +1,89 @@
+"""Collision-shaped view over the ``events`` table, and a code book for it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+DISTRICTS = 300
+
+# Fixed values: (table, field, code, label), in source order.
+GUIDE_ROWS = [
+    ("vehicle", "collision_severity", "1", "Not a collision label"),
+    ("collision", "collision_severity", "1", "Fatal"),
+    ("collision", "collision_severity", "2", "Serious"),
+    ("collision", "collision_severity", "3", "Slight"),
+    ("collision", "collision_severity", "3", "Slight, listed again"),
+    ("collision", "urban_or_rural_area", "1", "Urban"),
+    ("collision", "urban_or_rural_area", "2", "Rural"),
+    ("collision", "urban_or_rural_area", "3", "Unallocated"),
+    ("collision", "day_of_week", "1", "Sunday"),
+    ("collision", "day_of_week", "2", "Monday"),
+    ("collision", "day_of_week", "3", "Tuesday"),
+    ("collision", "day_of_week", "4", "Wednesday"),
+    ("collision", "day_of_week", "5", "Thursday"),
+    ("collision", "day_of_week", "6", "Friday"),
+    ("collision", "day_of_week", "7", "Saturday"),
+    ("collision", "junction_detail", "0", "Not at junction or within 20 metres"),
+    ("collision", "junction_detail", "13", "T or staggered junction"),
+    ("collision", "junction_detail", "99", "unknown (self reported)"),
+    ("collision", "junction_detail", "16", None),
+    ("collision", "speed_limit", "-1", "Data missing or out of range"),
+    ("collision", "date", None, "(DD/MM/YYYY)"),
+]
+
+
+def guide_rows() -> list[tuple[str, str, str | None, str | None]]:
+    """All code book rows: the fixed ones and one per district."""
+    districts = [
+        ("collision", "local_authority_district", str(k), f"District {k}") for k in range(DISTRICTS)
+    ]
+    return GUIDE_ROWS + districts
+
+
+def guide_table(spark: SparkSession) -> DataFrame:
+    """The code book as a table, under the column names of its source."""
+    rows = [(*row, i) for i, row in enumerate(guide_rows())]
+    return spark.createDataFrame(
+        rows, "table string, `field name` string, `code/format` string, label string, row_idx int"
+    )
+
+
+def collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One collision per event, with invalid dates, missing times and sentinels."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    event, user = F.col("event_id"), F.col("user_id")
+    text = {
+        "collision_index": event,
+        "collision_ref_no": event,
+        "local_authority_highway_current": F.concat(F.lit("E"), user),
+        "local_authority_district": user % DISTRICTS,
+        "date": F.when(event % 97 == 0, "31/02/2024").otherwise(F.date_format("ts", "dd/MM/yyyy")),
+        "time": F.when(event % 89 != 0, F.date_format("ts", "HH:mm")),
+        "day_of_week": F.dayofweek("ts"),
+        "collision_severity": F.when(F.col("event_type") == "error", 1)
+        .when(F.col("event_type") == "purchase", 2)
+        .otherwise(3),
+        "enhanced_severity_collision": F.when(event % 5 == 0, -1)
+        .when(event % 5 == 1, 1)
+        .when(event % 5 == 2, 2)
+        .otherwise(3),
+        "junction_detail": F.when(event % 4 == 0, 0)
+        .when(event % 4 == 1, 19)
+        .when(event % 4 == 2, 13)
+        .otherwise(99),
+        "urban_or_rural_area": user % 3 + 1,
+        "speed_limit": F.when(event % 9 == 0, -1)
+        .when(event % 9 == 1, 20)
+        .when(event % 9 == 5, 40)
+        .when(event % 9 == 6, 50)
+        .when(event % 9 == 7, 60)
+        .when(event % 9 == 8, 70)
+        .otherwise(30),
+    }
+    return events.select(
+        F.lit(2024).alias("collision_year"),
+        *[col.cast("string").alias(name) for name, col in text.items()],
+        (event % 4 + 1).cast("int").alias("number_of_vehicles"),
+        (F.floor(F.col("value") / 60) + 1).cast("int").alias("number_of_casualties"),
+    )
