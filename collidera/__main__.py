@@ -13,15 +13,15 @@ from collidera.sources.tables import CLEANED_TYPES, read_table, write_table
 REPORTS = {"hours": hours, "areas": areas}
 
 
-def report_step(spark: SparkSession, name: str, cleaned: str, out: str) -> None:
+def report_step(spark: SparkSession, report_name: str, cleaned: str, out: str) -> None:
     """Write every table of a report below ``out``."""
-    report = REPORTS[name]
+    report = REPORTS[report_name]
     df = read_table(spark, cleaned, CLEANED_TYPES)
     if report is hours:
         write_table(hours.missing_values(df), f"{out}/missing_values")
     counts = reduced(report.features(df), report.COLUMNS, f"{out}/counts")
-    for table, rows in report.statistics(counts, "n").items():
-        write_table(rows, f"{out}/{table}")
+    for name, table in report.TABLES.items():
+        write_table(table(counts, "n"), f"{out}/{name}")
 
 
 def main(argv: list[str] | None = None) -> None:

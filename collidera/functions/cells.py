@@ -34,9 +34,9 @@ def all_present(*names: str) -> Column:
     return present
 
 
-def blank_values(col: Column, values: list[str]) -> Column:
-    """Null where the cell is one of ``values``; exact, case-sensitive."""
-    return F.when(~col.isin(*values), col)
+def blank_values(col: Column, values: Column) -> Column:
+    """Null where the cell is in the array ``values``; exact, case-sensitive."""
+    return F.when(~F.array_contains(values, col), col)
 
 
 def to_int(col: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collidera.operators.counts import group_key, profile, value_counts
+from collidera.operators.counts import group_key, in_group, number_counts, profile
 
 # Fixed value: quartile ranges a whisker may span.
 WHISKER = 1.5
@@ -18,19 +18,14 @@ def _fenced(
     df: DataFrame, value: str, by: Sequence[str], weight: str | None
 ) -> DataFrame:
     """Value counts with the quartiles of their group and an ``outside`` mark."""
-    counts = (
-        value_counts(df, [*by, value], weight)
-        .where(F.col(value).isNotNull())
-        .select(*by, F.col(value).cast("double").alias("v"), "n")
-    )
-    boxes = profile(counts, "v", by, QUARTILES).select(
+    counts = number_counts(df, value, by, weight)
+    boxes = profile(counts, by, QUARTILES).select(
         group_key(by).alias("_key"), F.col("n").alias("rows"), *QUARTILES
     )
     reach = (F.col("upper") - F.col("lower")) * WHISKER
     outside = (F.col("v") < F.col("lower") - reach) | (F.col("v") > F.col("upper") + reach)
-    return (
-        counts.withColumn("_key", group_key(by)).join(boxes, "_key").withColumn("outside", outside)
-    )
+    keyed = counts.table.withColumn("_key", group_key(by))
+    return keyed.join(boxes, "_key").withColumn("outside", outside)
 
 
 def box_stats(
@@ -53,7 +48,7 @@ def box_stats(
         )
     )
     return summed.select(
-        *[F.col(f"_key.{b}").alias(b) for b in by],
+        *in_group("_key", by),
         F.col("rows").alias("n"),
         F.least("lower", "low").alias("ymin"),
         *QUARTILES,

@@ -36,7 +36,8 @@ def text_columns(df: DataFrame) -> list[str]:
 
 def blank_sentinels(df: DataFrame, sentinels: list[str] = SENTINELS) -> DataFrame:
     """Null for a sentinel, in text columns only."""
-    return df.withColumns({c: blank_values(F.col(c), sentinels) for c in text_columns(df)})
+    values = F.array(*[F.lit(s) for s in sentinels])
+    return df.withColumns({c: blank_values(F.col(c), values) for c in text_columns(df)})
 
 
 def blank_codes(df: DataFrame, codes: dict[str, str] = MISSING_CODES) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from collidera.functions.numbers import round_even
-from collidera.operators.counts import running_counts, value_counts
+from collidera.operators.counts import SMALL, running_counts, value_counts
+from collidera.sources.shared_folder import settled
 
 # A value that pairs with very many others is spread over this many tasks.
 SALTS = 16
@@ -17,29 +18,19 @@ SALTS = 16
 Pair = tuple[str, str]
 
 
-def average_ranks(counts: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Adds ``rank``, equal for ties, and ``centred``, the rank less its mean."""
-    mean_rank = (F.col("total") + 1) / 2
-    return (
-        running_counts(counts, value, by)
-        .withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
-        .withColumn("centred", F.col("rank") - mean_rank)
-    )
-
-
 def spearman(
-    df: DataFrame, pairs: Sequence[Pair], missing: str = "pairwise", weight: str | None = None
+    df: DataFrame,
+    pairs: Sequence[Pair],
+    missing: str = "pairwise",
+    weight: str | None = None,
+    small: int = SMALL,
 ) -> DataFrame:
     """``(var1, var2, n, correlation)`` for each pair of numeric columns.
 
     ``missing="pairwise"`` ranks within the rows where both columns are present;
     ``missing="everything"`` gives null for a pair as soon as one row lacks either.
     A constant column or fewer than two rows give null. ``n`` counts complete rows.
-
-    All pairs share one scan that counts value combinations. Ranks are found on
-    the distinct values of each column; the products are summed per distinct
-    combination, with the second column's ranks added up per value of the first
-    before the first column's ranks are joined.
+    All pairs share one scan that counts value combinations.
     """
     if missing not in ("pairwise", "everything"):
         raise ValueError(f"missing: {missing!r}")
@@ -54,26 +45,73 @@ def spearman(
             for i, (a, b) in enumerate(pairs)
         ]
     )
-    combos = (
-        value_counts(df, columns, weight)
-        .select(F.explode(cells).alias("cell"), "n")
-        .select("cell.*", "n")
-        .groupBy("pair", "x", "y")
-        .agg(F.sum("n").alias("n"))
-    )
+    joint = settled(value_counts(df, columns, weight))
+    combos = joint.table.select(F.explode(cells).alias("cell"), "n").select("cell.*", "n")
     whole = F.col("x").isNotNull() & F.col("y").isNotNull()
-    complete = combos.where(whole)
+    if joint.rows * len(pairs) <= small:
+        sums = _rank_sums_whole(combos, whole)
+    else:
+        sums = _rank_sums_by_range(combos, whole)
+
+    ratio = F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))
+    r = F.greatest(F.least(ratio, F.lit(1.0)), F.lit(-1.0))
+    if missing == "everything":
+        r = F.when(F.col("incomplete") == 0, r)
+
+    def variable(k: int) -> Column:
+        return F.element_at(F.array(*[F.lit(p[k]) for p in pairs]), F.col("pair") + 1)
+
+    return sums.select(
+        variable(0).alias("var1"), variable(1).alias("var2"), "n", r.alias("correlation")
+    )
+
+
+def _rank_sums_whole(combos: DataFrame, whole: Column) -> DataFrame:
+    """Sums over centred average ranks, each pair's combinations in one task."""
+    pair = Window.partitionBy("pair")
+
+    def centred(side: str) -> Column:
+        upto = F.sum("m").over(
+            pair.orderBy(side).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        tied = F.sum("m").over(Window.partitionBy("pair", side))
+        return upto - (tied - 1) / 2 - (F.sum("m").over(pair) + 1) / 2
+
+    counted = combos.withColumn("m", F.when(whole, F.col("n")).otherwise(0))
+    m, cx, cy = F.col("m"), F.col("cx"), F.col("cy")
+    return (
+        counted.withColumns({"cx": centred("x"), "cy": centred("y")})
+        .groupBy("pair")
+        .agg(
+            F.sum("m").alias("n"),
+            F.sum(F.col("n") - m).alias("incomplete"),
+            F.sum(m * cx * cy).alias("xy"),
+            F.sum(m * cx * cx).alias("xx"),
+            F.sum(m * cy * cy).alias("yy"),
+        )
+    )
+
+
+def _rank_sums_by_range(combos: DataFrame, whole: Column) -> DataFrame:
+    """The same where a pair has too many combinations for one task.
 
+    Ranks are found on the distinct values of each column. The second column's
+    ranks are joined first and added up per value of the first column, so that one
+    row per value is left when the first column's ranks are joined.
+    """
+    complete = combos.where(whole).groupBy("pair", "x", "y").agg(F.sum("n").alias("n"))
     sides = F.array(
         F.struct(F.lit("x").alias("side"), F.col("x").alias("v")),
         F.struct(F.lit("y").alias("side"), F.col("y").alias("v")),
     )
-    margins = (
+    margins = settled(
         complete.select("pair", F.explode(sides).alias("cell"), "n")
         .groupBy("pair", "cell.side", "cell.v")
         .agg(F.sum("n").alias("n"))
     )
-    ranked = average_ranks(margins, "v", ["pair", "side"])
+    ranked = running_counts(margins, ["pair", "side"], small=0).withColumn(
+        "centred", F.col("before") + (F.col("n") + 1) / 2 - (F.col("total") + 1) / 2
+    )
     ranked_x = ranked.where(F.col("side") == "x").select(
         "pair", F.col("v").alias("x"), F.col("centred").alias("cx")
     )
@@ -93,35 +131,21 @@ def spearman(
             F.sum(F.col("n") * F.col("cy") * F.col("cy")).alias("cyy"),
         )
     )
+    cx = F.col("cx")
     sums = (
         per_x.join(ranked_x, ["pair", "x"])
         .groupBy("pair")
         .agg(
             F.sum("n").alias("n"),
-            F.sum(F.col("cx") * F.col("cy")).alias("xy"),
-            F.sum(F.col("n") * F.col("cx") * F.col("cx")).alias("xx"),
+            F.sum(cx * F.col("cy")).alias("xy"),
+            F.sum(F.col("n") * cx * cx).alias("xx"),
             F.sum("cyy").alias("yy"),
         )
     )
-    ratio = F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))
-    found = sums.select("pair", "n", F.greatest(F.least(ratio, F.lit(1.0)), F.lit(-1.0)).alias("r"))
-
-    # One row per pair with rows at all, whether complete or not.
     present = combos.groupBy("pair").agg(
         F.sum(F.when(whole, 0).otherwise(F.col("n"))).alias("incomplete")
     )
-    r = F.col("r")
-    if missing == "everything":
-        r = F.when(F.col("incomplete") == 0, r)
-    name = {"var1": 0, "var2": 1}
-    return present.join(found, "pair", "left").select(
-        *[
-            F.element_at(F.array(*[F.lit(p[k]) for p in pairs]), F.col("pair") + 1).alias(v)
-            for v, k in name.items()
-        ],
-        F.coalesce("n", F.lit(0)).alias("n"),
-        r.alias("correlation"),
-    )
+    return present.join(sums, "pair", "left").fillna(0, ["n"])
 
 
 def lower_triangle(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> DataFrame:

@@ -1,10 +1,14 @@
 """Value counts, and order statistics computed from them.
 
 Every statistic of the reports depends on a column only through how often each
-value occurs, so tables are reduced to ``(group, value, n)`` first, with partial
+value occurs, so a table is reduced to ``(group, value, n)`` first, with partial
 aggregation before the shuffle, and the rest runs on distinct values. All
 operators take an optional ``weight`` column, so that a table of counts can stand
 in for the rows it was counted from.
+
+Counts are written to the shared folder, which also tells how many there are. Up
+to ``SMALL`` rows a window may walk over a whole group. Beyond that, values are
+cut into ranges, so that no task ever holds all values of a group.
 """
 
 from __future__ import annotations
@@ -14,13 +18,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Distinct values are split into this many ranges of about equal size, so that
-# no running total walks over all of them in one task.
+from collidera.sources.shared_folder import Settled, settled
+
+# Rows that one task may walk over.
+SMALL = 200_000
+# Ranges of about equally many distinct values.
 RANGES = 64
 
 
 def row_count(weight: str | None) -> Column:
-    return F.count("*") if weight is None else F.sum(weight)
+    return F.count(F.lit(1)) if weight is None else F.sum(weight)
 
 
 def value_counts(
@@ -30,21 +37,38 @@ def value_counts(
     return df.groupBy(*columns).agg(row_count(weight).alias("n"))
 
 
+def number_counts(
+    df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None
+) -> Settled:
+    """``(*by, v, n)``: settled counts of the non-null values of a numeric column.
+
+    Nulls are dropped from the counts, not from the rows: a filter below the
+    aggregate would compute a derived column twice per row.
+    """
+    number = F.col(value).cast("double")
+    counts = settled(
+        value_counts(df, [*by, value], weight).select(*by, number.alias("v"), "n")
+    )
+    return Settled(counts.table.where(F.col("v").isNotNull()), counts.rows)
+
+
 def long_counts(
     df: DataFrame, values: Sequence[str], by: Sequence[str] = (), weight: str | None = None
-) -> DataFrame:
-    """``(*by, column, x, n)``: non-null value counts of several columns, one scan."""
-    joint = value_counts(df, [*by, *values], weight)
+) -> Settled:
+    """``(*by, column, v, n)``: non-null values of several columns from one scan.
+
+    A value may come in several rows; ``rows`` bounds their number.
+    """
+    joint = settled(value_counts(df, [*by, *values], weight))
     cells = F.array(
-        *[F.struct(F.lit(v).alias("column"), F.col(v).cast("double").alias("x")) for v in values]
+        *[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in values]
     )
-    return (
-        joint.select(*by, F.explode(cells).alias("cell"), "n")
-        .select(*by, "cell.column", "cell.x", "n")
-        .where(F.col("x").isNotNull())
-        .groupBy(*by, "column", "x")
-        .agg(F.sum("n").alias("n"))
+    long = (
+        joint.table.select(*by, F.explode(cells).alias("cell"), "n")
+        .select(*by, "cell.*", "n")
+        .where(F.col("v").isNotNull())
     )
+    return Settled(long, joint.rows * len(values))
 
 
 def group_key(by: Sequence[str]) -> Column:
@@ -52,92 +76,120 @@ def group_key(by: Sequence[str]) -> Column:
     return F.struct(*by) if by else F.lit(0)
 
 
-def running_counts(counts: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Adds to each (group, value): rows below it, rows of the group, group mean.
+def in_group(name: str, by: Sequence[str]) -> list[Column]:
+    """The columns of a group from its key."""
+    return [F.col(f"{name}.{b}").alias(b) for b in by]
+
 
-    ``counts`` has one row per group and non-null value. Values are cut into
-    ranges at approximate quantiles; totals per range give each range its start,
-    and running sums are then taken range by range. The result is exact wherever
-    the cuts lie.
+def running_counts(counts: Settled, by: Sequence[str] = (), small: int = SMALL) -> DataFrame:
+    """Adds to ``(*by, v, n)``: rows below it, rows of the group, mean of the group.
+
+    Equal values in several rows count as lying one below the other.
+    """
+    table = counts.table.withColumn("_key", group_key(by))
+    if counts.rows <= small:
+        return _running_whole(table).drop("_key")
+    return _running_by_range(table).drop("_key")
+
+
+def _running_whole(table: DataFrame) -> DataFrame:
+    group = Window.partitionBy("_key")
+    below = group.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("n").over(group)
+    return table.select(
+        "*",
+        F.coalesce(F.sum("n").over(below), F.lit(0)).alias("before"),
+        total.alias("total"),
+        (F.sum(F.col("n") * F.col("v")).over(group) / total).alias("mean"),
+    )
+
+
+def _running_by_range(table: DataFrame) -> DataFrame:
+    """The same, value range by value range.
+
+    Ranges are cut at approximate quantiles; row totals per range give each range
+    its start. The result is exact wherever the cuts lie.
     """
-    keyed = counts.withColumn("_key", group_key(by))
+    distinct = table.groupBy(*[c for c in table.columns if c != "n"]).agg(F.sum("n").alias("n"))
     steps = [i / RANGES for i in range(1, RANGES)]
-    cuts = keyed.agg(F.percentile_approx(F.col(value).cast("double"), steps).alias("_cuts"))
+    cuts = table.agg(F.percentile_approx("v", steps).alias("_cuts"))
     placed = (
-        keyed.crossJoin(F.broadcast(cuts))
-        .withColumn("_range", F.size(F.filter("_cuts", lambda cut: cut < F.col(value))))
+        distinct.crossJoin(F.broadcast(cuts))
+        .withColumn("_range", F.size(F.filter("_cuts", lambda cut: cut < F.col("v"))))
         .drop("_cuts")
     )
     per_range = placed.groupBy("_key", "_range").agg(
-        F.sum("n").alias("_n"), F.sum(F.col("n") * F.col(value)).alias("_nx")
+        F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("v")).alias("_nv")
     )
     group = Window.partitionBy("_key")
     earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("_n").over(group)
     starts = per_range.select(
         "_key",
         "_range",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"),
-        F.sum("_n").over(group).alias("total"),
-        (F.sum("_nx").over(group) / F.sum("_n").over(group)).alias("mean"),
+        total.alias("total"),
+        (F.sum("_nv").over(group) / total).alias("mean"),
     )
     below = (
         Window.partitionBy("_key", "_range")
-        .orderBy(value)
+        .orderBy("v")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    return (
-        placed.join(starts, ["_key", "_range"])
-        .withColumn("before", F.col("_start") + F.coalesce(F.sum("n").over(below), F.lit(0)))
-        .select(*counts.columns, "before", "total", "mean")
+    before = F.col("_start") + F.coalesce(F.sum("n").over(below), F.lit(0))
+    return placed.join(starts, ["_key", "_range"]).select(
+        *table.columns, before.alias("before"), "total", "mean"
     )
 
 
 def profile(
-    counts: DataFrame,
-    value: str,
+    counts: Settled,
     by: Sequence[str] = (),
     quantiles: dict[str, float] | None = None,
+    small: int = SMALL,
 ) -> DataFrame:
     """``(*by, n, mean, sd, min, max, *quantiles)`` per group of value counts.
 
     ``sd`` is the sample deviation, null for one row. Quantiles are exact and
     interpolate linearly between the two neighbouring rows.
     """
-    x, n = F.col(value).cast("double"), F.col("n")
     quantiles = quantiles or {}
+    n, v = F.col("n"), F.col("v")
 
     def at(place: Column) -> Column:
-        held = (F.col("before") <= place) & (place < F.col("before") + n)
-        return F.max(F.when(held, x))
+        return F.max(F.when((F.col("before") <= place) & (place < F.col("before") + n), v))
+
+    def spot(rows: str, p: float) -> Column:
+        return (F.col(rows) - 1) * F.lit(p)
 
-    picks = []
-    for name, p in quantiles.items():
-        spot = (F.col("total") - 1) * F.lit(p)
-        picks += [at(F.floor(spot)).alias(f"_lo_{name}"), at(F.ceil(spot)).alias(f"_hi_{name}")]
+    picks = [
+        at(side(spot("total", p))).alias(f"_{name}_{side.__name__}")
+        for name, p in quantiles.items()
+        for side in (F.floor, F.ceil)
+    ]
 
     def interpolated(name: str, p: float) -> Column:
-        spot = (F.col("n") - 1) * F.lit(p)
-        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        return (low + (spot - F.floor(spot)) * (high - low)).alias(name)
+        low, high = F.col(f"_{name}_floor"), F.col(f"_{name}_ceil")
+        return (low + (spot("n", p) - F.floor(spot("n", p))) * (high - low)).alias(name)
 
-    squares = F.sum(n * (x - F.col("mean")) * (x - F.col("mean")))
+    off = v - F.col("mean")
     summed = (
-        running_counts(counts, value, by)
-        .groupBy(*by)
+        running_counts(counts, by, small)
+        .groupBy(group_key(by).alias("_key"))
         .agg(
-            squares.alias("_squares"),
+            F.sum(n * off * off).alias("_squares"),
             F.max("total").alias("n"),
             F.max("mean").alias("mean"),
-            F.min(x).alias("min"),
-            F.max(x).alias("max"),
+            F.min("v").alias("min"),
+            F.max("v").alias("max"),
             *picks,
         )
     )
     return summed.select(
-        *by,
+        *in_group("_key", by),
         "n",
         "mean",
-        F.sqrt(F.try_divide("_squares", F.col("n") - 1)).alias("sd"),
+        F.sqrt(F.try_divide("_squares", n - 1)).alias("sd"),
         "min",
         "max",
         *[interpolated(name, p) for name, p in quantiles.items()],

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from collidera.functions.cells import all_present, as_text
+from collidera.sources.shared_folder import settled
 
 MAP_CODES = 64
 MAP_BYTES = 64 << 10
@@ -34,14 +35,21 @@ HOT_SHARES = 1000
 
 @dataclass(frozen=True)
 class CodeBook:
-    """Usable code rows, unique per (field_name, code), and their size per field."""
+    """Usable code rows, the size of each field's dictionary, and the map row."""
 
-    codes: DataFrame
+    usable: DataFrame
     rows: dict[str, int]
     bytes: dict[str, int]
+    by_map: list[str]
+    maps: DataFrame
 
     def of(self, field: str) -> DataFrame:
-        return self.codes.where(F.col("field_name") == field).select("code", "label")
+        """``(code, label)`` of one field, unique by code; the first row counts."""
+        return (
+            self.usable.where(F.col("field_name") == field)
+            .groupBy("code")
+            .agg(F.min_by("label", "row_idx").alias("label"))
+        )
 
 
 def guide_columns(guide: DataFrame) -> DataFrame:
@@ -52,62 +60,62 @@ def guide_columns(guide: DataFrame) -> DataFrame:
     )
 
 
-def code_book(guide: DataFrame, columns: list[str], table: str = "collision") -> CodeBook:
-    """Usable rows of ``table`` for the columns a data table has, with their sizes.
+def code_book(
+    guide: DataFrame, columns: list[str], table: str = "collision", map_codes: int = MAP_CODES
+) -> CodeBook:
+    """Usable rows of ``table`` for the columns a data table has.
 
-    Runs one job over the code book and collects one row per column.
+    The code book is read once; one row per column comes back with its sizes.
     """
-    usable = (
+    usable = settled(
         guide_columns(guide)
         .where(F.col("table") == table)
         .where(F.col("field_name").isin(*columns))
         .where(all_present("code", "label"))
-    )
+        .select("field_name", "code", "label", "row_idx")
+    ).table
     codes = usable.groupBy("field_name", "code").agg(F.min_by("label", "row_idx").alias("label"))
-    sizes = (
-        codes.groupBy("field_name")
-        .agg(
-            F.count("*").alias("rows"),
-            F.sum(F.octet_length("code") + F.octet_length("label")).alias("bytes"),
-        )
-        .collect()
-    )
+    size = F.sum(F.octet_length("code") + F.octet_length("label"))
+    sizes = codes.groupBy("field_name").agg(F.count("*").alias("rows"), size.alias("bytes"))
+    measured = {s.field_name: s for s in sizes.collect()}
+    by_map = [f for f, s in measured.items() if s.rows <= map_codes and s.bytes <= MAP_BYTES]
+
+    def code_map(field: str) -> Column:
+        entry = F.when(F.col("field_name") == field, F.struct("code", "label"))
+        return F.map_from_entries(F.collect_list(entry)).alias(f"_map_{field}")
+
+    short = codes.where(F.col("field_name").isin(*by_map))
+    maps = settled(short.agg(F.count("*").alias("_codes"), *map(code_map, by_map))).table
     return CodeBook(
-        codes, {s.field_name: s.rows for s in sizes}, {s.field_name: s.bytes for s in sizes}
+        usable,
+        {f: s.rows for f, s in measured.items()},
+        {f: s.bytes for f, s in measured.items()},
+        by_map,
+        maps.drop("_codes"),
     )
 
 
-def decode(
-    df: DataFrame,
-    book: CodeBook,
-    map_codes: int = MAP_CODES,
-    broadcast_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
+def decode(df: DataFrame, book: CodeBook, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Decode every column that has usable code rows."""
-    fields = [c for c in df.columns if book.rows.get(c)]
-    by_map = [c for c in fields if book.rows[c] <= map_codes and book.bytes[c] <= MAP_BYTES]
-    out = decode_by_map(df, book, by_map) if by_map else df
+    fields = [c for c in df.columns if c in book.rows]
+    out = decode_by_map(df, book, [c for c in fields if c in book.by_map])
     for field in fields:
-        if field not in by_map:
+        if field not in book.by_map:
             out = decode_by_join(out, book, field, broadcast_bytes)
     return out
 
 
 def decode_by_map(df: DataFrame, book: CodeBook, fields: list[str]) -> DataFrame:
     """Decode columns from one broadcast row with a code map per column."""
-
-    def code_map(field: str) -> Column:
-        entry = F.when(F.col("field_name") == field, F.struct("code", "label"))
-        return F.map_from_entries(F.collect_list(entry)).alias(f"_map_{field}")
-
-    maps = book.codes.where(F.col("field_name").isin(*fields)).agg(*map(code_map, fields))
+    if not fields:
+        return df
 
     def label(field: str) -> Column:
         text = as_text(df, field)
         return F.coalesce(F.try_element_at(F.col(f"_map_{field}"), text), text)
 
     return (
-        df.crossJoin(F.broadcast(maps))
+        df.crossJoin(F.broadcast(book.maps))
         .withColumns({field: label(field) for field in fields})
         .select(*df.columns)
     )

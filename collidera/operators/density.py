@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from collidera.operators.counts import group_key, profile, value_counts
+from collidera.operators.counts import group_key, in_group, number_counts, profile
+from collidera.sources.shared_folder import Settled, settled
 
 # Grid size, and the constants of the rule-of-thumb bandwidth.
 POINTS = 512
@@ -18,22 +19,14 @@ BANDWIDTH_FACTOR = 0.9
 KERNEL_REACH = 39.0
 
 
-def _counts(df: DataFrame, value: str, by: Sequence[str], weight: str | None) -> DataFrame:
-    return (
-        value_counts(df, [*by, value], weight)
-        .where(F.col(value).isNotNull())
-        .select(*by, F.col(value).cast("double").alias("v"), "n")
-    )
-
-
-def _group_stats(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+def _group_stats(counts: Settled, by: Sequence[str]) -> DataFrame:
     """Per group of two rows or more: ``n``, ``min``, ``max`` and bandwidth ``bw``.
 
     The bandwidth is 0.9 times the smaller of the sample deviation and the scaled
     quartile range, times n to the power of -1/5. Where that is zero, the
     deviation, then the size of the single value, then 1 takes its place.
     """
-    stats = profile(counts, "v", by, {"q1": 0.25, "q3": 0.75}).where(F.col("n") >= 2)
+    stats = profile(counts, by, {"q1": 0.25, "q3": 0.75}).where(F.col("n") >= 2)
     sd = F.col("sd")
     narrow = F.least(sd, (F.col("q3") - F.col("q1")) / IQR_TO_SD)
     spread = (
@@ -86,26 +79,21 @@ def _curves(counts: DataFrame, curves: DataFrame, by: Sequence[str]) -> DataFram
     return summed.select("_key", "i", x.alias("x"), height.alias("density"))
 
 
-def _named(curves: DataFrame, by: Sequence[str], *rest: str) -> DataFrame:
-    return curves.select(*[F.col(f"_key.{b}").alias(b) for b in by], *rest)
-
-
 def _relative(curves: DataFrame, out: str) -> DataFrame:
     """Adds the density relative to the highest of all curves."""
-    peak = curves.agg(F.max("density").alias("_peak"))
-    return curves.crossJoin(F.broadcast(peak)).withColumn(
-        out, F.try_divide("density", "_peak")
-    )
+    kept = settled(curves).table
+    peak = kept.agg(F.max("density").alias("_peak"))
+    return kept.crossJoin(F.broadcast(peak)).withColumn(out, F.try_divide("density", "_peak"))
 
 
 def density(
     df: DataFrame, value: str, by: Sequence[str], weight: str | None = None
 ) -> DataFrame:
     """``(*by, i, x, density)``: one curve per group over the range of all groups."""
-    counts = _counts(df, value, by, weight)
-    span = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    stats = _group_stats(counts, by).select("_key", "n", "bw")
-    return _named(_curves(counts, stats.crossJoin(F.broadcast(span)), by), by, "i", "x", "density")
+    counts = number_counts(df, value, by, weight)
+    span = counts.table.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    curves = _group_stats(counts, by).select("_key", "n", "bw").crossJoin(F.broadcast(span))
+    return _curves(counts.table, curves, by).select(*in_group("_key", by), "i", "x", "density")
 
 
 def ridges(
@@ -113,21 +101,21 @@ def ridges(
 ) -> DataFrame:
     """``(*by, i, x, density, height)``: curves with one common bandwidth.
 
-    The bandwidth is the mean over the groups; the grid goes three bandwidths past
-    the values. Groups under three rows have no curve.
+    The bandwidth is the mean over the groups of two rows or more; the grid goes
+    three bandwidths past the values. Groups under three rows have no curve.
     """
-    counts = _counts(df, value, by, weight)
+    counts = number_counts(df, value, by, weight)
     common = _group_stats(counts, by).agg(F.avg("bw").alias("bw"))
-    ends = counts.agg(F.min("v").alias("min"), F.max("v").alias("max"))
+    ends = counts.table.agg(F.min("v").alias("min"), F.max("v").alias("max"))
     span = ends.crossJoin(F.broadcast(common)).select(
         "bw",
         (F.col("min") - 3 * F.col("bw")).alias("lo"),
         (F.col("max") + 3 * F.col("bw")).alias("hi"),
     )
-    groups = counts.groupBy(group_key(by).alias("_key")).agg(F.sum("n").alias("n"))
+    groups = counts.table.groupBy(group_key(by).alias("_key")).agg(F.sum("n").alias("n"))
     curves = groups.where(F.col("n") >= 3).crossJoin(F.broadcast(span))
-    return _named(
-        _relative(_curves(counts, curves, by), "height"), by, "i", "x", "density", "height"
+    return _relative(_curves(counts.table, curves, by), "height").select(
+        *in_group("_key", by), "i", "x", "density", "height"
     )
 
 
@@ -135,10 +123,10 @@ def violins(
     df: DataFrame, value: str, by: Sequence[str], weight: str | None = None
 ) -> DataFrame:
     """``(*by, i, x, density, width)``: each curve over the range of its own group."""
-    counts = _counts(df, value, by, weight)
+    counts = number_counts(df, value, by, weight)
     curves = _group_stats(counts, by).select(
         "_key", "n", "bw", F.col("min").alias("lo"), F.col("max").alias("hi")
     )
-    return _named(
-        _relative(_curves(counts, curves, by), "width"), by, "i", "x", "density", "width"
+    return _relative(_curves(counts.table, curves, by), "width").select(
+        *in_group("_key", by), "i", "x", "density", "width"
     )

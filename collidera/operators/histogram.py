@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from collidera.functions.numbers import log10_count
-from collidera.operators.counts import group_key, value_counts
+from collidera.operators.counts import group_key, in_group, number_counts
 
 # Relative slack at a bin border, and the bin width for a single value.
 SLACK = 1e-8
@@ -34,11 +34,7 @@ def histogram(
     """
     if (width is None) == (bins is None):
         raise ValueError("give either width or bins")
-    counts = (
-        value_counts(df, [*by, value], weight)
-        .where(F.col(value).isNotNull())
-        .select(*by, F.col(value).cast("double").alias("v"), "n")
-    )
+    counts = number_counts(df, value, by, weight).table
     ends = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     layout = ends.where(F.col("lo").isNotNull()).select(
         *_layout(F.col("lo"), F.col("hi"), width, bins)
@@ -56,7 +52,7 @@ def histogram(
         .groupBy(group_key(by).alias("_key"), "bin")
         .agg(F.max("origin").alias("origin"), F.max("width").alias("width"), F.sum("n").alias("n"))
         .select(
-            *[F.col(f"_key.{b}").alias(b) for b in by],
+            *in_group("_key", by),
             "bin",
             left.alias("xmin"),
             (left + F.col("width")).alias("xmax"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,13 +12,15 @@ def structure(df: DataFrame, first: int = 5) -> DataFrame:
     ``first_values`` shows the column in the ``first`` rows that lead when the
     table is sorted by all its columns; a null shows as ``NA``.
     """
+
+    def shown_cell(cell: Column) -> Column:
+        return F.coalesce(cell, F.lit("NA"))
+
     order = df.columns
     shown = (
         df.orderBy(*order)
         .limit(first)
-        .agg(
-            F.sort_array(F.collect_list(F.struct(*order))).alias("head"),
-        )
+        .agg(F.sort_array(F.collect_list(F.struct(*order))).alias("head"))
     )
     facts = df.agg(F.count("*").alias("n_rows")).crossJoin(shown)
     cells = F.array(
@@ -29,10 +31,7 @@ def structure(df: DataFrame, first: int = 5) -> DataFrame:
                 F.lit(field.dataType.simpleString()).alias("type"),
                 F.concat_ws(
                     ", ",
-                    F.transform(
-                        "head",
-                        lambda row, c=field.name: F.coalesce(row[c].cast("string"), F.lit("NA")),
-                    ),
+                    F.transform(F.col("head")[field.name].cast("array<string>"), shown_cell),
                 ).alias("first_values"),
             )
             for i, field in enumerate(df.schema, start=1)

@@ -35,7 +35,7 @@ def describe(df: DataFrame, columns: Sequence[str], weight: str | None = None) -
 
     Nulls are left out. Metrics are named ``{column}_{statistic}``.
     """
-    stats = profile(long_counts(df, columns, weight=weight), "x", ["column"], {"median": 0.5})
+    stats = profile(long_counts(df, columns, weight=weight), ["column"], {"median": 0.5})
     long = stats.unpivot(["column"], ["mean", "median", "sd", "min", "max"], "stat", "value")
     return long.select(F.concat_ws("_", "column", "stat").alias("metric"), "value")
 
@@ -46,7 +46,7 @@ def area_summary(df: DataFrame, weight: str | None = None) -> DataFrame:
     counts = long_counts(
         rows, ["_row", "speed_limit", "number_of_casualties"], ["area_type", "area_ord"], weight
     )
-    stats = profile(counts, "x", ["area_type", "area_ord", "column"], {"median": 0.5})
+    stats = profile(counts, ["area_type", "area_ord", "column"], {"median": 0.5})
 
     def of(column: str, stat: str) -> Column:
         return F.max(F.when(F.col("column") == column, F.col(stat)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 from collidera.operators.box import box_outliers, box_stats
@@ -29,20 +31,69 @@ def features(cleaned: DataFrame) -> DataFrame:
     return area_features(cleaned)
 
 
-def statistics(df: DataFrame, weight: str | None = None) -> dict[str, DataFrame]:
-    """The tables of the report by name, over ``features`` or counts of its columns."""
-    severity = ("area_type", "severity", "severity_ord")
-    return {
-        "rows": total_rows(df, ROWS_TEXT, weight),
-        "summary": area_summary(df, weight),
-        "correlations": matrix(df, ["number_of_vehicles", "number_of_casualties"], weight),
-        "casualty_boxes": box_stats(df, "number_of_casualties", ["area_type"], weight),
-        "casualty_outliers": box_outliers(df, "number_of_casualties", ["area_type"], weight),
-        "areas": value_counts(df, ["area_type"], weight),
-        "speed_by_area": value_counts(df, ["speed_limit", "area_type"], weight),
-        "speed_violins": violins(df, "speed_limit", ["area_type"], weight),
-        "severity_facets": facet_counts(df, "area_type", "severity", weight),
-        "severity_shares": category_share(df, *severity, weight),
-        "severity_fill": filled_stack(df, *severity, weight),
-        "speed_bins": histogram(df, "speed_limit", ["area_type"], bins=15, weight=weight),
-    }
+def rows(df: DataFrame, weight: str | None = None) -> DataFrame:
+    return total_rows(df, ROWS_TEXT, weight)
+
+
+def summary(df: DataFrame, weight: str | None = None) -> DataFrame:
+    return area_summary(df, weight)
+
+
+def correlations(df: DataFrame, weight: str | None = None) -> DataFrame:
+    return matrix(df, ["number_of_vehicles", "number_of_casualties"], weight)
+
+
+def casualty_boxes(df: DataFrame, weight: str | None = None) -> DataFrame:
+    return box_stats(df, "number_of_casualties", ["area_type"], weight)
+
+
+def casualty_outliers(df: DataFrame, weight: str | None = None) -> DataFrame:
+    return box_outliers(df, "number_of_casualties", ["area_type"], weight)
+
+
+def area_counts(df: DataFrame, weight: str | None = None) -> DataFrame:
+    return value_counts(df, ["area_type"], weight)
+
+
+def speed_counts(df: DataFrame, weight: str | None = None) -> DataFrame:
+    return value_counts(df, ["speed_limit", "area_type"], weight)
+
+
+def speed_violins(df: DataFrame, weight: str | None = None) -> DataFrame:
+    return violins(df, "speed_limit", ["area_type"], weight)
+
+
+def severity_facets(df: DataFrame, weight: str | None = None) -> DataFrame:
+    return facet_counts(df, "area_type", "severity", weight)
+
+
+def severity_shares(df: DataFrame, weight: str | None = None) -> DataFrame:
+    return category_share(df, "area_type", "severity", "severity_ord", weight)
+
+
+def severity_fill(df: DataFrame, weight: str | None = None) -> DataFrame:
+    return filled_stack(df, "area_type", "severity", "severity_ord", weight)
+
+
+def speed_bins(df: DataFrame, weight: str | None = None) -> DataFrame:
+    return histogram(df, "speed_limit", ["area_type"], bins=15, weight=weight)
+
+
+# The tables of the report, over ``features`` or over counts of ``COLUMNS``.
+TABLES: dict[str, Callable[..., DataFrame]] = {
+    table.__name__: table
+    for table in (
+        rows,
+        summary,
+        correlations,
+        casualty_boxes,
+        casualty_outliers,
+        area_counts,
+        speed_counts,
+        speed_violins,
+        severity_facets,
+        severity_shares,
+        severity_fill,
+        speed_bins,
+    )
+}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 from collidera.operators.correlation import lower_triangle, spearman
@@ -11,6 +13,7 @@ from collidera.operators.derive import severity_features, time_features
 from collidera.operators.histogram import histogram
 from collidera.operators.shares import log_stack
 from collidera.operators.summary import describe, null_counts_wide
+from collidera.sources.shared_folder import settled
 
 CHECKED = ["time", "day_of_week", "collision_severity", "number_of_casualties"]
 COLUMNS = [
@@ -18,34 +21,65 @@ COLUMNS = [
     "day_of_week",
     "day_ord",
     "day_type",
-    "severity",
-    "severity_ord",
+    "collision_severity",
     "number_of_casualties",
     "speed_limit",
 ]
 
 
 def features(cleaned: DataFrame) -> DataFrame:
-    return severity_features(time_features(cleaned))
+    return time_features(cleaned)
 
 
 def missing_values(cleaned: DataFrame) -> DataFrame:
     return null_counts_wide(cleaned, CHECKED)
 
 
-def statistics(df: DataFrame, weight: str | None = None) -> dict[str, DataFrame]:
-    """The tables of the report by name, over ``features`` or counts of its columns."""
-    return {
-        "description": describe(df, ["hour", "number_of_casualties"], weight),
-        "correlation": spearman(df, [("hour", "number_of_casualties")], "everything", weight),
-        "correlations": lower_triangle(
-            df, ["hour", "number_of_casualties", "speed_limit"], weight
-        ),
-        "hours": histogram(df, "hour", width=1, weight=weight),
-        "hour_density": density(df, "hour", ["day_type"], weight),
-        "weekday_ridges": ridges(df, "hour", ["day_of_week", "day_type"], weight),
-        "heatmap": value_counts(df, ["day_of_week", "hour"], weight),
-        "severity_stack": log_stack(df, "hour", "severity", "severity_ord", weight),
-    }
+def description(df: DataFrame, weight: str | None = None) -> DataFrame:
+    return describe(df, ["hour", "number_of_casualties"], weight)
+
+
+def correlation(df: DataFrame, weight: str | None = None) -> DataFrame:
+    return spearman(df, [("hour", "number_of_casualties")], "everything", weight)
+
+
+def correlations(df: DataFrame, weight: str | None = None) -> DataFrame:
+    return lower_triangle(df, ["hour", "number_of_casualties", "speed_limit"], weight)
+
+
+def hour_bins(df: DataFrame, weight: str | None = None) -> DataFrame:
+    return histogram(df, "hour", width=1, weight=weight)
+
+
+def hour_density(df: DataFrame, weight: str | None = None) -> DataFrame:
+    return density(df, "hour", ["day_type"], weight)
+
+
+def weekday_ridges(df: DataFrame, weight: str | None = None) -> DataFrame:
+    return ridges(df, "hour", ["day_of_week", "day_type"], weight)
+
+
+def heatmap(df: DataFrame, weight: str | None = None) -> DataFrame:
+    return value_counts(df, ["day_of_week", "hour"], weight)
+
+
+def severity_stack(df: DataFrame, weight: str | None = None) -> DataFrame:
+    """Severities are labelled by position, which needs no more than their counts."""
+    counts = settled(value_counts(df, ["hour", "collision_severity"], weight)).table
+    return log_stack(severity_features(counts), "hour", "severity", "severity_ord", "n")
 
 
+# The tables of the report, over ``features`` or over counts of ``COLUMNS``.
+TABLES: dict[str, Callable[..., DataFrame]] = {
+    table.__name__: table
+    for table in (
+        description,
+        correlation,
+        correlations,
+        hour_bins,
+        hour_density,
+        weekday_ridges,
+        heatmap,
+        severity_stack,
+    )
+}

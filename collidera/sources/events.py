@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 DISTRICTS = 300
 
+# XML namespaces of the workbook format.
+MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+RELATIONS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+PACKAGE = "http://schemas.openxmlformats.org/package/2006/relationships"
+
 # Fixed values: (table, field, code, label), in source order.
 GUIDE_ROWS = [
     ("vehicle", "collision_severity", "1", "Not a collision label"),
@@ -49,41 +57,61 @@ def guide_table(spark: SparkSession) -> DataFrame:
     )
 
 
+# Text columns of the view, as expressions over an event.
+VIEW = {
+    "collision_index": "event_id",
+    "collision_ref_no": "event_id",
+    "local_authority_highway_current": "concat('E', user_id)",
+    "local_authority_district": f"user_id % {DISTRICTS}",
+    "date": "if(event_id % 97 = 0, '31/02/2024', date_format(ts, 'dd/MM/yyyy'))",
+    "time": "if(event_id % 89 = 0, null, date_format(ts, 'HH:mm'))",
+    "day_of_week": "dayofweek(ts)",
+    "collision_severity": "case event_type when 'error' then 1 when 'purchase' then 2 else 3 end",
+    "enhanced_severity_collision": (
+        "case event_id % 5 when 0 then -1 when 1 then 1 when 2 then 2 else 3 end"
+    ),
+    "junction_detail": "case event_id % 4 when 0 then 0 when 1 then 19 when 2 then 13 else 99 end",
+    "urban_or_rural_area": "1 + user_id % 3",
+    "speed_limit": (
+        "case event_id % 9 when 0 then -1 when 1 then 20 when 5 then 40 when 6 then 50"
+        " when 7 then 60 when 8 then 70 else 30 end"
+    ),
+}
+
+
 def collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One collision per event, with invalid dates, missing times and sentinels."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    event, user = F.col("event_id"), F.col("user_id")
-    text = {
-        "collision_index": event,
-        "collision_ref_no": event,
-        "local_authority_highway_current": F.concat(F.lit("E"), user),
-        "local_authority_district": user % DISTRICTS,
-        "date": F.when(event % 97 == 0, "31/02/2024").otherwise(F.date_format("ts", "dd/MM/yyyy")),
-        "time": F.when(event % 89 != 0, F.date_format("ts", "HH:mm")),
-        "day_of_week": F.dayofweek("ts"),
-        "collision_severity": F.when(F.col("event_type") == "error", 1)
-        .when(F.col("event_type") == "purchase", 2)
-        .otherwise(3),
-        "enhanced_severity_collision": F.when(event % 5 == 0, -1)
-        .when(event % 5 == 1, 1)
-        .when(event % 5 == 2, 2)
-        .otherwise(3),
-        "junction_detail": F.when(event % 4 == 0, 0)
-        .when(event % 4 == 1, 19)
-        .when(event % 4 == 2, 13)
-        .otherwise(99),
-        "urban_or_rural_area": user % 3 + 1,
-        "speed_limit": F.when(event % 9 == 0, -1)
-        .when(event % 9 == 1, 20)
-        .when(event % 9 == 5, 40)
-        .when(event % 9 == 6, 50)
-        .when(event % 9 == 7, 60)
-        .when(event % 9 == 8, 70)
-        .otherwise(30),
-    }
-    return events.select(
-        F.lit(2024).alias("collision_year"),
-        *[col.cast("string").alias(name) for name, col in text.items()],
-        (event % 4 + 1).cast("int").alias("number_of_vehicles"),
-        (F.floor(F.col("value") / 60) + 1).cast("int").alias("number_of_casualties"),
+    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
+        "2024 as collision_year",
+        *[f"cast({expression} as string) as {name}" for name, expression in VIEW.items()],
+        "cast(1 + event_id % 4 as int) as number_of_vehicles",
+        "cast(1 + floor(value / 60) as int) as number_of_casualties",
     )
+
+
+def guide_workbook() -> bytes:
+    """The code book as the first sheet of a workbook."""
+    header = ("table", "field name", "code/format", "label")
+    rows = "".join(
+        "<row>"
+        + "".join(
+            f'<c r="{letter}{i}" t="inlineStr"><is><t>{escape(text)}</t></is></c>'
+            for letter, text in zip("ABCD", row)
+            if text is not None
+        )
+        + "</row>"
+        for i, row in enumerate([header, *guide_rows()], start=1)
+    )
+    parts = {
+        "xl/workbook.xml": f'<workbook xmlns="{MAIN}" xmlns:r="{RELATIONS}"><sheets>'
+        '<sheet name="guide" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{PACKAGE}">'
+        '<Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{MAIN}"><sheetData>{rows}'
+        "</sheetData></worksheet>",
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as book:
+        for name, text in parts.items():
+            book.writestr(name, text)
+    return out.getvalue()

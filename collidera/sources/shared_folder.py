@@ -1,16 +1,22 @@
-"""Folder that every executor reaches, for hand-off tables."""
+"""Tables and files kept where every executor reaches them."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one where unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="collidera-")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        named = tempfile.mkdtemp(prefix="collidera-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -18,6 +24,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}/{name}"
 
 
+@dataclass(frozen=True)
+class Settled:
+    """A table written to the shared folder, and how many rows it has."""
+
+    table: DataFrame
+    rows: int
+
+
+def settled(df: DataFrame) -> Settled:
+    """Compute ``df`` once, whatever is built on it, and count it on the way.
+
+    Later steps read the written rows, so several of them do not repeat the scan
+    below, and a lost executor does not either.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    seen = Observation()
+    table = df.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint()
+    return Settled(table, seen.get["rows"])
+
+
 def put_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     """Write a small file through the file system that ``path`` names."""
     jvm = spark.sparkContext._jvm
