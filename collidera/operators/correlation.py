@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from collidera.functions.numbers import round_even
-from collidera.operators.counts import SMALL, running_counts, value_counts
+from collidera.operators import counts
 from collidera.sources.shared_folder import settled
 
 # A value that pairs with very many others is spread over this many tasks.
@@ -19,11 +19,7 @@ Pair = tuple[str, str]
 
 
 def spearman(
-    df: DataFrame,
-    pairs: Sequence[Pair],
-    missing: str = "pairwise",
-    weight: str | None = None,
-    small: int = SMALL,
+    df: DataFrame, pairs: Sequence[Pair], missing: str = "pairwise", weight: str | None = None
 ) -> DataFrame:
     """``(var1, var2, n, correlation)`` for each pair of numeric columns.
 
@@ -45,16 +41,17 @@ def spearman(
             for i, (a, b) in enumerate(pairs)
         ]
     )
-    joint = settled(value_counts(df, columns, weight))
+    joint = settled(counts.value_counts(df, columns, weight))
     combos = joint.table.select(F.explode(cells).alias("cell"), "n").select("cell.*", "n")
     whole = F.col("x").isNotNull() & F.col("y").isNotNull()
-    if joint.rows * len(pairs) <= small:
+    if joint.rows * len(pairs) <= counts.SMALL:
         sums = _rank_sums_whole(combos, whole)
     else:
         sums = _rank_sums_by_range(combos, whole)
 
     ratio = F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))
-    r = F.greatest(F.least(ratio, F.lit(1.0)), F.lit(-1.0))
+    bounded = F.greatest(F.least(ratio, F.lit(1.0)), F.lit(-1.0))
+    r = F.when(ratio.isNotNull(), bounded)
     if missing == "everything":
         r = F.when(F.col("incomplete") == 0, r)
 
@@ -109,7 +106,7 @@ def _rank_sums_by_range(combos: DataFrame, whole: Column) -> DataFrame:
         .groupBy("pair", "cell.side", "cell.v")
         .agg(F.sum("n").alias("n"))
     )
-    ranked = running_counts(margins, ["pair", "side"], small=0).withColumn(
+    ranked = counts.running_counts(margins, ["pair", "side"]).withColumn(
         "centred", F.col("before") + (F.col("n") + 1) / 2 - (F.col("total") + 1) / 2
     )
     ranked_x = ranked.where(F.col("side") == "x").select(

@@ -57,7 +57,8 @@ def long_counts(
 ) -> Settled:
     """``(*by, column, v, n)``: non-null values of several columns from one scan.
 
-    A value may come in several rows; ``rows`` bounds their number.
+    ``rows`` bounds the number of rows. Up to ``SMALL`` of them a value may come in
+    several rows, beyond it comes in one.
     """
     joint = settled(value_counts(df, [*by, *values], weight))
     cells = F.array(
@@ -68,7 +69,10 @@ def long_counts(
         .select(*by, "cell.*", "n")
         .where(F.col("v").isNotNull())
     )
-    return Settled(long, joint.rows * len(values))
+    bound = joint.rows * len(values)
+    if bound > SMALL:
+        return settled(long.groupBy(*by, "column", "v").agg(F.sum("n").alias("n")))
+    return Settled(long, bound)
 
 
 def group_key(by: Sequence[str]) -> Column:
@@ -81,13 +85,13 @@ def in_group(name: str, by: Sequence[str]) -> list[Column]:
     return [F.col(f"{name}.{b}").alias(b) for b in by]
 
 
-def running_counts(counts: Settled, by: Sequence[str] = (), small: int = SMALL) -> DataFrame:
+def running_counts(counts: Settled, by: Sequence[str] = ()) -> DataFrame:
     """Adds to ``(*by, v, n)``: rows below it, rows of the group, mean of the group.
 
     Equal values in several rows count as lying one below the other.
     """
     table = counts.table.withColumn("_key", group_key(by))
-    if counts.rows <= small:
+    if counts.rows <= SMALL:
         return _running_whole(table).drop("_key")
     return _running_by_range(table).drop("_key")
 
@@ -108,13 +112,13 @@ def _running_by_range(table: DataFrame) -> DataFrame:
     """The same, value range by value range.
 
     Ranges are cut at approximate quantiles; row totals per range give each range
-    its start. The result is exact wherever the cuts lie.
+    its start. The result is exact wherever the cuts lie, as long as both uses of
+    them see the same cuts, so these are written down.
     """
-    distinct = table.groupBy(*[c for c in table.columns if c != "n"]).agg(F.sum("n").alias("n"))
     steps = [i / RANGES for i in range(1, RANGES)]
-    cuts = table.agg(F.percentile_approx("v", steps).alias("_cuts"))
+    cuts = settled(table.agg(F.percentile_approx("v", steps).alias("_cuts"))).table
     placed = (
-        distinct.crossJoin(F.broadcast(cuts))
+        table.crossJoin(F.broadcast(cuts))
         .withColumn("_range", F.size(F.filter("_cuts", lambda cut: cut < F.col("v"))))
         .drop("_cuts")
     )
@@ -143,10 +147,7 @@ def _running_by_range(table: DataFrame) -> DataFrame:
 
 
 def profile(
-    counts: Settled,
-    by: Sequence[str] = (),
-    quantiles: dict[str, float] | None = None,
-    small: int = SMALL,
+    counts: Settled, by: Sequence[str] = (), quantiles: dict[str, float] | None = None
 ) -> DataFrame:
     """``(*by, n, mean, sd, min, max, *quantiles)`` per group of value counts.
 
@@ -174,7 +175,7 @@ def profile(
 
     off = v - F.col("mean")
     summed = (
-        running_counts(counts, by, small)
+        running_counts(counts, by)
         .groupBy(group_key(by).alias("_key"))
         .agg(
             F.sum(n * off * off).alias("_squares"),

@@ -135,17 +135,15 @@ def decode_by_join(
     if book.bytes[field] <= broadcast_bytes:
         return labelled(df.join(F.broadcast(codes), text == F.col("_code"), "left"))
 
-    per_code = df.groupBy(text.alias("_hot")).agg(F.count("*").alias("_n"))
+    per_code = settled(df.groupBy(text.alias("_hot")).agg(F.count("*").alias("_n"))).table
     rows_in_all = per_code.agg(F.sum("_n").alias("_all"))
-    hot = (
-        per_code.crossJoin(F.broadcast(rows_in_all))
-        .where(F.col("_hot").isNotNull() & (F.col("_n") * HOT_SHARES > F.col("_all")))
-        .join(codes, F.col("_hot") == F.col("_code"), "left")
-        .select("_hot", "_label")
+    common = per_code.crossJoin(F.broadcast(rows_in_all)).where(
+        F.col("_hot").isNotNull() & (F.col("_n") * HOT_SHARES > F.col("_all"))
     )
+    hot = common.join(codes, F.col("_hot") == F.col("_code"), "left").select("_hot", "_label")
     flagged = df.join(F.broadcast(hot), text == F.col("_hot"), "left")
-    settled = F.col("_hot").isNotNull() | text.isNull()
-    uncommon = flagged.where(~settled).select(*df.columns)
-    return labelled(flagged.where(settled)).unionByName(
+    served = F.col("_hot").isNotNull() | text.isNull()
+    uncommon = flagged.where(~served).select(*df.columns)
+    return labelled(flagged.where(served)).unionByName(
         labelled(uncommon.join(codes, text == F.col("_code"), "left"))
     )

@@ -1,4 +1,8 @@
-"""Shares of a group total and stacked bars."""
+"""Shares of a group total and stacked bars.
+
+Groups, bars and categories are columns with a level list or hours of a day, so
+the windows below see as many rows of a group as there are levels.
+"""
 
 from __future__ import annotations
 

@@ -35,7 +35,7 @@ def describe(df: DataFrame, columns: Sequence[str], weight: str | None = None) -
 
     Nulls are left out. Metrics are named ``{column}_{statistic}``.
     """
-    stats = profile(long_counts(df, columns, weight=weight), ["column"], {"median": 0.5})
+    stats = profile(long_counts(df, columns, (), weight), ["column"], {"median": 0.5})
     long = stats.unpivot(["column"], ["mean", "median", "sd", "min", "max"], "stat", "value")
     return long.select(F.concat_ws("_", "column", "stat").alias("metric"), "value")
 
@@ -73,6 +73,9 @@ def total_rows(df: DataFrame, text: str, weight: str | None = None) -> DataFrame
 def facet_counts(
     df: DataFrame, panel: str, category: str, weight: str | None = None
 ) -> DataFrame:
-    """Rows per (panel, category) and the largest count of the panel."""
+    """Rows per (panel, category) and the largest count of the panel.
+
+    Both are leveled categories, so a panel has as many rows as there are levels.
+    """
     counts = value_counts(df, [panel, category], weight)
     return counts.withColumn("panel_max", F.max("n").over(Window.partitionBy(panel)))

@@ -1,0 +1,120 @@
+import datetime
+
+import pytest
+from pyspark.errors import PySparkException
+
+from collidera.operators.clean import blank_codes, blank_sentinels, clean, retype
+from collidera.operators.derive import area_features, positional_category, time_features
+
+
+def test_sentinels_are_exact_and_only_in_text(spark):
+    df = spark.createDataFrame(
+        [
+            ("Unknown", 1),
+            ("unknown (self reported)", 2),
+            ("Data missing or out of range", 3),
+            ("Unallocated", 4),
+            ("unknown", 5),
+            (" Unknown", 6),
+            (None, 7),
+        ],
+        "x string, k int",
+    )
+    got = {r.k: r.x for r in blank_sentinels(df).collect()}
+    assert got == {1: None, 2: None, 3: None, 4: None, 5: "unknown", 6: " Unknown", 7: None}
+
+
+def test_missing_codes_in_any_type(spark):
+    codes = {"a": "-1", "b": "-1", "absent": "3"}
+    for dtype, values in {"string": ["-1", "2"], "int": [-1, 2], "double": [-1.0, 2.0]}.items():
+        df = spark.createDataFrame([(v, v) for v in values], f"a {dtype}, b {dtype}")
+        assert [tuple(r) for r in blank_codes(df, codes).collect()] == [
+            (None, None),
+            (values[1], values[1]),
+        ]
+
+
+def test_clean(spark):
+    df = spark.createDataFrame(
+        [
+            ("i1", 2024, "01/02/2024", "-1", "19", "30", "Unknown", 2, "kept"),
+            ("i2", 2024, "31/02/2024", "3", "T junction", "Data missing or out of range", "Urban", 1, None),
+        ],
+        "collision_index string, collision_year int, date string,"
+        " enhanced_severity_collision string, junction_detail string, speed_limit string,"
+        " urban_or_rural_area string, number_of_vehicles int, extra string",
+    )
+    out = clean(df)
+    assert dict(out.dtypes) == {
+        "date": "date",
+        "enhanced_severity_collision": "string",
+        "junction_detail": "string",
+        "speed_limit": "int",
+        "urban_or_rural_area": "string",
+        "number_of_vehicles": "int",
+        "extra": "string",
+    }
+    assert [tuple(r) for r in out.collect()] == [
+        (datetime.date(2024, 2, 1), None, None, 30, None, 2, "kept"),
+        (None, "3", "T junction", None, "Urban", 1, None),
+    ]
+
+
+def test_numeric_severity_becomes_text(spark):
+    df = spark.createDataFrame([(-1.0,), (3.0,)], "enhanced_severity_collision double")
+    assert [r[0] for r in clean(df).collect()] == [None, "3"]
+
+
+def test_retype_leaves_numbers_alone(spark):
+    df = spark.createDataFrame([(30, "x")], "speed_limit bigint, number_of_vehicles string")
+    out = retype(df)
+    assert dict(out.dtypes) == {"speed_limit": "bigint", "number_of_vehicles": "int"}
+    assert out.first().number_of_vehicles is None
+
+
+def test_time_features_see_the_cleaned_weekday(spark):
+    df = spark.createDataFrame(
+        [("Saturday", "08:15"), ("Caturday", "23:59"), (None, None)], "day_of_week string, time string"
+    )
+    got = [
+        tuple(r)
+        for r in time_features(df, "off", "on")
+        .select("day_of_week", "hour", "day_ord", "day_type")
+        .collect()
+    ]
+    assert got == [("Saturday", 8, 6, "off"), (None, 23, None, "on"), (None, None, None, "on")]
+
+
+def test_area_features_keep_rows_of_unknown_severity(spark):
+    df = spark.createDataFrame(
+        [("1", "1"), ("Rural", "Slight"), ("2", "9"), ("Urban", None), ("3", "1"), (None, "1")],
+        "urban_or_rural_area string, collision_severity string",
+    )
+    got = sorted(
+        (r.area_type, r.area_ord, r.severity or "", r.severity_ord or 0)
+        for r in area_features(df).collect()
+    )
+    assert got == [
+        ("Rural", 2, "", 0),
+        ("Rural", 2, "Slight", 3),
+        ("Urban", 1, "", 0),
+        ("Urban", 1, "Fatal", 1),
+    ]
+
+
+def test_positional_category(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("c",), (None,), ("a",)], "x string")
+    got = [tuple(r) for r in positional_category(df, "x", ["1st", "2nd", "3rd"], "y").collect()]
+    assert sorted(got, key=str) == sorted(
+        [("b", "2nd"), ("a", "1st"), ("c", "3rd"), (None, None), ("a", "1st")], key=str
+    )
+    numbers = spark.createDataFrame([(10,), (9,), (100,)], "x int")
+    labelled = positional_category(numbers, "x", ["1st", "2nd", "3rd"], "y").collect()
+    assert {r.x: r.y for r in labelled} == {9: "1st", 10: "2nd", 100: "3rd"}
+
+
+@pytest.mark.parametrize("values", [["a", "b"], ["a", "b", "c", "d"], [None]])
+def test_positional_category_fails_on_another_number_of_values(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x string")
+    with pytest.raises(PySparkException, match="number of distinct values is not 3"):
+        positional_category(df, "x", ["1st", "2nd", "3rd"], "y").collect()

@@ -1,0 +1,109 @@
+"""Order statistics: the same by whole groups and by value ranges."""
+
+import random
+
+import numpy as np
+import pytest
+
+from collidera.operators import counts
+from collidera.operators.summary import area_summary, describe, null_counts, null_counts_wide
+from collidera.operators.summary import facet_counts, total_rows
+
+
+@pytest.fixture(params=["whole groups", "value ranges"])
+def way(request, monkeypatch):
+    if request.param == "value ranges":
+        monkeypatch.setattr(counts, "SMALL", 0)
+    return request.param
+
+
+def sample(seed, rows=400):
+    """Skewed numbers with ties, nulls and a null group; one value holds a third."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(rows):
+        g = rng.choice(["a", "a", "a", "b", None])
+        x = 5.0 if rng.random() < 1 / 3 else round(rng.lognormvariate(1, 1.5), 1)
+        out.append((g, None if rng.random() < 0.1 else x))
+    return out
+
+
+QUANTILES = {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q99": 0.99}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_profile(spark, way, seed):
+    rows = sample(seed) + [("one", 3.0), ("same", 2.0), ("same", 2.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = counts.profile(counts.number_counts(df, "x", ["g"]), ["g"], QUANTILES).collect()
+    assert {r.g for r in got} == {"a", "b", None, "one", "same"}
+    for r in got:
+        v = np.array([x for g, x in rows if g == r.g and x is not None])
+        assert r.n == len(v)
+        assert r.mean == pytest.approx(v.mean())
+        assert (r.min, r.max) == (v.min(), v.max())
+        assert r.sd == (None if len(v) == 1 else pytest.approx(v.std(ddof=1)))
+        for name, p in QUANTILES.items():
+            assert r[name] == pytest.approx(np.percentile(v, 100 * p))
+
+
+def test_running_counts_without_groups(spark, way):
+    df = spark.range(2000).selectExpr("cast(id % 700 as int) as x")
+    run = counts.running_counts(counts.number_counts(df, "x"))
+    got = sorted((r.v, r.n, r.before, r.total) for r in run.collect())
+    before = 0
+    for v, n, b, total in got:
+        assert (b, total) == (before, 2000)
+        before += n
+    assert len(got) == 700
+
+
+def test_describe_and_weights(spark, way):
+    rows = [(1, 2), (1, 2), (3, None), (None, 9), (8, 9)]
+    df = spark.createDataFrame(rows, "hour int, number_of_casualties int")
+    weighted = df.groupBy("hour", "number_of_casualties").count()
+    columns = ["hour", "number_of_casualties"]
+    got = {r.metric: r.value for r in describe(df, columns).collect()}
+    assert got == {r.metric: r.value for r in describe(weighted, columns, "count").collect()}
+    assert got["hour_mean"] == 3.25 and got["hour_median"] == 2.0
+    assert got["number_of_casualties_median"] == 5.5
+    assert got["hour_sd"] == pytest.approx(np.std([1, 1, 3, 8], ddof=1))
+    assert (got["hour_min"], got["hour_max"]) == (1.0, 8.0)
+
+
+def test_area_summary(spark, way):
+    rows = [
+        ("Rural", 2, 60, 1),
+        ("Rural", 2, None, 4),
+        ("Urban", 1, 30, 2),
+        ("Urban", 1, 20, None),
+        ("Urban", 1, 40, 3),
+    ]
+    df = spark.createDataFrame(
+        rows, "area_type string, area_ord int, speed_limit int, number_of_casualties int"
+    )
+    assert [tuple(r) for r in area_summary(df).collect()] == [
+        ("Urban", 3, 30.0, 2.5, 40.0),
+        ("Rural", 2, 60.0, 2.5, 60.0),
+    ]
+    bare = df.withColumn("speed_limit", df.speed_limit - None)
+    assert [tuple(r) for r in area_summary(bare).collect()][0] == ("Urban", 3, None, 2.5, None)
+
+
+def test_null_counts(spark):
+    df = spark.createDataFrame([(1, None, 2), (None, None, 5)], "a int, b string, k int")
+    assert {tuple(r) for r in null_counts(df).collect()} == {("a", 1), ("b", 2)}
+    assert tuple(null_counts_wide(df, ["a", "k"]).first()) == (1, 0)
+    assert tuple(null_counts_wide(df, ["a", "b"], "k").first()) == (5, 7)
+    assert tuple(null_counts_wide(df.where("k > 9")).first()) == (0, 0, 0)
+
+
+def test_rows_and_facets(spark):
+    df = spark.createDataFrame(
+        [("u", "x", 2), ("u", None, 3), ("r", "x", 1)], "area string, severity string, n int"
+    )
+    assert tuple(total_rows(df, "Rows:").first()) == (3, "Rows: 3")
+    assert tuple(total_rows(df, "Rows:", "n").first()) == (6, "Rows: 6")
+    assert tuple(total_rows(df.where("n > 9"), "Rows:", "n").first()) == (0, "Rows: 0")
+    got = {tuple(r) for r in facet_counts(df, "area", "severity", "n").collect()}
+    assert got == {("u", "x", 2, 3), ("u", None, 3, 3), ("r", "x", 1, 1)}

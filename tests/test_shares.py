@@ -1,0 +1,40 @@
+import math
+
+import pytest
+
+from collidera.operators.shares import category_share, filled_stack, log_stack
+
+ROWS = [
+    ("u", "Fatal", 1, 1),
+    ("u", "Slight", 3, 3),
+    ("u", None, None, 6),
+    ("r", "Serious", 2, 5),
+    (None, "Fatal", 1, 2),
+]
+
+
+@pytest.fixture
+def table(spark):
+    return spark.createDataFrame(ROWS, "g string, c string, o int, n int")
+
+
+def test_shares_leave_nulls_out(table):
+    got = {(r.g, r.c): (r.n, r.pct) for r in category_share(table, "g", "c", "o", "n").collect()}
+    assert got == {("u", "Fatal"): (1, 25.0), ("u", "Slight"): (3, 75.0), ("r", "Serious"): (5, 100.0)}
+
+
+def test_filled_stack_has_the_first_level_on_top(table):
+    rows = filled_stack(table, "g", "c", "o", "n").collect()
+    got = {(r.g, r.c): (r.ymin, r.ymax) for r in rows}
+    assert got[("u", "Slight")] == pytest.approx((0, 0.75))
+    assert got[("u", "Fatal")] == pytest.approx((0.75, 1))
+    assert got[("r", "Serious")] == pytest.approx((0, 1))
+
+
+def test_log_stack_adds_logarithms(table):
+    got = {(r.g, r.c): (r.n, r.ymin, r.ymax) for r in log_stack(table, "g", "c", "o", "n").collect()}
+    assert set(got) == {("u", "Fatal"), ("u", "Slight"), ("u", None), ("r", "Serious")}
+    six, three = math.log10(6), math.log10(3)
+    assert got[("u", None)] == pytest.approx((6, 0, six))
+    assert got[("u", "Slight")] == pytest.approx((3, six, six + three))
+    assert got[("u", "Fatal")] == pytest.approx((1, six + three, six + three))
