@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from collidera.functions.numbers import round_even
-from collidera.operators import counts
+from collidera.operators.counts import fits_one_task, running_counts, value_counts
 from collidera.sources.shared_folder import settled
 
 # A value that pairs with very many others is spread over this many tasks.
@@ -41,10 +41,10 @@ def spearman(
             for i, (a, b) in enumerate(pairs)
         ]
     )
-    joint = settled(counts.value_counts(df, columns, weight))
+    joint = settled(value_counts(df, columns, weight))
     combos = joint.table.select(F.explode(cells).alias("cell"), "n").select("cell.*", "n")
     whole = F.col("x").isNotNull() & F.col("y").isNotNull()
-    if joint.rows * len(pairs) <= counts.SMALL:
+    if fits_one_task(joint.rows * len(pairs)):
         sums = _rank_sums_whole(combos, whole)
     else:
         sums = _rank_sums_by_range(combos, whole)
@@ -106,7 +106,7 @@ def _rank_sums_by_range(combos: DataFrame, whole: Column) -> DataFrame:
         .groupBy("pair", "cell.side", "cell.v")
         .agg(F.sum("n").alias("n"))
     )
-    ranked = counts.running_counts(margins, ["pair", "side"]).withColumn(
+    ranked = running_counts(margins, ["pair", "side"]).withColumn(
         "centred", F.col("before") + (F.col("n") + 1) / 2 - (F.col("total") + 1) / 2
     )
     ranked_x = ranked.where(F.col("side") == "x").select(

@@ -26,6 +26,10 @@ SMALL = 200_000
 RANGES = 64
 
 
+def fits_one_task(rows: int) -> bool:
+    return rows <= SMALL
+
+
 def row_count(weight: str | None) -> Column:
     return F.count(F.lit(1)) if weight is None else F.sum(weight)
 
@@ -70,7 +74,7 @@ def long_counts(
         .where(F.col("v").isNotNull())
     )
     bound = joint.rows * len(values)
-    if bound > SMALL:
+    if not fits_one_task(bound):
         return settled(long.groupBy(*by, "column", "v").agg(F.sum("n").alias("n")))
     return Settled(long, bound)
 
@@ -91,7 +95,7 @@ def running_counts(counts: Settled, by: Sequence[str] = ()) -> DataFrame:
     Equal values in several rows count as lying one below the other.
     """
     table = counts.table.withColumn("_key", group_key(by))
-    if counts.rows <= SMALL:
+    if fits_one_task(counts.rows):
         return _running_whole(table).drop("_key")
     return _running_by_range(table).drop("_key")
 
@@ -155,30 +159,25 @@ def profile(
     interpolate linearly between the two neighbouring rows.
     """
     quantiles = quantiles or {}
-    n, v = F.col("n"), F.col("v")
 
-    def at(place: Column) -> Column:
-        return F.max(F.when((F.col("before") <= place) & (place < F.col("before") + n), v))
+    def at(side: str, p: float) -> str:
+        place = f"{side}((total - 1) * {p}D)"
+        return f"max(if(before <= {place} and {place} < before + n, v, null))"
 
-    def spot(rows: str, p: float) -> Column:
-        return (F.col(rows) - 1) * F.lit(p)
+    def between(name: str, p: float) -> str:
+        spot, low, high = f"(n - 1) * {p}D", f"_{name}_floor", f"_{name}_ceil"
+        return f"{low} + ({spot} - floor({spot})) * ({high} - {low}) as {name}"
 
     picks = [
-        at(side(spot("total", p))).alias(f"_{name}_{side.__name__}")
+        F.expr(at(side, p)).alias(f"_{name}_{side}")
         for name, p in quantiles.items()
-        for side in (F.floor, F.ceil)
+        for side in ("floor", "ceil")
     ]
-
-    def interpolated(name: str, p: float) -> Column:
-        low, high = F.col(f"_{name}_floor"), F.col(f"_{name}_ceil")
-        return (low + (spot("n", p) - F.floor(spot("n", p))) * (high - low)).alias(name)
-
-    off = v - F.col("mean")
     summed = (
         running_counts(counts, by)
         .groupBy(group_key(by).alias("_key"))
         .agg(
-            F.sum(n * off * off).alias("_squares"),
+            F.expr("sum(n * (v - mean) * (v - mean))").alias("_squares"),
             F.max("total").alias("n"),
             F.max("mean").alias("mean"),
             F.min("v").alias("min"),
@@ -186,12 +185,12 @@ def profile(
             *picks,
         )
     )
-    return summed.select(
-        *in_group("_key", by),
+    return summed.selectExpr(
+        *[f"_key.`{b}` as `{b}`" for b in by],
         "n",
         "mean",
-        F.sqrt(F.try_divide("_squares", n - 1)).alias("sd"),
+        "sqrt(try_divide(_squares, n - 1)) as sd",
         "min",
         "max",
-        *[interpolated(name, p) for name, p in quantiles.items()],
+        *[between(name, p) for name, p in quantiles.items()],
     )

@@ -10,7 +10,7 @@ How a column is decoded follows from the measured size of its dictionary:
 * up to ``MAP_CODES`` codes and ``MAP_BYTES``: all such columns share one broadcast
   row that holds a map per column. A map is searched entry by entry, so this is
   for short dictionaries;
-* up to ``BROADCAST_BYTES``: a broadcast hash join;
+* up to ``BROADCAST_BYTES`` for all of them together: broadcast hash joins;
 * beyond: a shuffled join of the rows with uncommon codes. Codes that fill a
   large part of the table would pile up in one task there, so they are counted
   first and served from a broadcast, which their share bounds.
@@ -28,7 +28,7 @@ from collidera.sources.shared_folder import settled
 
 MAP_CODES = 64
 MAP_BYTES = 64 << 10
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 64 << 20
 # A code held by more than 1 / HOT_SHARES of the rows is served by broadcast.
 HOT_SHARES = 1000
 
@@ -99,9 +99,10 @@ def decode(df: DataFrame, book: CodeBook, broadcast_bytes: int = BROADCAST_BYTES
     """Decode every column that has usable code rows."""
     fields = [c for c in df.columns if c in book.rows]
     out = decode_by_map(df, book, [c for c in fields if c in book.by_map])
-    for field in fields:
-        if field not in book.by_map:
-            out = decode_by_join(out, book, field, broadcast_bytes)
+    room = broadcast_bytes
+    for field in sorted(set(fields) - set(book.by_map), key=lambda f: book.bytes[f]):
+        out = decode_by_join(out, book, field, room)
+        room = max(room - book.bytes[field], 0)
     return out
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from collidera.operators.counts import group_key, in_group, number_counts, profile
+from collidera.operators.counts import (
+    fits_one_task,
+    group_key,
+    in_group,
+    number_counts,
+    profile,
+)
 from collidera.sources.shared_folder import Settled, settled
 
 # Grid size, and the constants of the rule-of-thumb bandwidth.
@@ -27,15 +32,10 @@ def _group_stats(counts: Settled, by: Sequence[str]) -> DataFrame:
     deviation, then the size of the single value, then 1 takes its place.
     """
     stats = profile(counts, by, {"q1": 0.25, "q3": 0.75}).where(F.col("n") >= 2)
-    sd = F.col("sd")
-    narrow = F.least(sd, (F.col("q3") - F.col("q1")) / IQR_TO_SD)
-    spread = (
-        F.when(narrow > 0, narrow)
-        .when(sd > 0, sd)
-        .when(F.col("min") != 0, F.abs("min"))
-        .otherwise(1.0)
-    )
-    bw = spread * BANDWIDTH_FACTOR * F.pow(F.col("n"), F.lit(-0.2))
+    spread = f"""
+        case when least(sd, (q3 - q1) / {IQR_TO_SD}D) > 0 then least(sd, (q3 - q1) / {IQR_TO_SD}D)
+          when sd > 0 then sd when min <> 0 then abs(min) else 1D end"""
+    bw = F.expr(f"{BANDWIDTH_FACTOR}D * ({spread}) * power(n, -0.2D)")
     return stats.select(group_key(by).alias("_key"), "n", "min", "max", bw.alias("bw"))
 
 
@@ -45,45 +45,42 @@ def _curves(counts: DataFrame, curves: DataFrame, by: Sequence[str]) -> DataFram
     Each distinct value adds to the grid points its kernel reaches. A weightless
     row per grid point makes sure that every point is there.
     """
-    step = (F.col("hi") - F.col("lo")) / (POINTS - 1)
-    reach = F.col("bw") * KERNEL_REACH
-    wide = F.col("hi") > F.col("lo")
-
-    def grid_index(spot: Column, outermost: Column) -> Column:
-        inside = F.greatest(F.least((spot - F.col("lo")) / step, F.lit(POINTS - 1.0)), F.lit(0.0))
-        return F.when(wide, outermost(inside).cast("int"))
-
-    first = F.coalesce(grid_index(F.col("v") - reach, F.floor), F.lit(0))
-    last = F.coalesce(grid_index(F.col("v") + reach, F.ceil), F.lit(POINTS - 1))
-    x = F.col("lo") + F.col("i") * step
-    z = (x - F.col("v")) / F.col("bw")
+    end = POINTS - 1
+    x = f"(lo + i * (hi - lo) / {end})"
+
+    def grid_index(spot: str, side: str) -> str:
+        return f"int({side}(greatest(least((({spot}) - lo) / (hi - lo) * {end}, {end}D), 0D)))"
+
+    first = grid_index(f"v - {KERNEL_REACH}D * bw", "floor")
+    last = grid_index(f"v + {KERNEL_REACH}D * bw", "ceil")
+    reached = f"if(hi > lo, sequence({first}, {last}), sequence(0, {end}))"
     params = ["n", "bw", "lo", "hi"]
     added = (
         counts.select(group_key(by).alias("_key"), "v", F.col("n").alias("m"))
         .join(curves, "_key")
-        .select("_key", "v", "m", *params, F.explode(F.sequence(first, last)).alias("i"))
-        .select("_key", "i", *params, (F.col("m") * F.exp(-z * z / 2)).alias("k"))
-    )
-    points = curves.select(
-        "_key",
-        F.explode(F.sequence(F.lit(0), F.lit(POINTS - 1))).alias("i"),
-        *params,
-        F.lit(0.0).alias("k"),
+        .selectExpr("_key", "v", "m", *params, f"explode({reached}) as i")
+        .selectExpr("_key", "i", *params, f"m * exp(-power(({x} - v) / bw, 2) / 2) as k")
     )
+    points = curves.selectExpr("_key", f"explode(sequence(0, {end})) as i", *params, "0D as k")
     summed = (
         added.unionByName(points)
         .groupBy("_key", "i")
         .agg(F.sum("k").alias("k"), *[F.max(p).alias(p) for p in params])
     )
-    height = F.col("k") / (F.col("n") * F.col("bw") * math.sqrt(2 * math.pi))
-    return summed.select("_key", "i", x.alias("x"), height.alias("density"))
+    return summed.selectExpr("_key", "i", f"{x} as x", "k / (n * bw * sqrt(2 * pi())) as density")
+
 
+def _relative(curves: DataFrame, counts: Settled, out: str) -> DataFrame:
+    """Adds the density relative to the highest of all curves.
 
-def _relative(curves: DataFrame, out: str) -> DataFrame:
-    """Adds the density relative to the highest of all curves."""
+    There are no more curves than counts, which tells whether all points fit a task.
+    """
+    if fits_one_task(counts.rows * POINTS):
+        peak = F.max("density").over(Window.partitionBy(F.lit(0)))
+        return curves.withColumn(out, F.try_divide("density", peak))
     kept = settled(curves).table
-    peak = kept.agg(F.max("density").alias("_peak"))
-    return kept.crossJoin(F.broadcast(peak)).withColumn(out, F.try_divide("density", "_peak"))
+    highest = kept.agg(F.max("density").alias("_peak"))
+    return kept.crossJoin(F.broadcast(highest)).withColumn(out, F.try_divide("density", "_peak"))
 
 
 def density(
@@ -114,7 +111,7 @@ def ridges(
     )
     groups = counts.table.groupBy(group_key(by).alias("_key")).agg(F.sum("n").alias("n"))
     curves = groups.where(F.col("n") >= 3).crossJoin(F.broadcast(span))
-    return _relative(_curves(counts.table, curves, by), "height").select(
+    return _relative(_curves(counts.table, curves, by), counts, "height").select(
         *in_group("_key", by), "i", "x", "density", "height"
     )
 
@@ -127,6 +124,6 @@ def violins(
     curves = _group_stats(counts, by).select(
         "_key", "n", "bw", F.col("min").alias("lo"), F.col("max").alias("hi")
     )
-    return _relative(_curves(counts.table, curves, by), "width").select(
+    return _relative(_curves(counts.table, curves, by), counts, "width").select(
         *in_group("_key", by), "i", "x", "density", "width"
     )
