@@ -7,7 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collidera.operators.counts import group_key, in_group, number_counts, profile
+from collidera.operators.counts import (
+    group_key,
+    in_group,
+    join_side,
+    number_counts,
+    profile,
+    settled_groups,
+)
 
 # Fixed value: quartile ranges a whisker may span.
 WHISKER = 1.5
@@ -25,7 +32,8 @@ def _fenced(
     reach = (F.col("upper") - F.col("lower")) * WHISKER
     outside = (F.col("v") < F.col("lower") - reach) | (F.col("v") > F.col("upper") + reach)
     keyed = counts.table.withColumn("_key", group_key(by))
-    return keyed.join(boxes, "_key").withColumn("outside", outside)
+    side = join_side(settled_groups(boxes, counts))
+    return keyed.join(side, "_key").withColumn("outside", outside)
 
 
 def box_stats(

@@ -120,7 +120,7 @@ def _rank_sums_by_range(combos: DataFrame, whole: Column) -> DataFrame:
     )
     per_x = (
         complete.withColumn("salt", F.pmod(F.hash("x"), F.lit(SALTS)))
-        .join(ranked_y, ["pair", "y", "salt"])
+        .join(ranked_y.hint("merge"), ["pair", "y", "salt"])
         .groupBy("pair", "x")
         .agg(
             F.sum("n").alias("n"),
@@ -130,7 +130,7 @@ def _rank_sums_by_range(combos: DataFrame, whole: Column) -> DataFrame:
     )
     cx = F.col("cx")
     sums = (
-        per_x.join(ranked_x, ["pair", "x"])
+        per_x.join(ranked_x.hint("merge"), ["pair", "x"])
         .groupBy("pair")
         .agg(
             F.sum("n").alias("n"),

@@ -22,8 +22,9 @@ from collidera.sources.shared_folder import Settled, settled
 
 # Rows that one task may walk over.
 SMALL = 200_000
-# Ranges of about equally many distinct values.
-RANGES = 64
+# Ranges of about equally many distinct values: blocks, and ranges per block.
+BLOCKS = 8
+RANGES = BLOCKS * BLOCKS
 
 
 def fits_one_task(rows: int) -> bool:
@@ -89,6 +90,20 @@ def in_group(name: str, by: Sequence[str]) -> list[Column]:
     return [F.col(f"{name}.{b}").alias(b) for b in by]
 
 
+def join_side(side: Settled) -> DataFrame:
+    """A table to join: broadcast when its counted rows allow it, merged else."""
+    return F.broadcast(side.table) if fits_one_task(side.rows) else side.table.hint("merge")
+
+
+def settled_groups(groups: DataFrame, counts: Settled) -> Settled:
+    """A table of one row per group, with a bound of its rows.
+
+    There are no more groups than counts; only where that says too little are the
+    groups counted themselves.
+    """
+    return Settled(groups, counts.rows) if fits_one_task(counts.rows) else settled(groups)
+
+
 def running_counts(counts: Settled, by: Sequence[str] = ()) -> DataFrame:
     """Adds to ``(*by, v, n)``: rows below it, rows of the group, mean of the group.
 
@@ -117,14 +132,15 @@ def _running_by_range(table: DataFrame) -> DataFrame:
 
     Ranges are cut at approximate quantiles; row totals per range give each range
     its start. The result is exact wherever the cuts lie, as long as both uses of
-    them see the same cuts, so these are written down.
+    them see the same cuts, so these are settled.
     """
     steps = [i / RANGES for i in range(1, RANGES)]
     cuts = settled(table.agg(F.percentile_approx("v", steps).alias("_cuts"))).table
     placed = (
         table.crossJoin(F.broadcast(cuts))
-        .withColumn("_range", F.size(F.filter("_cuts", lambda cut: cut < F.col("v"))))
-        .drop("_cuts")
+        .withColumn("_block", _cuts_below(f"{BLOCKS} * {{k}} + {BLOCKS - 1}"))
+        .withColumn("_range", _cuts_below(f"{BLOCKS} * _block + {{k}}") + F.col("_block") * BLOCKS)
+        .drop("_cuts", "_block")
     )
     per_range = placed.groupBy("_key", "_range").agg(
         F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("v")).alias("_nv")
@@ -145,11 +161,17 @@ def _running_by_range(table: DataFrame) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     before = F.col("_start") + F.coalesce(F.sum("n").over(below), F.lit(0))
-    return placed.join(starts, ["_key", "_range"]).select(
+    return placed.join(join_side(settled(starts)), ["_key", "_range"]).select(
         *table.columns, before.alias("before"), "total", "mean"
     )
 
 
+def _cuts_below(index: str) -> Column:
+    """How many of a block's cuts, or of the blocks' last cuts, lie below the value."""
+    terms = [f"int(_cuts[{index.format(k=k)}] < v)" for k in range(BLOCKS - 1)]
+    return F.expr(f"coalesce({' + '.join(terms)}, 0)")
+
+
 def profile(
     counts: Settled, by: Sequence[str] = (), quantiles: dict[str, float] | None = None
 ) -> DataFrame:

@@ -141,6 +141,7 @@ def decode_by_join(
     common = per_code.crossJoin(F.broadcast(rows_in_all)).where(
         F.col("_hot").isNotNull() & (F.col("_n") * HOT_SHARES > F.col("_all"))
     )
+    codes = codes.hint("merge")
     hot = common.join(codes, F.col("_hot") == F.col("_code"), "left").select("_hot", "_label")
     flagged = df.join(F.broadcast(hot), text == F.col("_hot"), "left")
     served = F.col("_hot").isNotNull() | text.isNull()

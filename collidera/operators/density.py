@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from collidera.operators.counts import (
     fits_one_task,
     group_key,
-    in_group,
+    join_side,
     number_counts,
     profile,
+    settled_groups,
 )
 from collidera.sources.shared_folder import Settled, settled
 
@@ -22,6 +23,8 @@ IQR_TO_SD = 1.34
 BANDWIDTH_FACTOR = 0.9
 # exp(-z * z / 2) is exactly zero in double precision from here on.
 KERNEL_REACH = 39.0
+# Kernel terms one task may sum.
+TERMS_PER_TASK = 1 << 24
 
 
 def _group_stats(counts: Settled, by: Sequence[str]) -> DataFrame:
@@ -39,14 +42,15 @@ def _group_stats(counts: Settled, by: Sequence[str]) -> DataFrame:
     return stats.select(group_key(by).alias("_key"), "n", "min", "max", bw.alias("bw"))
 
 
-def _curves(counts: DataFrame, curves: DataFrame, by: Sequence[str]) -> DataFrame:
-    """``(_key, i, x, density)``; ``curves`` has ``_key, n, bw, lo, hi`` per group.
+def _curves(counts: Settled, curves: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``(*by, i, x, density)``; ``curves`` has ``_key, n, bw, lo, hi`` per group.
 
     Each distinct value adds to the grid points its kernel reaches. A weightless
     row per grid point makes sure that every point is there.
     """
     end = POINTS - 1
     x = f"(lo + i * (hi - lo) / {end})"
+    names = [f"`{b}`" for b in by]
 
     def grid_index(spot: str, side: str) -> str:
         return f"int({side}(greatest(least((({spot}) - lo) / (hi - lo) * {end}, {end}D), 0D)))"
@@ -54,20 +58,30 @@ def _curves(counts: DataFrame, curves: DataFrame, by: Sequence[str]) -> DataFram
     first = grid_index(f"v - {KERNEL_REACH}D * bw", "floor")
     last = grid_index(f"v + {KERNEL_REACH}D * bw", "ceil")
     reached = f"if(hi > lo, sequence({first}, {last}), sequence(0, {end}))"
-    params = ["n", "bw", "lo", "hi"]
+
+    groups = settled_groups(curves, counts)
+    values = counts.table
+    tasks = counts.rows * POINTS // TERMS_PER_TASK + 1
+    if tasks > 1:
+        values = values.repartition(tasks, *by, "v")
     added = (
-        counts.select(group_key(by).alias("_key"), "v", F.col("n").alias("m"))
-        .join(curves, "_key")
-        .selectExpr("_key", "v", "m", *params, f"explode({reached}) as i")
-        .selectExpr("_key", "i", *params, f"m * exp(-power(({x} - v) / bw, 2) / 2) as k")
+        values.withColumn("_key", group_key(by))
+        .withColumnRenamed("n", "m")
+        .join(join_side(groups), "_key")
+        .selectExpr(*names, "v", "m", "bw", "lo", "hi", f"explode({reached}) as i")
+        .selectExpr(*names, "i", "m", f"({x} - v) / bw as z")
+        .groupBy(*by, "i")
+        .agg(F.expr("sum(m * exp(-z * z / 2))").alias("k"))
+    )
+    points = groups.table.selectExpr(
+        *[f"_key.{name}" for name in names], f"explode(sequence(0, {end})) as i", "0D as k"
     )
-    points = curves.selectExpr("_key", f"explode(sequence(0, {end})) as i", *params, "0D as k")
-    summed = (
-        added.unionByName(points)
-        .groupBy("_key", "i")
-        .agg(F.sum("k").alias("k"), *[F.max(p).alias(p) for p in params])
+    summed = added.unionByName(points).groupBy(*by, "i").agg(F.sum("k").alias("k"))
+    return (
+        summed.withColumn("_key", group_key(by))
+        .join(join_side(groups), "_key")
+        .selectExpr(*names, "i", f"{x} as x", "k / (n * bw * sqrt(2 * pi())) as density")
     )
-    return summed.selectExpr("_key", "i", f"{x} as x", "k / (n * bw * sqrt(2 * pi())) as density")
 
 
 def _relative(curves: DataFrame, counts: Settled, out: str) -> DataFrame:
@@ -80,7 +94,11 @@ def _relative(curves: DataFrame, counts: Settled, out: str) -> DataFrame:
         return curves.withColumn(out, F.try_divide("density", peak))
     kept = settled(curves).table
     highest = kept.agg(F.max("density").alias("_peak"))
-    return kept.crossJoin(F.broadcast(highest)).withColumn(out, F.try_divide("density", "_peak"))
+    return (
+        kept.crossJoin(F.broadcast(highest))
+        .withColumn(out, F.try_divide("density", "_peak"))
+        .drop("_peak")
+    )
 
 
 def density(
@@ -90,7 +108,7 @@ def density(
     counts = number_counts(df, value, by, weight)
     span = counts.table.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     curves = _group_stats(counts, by).select("_key", "n", "bw").crossJoin(F.broadcast(span))
-    return _curves(counts.table, curves, by).select(*in_group("_key", by), "i", "x", "density")
+    return _curves(counts, curves, by)
 
 
 def ridges(
@@ -111,9 +129,7 @@ def ridges(
     )
     groups = counts.table.groupBy(group_key(by).alias("_key")).agg(F.sum("n").alias("n"))
     curves = groups.where(F.col("n") >= 3).crossJoin(F.broadcast(span))
-    return _relative(_curves(counts.table, curves, by), counts, "height").select(
-        *in_group("_key", by), "i", "x", "density", "height"
-    )
+    return _relative(_curves(counts, curves, by), counts, "height")
 
 
 def violins(
@@ -124,6 +140,4 @@ def violins(
     curves = _group_stats(counts, by).select(
         "_key", "n", "bw", F.col("min").alias("lo"), F.col("max").alias("hi")
     )
-    return _relative(_curves(counts.table, curves, by), counts, "width").select(
-        *in_group("_key", by), "i", "x", "density", "width"
-    )
+    return _relative(_curves(counts, curves, by), counts, "width")
