@@ -6,6 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from collidera.functions.levels import in_level_order
 from collidera.plans import areas, hours
 from collidera.plans.prepare import clean_step, decode_step, reduced
 from collidera.sources.tables import CLEANED_TYPES, read_table, write_table
@@ -21,7 +22,7 @@ def report_step(spark: SparkSession, report_name: str, cleaned: str, out: str) -
         write_table(hours.missing_values(df), f"{out}/missing_values")
     counts = reduced(report.features(df), report.COLUMNS, f"{out}/counts")
     for name, table in report.TABLES.items():
-        write_table(table(counts, "n"), f"{out}/{name}")
+        write_table(in_level_order(table(counts, "n")), f"{out}/{name}")
 
 
 def main(argv: list[str] | None = None) -> None:

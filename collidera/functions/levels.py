@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from collidera.functions.cells import member
 
@@ -23,6 +24,7 @@ WEEKEND = ["Saturday", "Sunday"]
 SEVERITIES = ["Fatal", "Serious", "Slight"]
 AREAS = ["Urban", "Rural"]
 UNKNOWN = "Unknown"
+LEVELS = {"day_of_week": WEEKDAYS, "area_type": AREAS, "severity": SEVERITIES}
 
 
 def level_value(col: Column, levels: Sequence[str]) -> Column:
@@ -36,6 +38,16 @@ def level_ordinal(col: Column, levels: Sequence[str]) -> Column:
     return F.when(place > 0, place).cast("int")
 
 
+def in_level_order(df: DataFrame) -> DataFrame:
+    """Report rows sorted for reading: categories by level, other keys by value, nulls last."""
+    keys = [f.name for f in df.schema if not isinstance(f.dataType, T.DoubleType)]
+    order = [
+        level_ordinal(F.col(c), LEVELS[c]).asc_nulls_last() if c in LEVELS else F.asc_nulls_last(c)
+        for c in keys
+    ]
+    return df.orderBy(*order) if order else df
+
+
 def first_match(col: Column, cases: Sequence[tuple[str, list[str]]], default: str) -> Column:
     """Label of the first case whose list holds the text; ``default`` else."""
     (label, values), *rest = cases

@@ -60,24 +60,16 @@ def number_counts(
 def long_counts(
     df: DataFrame, values: Sequence[str], by: Sequence[str] = (), weight: str | None = None
 ) -> Settled:
-    """``(*by, column, v, n)``: non-null values of several columns from one scan.
+    """``(*by, column, v, n)``: settled counts of several columns from one scan.
 
-    ``rows`` bounds the number of rows. Up to ``SMALL`` of them a value may come in
-    several rows, beyond it comes in one.
+    Rows are unfolded before they are counted: the columns are counted apart, so it
+    does not matter how many combinations of their values there are.
     """
-    joint = settled(value_counts(df, [*by, *values], weight))
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in values]
-    )
-    long = (
-        joint.table.select(*by, F.explode(cells).alias("cell"), "n")
-        .select(*by, "cell.*", "n")
-        .where(F.col("v").isNotNull())
-    )
-    bound = joint.rows * len(values)
-    if not fits_one_task(bound):
-        return settled(long.groupBy(*by, "column", "v").agg(F.sum("n").alias("n")))
-    return Settled(long, bound)
+    kept = [*by, weight] if weight else [*by]
+    numbers = df.select(*kept, *[F.col(c).cast("double").alias(c) for c in values])
+    cells = numbers.unpivot(kept, list(values), "column", "v")
+    counts = settled(value_counts(cells, [*by, "column", "v"], weight))
+    return Settled(counts.table.where(F.col("v").isNotNull()), counts.rows)
 
 
 def group_key(by: Sequence[str]) -> Column:

@@ -8,6 +8,7 @@ from collidera.functions.levels import (
     WEEKDAYS,
     coded_levels,
     first_match,
+    in_level_order,
     level_ordinal,
     level_value,
     weekend_flag,
@@ -111,3 +112,16 @@ def test_numbers(spark):
     assert column(spark, [0, 1, 100], "bigint", lambda df: log10_count(x)) == [None, 0.0, 2.0]
     assert column(spark, [3], "bigint", lambda df: percent(x, F.lit(12))) == [25.0]
     assert column(spark, [3], "bigint", lambda df: percent(x, F.lit(0))) == [None]
+
+
+def test_level_order(spark):
+    df = spark.createDataFrame(
+        [(None, 1, 0.1), ("Sunday", 2, 0.2), ("Monday", None, 0.3), ("Monday", 9, 0.4)],
+        "day_of_week string, hour int, share double",
+    )
+    assert [(r.day_of_week, r.hour) for r in in_level_order(df).collect()] == [
+        ("Monday", 9),
+        ("Monday", None),
+        ("Sunday", 2),
+        (None, 1),
+    ]
