@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from collidera.operators.attach import attach
 from collidera.sources.shared_folder import Settled, settled
 
 # Rows that one task may walk over.
@@ -129,7 +130,7 @@ def _running_by_range(table: DataFrame) -> DataFrame:
     steps = [i / RANGES for i in range(1, RANGES)]
     cuts = settled(table.agg(F.percentile_approx("v", steps).alias("_cuts"))).table
     placed = (
-        table.crossJoin(F.broadcast(cuts))
+        attach(table, cuts)
         .withColumn("_block", _cuts_below(f"{BLOCKS} * {{k}} + {BLOCKS - 1}"))
         .withColumn("_range", _cuts_below(f"{BLOCKS} * _block + {{k}}") + F.col("_block") * BLOCKS)
         .drop("_cuts", "_block")

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from collidera.functions.cells import all_present, as_text
+from collidera.operators.attach import attach
 from collidera.sources.shared_folder import settled
 
 MAP_CODES = 64
@@ -116,7 +117,7 @@ def decode_by_map(df: DataFrame, book: CodeBook, fields: list[str]) -> DataFrame
         return F.coalesce(F.try_element_at(F.col(f"_map_{field}"), text), text)
 
     return (
-        df.crossJoin(F.broadcast(book.maps))
+        attach(df, book.maps)
         .withColumns({field: label(field) for field in fields})
         .select(*df.columns)
     )
@@ -138,7 +139,7 @@ def decode_by_join(
 
     per_code = settled(df.groupBy(text.alias("_hot")).agg(F.count("*").alias("_n"))).table
     rows_in_all = per_code.agg(F.sum("_n").alias("_all"))
-    common = per_code.crossJoin(F.broadcast(rows_in_all)).where(
+    common = attach(per_code, rows_in_all).where(
         F.col("_hot").isNotNull() & (F.col("_n") * HOT_SHARES > F.col("_all"))
     )
     codes = codes.hint("merge")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from collidera.operators.attach import attach
 from collidera.operators.counts import (
     fits_one_task,
     group_key,
@@ -95,7 +96,7 @@ def _relative(curves: DataFrame, counts: Settled, out: str) -> DataFrame:
     kept = settled(curves).table
     highest = kept.agg(F.max("density").alias("_peak"))
     return (
-        kept.crossJoin(F.broadcast(highest))
+        attach(kept, highest)
         .withColumn(out, F.try_divide("density", "_peak"))
         .drop("_peak")
     )
@@ -107,7 +108,7 @@ def density(
     """``(*by, i, x, density)``: one curve per group over the range of all groups."""
     counts = number_counts(df, value, by, weight)
     span = counts.table.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    curves = _group_stats(counts, by).select("_key", "n", "bw").crossJoin(F.broadcast(span))
+    curves = attach(_group_stats(counts, by).select("_key", "n", "bw"), span)
     return _curves(counts, curves, by)
 
 
@@ -122,13 +123,13 @@ def ridges(
     counts = number_counts(df, value, by, weight)
     common = _group_stats(counts, by).agg(F.avg("bw").alias("bw"))
     ends = counts.table.agg(F.min("v").alias("min"), F.max("v").alias("max"))
-    span = ends.crossJoin(F.broadcast(common)).select(
+    span = attach(ends, common).select(
         "bw",
         (F.col("min") - 3 * F.col("bw")).alias("lo"),
         (F.col("max") + 3 * F.col("bw")).alias("hi"),
     )
     groups = counts.table.groupBy(group_key(by).alias("_key")).agg(F.sum("n").alias("n"))
-    curves = groups.where(F.col("n") >= 3).crossJoin(F.broadcast(span))
+    curves = attach(groups.where(F.col("n") >= 3), span)
     return _relative(_curves(counts, curves, by), counts, "height")
 
 

@@ -19,6 +19,7 @@ from collidera.functions.levels import (
     level_value,
     weekend_flag,
 )
+from collidera.operators.attach import attach
 
 
 def positional_category(
@@ -45,7 +46,7 @@ def positional_category(
     )
     place = F.array_position("_values", F.col(column)).cast("int")
     label = F.try_element_at(F.array(*[F.lit(v) for v in labels]), place)
-    return df.crossJoin(F.broadcast(checked)).withColumn(out, label).drop("_values")
+    return attach(df, checked).withColumn(out, label).drop("_values")
 
 
 def time_features(

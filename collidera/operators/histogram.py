@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from collidera.functions.numbers import log10_count
+from collidera.operators.attach import attach
 from collidera.operators.counts import group_key, in_group, number_counts
 
 # Relative slack at a bin border, and the bin width for a single value.
@@ -36,14 +37,12 @@ def histogram(
         raise ValueError("give either width or bins")
     counts = number_counts(df, value, by, weight).table
     ends = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    layout = ends.where(F.col("lo").isNotNull()).select(
-        *_layout(F.col("lo"), F.col("hi"), width, bins)
-    )
-    binned = counts.crossJoin(F.broadcast(layout)).select(
+    layout = ends.select(*_layout(F.col("lo"), F.col("hi"), width, bins))
+    binned = attach(counts, layout).select(
         *by, _bin_of(F.col("v")).alias("bin"), "origin", "width", "n"
     )
     groups = counts.select(*by).distinct() if by else df.sparkSession.range(1).select()
-    empty = groups.crossJoin(_each_bin(layout)).select(
+    empty = _each_bin(attach(groups, layout)).select(
         *by, "bin", "origin", "width", F.lit(0).cast("bigint").alias("n")
     )
     left = F.col("origin") + F.col("bin") * F.col("width")
@@ -64,7 +63,7 @@ def histogram(
 
 
 def _layout(lo: Column, hi: Column, width: float | None, bins: int | None) -> list[Column]:
-    """Left border of the first bin, bin width, number of bins."""
+    """Left border of the first bin, bin width, number of bins; null without values."""
     if width is not None:
         w, border = F.lit(float(width)), F.lit(width / 2)
     elif bins == 1:
@@ -74,11 +73,11 @@ def _layout(lo: Column, hi: Column, width: float | None, bins: int | None) -> li
         w = F.when(hi > lo, (hi - lo) / (bins - 1)).otherwise(POINT_WIDTH)
         border = F.when(hi > lo, lo - w / 2).otherwise(POINT_WIDTH / 2)
     origin = border + F.floor((lo - border) / w) * w
-    last = (hi + (1 - SLACK) * w - origin) / w
+    whole = F.greatest(F.floor((hi + (1 - SLACK) * w - origin) / w + 1e-10), F.lit(1))
     return [
         origin.alias("origin"),
         w.alias("width"),
-        F.greatest(F.floor(last + 1e-10), F.lit(1)).alias("bins"),
+        F.when(lo.isNotNull(), whole).alias("bins"),
     ]
 
 
@@ -87,10 +86,10 @@ def _bin_of(v: Column) -> Column:
     return F.greatest(place, F.lit(0))
 
 
-def _each_bin(layout: DataFrame) -> DataFrame:
-    """One row per bin, unfolded in two steps so that no array holds all bins."""
+def _each_bin(groups: DataFrame) -> DataFrame:
+    """One row per group and bin, unfolded in two steps so that no array holds all bins."""
     start = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bins") - 1, F.lit(BLOCK)))
     block_end = F.least(F.col("start") + BLOCK - 1, F.col("bins") - 1)
-    return layout.withColumn("start", start).withColumn(
+    return groups.withColumn("start", start).withColumn(
         "bin", F.explode(F.sequence("start", block_end))
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from collidera.operators.attach import attach
+
 
 def structure(df: DataFrame, first: int = 5) -> DataFrame:
     """``(position, column, type, n_rows, first_values)``, one row per column.
@@ -22,7 +24,7 @@ def structure(df: DataFrame, first: int = 5) -> DataFrame:
         .limit(first)
         .agg(F.sort_array(F.collect_list(F.struct(*order))).alias("head"))
     )
-    facts = df.agg(F.count("*").alias("n_rows")).crossJoin(shown)
+    facts = attach(df.agg(F.count("*").alias("n_rows")), shown)
     cells = F.array(
         *[
             F.struct(
