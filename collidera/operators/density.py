@@ -14,7 +14,6 @@ from collidera.operators.counts import (
     join_side,
     number_counts,
     profile,
-    settled_groups,
 )
 from collidera.sources.shared_folder import Settled, settled
 
@@ -47,7 +46,8 @@ def _curves(counts: Settled, curves: DataFrame, by: Sequence[str]) -> DataFrame:
     """``(*by, i, x, density)``; ``curves`` has ``_key, n, bw, lo, hi`` per group.
 
     Each distinct value adds to the grid points its kernel reaches. A weightless
-    row per grid point makes sure that every point is there.
+    row per grid point makes sure that every point is there. The curves are used
+    three times and so settled.
     """
     end = POINTS - 1
     x = f"(lo + i * (hi - lo) / {end})"
@@ -60,7 +60,7 @@ def _curves(counts: Settled, curves: DataFrame, by: Sequence[str]) -> DataFrame:
     last = grid_index(f"v + {KERNEL_REACH}D * bw", "ceil")
     reached = f"if(hi > lo, sequence({first}, {last}), sequence(0, {end}))"
 
-    groups = settled_groups(curves, counts)
+    groups = settled(curves)
     values = counts.table
     tasks = counts.rows * POINTS // TERMS_PER_TASK + 1
     if tasks > 1:
