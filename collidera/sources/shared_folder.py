@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: What this process has settled, by application, for ``release``.
+_written: dict[str, list[str]] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one where unset."""
+    """The folder named by ``spark.checkpoint.dir``, else one below the warehouse.
+
+    Without the setting, a warehouse on a machine's own disk serves a session whose
+    tasks run in the driver; any other session is refused, as its executors would
+    not see each other's files.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
-        named = tempfile.mkdtemp(prefix="collidera-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        one_machine = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master)
+        if not one_machine and re.match(r"(file:)?/", warehouse):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = f"{warehouse}/_shared"
+    return named.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}/{name}"
+    """A path of its own below the shared folder, remembered for ``release``."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return f"{folder}/{name}"
 
 
 @dataclass(frozen=True)
@@ -35,15 +48,29 @@ class Settled:
 def settled(df: DataFrame) -> Settled:
     """Compute ``df`` once, whatever is built on it, and count it on the way.
 
-    Later steps read the written rows, so several of them do not repeat the scan
-    below, and a lost executor does not either.
+    Later steps read the written rows, column by column, so several of them do not
+    repeat the scan below, and a lost executor does not either.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    path = new_path(spark, "table")
     seen = Observation()
-    table = df.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint()
-    return Settled(table, seen.get["rows"])
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    counted.write.option("compression", "zstd").parquet(path)
+    return Settled(spark.read.schema(df.schema).parquet(path), seen.get["rows"])
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what ``settled`` and ``new_path`` have laid down in this application.
+
+    Call it once the results that were built on those tables are written. Returns the
+    number of folders deleted.
+    """
+    jvm, folders = spark.sparkContext._jvm, _written.pop(spark.sparkContext.applicationId, [])
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.delete(path, True)
+    return len(folders)
 
 
 def put_bytes(spark: SparkSession, path: str, content: bytes) -> None:
