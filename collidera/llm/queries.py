@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+from collidera.llm import chat_formatting, embedding_dedup, mixing, warc
 from collidera.llm.language_id import language_id
+from collidera.llm.packing import pack
 from collidera.llm.quality_classifier import quality
 from collidera.llm.quality_rules import quality_rules
 from collidera.llm.session import table
+from collidera.llm.simhash import simhash_dedup
 from collidera.llm.toxicity import toxicity
 
 
@@ -25,18 +29,49 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_formatting.preferences(table(spark, sf_dir, "conversations"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_quality_rules": op2_quality_rules,
         "op3_language_id": op3_language_id,
+        "op4_embedding_dedup": op4_embedding_dedup,
+        "op5_mixing": op5_mixing,
         "op6_quality_classifier": op6_quality_classifier,
+        "op7_chat_formatting": op7_chat_formatting,
+        "op8_warc": op8_warc,
+        "op9_simhash": op9_simhash,
+        "op10_packing": op10_packing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mixing": mixing.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL}
