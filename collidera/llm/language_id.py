@@ -12,7 +12,8 @@ Learning reads a sample of at most about ``rows`` texts per language (see ``Lear
 every text is scored whole.
 
 Defined results: a null text and a text without letters are ``und`` with score 0; so is
-everything when no language could be learned. Equal likelihoods go to the first language
+everything when no language could be learned; a language whose sample has no letter is
+not. Equal likelihoods go to the first language
 by code point. Repeated rows give repeated results, null ids stay, and columns besides
 the four named ones are ignored. Nothing is shuffled but the sample.
 """
@@ -169,16 +170,19 @@ def fit_languages(
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         texts = sorted(t for t in group["text"] if t is not None)
+        if not any(map(LETTERS.search, texts)):
+            return pd.DataFrame({"lang": [], "probs": []})
         probs = learned(texts, Pieces(p.vocabulary), p)
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], "probs": [probs.tobytes()]})
 
     rows = (
         sample.select("lang", "text").groupBy("lang").applyInPandas(learn, "lang string, probs binary")
     ).collect()
+    if not rows:
+        return [], np.zeros((0, 0))
     found = sorted(rows, key=lambda r: r["lang"])
-    return [r["lang"] for r in found], np.stack(
-        [np.frombuffer(r["probs"]) for r in found], axis=1
-    ) if found else np.zeros((0, 0))
+    columns = [np.frombuffer(r["probs"]) for r in found]
+    return [r["lang"] for r in found], np.stack(columns, axis=1)
 
 
 class WordScores:

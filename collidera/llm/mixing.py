@@ -21,6 +21,7 @@ built-in expressions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -92,7 +93,7 @@ def apportioned(parts: DataFrame, group: list[str], key: str, weight: str, seats
     seats near the share compete; together they are a few times the number of parts.
     """
     own = Window.partitionBy(*group)
-    share = F.col(weight) / F.sum(weight).over(own)
+    share = F.coalesce(F.try_divide(weight, F.sum(weight).over(own)), F.lit(0.0))
     reach = share * (2 * F.count("*").over(own)) + 2
     placed = parts.withColumns(
         {
@@ -216,42 +217,47 @@ def mixed_texts(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
     was; where blocks are left out in between, the parts are lines of their own. Columns
     stay as they are, ``n_chars`` follows the text if it is there. Ids must be unique.
     """
-    import re
-
-    word = re.compile(WORDS)
-    plan = mix_plan(documents, mix).select(
-        F.col("doc_id").alias("_id"), "place", "cell", "blocks", "quota", "start", "size"
-    ).filter("quota > 0 and size > 0")
-    names = documents.columns
-    joined = documents.join(plan, F.col("doc_id") == F.col("_id")).drop("_id")
+    names, where = documents.columns, "_mix"
+    while where in names:
+        where += "_"
+    plan = mix_plan(documents, mix).filter("quota > 0 and size > 0").select(
+        F.col("doc_id").alias(f"{where}_id"),
+        F.struct("place", "size", "cell", "blocks", "quota", "start").alias(where),
+    )
+    joined = documents.join(plan, documents["doc_id"] == plan[f"{where}_id"]).drop(f"{where}_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, rows = [], []
-            columns = {c: batch.column(c).to_pylist() for c in ("text", "place", "cell", "blocks", "quota", "start", "size")}
-            for i, (text, place, cell, blocks, quota, start, size) in enumerate(zip(*columns.values(), strict=True)):
-                at = None
-                for e in range(mix.epochs):
-                    first = place + e * cell
-                    spans = taken_spans(first, size, blocks, quota, start, mix.block)
-                    if not spans:
-                        continue
-                    if spans == [[first, first + size]]:
-                        texts.append(text)
-                    else:
-                        at = at or [m.span() for m in word.finditer(text)]
-                        texts.append("\n".join(text[at[a - first][0] : at[b - first - 1][1]] for a, b in spans))
+            placed = zip(batch.column("text").to_pylist(), batch.column(where).to_pylist(), strict=True)
+            for i, (text, at) in enumerate(placed):
+                for taken in passes_of(text, mix=mix, **at):
+                    texts.append(taken)
                     rows.append(i)
             picked = batch.take(pa.array(rows, pa.int64())).select(names)
             new = picked.set_column(names.index("text"), "text", pa.array(texts, pa.string()))
             if "n_chars" in names:
                 kind = picked.column("n_chars").type
-                new = new.set_column(names.index("n_chars"), "n_chars", pa.array(map(len, texts), kind))
+                sizes = pa.array(map(len, texts), kind)
+                new = new.set_column(names.index("n_chars"), "n_chars", sizes)
             yield new
 
     return joined.mapInArrow(run, documents.schema)
 
 
+def passes_of(text: str, place: int, size: int, cell: int, blocks: int, quota: int, start: int, mix: Mix):
+    """What each pass over the stream takes of a text, if anything."""
+    words = None
+    for e in range(mix.epochs):
+        first = place + e * cell
+        spans = taken_spans(first, size, blocks, quota, start, mix.block)
+        if spans == [[first, first + size]]:
+            yield text
+        elif spans:
+            words = words or [m.span() for m in re.finditer(WORDS, text)]
+            yield "\n".join(text[words[a - first][0] : words[b - first - 1][1]] for a, b in spans)
+
+
 #: DuckDB statement for ``mixed`` with the default parameters.
 ORACLE_SQL = r"""
 WITH docs AS (

@@ -11,13 +11,15 @@ ties and null ids change nothing, and columns besides ``doc_id``, ``text`` are i
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from collidera.llm.terms import (
+    Scorer,
     TermHashes,
     folded,
     hash_part,
@@ -89,11 +91,11 @@ def fit_quality(
     return np.frombuffer(trained(sample_features(sample, word_ngrams), p.rows, train))
 
 
-def quality_scores(df: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``df`` with ``_score``, the probability that its ``text`` is good."""
-    shared = df.sparkSession.sparkContext.broadcast(weights)
+def quality_scorer(spark: SparkSession, weights: np.ndarray) -> Scorer:
+    """The probability that a text is good, for ``with_score`` and ``kept_by_score``."""
+    shared = spark.sparkContext.broadcast(weights)
 
-    def scorer():
+    def scorer() -> Callable[[str], float]:
         w, hashes = shared.value, TermHashes()
 
         def of(text: str) -> float:
@@ -102,14 +104,15 @@ def quality_scores(df: DataFrame, weights: np.ndarray) -> DataFrame:
 
         return of
 
-    return with_score(df, scorer)
+    return scorer
 
 
 def quality(documents: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> DataFrame:
     """``(doc_id, held_out, score, predicted)``; thirds of the ids are held out of learning."""
     held_out = F.coalesce(hash_part("doc_id", 3) == 1, F.lit(False))
     weights = fit_quality(documents, labels, ~held_out, p)
-    scored = quality_scores(documents.select("doc_id", "text"), weights)
+    scorer = quality_scorer(documents.sparkSession, weights)
+    scored = with_score(documents.select("doc_id", "text"), scorer)
     return scored.select(
         "doc_id",
         held_out.alias("held_out"),

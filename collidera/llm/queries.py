@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from collidera.llm import chat_formatting, embedding_dedup, mixing, warc
+from collidera.llm import chat_formatting, embedding_dedup, mixing, sql, warc
 from collidera.llm.language_id import language_id
 from collidera.llm.packing import pack
 from collidera.llm.quality_classifier import quality
@@ -42,7 +43,14 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_formatting.preferences(table(spark, sf_dir, "conversations"))
+    """Spans are written as ``start-end,...`` so that rows compare as plain values."""
+    pairs = chat_formatting.preferences(table(spark, sf_dir, "conversations"))
+
+    def spans(column: str) -> Column:
+        texts = F.transform(column, lambda s: F.concat_ws("-", s["start"], s["end"]))
+        return F.array_join(texts, ",")
+
+    return pairs.withColumns({c: spans(c) for c in ("chosen_learned", "rejected_learned")})
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +82,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL}
+    return {
+        "op2_quality_rules": sql.QUALITY_RULES,
+        "op4_embedding_dedup": sql.EMBEDDING_DEDUP,
+        "op5_mixing": mixing.ORACLE_SQL,
+        "op7_chat_formatting": sql.CHAT_FORMATTING,
+        "op8_warc": warc.ORACLE_SQL,
+    }

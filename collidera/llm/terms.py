@@ -117,26 +117,33 @@ def trained(sample: DataFrame, rows: int, train: Callable[[list], bytes]) -> byt
     return bytes(ordered.mapInArrow(run, "model binary").first()["model"])
 
 
-def scored_batches(score: Callable[[], Callable[[str], float]], text: str = "text"):
-    """A function over Arrow batches that appends ``score`` of their texts.
+#: Made once in each task: the scorer of one text.
+Scorer = Callable[[], Callable[[str], float]]
 
-    ``score`` is called once in each task and returns the scorer of one text; a null
-    text is scored as an empty one.
-    """
+
+def with_score(df: DataFrame, scorer: Scorer) -> DataFrame:
+    """``df`` and a column ``_score`` of its ``text``, a null one taken as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = score()
+        of = scorer()
         for batch in batches:
-            values = [of(t or "") for t in batch.column(text).to_pylist()]
+            values = [of(t or "") for t in batch.column("text").to_pylist()]
             yield batch.append_column("_score", pa.array(values, pa.float64()))
 
-    return run
+    schema = T.StructType([*df.schema.fields, T.StructField("_score", T.DoubleType())])
+    return df.mapInArrow(run, schema)
 
 
-def with_score(df: DataFrame, score: Callable[[], Callable[[str], float]]) -> DataFrame:
-    """``df`` and a column ``_score`` of its ``text``; nothing is shuffled."""
-    schema = T.StructType([*df.schema.fields, T.StructField("_score", T.DoubleType())])
-    return df.mapInArrow(scored_batches(score), schema)
+def kept_by_score(df: DataFrame, scorer: Scorer, keep: Callable[[float], bool]) -> DataFrame:
+    """Rows of ``df`` whose score ``keep`` accepts; columns stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = scorer()
+        for batch in batches:
+            kept = [keep(of(t or "")) for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def hash_part(column: str, parts: int) -> Column:

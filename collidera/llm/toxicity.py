@@ -12,16 +12,18 @@ columns besides ``doc_id``, ``text`` are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from collidera.llm.terms import (
     MEMO_TERMS,
     TERM,
+    Scorer,
     TermHashes,
     folded,
     hash_part,
@@ -145,11 +147,11 @@ def fit_toxicity(
     return model.reshape(2**BITS + 1, -1)
 
 
-def toxicity_scores(df: DataFrame, machine: np.ndarray) -> DataFrame:
-    """``df`` with ``_score``, the probability that its ``text`` is toxic."""
-    shared = df.sparkSession.sparkContext.broadcast(machine)
+def toxicity_scorer(spark: SparkSession, machine: np.ndarray) -> Scorer:
+    """The probability that a text is toxic, for ``with_score`` and ``kept_by_score``."""
+    shared = spark.sparkContext.broadcast(machine)
 
-    def scorer():
+    def scorer() -> Callable[[str], float]:
         model, presence = shared.value, Presence()
 
         def of(text: str) -> float:
@@ -159,14 +161,15 @@ def toxicity_scores(df: DataFrame, machine: np.ndarray) -> DataFrame:
 
         return of
 
-    return with_score(df, scorer)
+    return scorer
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, p: Machine = Machine()) -> DataFrame:
     """``(doc_id, held_out, score, predicted)``; a quarter of the ids is held out of learning."""
     held_out = F.coalesce(hash_part("doc_id", 4) == 2, F.lit(False))
     machine = fit_toxicity(documents, labels, ~held_out, p)
-    scored = toxicity_scores(documents.select("doc_id", "text"), machine)
+    scorer = toxicity_scorer(documents.sparkSession, machine)
+    scored = with_score(documents.select("doc_id", "text"), scorer)
     return scored.select(
         "doc_id",
         held_out.alias("held_out"),

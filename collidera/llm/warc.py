@@ -37,7 +37,7 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC = b"\x1f\x8b\x08"
 ID = "urn:page:"
-VERSION_LINE = re.compile(rb"(?:\A|(?<=\n))WARC/1\.[01]\r\n")
+VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 
 
 @dataclass(frozen=True)
@@ -159,6 +159,9 @@ def write_warc(pages: DataFrame, folder: str, a: Archives = Archives()) -> DataF
 COLUMNS = ["page_id", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
 
+REQUIRED = ("warc-type", "warc-record-id", "warc-date")
+
+
 class Damage(Exception):
     """A failed check of an archive."""
 
@@ -176,6 +179,9 @@ def parsed_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
         if not colon:
             raise Damage("header line without a colon")
         headers[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+    missing = [h for h in REQUIRED if not headers.get(h)]
+    if missing:
+        raise Damage(f"no {missing[0]}")
     length = headers.get("content-length", "")
     if not re.fullmatch(r"[0-9]{1,18}", length):
         raise Damage("no content length")

@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from collidera.llm.mixing import mixed_texts
 from collidera.llm.packing import pack
-from collidera.llm.quality_classifier import fit_quality, quality_scores
+from collidera.llm.quality_classifier import fit_quality, quality_scorer
 from collidera.llm.session import table
 from collidera.llm.simhash import simhash_groups
-from collidera.llm.toxicity import fit_toxicity, toxicity_scores
+from collidera.llm.terms import kept_by_score
+from collidera.llm.toxicity import fit_toxicity, toxicity_scorer
 from collidera.sources.shared_folder import new_path
 
 GOOD = 0.5
@@ -30,13 +31,13 @@ TOXIC = 0.3
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     weights = fit_quality(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return quality_scores(docs, weights).filter(F.col("_score") >= GOOD).drop("_score")
+    return kept_by_score(docs, quality_scorer(spark, weights), lambda score: score >= GOOD)
 
 
 def harmless_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity machine does not reject."""
     machine = fit_toxicity(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return toxicity_scores(docs, machine).filter(F.col("_score") < TOXIC).drop("_score")
+    return kept_by_score(docs, toxicity_scorer(spark, machine), lambda score: score < TOXIC)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
