@@ -171,7 +171,7 @@ def fit_languages(
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         texts = sorted(t for t in group["text"] if t is not None)
         if not any(map(LETTERS.search, texts)):
-            return pd.DataFrame({"lang": [], "probs": []})
+            return pd.DataFrame({"lang": [], "probs": []}, dtype=object)
         probs = learned(texts, Pieces(p.vocabulary), p)
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], "probs": [probs.tobytes()]})
 
