@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from collidera.functions.levels import in_level_order
 from collidera.plans import areas, hours
 from collidera.plans.prepare import clean_step, decode_step, reduced
+from collidera.sources.shared_folder import release
 from collidera.sources.tables import CLEANED_TYPES, read_table, write_table
 
 REPORTS = {"hours": hours, "areas": areas}
@@ -17,12 +18,13 @@ REPORTS = {"hours": hours, "areas": areas}
 def report_step(spark: SparkSession, report_name: str, cleaned: str, out: str) -> None:
     """Write every table of a report below ``out``."""
     report = REPORTS[report_name]
-    df = read_table(spark, cleaned, CLEANED_TYPES)
+    df = read_table(spark, cleaned, CLEANED_TYPES, multiline=True)
     if report is hours:
         write_table(hours.missing_values(df), f"{out}/missing_values")
     counts = reduced(report.features(df), report.COLUMNS, f"{out}/counts")
     for name, table in report.TABLES.items():
         write_table(in_level_order(table(counts, "n")), f"{out}/{name}")
+    release(spark)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -31,6 +33,7 @@ def main(argv: list[str] | None = None) -> None:
     step = steps.add_parser("decode", help="codes to labels")
     for name in ("raw", "guide", "out"):
         step.add_argument(name)
+    step.add_argument("--multiline", action="store_true", help="cells hold line breaks")
     step = steps.add_parser("clean", help="sentinels to nulls, dates, types")
     for name in ("decoded", "out"):
         step.add_argument(name)
@@ -42,9 +45,10 @@ def main(argv: list[str] | None = None) -> None:
 
     spark = SparkSession.builder.appName(f"collidera {args.step}").getOrCreate()
     if args.step == "decode":
-        decode_step(spark, args.raw, args.guide, args.out)
+        decode_step(spark, args.raw, args.guide, args.out, args.multiline)
     elif args.step == "clean":
-        clean_step(spark, args.decoded, args.out).show(truncate=False)
+        for table in clean_step(spark, args.decoded, args.out):
+            table.show(truncate=False)
     else:
         report_step(spark, args.name, args.cleaned, args.out)
 

@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def cell(name: str) -> Column:
+    """The column of exactly this name, dots and quotes included."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def as_text(df: DataFrame, name: str) -> Column:
     """The column as text; an integral double is written without ``.0``."""
-    col = F.col(name)
+    col = cell(name)
     dtype = df.schema[name].dataType
     if isinstance(dtype, T.StringType):
         return col
@@ -30,7 +35,7 @@ def all_present(*names: str) -> Column:
     """True where every named column is non-null."""
     present = F.lit(True)
     for name in names:
-        present = present & F.col(name).isNotNull()
+        present = present & cell(name).isNotNull()
     return present
 
 
@@ -40,8 +45,17 @@ def blank_values(col: Column, values: Column) -> Column:
 
 
 def to_int(col: Column) -> Column:
-    """Text to integer; text that is not a number gives null."""
-    return col.try_cast("int")
+    """Text to integer, however the number is spelled (``30``, ``30.0``, ``3e1``).
+
+    Text that is not a whole number gives null; ``rejected`` tells such text.
+    """
+    number = col.try_cast("double")
+    return F.when(F.rint(number) == number, number).try_cast("int")
+
+
+def rejected(col: Column) -> Column:
+    """True for text that is there but would not become an integer."""
+    return col.isNotNull() & to_int(col).isNull()
 
 
 def parse_day_first_date(col: Column) -> Column:

@@ -6,7 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from collidera.functions.cells import as_text, blank_values, parse_day_first_date, to_int
+from collidera.functions.cells import (
+    as_text,
+    blank_values,
+    cell,
+    parse_day_first_date,
+    rejected,
+    to_int,
+)
 
 # Labels and codes that stand for a missing entry.
 SENTINELS = [
@@ -37,19 +44,27 @@ def text_columns(df: DataFrame) -> list[str]:
 def blank_sentinels(df: DataFrame, sentinels: list[str] = SENTINELS) -> DataFrame:
     """Null for a sentinel, in text columns only."""
     values = F.array(*[F.lit(s) for s in sentinels])
-    return df.withColumns({c: blank_values(F.col(c), values) for c in text_columns(df)})
+    return df.withColumns({c: blank_values(cell(c), values) for c in text_columns(df)})
 
 
 def blank_codes(df: DataFrame, codes: dict[str, str] = MISSING_CODES) -> DataFrame:
     """Null for one code per column, whatever the column's type."""
     return df.withColumns(
-        {c: F.when(as_text(df, c) != code, F.col(c)) for c, code in codes.items() if c in df.columns}
+        {c: F.when(as_text(df, c) != code, cell(c)) for c, code in codes.items() if c in df.columns}
     )
 
 
 def retype(df: DataFrame, columns: list[str] = NUMERIC) -> DataFrame:
     """Text columns to integers; a label left among the numbers gives null."""
-    return df.withColumns({c: to_int(F.col(c)) for c in columns if c in text_columns(df)})
+    return df.withColumns({c: to_int(cell(c)) for c in columns if c in text_columns(df)})
+
+
+def rejected_numbers(df: DataFrame, columns: list[str] = NUMERIC) -> DataFrame:
+    """One row: per numeric text column, how many cells ``retype`` would turn to null."""
+    named = [c for c in columns if c in text_columns(df)]
+    return df.agg(
+        F.count("*").alias("n"), *[F.count_if(rejected(cell(c))).alias(c) for c in named]
+    )
 
 
 def drop_identifiers(df: DataFrame, columns: list[str] = IDENTIFIERS) -> DataFrame:

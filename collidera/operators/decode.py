@@ -7,13 +7,15 @@ alone. When a code is listed twice the row first in source order counts.
 
 How a column is decoded follows from the measured size of its dictionary:
 
-* up to ``MAP_CODES`` codes and ``MAP_BYTES``: all such columns share one broadcast
-  row that holds a map per column. A map is searched entry by entry, so this is
-  for short dictionaries;
+* up to ``MAP_CODES`` codes, and ``MAP_BYTES`` for all of them together: such columns
+  share one broadcast row that holds a map per column. A map is searched entry by
+  entry, so this is for short dictionaries;
 * up to ``BROADCAST_BYTES`` for all of them together: broadcast hash joins;
-* beyond: a shuffled join of the rows with uncommon codes. Codes that fill a
-  large part of the table would pile up in one task there, so they are counted
-  first and served from a broadcast, which their share bounds.
+* beyond: one shuffled left join per column, over a plan that reads the table once
+  however many columns there are. Codes that fill a large part of the table would pile
+  up in one task there, so the codes of all such columns are counted first, in one
+  pass; common ones are served from a broadcast, which their share bounds, and they
+  and null cells get join keys of their own that match nothing.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from collidera.functions.cells import all_present, as_text
+from collidera.functions.cells import all_present, as_text, cell
 from collidera.operators.attach import attach
 from collidera.sources.shared_folder import settled
 
 MAP_CODES = 64
-MAP_BYTES = 64 << 10
+MAP_BYTES = 1 << 20
 BROADCAST_BYTES = 64 << 20
 # A code held by more than 1 / HOT_SHARES of the rows is served by broadcast.
 HOT_SHARES = 1000
@@ -49,7 +51,7 @@ class CodeBook:
         return (
             self.usable.where(F.col("field_name") == field)
             .groupBy("code")
-            .agg(F.min_by("label", "row_idx").alias("label"))
+            .agg(F.min_by("label", "_place").alias("label"))
         )
 
 
@@ -68,18 +70,23 @@ def code_book(
 
     The code book is read once; one row per column comes back with its sizes.
     """
+    place = F.struct(*[c for c in ("path", "row_idx") if c in guide.columns])
     usable = settled(
         guide_columns(guide)
         .where(F.col("table") == table)
         .where(F.col("field_name").isin(*columns))
         .where(all_present("code", "label"))
-        .select("field_name", "code", "label", "row_idx")
+        .select("field_name", "code", "label", place.alias("_place"))
     ).table
-    codes = usable.groupBy("field_name", "code").agg(F.min_by("label", "row_idx").alias("label"))
+    codes = usable.groupBy("field_name", "code").agg(F.min_by("label", "_place").alias("label"))
     size = F.sum(F.octet_length("code") + F.octet_length("label"))
     sizes = codes.groupBy("field_name").agg(F.count("*").alias("rows"), size.alias("bytes"))
     measured = {s.field_name: s for s in sizes.collect()}
-    by_map = [f for f, s in measured.items() if s.rows <= map_codes and s.bytes <= MAP_BYTES]
+    by_map, room = [], MAP_BYTES
+    for field, s in sorted(measured.items(), key=lambda item: (item[1].bytes, item[0])):
+        room -= s.bytes
+        if room >= 0 and s.rows <= map_codes:
+            by_map.append(field)
 
     def code_map(field: str) -> Column:
         entry = F.when(F.col("field_name") == field, F.struct("code", "label"))
@@ -100,11 +107,14 @@ def decode(df: DataFrame, book: CodeBook, broadcast_bytes: int = BROADCAST_BYTES
     """Decode every column that has usable code rows."""
     fields = [c for c in df.columns if c in book.rows]
     out = decode_by_map(df, book, [c for c in fields if c in book.by_map])
-    room = broadcast_bytes
-    for field in sorted(set(fields) - set(book.by_map), key=lambda f: book.bytes[f]):
-        out = decode_by_join(out, book, field, room)
-        room = max(room - book.bytes[field], 0)
-    return out
+    room, shuffled = broadcast_bytes, []
+    for field in sorted(set(fields) - set(book.by_map), key=lambda f: (book.bytes[f], f)):
+        if book.bytes[field] <= room:
+            room -= book.bytes[field]
+            out = decode_by_join(out, book, field)
+        else:
+            shuffled.append(field)
+    return decode_by_shuffle(out, book, shuffled)
 
 
 def decode_by_map(df: DataFrame, book: CodeBook, fields: list[str]) -> DataFrame:
@@ -119,7 +129,7 @@ def decode_by_map(df: DataFrame, book: CodeBook, fields: list[str]) -> DataFrame
     return (
         attach(df, book.maps)
         .withColumns({field: label(field) for field in fields})
-        .select(*df.columns)
+        .select(*map(cell, df.columns))
     )
 
 
@@ -127,26 +137,50 @@ def decode_by_join(
     df: DataFrame, book: CodeBook, field: str, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Decode one column by joining its dictionary."""
+    if book.bytes[field] > broadcast_bytes:
+        return decode_by_shuffle(df, book, [field])
     codes = book.of(field).select(F.col("code").alias("_code"), F.col("label").alias("_label"))
     text = as_text(df, field)
-    label = F.coalesce(F.col("_label"), text)
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        return rows.withColumn(field, label).select(*df.columns)
+    joined = df.join(F.broadcast(codes), text == F.col("_code"), "left")
+    return joined.withColumn(field, F.coalesce("_label", text)).select(*map(cell, df.columns))
 
-    if book.bytes[field] <= broadcast_bytes:
-        return labelled(df.join(F.broadcast(codes), text == F.col("_code"), "left"))
 
-    per_code = settled(df.groupBy(text.alias("_hot")).agg(F.count("*").alias("_n"))).table
-    rows_in_all = per_code.agg(F.sum("_n").alias("_all"))
-    common = attach(per_code, rows_in_all).where(
-        F.col("_hot").isNotNull() & (F.col("_n") * HOT_SHARES > F.col("_all"))
-    )
-    codes = codes.hint("merge")
-    hot = common.join(codes, F.col("_hot") == F.col("_code"), "left").select("_hot", "_label")
-    flagged = df.join(F.broadcast(hot), text == F.col("_hot"), "left")
-    served = F.col("_hot").isNotNull() | text.isNull()
-    uncommon = flagged.where(~served).select(*df.columns)
-    return labelled(flagged.where(served)).unionByName(
-        labelled(uncommon.join(codes, text == F.col("_code"), "left"))
+def decode_by_shuffle(df: DataFrame, book: CodeBook, fields: list[str]) -> DataFrame:
+    """Decode columns by one shuffled left join each; ``df`` is counted once before."""
+    if not fields:
+        return df
+    names = [cell(c) for c in df.columns]
+    cells = F.array(
+        *[F.struct(F.lit(f).alias("_field"), as_text(df, f).alias("_hot")) for f in fields]
     )
+    counted = df.select(F.inline(cells)).groupBy("_field", "_hot").agg(F.count("*").alias("_n"))
+    per_code = settled(counted).table
+    every = per_code.where(F.col("_field") == fields[0]).agg(F.sum("_n").alias("_all"))
+    common = settled(
+        attach(per_code, every)
+        .where(F.col("_hot").isNotNull() & (F.col("_n") * HOT_SHARES > F.col("_all")))
+        .select("_field", "_hot")
+    ).table
+    out = df
+    for field in fields:
+        # The first letter keeps keys that match nothing apart from those of codes.
+        codes = book.of(field).select(
+            F.concat(F.lit("c"), "code").alias("_key"), F.col("label").alias("_label")
+        )
+        hot = common.where(F.col("_field") == field).select("_hot")
+        served = hot.join(
+            codes, F.concat(F.lit("c"), "_hot") == F.col("_key"), "left"
+        ).select("_hot", F.col("_label").alias("_hot_label"))
+        text = as_text(out, field)
+        spread = F.concat(F.lit("-"), F.xxhash64(*names).cast("string"))
+        matched = F.when(text.isNull() | F.col("_hot").isNotNull(), spread).otherwise(
+            F.concat(F.lit("c"), text)
+        )
+        out = (
+            out.join(F.broadcast(served), text == F.col("_hot"), "left")
+            .withColumn("_match", matched)
+            .join(codes.hint("merge"), F.col("_match") == F.col("_key"), "left")
+            .withColumn(field, F.coalesce("_hot_label", "_label", text))
+            .select(*names)
+        )
+    return out

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from collidera.functions.cells import cell
 from collidera.operators.counts import long_counts, profile, row_count, value_counts
 
 
@@ -16,8 +17,8 @@ def null_counts_wide(
     """One row with the number of nulls of each column."""
 
     def nulls(c: str) -> Column:
-        step = F.lit(1).cast("bigint") if weight is None else F.col(weight)
-        return F.coalesce(F.sum(F.when(F.col(c).isNull(), step)), F.lit(0)).alias(c)
+        step = F.lit(1).cast("bigint") if weight is None else cell(weight)
+        return F.coalesce(F.sum(F.when(cell(c).isNull(), step)), F.lit(0)).alias(c)
 
     return df.agg(*[nulls(c) for c in columns or df.columns])
 
@@ -27,7 +28,7 @@ def null_counts(
 ) -> DataFrame:
     """``(column, n_null)`` for the columns that have nulls."""
     wide = null_counts_wide(df, columns, weight)
-    return wide.unpivot([], wide.columns, "column", "n_null").where(F.col("n_null") > 0)
+    return wide.unpivot([], [cell(c) for c in wide.columns], "column", "n_null").where(F.col("n_null") > 0)
 
 
 def describe(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> DataFrame:

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from collidera.operators.clean import clean
 from collidera.operators.counts import value_counts
 from collidera.operators.decode import CodeBook, code_book, decode
+from collidera.operators.structure import structure
 from collidera.operators.summary import null_counts
 from collidera.sources.tables import CLEANED_TYPES, RAW_TYPES, read_table, write_table
-from collidera.sources.workbook import read_guide
+from collidera.sources.workbook import read_guide, workbook_files
 
-__all__ = ["clean_step", "decode_step", "prepared", "reduced"]
+__all__ = ["clean_step", "decode_step", "prepared", "read_code_book", "reduced"]
 
 
 def prepared(df: DataFrame, book: CodeBook) -> DataFrame:
@@ -19,17 +21,35 @@ def prepared(df: DataFrame, book: CodeBook) -> DataFrame:
     return clean(decode(df, book))
 
 
-def decode_step(spark: SparkSession, raw: str, guide: str, out: str) -> None:
+def read_code_book(spark: SparkSession, path: str) -> DataFrame:
+    """Code book rows from ``.xlsx`` or ``.csv`` files, or from a Parquet table.
+
+    Rows keep their order: that of a sheet, or of the rows as they are read.
+    """
+    if path.endswith(".xlsx"):
+        return read_guide(workbook_files(spark, path))
+    rows = read_table(spark, path, {}, multiline=True)
+    if "row_idx" in rows.columns:
+        return rows.withColumn("row_idx", F.col("row_idx").cast("bigint"))
+    return rows.withColumn("row_idx", F.monotonically_increasing_id())
+
+
+def decode_step(
+    spark: SparkSession, raw: str, guide: str, out: str, multiline: bool = False
+) -> None:
     """Decode the raw table at ``raw`` with the code book at ``guide`` into ``out``."""
-    df = read_table(spark, raw, RAW_TYPES)
-    rows = read_guide(spark, guide) if guide.endswith(".xlsx") else spark.read.parquet(guide)
-    write_table(decode(df, code_book(rows, df.columns)), out, null="")
+    df = read_table(spark, raw, RAW_TYPES, multiline)
+    write_table(decode(df, code_book(read_code_book(spark, guide), df.columns)), out, null="")
+
 
+def clean_step(spark: SparkSession, decoded: str, out: str) -> tuple[DataFrame, DataFrame]:
+    """Clean the decoded table at ``decoded`` into ``out``.
 
-def clean_step(spark: SparkSession, decoded: str, out: str) -> DataFrame:
-    """Clean the decoded table at ``decoded`` into ``out``; returns its null counts."""
-    write_table(clean(read_table(spark, decoded, RAW_TYPES)), out, null="NA")
-    return null_counts(read_table(spark, out, CLEANED_TYPES))
+    Returns the structure of the cleaned table and its null counts.
+    """
+    write_table(clean(read_table(spark, decoded, RAW_TYPES, multiline=True)), out, null="NA")
+    cleaned = read_table(spark, out, CLEANED_TYPES, multiline=True)
+    return structure(cleaned), null_counts(cleaned)
 
 
 def reduced(df: DataFrame, columns: list[str], path: str) -> DataFrame:

@@ -6,10 +6,12 @@ a timestamp of today.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from collidera.functions.cells import cell, to_int
+
 # Known columns that are not read as text.
 RAW_TYPES: dict[str, T.DataType] = {
     "collision_year": T.IntegerType(),
@@ -37,19 +39,32 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header; padding is trimmed, ``NA`` and empty fields are null.
 
-    Files are split across tasks unless ``multiline`` asks for quoted line breaks.
+    Every file's header must name the columns of ``schema`` in order, else the read
+    fails: cells never move to another column. Files are split across tasks unless
+    ``multiline`` asks for quoted line breaks; then a file is one task, which suits
+    folders of parts. Integers are read as text first, so that ``3.0`` is a 3.
     """
-    df = spark.read.schema(schema).csv(
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+    df = spark.read.schema(text).csv(
         path,
         header=True,
+        enforceSchema=False,
         escape='"',
         ignoreLeadingWhiteSpace=True,
         ignoreTrailingWhiteSpace=True,
         nullValue="NA",
         multiLine=multiline,
     )
-    text = [f.name for f in schema if isinstance(f.dataType, T.StringType)]
-    return df.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in text})
+
+    def typed(field: T.StructField) -> Column:
+        col = F.nullif(cell(field.name), F.lit(""))
+        if isinstance(field.dataType, T.IntegerType):
+            col = to_int(col)
+        elif not isinstance(field.dataType, T.StringType):
+            col = col.try_cast(field.dataType)
+        return col.alias(field.name)
+
+    return df.select(*map(typed, schema))
 
 
 def write_csv(df: DataFrame, path: str, null: str = "NA") -> None:
@@ -66,11 +81,18 @@ def write_csv(df: DataFrame, path: str, null: str = "NA") -> None:
 
 
 def read_table(
-    spark: SparkSession, path: str, types: dict[str, T.DataType] = RAW_TYPES
+    spark: SparkSession,
+    path: str,
+    types: dict[str, T.DataType] = RAW_TYPES,
+    multiline: bool = False,
 ) -> DataFrame:
-    """A ``.csv`` file or folder by name, Parquet otherwise."""
+    """A ``.csv`` file or folder by name, Parquet otherwise.
+
+    Ask for ``multiline`` where cells may hold line breaks, as for folders that
+    ``write_table`` has written.
+    """
     if path.rstrip("/").endswith(".csv"):
-        return read_csv(spark, path, csv_schema(spark, path, types))
+        return read_csv(spark, path, csv_schema(spark, path, types), multiline)
     return spark.read.parquet(path)
 
 

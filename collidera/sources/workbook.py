@@ -25,21 +25,24 @@ BATCH = 10_000
 ROWS_SCHEMA = "path string, row_idx int, names array<string>, cells array<string>"
 
 
-def read_sheet_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Rows below the header of the first sheet of every workbook at ``path``.
+def workbook_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, content)`` of the workbooks at ``path``."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def read_sheet_rows(files: DataFrame) -> DataFrame:
+    """Rows below the header of the first sheet of every workbook of ``(path, content)``.
 
     ``names`` repeats the header; ``row_idx`` counts from 1 within the workbook.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_unpack, ROWS_SCHEMA)
+    return files.select("path", "content").mapInPandas(_unpack, ROWS_SCHEMA)
 
 
 def read_guide(
-    spark: SparkSession,
-    path: str,
+    files: DataFrame,
     columns: tuple[str, ...] = ("table", "field name", "code/format", "label"),
 ) -> DataFrame:
-    """Code book rows as text, with ``row_idx``, the row's place in the sheet.
+    """Code book rows as text, with ``path`` and ``row_idx``, the row's place.
 
     Columns are found by the names in the first row of the workbook; a column it
     lacks is null.
@@ -49,7 +52,7 @@ def read_guide(
         place = F.array_position("names", F.lit(name)).cast("int")
         return F.when(place > 0, F.get("cells", place - 1)).alias(name)
 
-    return read_sheet_rows(spark, path).select("row_idx", *[cell(c) for c in columns])
+    return read_sheet_rows(files).select("path", "row_idx", *[cell(c) for c in columns])
 
 
 def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

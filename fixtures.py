@@ -1,4 +1,4 @@
-"""Collision-shaped view over the ``events`` table, and a code book for it."""
+"""Fixture of the registered queries and tests: a collision-shaped view over the ``events`` table, and a code book for it."""
 
 from __future__ import annotations
 

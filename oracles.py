@@ -314,6 +314,7 @@ def statements() -> dict[str, str]:
       WHERE severity IS NOT NULL GROUP BY ALL"""
     return {
         "decode_codes": f"{BASE} SELECT * FROM decoded",
+        "decode_all_shuffled": f"{BASE} SELECT * FROM decoded",
         "decode_join": f"""{BASE}, codes AS (
             SELECT CAST(k AS VARCHAR) AS code, concat('District ', k) AS label
             FROM (SELECT unnest(generate_series(0, 299)) AS k))
@@ -392,7 +393,9 @@ def statements() -> dict[str, str]:
         "box_outliers": f"""{BASE}, {BOXES}
           SELECT area_type, CAST(v AS DOUBLE) AS x, count(*) AS n FROM fenced WHERE outside
           GROUP BY ALL""",
-        "csv_roundtrip": f"{BASE} SELECT * FROM cleaned",
+        "csv_roundtrip": f"""{BASE} SELECT *,
+            'line one, "quoted"' || chr(10) || 'line two; ' || number_of_vehicles AS note
+            FROM cleaned""",
         "excel_guide": f"""{BASE}
           SELECT collision_severity, urban_or_rural_area, day_of_week, junction_detail,
             count(*) AS n FROM decoded GROUP BY ALL""",

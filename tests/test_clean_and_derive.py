@@ -3,7 +3,14 @@ import datetime
 import pytest
 from pyspark.errors import PySparkException
 
-from collidera.operators.clean import blank_codes, blank_sentinels, clean, retype
+from collidera.operators.clean import (
+    blank_codes,
+    blank_sentinels,
+    clean,
+    rejected_numbers,
+    retype,
+)
+from collidera.operators.summary import null_counts
 from collidera.operators.derive import area_features, positional_category, time_features
 
 
@@ -118,3 +125,12 @@ def test_positional_category_fails_on_another_number_of_values(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x string")
     with pytest.raises(PySparkException, match="number of distinct values is not 3"):
         positional_category(df, "x", ["1st", "2nd", "3rd"], "y").collect()
+
+
+def test_clean_with_odd_names_and_spellings(spark):
+    df = spark.createDataFrame(
+        [("30.0", "Unknown", "x"), ("fast", "b", None)], "speed_limit string, `a.b` string, n string"
+    )
+    assert [tuple(r) for r in clean(df).collect()] == [(30, None, "x"), (None, "b", None)]
+    assert rejected_numbers(df).first().asDict() == {"n": 2, "speed_limit": 1}
+    assert sorted(map(tuple, null_counts(clean(df)).collect())) == [("a.b", 1), ("n", 1), ("speed_limit", 1)]

@@ -90,3 +90,30 @@ def test_hot_codes_are_kept_apart_in_a_shuffled_lookup(spark):
     assert shuffled.where("district is null").count() == 3000
     plan = shuffled._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and ("SortMergeJoin" in plan or "ShuffledHashJoin" in plan)
+
+
+def test_many_large_dictionaries_read_the_table_once(spark, tmp_path):
+    fields = ["a", "b", "c", "d"]
+    path = str(tmp_path / "rows.parquet")
+    spark.range(6000).selectExpr(
+        "id", *[f"if(id % 3 = 0, '7', if(id % 3 = 1, null, cast(id % {97 + i} as string))) {f}" for i, f in enumerate(fields)]
+    ).write.parquet(path)
+    df = spark.read.parquet(path)
+    codes = [("collision", f, str(k), f"{f}{k}") for f in fields for k in range(100)]
+    for k in (1, 2, 4):
+        book = code_book(guide(spark, [c for c in codes if c[1] in fields[:k]]), df.columns, map_codes=0)
+        out = decode(df, book, broadcast_bytes=0)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet [id#") == 1 and plan.count("SortMergeJoin") >= k
+    assert rows_of(out.fillna("-")) == rows_of(decode(df, book).fillna("-"))
+    # Hot and null rows have keys of their own: no join key holds a large part of the rows.
+    assert out.where("a = 'a7'").count() == 2000 + df.where("a = '7' and id % 3 = 2").count()
+
+
+def test_dotted_columns_pass_through(spark):
+    df = spark.createDataFrame([("1", 2, "x")], "severity string, `a.b` int, `c``d` string")
+    for broadcast_bytes in (1 << 20, 0):
+        book = code_book(guide(spark, ROWS), df.columns, map_codes=0)
+        assert tuple(decode(df, book, broadcast_bytes).first()) == ("Fatal", 2, "x")
+    book = code_book(guide(spark, ROWS), df.columns)
+    assert tuple(decode(df, book).first()) == ("Fatal", 2, "x")

@@ -3,13 +3,14 @@
 import pytest
 
 import __spark_entry__ as registry
+import fixtures
 from collidera.__main__ import main
 from collidera.operators.clean import clean
 from collidera.operators.counts import value_counts
 from collidera.operators.decode import code_book, decode
 from collidera.plans import areas, hours
 from collidera.plans.prepare import prepared
-from collidera.sources import events, tables
+from collidera.sources import tables
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -20,12 +21,12 @@ def plan_of(df):
 
 @pytest.fixture(scope="module")
 def collisions(spark):
-    return events.collisions(spark, SF_DIR)
+    return fixtures.collisions(spark, SF_DIR)
 
 
 @pytest.fixture(scope="module")
 def book(spark, collisions):
-    return code_book(events.guide_table(spark), collisions.columns)
+    return code_book(fixtures.guide_table(spark), collisions.columns)
 
 
 @pytest.fixture(scope="module")
@@ -85,9 +86,9 @@ def rounded(rows):
 def test_command_line(spark, cleaned, tmp_path):
     raw, guide = str(tmp_path / "raw.csv"), str(tmp_path / "guide.xlsx")
     decoded, out = str(tmp_path / "decoded.csv"), str(tmp_path / "cleaned.csv")
-    tables.write_csv(events.collisions(spark, SF_DIR), raw, null="")
+    tables.write_csv(fixtures.collisions(spark, SF_DIR), raw, null="")
     with open(guide, "wb") as file:
-        file.write(events.guide_workbook())
+        file.write(fixtures.guide_workbook())
     main(["decode", raw, guide, decoded])
     main(["clean", decoded, out])
     back = tables.read_table(spark, out, tables.CLEANED_TYPES)

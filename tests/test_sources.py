@@ -5,8 +5,11 @@ from pathlib import Path
 import pytest
 from pyspark.sql import types as T
 
+from collidera.operators.decode import code_book
 from collidera.operators.structure import structure
-from collidera.sources import events, shared_folder, tables, workbook
+from collidera.plans.prepare import clean_step, read_code_book
+import fixtures
+from collidera.sources import shared_folder, tables, workbook
 
 
 def write(path, text):
@@ -44,6 +47,50 @@ def test_quoted_line_breaks(spark, tmp_path):
     assert tables.read_csv(spark, path, schema, multiline=True).first().b == "two\nlines"
 
 
+def test_a_differing_header_fails(spark, tmp_path):
+    folder = tmp_path / "raw.csv"
+    folder.mkdir()
+    write(folder / "a.csv", "speed_limit,time\n30,10:00\n")
+    write(folder / "b.csv", "time,speed_limit\n11:00,40\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        tables.read_table(spark, str(folder)).collect()
+
+
+def test_numbers_however_they_are_spelled(spark, tmp_path):
+    path = write(tmp_path / "raw.csv", "number_of_vehicles,x\n3.0,1\n2,2\n 4 ,3\n3.5,4\nmany,5\n")
+    rows = tables.read_table(spark, path).orderBy("x").collect()
+    assert [r.number_of_vehicles for r in rows] == [3, 2, 4, None, None]
+
+
+@pytest.mark.parametrize("text", ["one\ntwo", "a\r\nb", 'say "hi",\n\nthen', "x\\ny", '"'])
+def test_cells_with_line_breaks_survive_the_hand_offs(spark, tmp_path, text):
+    df = spark.createDataFrame([(text, "30.0"), ("plain", "40")], "note string, speed_limit string")
+    raw, out = str(tmp_path / "decoded.csv"), str(tmp_path / "cleaned.csv")
+    tables.write_table(df, raw, null="")
+    clean_step(spark, raw, out)
+    back = tables.read_table(spark, out, tables.CLEANED_TYPES, multiline=True)
+    assert sorted(map(tuple, back.collect())) == sorted([(text, 30), ("plain", 40)])
+
+
+@pytest.mark.parametrize("kind", ["csv", "parquet"])
+def test_code_books_without_row_numbers(spark, tmp_path, kind):
+    path = str(tmp_path / f"guide.{kind}")
+    rows = [("collision", "severity", "1", "first"), ("collision", "severity", "1", "second")]
+    df = spark.createDataFrame(rows, "table string, `field name` string, `code/format` string, label string")
+    tables.write_table(df.coalesce(1), path)
+    book = code_book(read_code_book(spark, path), ["severity"])
+    assert book.of("severity").first().label == "first"
+
+
+def test_first_row_wins_over_several_workbooks(spark):
+    rows = [("b.xlsx", 1, "late"), ("a.xlsx", 2, "later"), ("a.xlsx", 1, "first"), ("c.xlsx", 1, "last")]
+    guide = spark.createDataFrame(
+        [(p, i, "collision", "severity", "1", x) for p, i, x in rows],
+        "path string, row_idx int, table string, `field name` string, `code/format` string, label string",
+    )
+    assert code_book(guide, ["severity"]).of("severity").first().label == "first"
+
+
 @pytest.mark.parametrize("null", ["", "NA"])
 def test_csv_round_trip(spark, tmp_path, null):
     rows = [("a,b", 1), ('say "hi"', None), (None, 3), ("x\\y", 4)]
@@ -64,18 +111,18 @@ def test_parquet_round_trip(spark, tmp_path):
 
 
 def sheet(rows):
-    return f'<worksheet xmlns="{events.MAIN}"><sheetData>{rows}</sheetData></worksheet>'
+    return f'<worksheet xmlns="{fixtures.MAIN}"><sheetData>{rows}</sheetData></worksheet>'
 
 
 def make_workbook(path, first, second, shared):
     parts = {
-        "xl/workbook.xml": f'<workbook xmlns="{events.MAIN}" xmlns:r="{events.RELATIONS}"><sheets>'
+        "xl/workbook.xml": f'<workbook xmlns="{fixtures.MAIN}" xmlns:r="{fixtures.RELATIONS}"><sheets>'
         '<sheet name="one" sheetId="4" r:id="rId9"/><sheet name="two" sheetId="1" r:id="rId1"/>'
         "</sheets></workbook>",
-        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{events.PACKAGE}">'
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{fixtures.PACKAGE}">'
         '<Relationship Id="rId1" Target="worksheets/sheet1.xml"/>'
         '<Relationship Id="rId9" Target="/xl/worksheets/sheet2.xml"/></Relationships>',
-        "xl/sharedStrings.xml": f'<sst xmlns="{events.MAIN}">{shared}</sst>',
+        "xl/sharedStrings.xml": f'<sst xmlns="{fixtures.MAIN}">{shared}</sst>',
         "xl/worksheets/sheet1.xml": sheet(second),
         "xl/worksheets/sheet2.xml": sheet(first),
     }
@@ -101,8 +148,8 @@ def test_workbook_cells(spark, tmp_path):
         '<row r="5"><c r="A5" t="s"><v>4</v></c></row>'
     )
     make_workbook(tmp_path / "guide.xlsx", first, '<row><c><v>9</v></c></row>', shared)
-    rows = workbook.read_guide(spark, str(tmp_path / "guide.xlsx")).orderBy("row_idx").collect()
-    assert [tuple(r) for r in rows] == [
+    rows = workbook.read_guide(workbook.workbook_files(spark, str(tmp_path / "guide.xlsx"))).orderBy("row_idx").collect()
+    assert [tuple(r)[1:] for r in rows] == [
         (1, "collision", "day", "1", "Sunday"),
         (2, "collision", None, "TRUE", None),
         (3, "collision", None, None, None),
@@ -120,7 +167,7 @@ def test_several_workbooks_and_blocks(spark, tmp_path, monkeypatch):
             f'<row><c><v>{i}</v></c><c t="inlineStr"><is><t>book{k}</t></is></c></row>' for i in range(5)
         )
         make_workbook(tmp_path / f"g{k}.xlsx", header + body, "", "")
-    got = workbook.read_guide(spark, str(tmp_path)).collect()
+    got = workbook.read_guide(workbook.workbook_files(spark, str(tmp_path))).collect()
     assert sorted((r.table, r.row_idx, r.label, r["field name"]) for r in got) == [
         (f"book{k}", i + 1, str(i), None) for k in range(3) for i in range(5)
     ]
@@ -128,11 +175,11 @@ def test_several_workbooks_and_blocks(spark, tmp_path, monkeypatch):
 
 def test_guide_workbook_equals_guide_table(spark):
     path = shared_folder.new_path(spark, "guide.xlsx")
-    shared_folder.put_bytes(spark, path, events.guide_workbook())
+    shared_folder.put_bytes(spark, path, fixtures.guide_workbook())
     columns = ["table", "field name", "code/format", "label"]
-    read = workbook.read_guide(spark, path).orderBy("row_idx").select(columns).collect()
-    assert read == events.guide_table(spark).orderBy("row_idx").select(columns).collect()
-    assert zipfile.is_zipfile(io.BytesIO(events.guide_workbook()))
+    read = workbook.read_guide(workbook.workbook_files(spark, path)).orderBy("row_idx").select(columns).collect()
+    assert read == fixtures.guide_table(spark).orderBy("row_idx").select(columns).collect()
+    assert zipfile.is_zipfile(io.BytesIO(fixtures.guide_workbook()))
 
 
 def test_settled_tables_are_counted_and_kept(spark):
