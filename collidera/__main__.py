@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from collidera.functions.levels import in_level_order
 from collidera.plans import areas, hours
 from collidera.plans.prepare import clean_step, decode_step, reduced
-from collidera.sources.shared_folder import release
+from collidera.sources.shared_folder import released
 from collidera.sources.tables import CLEANED_TYPES, read_table, write_table
 
 REPORTS = {"hours": hours, "areas": areas}
@@ -18,13 +18,17 @@ REPORTS = {"hours": hours, "areas": areas}
 def report_step(spark: SparkSession, report_name: str, cleaned: str, out: str) -> None:
     """Write every table of a report below ``out``."""
     report = REPORTS[report_name]
+    with released(spark):
+        _write_report(spark, report, cleaned, out)
+
+
+def _write_report(spark: SparkSession, report, cleaned: str, out: str) -> None:
     df = read_table(spark, cleaned, CLEANED_TYPES, multiline=True)
     if report is hours:
         write_table(hours.missing_values(df), f"{out}/missing_values")
     counts = reduced(report.features(df), report.COLUMNS, f"{out}/counts")
     for name, table in report.TABLES.items():
         write_table(in_level_order(table(counts, "n")), f"{out}/{name}")
-    release(spark)
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -9,7 +9,12 @@ from pyspark.sql import types as T
 
 def cell(name: str) -> Column:
     """The column of exactly this name, dots and quotes included."""
-    return F.col(f"`{name.replace('`', '``')}`")
+    return F.col(quoted(name))
+
+
+def quoted(name: str) -> str:
+    """A column name as SQL takes it literally."""
+    return f"`{name.replace('`', '``')}`"
 
 
 def as_text(df: DataFrame, name: str) -> Column:

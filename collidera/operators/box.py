@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from collidera.functions.cells import cell
 from collidera.operators.counts import (
     group_key,
     in_group,
-    join_side,
     number_counts,
     profile,
-    settled_groups,
 )
+from collidera.operators.naming import apart
 
 # Fixed value: quartile ranges a whisker may span.
 WHISKER = 1.5
@@ -32,10 +32,10 @@ def _fenced(
     reach = (F.col("upper") - F.col("lower")) * WHISKER
     outside = (F.col("v") < F.col("lower") - reach) | (F.col("v") > F.col("upper") + reach)
     keyed = counts.table.withColumn("_key", group_key(by))
-    side = join_side(settled_groups(boxes, counts))
-    return keyed.join(side, "_key").withColumn("outside", outside)
+    return keyed.join(boxes, "_key").withColumn("outside", outside)
 
 
+@apart
 def box_stats(
     df: DataFrame, value: str, by: Sequence[str], weight: str | None = None
 ) -> DataFrame:
@@ -65,10 +65,11 @@ def box_stats(
     )
 
 
+@apart
 def box_outliers(
     df: DataFrame, value: str, by: Sequence[str], weight: str | None = None
 ) -> DataFrame:
     """``(*by, x, n)``: the values beyond the whiskers and how often they occur."""
     return _fenced(df, value, by, weight).where("outside").select(
-        *by, F.col("v").alias("x"), "n"
+        *map(cell, by), F.col("v").alias("x"), "n"
     )

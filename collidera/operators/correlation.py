@@ -5,16 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from collidera.functions.cells import cell
 from collidera.functions.numbers import round_even
-from collidera.operators.counts import fits_one_task, running_counts, value_counts
+from collidera.operators.counts import ranged, row_count, running_counts
 from collidera.sources.shared_folder import settled
 
-# A value that pairs with very many others is spread over this many tasks.
-SALTS = 16
-
 Pair = tuple[str, str]
 
 
@@ -26,28 +24,27 @@ def spearman(
     ``missing="pairwise"`` ranks within the rows where both columns are present;
     ``missing="everything"`` gives null for a pair as soon as one row lacks either.
     A constant column or fewer than two rows give null. ``n`` counts complete rows.
-    All pairs share one scan that counts value combinations.
+    All pairs share one scan that counts each pair's value combinations.
     """
     if missing not in ("pairwise", "everything"):
         raise ValueError(f"missing: {missing!r}")
-    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
 
     def number(c: str) -> Column:
-        return F.col(c).cast("double")
+        return cell(c).cast("double")
 
     cells = F.array(
         *[
-            F.struct(F.lit(i).alias("pair"), number(a).alias("x"), number(b).alias("y"))
+            F.struct(F.lit(i).alias("_pair"), number(a).alias("_x"), number(b).alias("_y"))
             for i, (a, b) in enumerate(pairs)
         ]
     )
-    joint = settled(value_counts(df, columns, weight))
-    combos = joint.table.select(F.explode(cells).alias("cell"), "n").select("cell.*", "n")
-    whole = F.col("x").isNotNull() & F.col("y").isNotNull()
-    if fits_one_task(joint.rows * len(pairs)):
-        sums = _rank_sums_whole(combos, whole)
-    else:
-        sums = _rank_sums_by_range(combos, whole)
+    weights = [] if weight is None else [cell(weight).alias("_weight")]
+    combos = settled(
+        df.select(F.inline(cells), *weights)
+        .groupBy(F.col("_pair").alias("pair"), F.col("_x").alias("x"), F.col("_y").alias("y"))
+        .agg(row_count("_weight" if weight else None).alias("n"))
+    ).table
+    sums = _rank_sums(combos, F.col("x").isNotNull() & F.col("y").isNotNull())
 
     ratio = F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))
     bounded = F.greatest(F.least(ratio, F.lit(1.0)), F.lit(-1.0))
@@ -63,64 +60,37 @@ def spearman(
     )
 
 
-def _rank_sums_whole(combos: DataFrame, whole: Column) -> DataFrame:
-    """Sums over centred average ranks, each pair's combinations in one task."""
-    pair = Window.partitionBy("pair")
-
-    def centred(side: str) -> Column:
-        upto = F.sum("m").over(
-            pair.orderBy(side).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        tied = F.sum("m").over(Window.partitionBy("pair", side))
-        return upto - (tied - 1) / 2 - (F.sum("m").over(pair) + 1) / 2
-
-    counted = combos.withColumn("m", F.when(whole, F.col("n")).otherwise(0))
-    m, cx, cy = F.col("m"), F.col("cx"), F.col("cy")
-    return (
-        counted.withColumns({"cx": centred("x"), "cy": centred("y")})
-        .groupBy("pair")
-        .agg(
-            F.sum("m").alias("n"),
-            F.sum(F.col("n") - m).alias("incomplete"),
-            F.sum(m * cx * cy).alias("xy"),
-            F.sum(m * cx * cx).alias("xx"),
-            F.sum(m * cy * cy).alias("yy"),
-        )
-    )
-
-
-def _rank_sums_by_range(combos: DataFrame, whole: Column) -> DataFrame:
-    """The same where a pair has too many combinations for one task.
+def _rank_sums(combos: DataFrame, whole: Column) -> DataFrame:
+    """Sums over centred average ranks of each pair.
 
     Ranks are found on the distinct values of each column. The second column's
     ranks are joined first and added up per value of the first column, so that one
-    row per value is left when the first column's ranks are joined.
+    row per value is left when the first column's ranks are joined. Adaptive
+    execution splits a value that pairs with very many others.
     """
-    complete = combos.where(whole).groupBy("pair", "x", "y").agg(F.sum("n").alias("n"))
+    complete = combos.where(whole)
     sides = F.array(
         F.struct(F.lit("x").alias("side"), F.col("x").alias("v")),
         F.struct(F.lit("y").alias("side"), F.col("y").alias("v")),
     )
-    margins = settled(
-        complete.select("pair", F.explode(sides).alias("cell"), "n")
-        .groupBy("pair", "cell.side", "cell.v")
-        .agg(F.sum("n").alias("n"))
-    )
-    ranked = running_counts(margins, ["pair", "side"]).withColumn(
-        "centred", F.col("before") + (F.col("n") + 1) / 2 - (F.col("total") + 1) / 2
+    margins = ranged(
+        complete.select("pair", F.inline(sides), "n")
+        .groupBy("pair", "side", "v")
+        .agg(F.sum("n").alias("n")),
+        ["pair", "side"],
     )
+    centred = F.col("before") + (F.col("n") + 1) / 2 - (F.col("total") + 1) / 2
+    ranked = settled(
+        running_counts(margins, ["pair", "side"]).select("pair", "side", "v", centred.alias("centred"))
+    ).table
     ranked_x = ranked.where(F.col("side") == "x").select(
         "pair", F.col("v").alias("x"), F.col("centred").alias("cx")
     )
     ranked_y = ranked.where(F.col("side") == "y").select(
-        "pair",
-        F.col("v").alias("y"),
-        F.col("centred").alias("cy"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
+        "pair", F.col("v").alias("y"), F.col("centred").alias("cy")
     )
     per_x = (
-        complete.withColumn("salt", F.pmod(F.hash("x"), F.lit(SALTS)))
-        .join(ranked_y.hint("merge"), ["pair", "y", "salt"])
+        complete.join(ranked_y, ["pair", "y"])
         .groupBy("pair", "x")
         .agg(
             F.sum("n").alias("n"),
@@ -130,7 +100,7 @@ def _rank_sums_by_range(combos: DataFrame, whole: Column) -> DataFrame:
     )
     cx = F.col("cx")
     sums = (
-        per_x.join(ranked_x.hint("merge"), ["pair", "x"])
+        per_x.join(ranked_x, ["pair", "x"])
         .groupBy("pair")
         .agg(
             F.sum("n").alias("n"),

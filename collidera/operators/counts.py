@@ -6,9 +6,10 @@ aggregation before the shuffle, and the rest runs on distinct values. All
 operators take an optional ``weight`` column, so that a table of counts can stand
 in for the rows it was counted from.
 
-Counts are written to the shared folder, which also tells how many there are. Up
-to ``SMALL`` rows a window may walk over a whole group. Beyond that, values are
-cut into ranges, so that no task ever holds all values of a group.
+Counts are written to the shared folder. Where their order matters they are written
+in ranges of group and value, as many as their size asks for, and each row remembers
+its range; totals per range then give every range its start, and no task ever holds
+all values of a group.
 """
 
 from __future__ import annotations
@@ -18,19 +19,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from collidera.operators.attach import attach
+from collidera.functions.cells import cell, quoted
 from collidera.sources.shared_folder import Settled, settled
 
-# Rows that one task may walk over.
-SMALL = 200_000
-# Ranges of about equally many distinct values: blocks, and ranges per block.
-BLOCKS = 8
-RANGES = BLOCKS * BLOCKS
-
-
-def fits_one_task(rows: int) -> bool:
-    return rows <= SMALL
-
 
 def row_count(weight: str | None) -> Column:
     return F.count(F.lit(1)) if weight is None else F.sum(weight)
@@ -40,102 +31,77 @@ def value_counts(
     df: DataFrame, columns: Sequence[str], weight: str | None = None
 ) -> DataFrame:
     """``(*columns, n)``: rows per combination of values, nulls kept as a value."""
-    return df.groupBy(*columns).agg(row_count(weight).alias("n"))
+    return df.groupBy(*map(cell, columns)).agg(row_count(weight).alias("n"))
+
+
+def ranged(counts: DataFrame, by: Sequence[str] = ()) -> Settled:
+    """``counts`` of values ``v``, settled in ranges of group and value.
+
+    The range of a row is written with it and never computed again. Equal values of
+    a group are in one range, null values stay out of the result.
+    """
+    placed = counts.repartitionByRange(*map(cell, by), "v").withColumn(
+        "_range", F.spark_partition_id()
+    )
+    kept = settled(placed)
+    return Settled(kept.table.where(F.col("v").isNotNull()), kept.rows)
 
 
 def number_counts(
-    df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None
+    df: DataFrame,
+    value: str,
+    by: Sequence[str] = (),
+    weight: str | None = None,
+    in_ranges: bool = True,
 ) -> Settled:
     """``(*by, v, n)``: settled counts of the non-null values of a numeric column.
 
+    ``in_ranges`` settles them with the ``_range`` that order statistics need.
+
     Nulls are dropped from the counts, not from the rows: a filter below the
     aggregate would compute a derived column twice per row.
     """
-    number = F.col(value).cast("double")
-    counts = settled(
-        value_counts(df, [*by, value], weight).select(*by, number.alias("v"), "n")
-    )
-    return Settled(counts.table.where(F.col("v").isNotNull()), counts.rows)
+    number = cell(value).cast("double")
+    counts = value_counts(df, [*by, value], weight)
+    counts = counts.select(*map(cell, by), number.alias("v"), "n")
+    if in_ranges:
+        return ranged(counts, by)
+    kept = settled(counts)
+    return Settled(kept.table.where(F.col("v").isNotNull()), kept.rows)
 
 
 def long_counts(
     df: DataFrame, values: Sequence[str], by: Sequence[str] = (), weight: str | None = None
 ) -> Settled:
-    """``(*by, column, v, n)``: settled counts of several columns from one scan.
+    """``(*by, column, v, n, _range)``: settled counts of several columns from one scan.
 
     Rows are unfolded before they are counted: the columns are counted apart, so it
     does not matter how many combinations of their values there are.
     """
     kept = [*by, weight] if weight else [*by]
-    numbers = df.select(*kept, *[F.col(c).cast("double").alias(c) for c in values])
-    cells = numbers.unpivot(kept, list(values), "column", "v")
-    counts = settled(value_counts(cells, [*by, "column", "v"], weight))
-    return Settled(counts.table.where(F.col("v").isNotNull()), counts.rows)
+    numbers = df.select(*map(cell, kept), *[cell(c).cast("double").alias(c) for c in values])
+    cells = numbers.unpivot([*map(cell, kept)], [*map(cell, values)], "column", "v")
+    return ranged(value_counts(cells, [*by, "column", "v"], weight), [*by, "column"])
 
 
 def group_key(by: Sequence[str]) -> Column:
     """One never-null key for a group; a null inside it equals another null."""
-    return F.struct(*by) if by else F.lit(0)
+    return F.struct(*map(cell, by)) if by else F.lit(0)
 
 
 def in_group(name: str, by: Sequence[str]) -> list[Column]:
     """The columns of a group from its key."""
-    return [F.col(f"{name}.{b}").alias(b) for b in by]
-
-
-def join_side(side: Settled) -> DataFrame:
-    """A table to join: broadcast when its counted rows allow it, merged else."""
-    return F.broadcast(side.table) if fits_one_task(side.rows) else side.table.hint("merge")
-
-
-def settled_groups(groups: DataFrame, counts: Settled) -> Settled:
-    """A table of one row per group, with a bound of its rows.
-
-    There are no more groups than counts; only where that says too little are the
-    groups counted themselves.
-    """
-    return Settled(groups, counts.rows) if fits_one_task(counts.rows) else settled(groups)
+    return [F.col(name).getField(b).alias(b) for b in by]
 
 
 def running_counts(counts: Settled, by: Sequence[str] = ()) -> DataFrame:
     """Adds to ``(*by, v, n)``: rows below it, rows of the group, mean of the group.
 
-    Equal values in several rows count as lying one below the other.
+    Equal values in several rows count as lying one below the other. ``counts`` comes
+    from ``ranged``.
     """
     table = counts.table.withColumn("_key", group_key(by))
-    if fits_one_task(counts.rows):
-        return _running_whole(table).drop("_key")
-    return _running_by_range(table).drop("_key")
-
-
-def _running_whole(table: DataFrame) -> DataFrame:
-    group = Window.partitionBy("_key")
-    below = group.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("n").over(group)
-    return table.select(
-        "*",
-        F.coalesce(F.sum("n").over(below), F.lit(0)).alias("before"),
-        total.alias("total"),
-        (F.sum(F.col("n") * F.col("v")).over(group) / total).alias("mean"),
-    )
-
-
-def _running_by_range(table: DataFrame) -> DataFrame:
-    """The same, value range by value range.
-
-    Ranges are cut at approximate quantiles; row totals per range give each range
-    its start. The result is exact wherever the cuts lie, as long as both uses of
-    them see the same cuts, so these are settled.
-    """
-    steps = [i / RANGES for i in range(1, RANGES)]
-    cuts = settled(table.agg(F.percentile_approx("v", steps).alias("_cuts"))).table
-    placed = (
-        attach(table, cuts)
-        .withColumn("_block", _cuts_below(f"{BLOCKS} * {{k}} + {BLOCKS - 1}"))
-        .withColumn("_range", _cuts_below(f"{BLOCKS} * _block + {{k}}") + F.col("_block") * BLOCKS)
-        .drop("_cuts", "_block")
-    )
-    per_range = placed.groupBy("_key", "_range").agg(
+    per_range = table.groupBy("_key", "_range").agg(
         F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("v")).alias("_nv")
     )
     group = Window.partitionBy("_key")
@@ -154,17 +120,12 @@ def _running_by_range(table: DataFrame) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     before = F.col("_start") + F.coalesce(F.sum("n").over(below), F.lit(0))
-    return placed.join(join_side(settled(starts)), ["_key", "_range"]).select(
-        *table.columns, before.alias("before"), "total", "mean"
+    kept = [cell(c) for c in counts.table.columns if c != "_range"]
+    return table.join(starts, ["_key", "_range"]).select(
+        *kept, before.alias("before"), "total", "mean"
     )
 
 
-def _cuts_below(index: str) -> Column:
-    """How many of a block's cuts, or of the blocks' last cuts, lie below the value."""
-    terms = [f"int(_cuts[{index.format(k=k)}] < v)" for k in range(BLOCKS - 1)]
-    return F.expr(f"coalesce({' + '.join(terms)}, 0)")
-
-
 def profile(
     counts: Settled, by: Sequence[str] = (), quantiles: dict[str, float] | None = None
 ) -> DataFrame:
@@ -201,7 +162,7 @@ def profile(
         )
     )
     return summed.selectExpr(
-        *[f"_key.`{b}` as `{b}`" for b in by],
+        *[f"_key.{quoted(b)} as {quoted(b)}" for b in by],
         "n",
         "mean",
         "sqrt(try_divide(_squares, n - 1)) as sd",

@@ -1,30 +1,31 @@
-"""Gaussian kernel densities on an even grid, from value counts."""
+"""Gaussian kernel densities on an even grid, from value counts.
+
+Values are first binned linearly onto an even grid that goes four bandwidths past the
+curve on both sides: a value gives its weight to the two neighbouring points, the more
+to the nearer one. The kernel is summed over these points and the curve is read off by
+linear interpolation. A curve so costs a fixed number of terms, however many values it
+is made of.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from collidera.functions.cells import quoted
 from collidera.operators.attach import attach
-from collidera.operators.counts import (
-    fits_one_task,
-    group_key,
-    join_side,
-    number_counts,
-    profile,
-)
+from collidera.operators.counts import group_key, number_counts, profile
+from collidera.operators.naming import apart
 from collidera.sources.shared_folder import Settled, settled
 
-# Grid size, and the constants of the rule-of-thumb bandwidth.
+# Grid size, bandwidths by which the grid of weights is wider than the
+# curve, and the constants of the rule-of-thumb bandwidth.
 POINTS = 512
+WIDER = 4
 IQR_TO_SD = 1.34
 BANDWIDTH_FACTOR = 0.9
-# exp(-z * z / 2) is exactly zero in double precision from here on.
-KERNEL_REACH = 39.0
-# Kernel terms one task may sum.
-TERMS_PER_TASK = 1 << 24
 
 
 def _group_stats(counts: Settled, by: Sequence[str]) -> DataFrame:
@@ -45,54 +46,57 @@ def _group_stats(counts: Settled, by: Sequence[str]) -> DataFrame:
 def _curves(counts: Settled, curves: DataFrame, by: Sequence[str]) -> DataFrame:
     """``(*by, i, x, density)``; ``curves`` has ``_key, n, bw, lo, hi`` per group.
 
-    Each distinct value adds to the grid points its kernel reaches. A weightless
-    row per grid point makes sure that every point is there. The curves are used
-    three times and so settled.
+    The curves are used three times and so settled.
     """
     end = POINTS - 1
-    x = f"(lo + i * (hi - lo) / {end})"
-    names = [f"`{b}`" for b in by]
-
-    def grid_index(spot: str, side: str) -> str:
-        return f"int({side}(greatest(least((({spot}) - lo) / (hi - lo) * {end}, {end}D), 0D)))"
-
-    first = grid_index(f"v - {KERNEL_REACH}D * bw", "floor")
-    last = grid_index(f"v + {KERNEL_REACH}D * bw", "ceil")
-    reached = f"if(hi > lo, sequence({first}, {last}), sequence(0, {end}))"
-
-    groups = settled(curves)
-    values = counts.table
-    tasks = counts.rows * POINTS // TERMS_PER_TASK + 1
-    if tasks > 1:
-        values = values.repartition(tasks, *by, "v")
-    added = (
-        values.withColumn("_key", group_key(by))
-        .withColumnRenamed("n", "m")
-        .join(join_side(groups), "_key")
-        .selectExpr(*names, "v", "m", "bw", "lo", "hi", f"explode({reached}) as i")
-        .selectExpr(*names, "i", "m", f"({x} - v) / bw as z")
-        .groupBy(*by, "i")
-        .agg(F.expr("sum(m * exp(-z * z / 2))").alias("k"))
+    points = f"explode(sequence(0, {end}))"
+    groups = settled(
+        curves.selectExpr(
+            "_key",
+            "n as _rows",
+            "bw as _bw",
+            "lo as _lo",
+            "hi as _hi",
+            f"lo - {WIDER} * bw as _left",
+            f"(hi - lo + {2 * WIDER} * bw) / {end} as _step",
+        )
+    ).table
+    shared = f"""inline(array(
+        struct(least(int(floor(_at)), {end}) as _j, 1 - (_at - floor(_at)) as _share),
+        struct(least(int(floor(_at)) + 1, {end}) as _j, _at - floor(_at) as _share)))"""
+    weights = (
+        counts.table.select(group_key(by).alias("_key"), F.col("v").alias("_v"), F.col("n").alias("_m"))
+        .join(groups, "_key")
+        .selectExpr("_key", "_m", "(_v - _left) / _step as _at")
+        .selectExpr("_key", "_m", shared)
+        .groupBy("_key", "_j")
+        .agg(F.expr("sum(_m * _share)").alias("_w"))
+    )
+    summed = (
+        weights.join(groups, "_key")
+        .selectExpr("_key", "_w", "_j * _step / _bw as _z", "_step / _bw as _dz", f"{points} as _k")
+        .groupBy("_key", "_k")
+        .agg(F.expr("sum(_w * exp(-power(_z - _k * _dz, 2) / 2))").alias("_y"))
     )
-    points = groups.table.selectExpr(
-        *[f"_key.{name}" for name in names], f"explode(sequence(0, {end})) as i", "0D as k"
+    spots = (
+        groups.selectExpr("*", f"{points} as _i")
+        .selectExpr("*", f"_lo + _i * (_hi - _lo) / {end} as _x")
+        .selectExpr("_key", "_i", "_x", "_rows", "_bw", "(_x - _left) / _step as _at")
+        .selectExpr("_key", "_i", "_x", "_rows", "_bw", shared)
     )
-    summed = added.unionByName(points).groupBy(*by, "i").agg(F.sum("k").alias("k"))
+    height = F.expr("sum(_share * _y) / max(_rows * _bw * sqrt(2 * pi()))")
     return (
-        summed.withColumn("_key", group_key(by))
-        .join(join_side(groups), "_key")
-        .selectExpr(*names, "i", f"{x} as x", "k / (n * bw * sqrt(2 * pi())) as density")
+        spots.join(summed, [spots["_key"] == summed["_key"], F.col("_j") == F.col("_k")])
+        .groupBy(spots["_key"], "_i")
+        .agg(F.max("_x").alias("x"), height.alias("density"))
+        .selectExpr(
+            *[f"_key.{quoted(b)} as {quoted(b)}" for b in by], "_i as i", "x", "density"
+        )
     )
 
 
-def _relative(curves: DataFrame, counts: Settled, out: str) -> DataFrame:
-    """Adds the density relative to the highest of all curves.
-
-    There are no more curves than counts, which tells whether all points fit a task.
-    """
-    if fits_one_task(counts.rows * POINTS):
-        peak = F.max("density").over(Window.partitionBy(F.lit(0)))
-        return curves.withColumn(out, F.try_divide("density", peak))
+def _relative(curves: DataFrame, out: str) -> DataFrame:
+    """Adds the density relative to the highest of all curves."""
     kept = settled(curves).table
     highest = kept.agg(F.max("density").alias("_peak"))
     return (
@@ -102,6 +106,7 @@ def _relative(curves: DataFrame, counts: Settled, out: str) -> DataFrame:
     )
 
 
+@apart
 def density(
     df: DataFrame, value: str, by: Sequence[str], weight: str | None = None
 ) -> DataFrame:
@@ -112,6 +117,7 @@ def density(
     return _curves(counts, curves, by)
 
 
+@apart
 def ridges(
     df: DataFrame, value: str, by: Sequence[str], weight: str | None = None
 ) -> DataFrame:
@@ -130,9 +136,10 @@ def ridges(
     )
     groups = counts.table.groupBy(group_key(by).alias("_key")).agg(F.sum("n").alias("n"))
     curves = attach(groups.where(F.col("n") >= 3), span)
-    return _relative(_curves(counts, curves, by), counts, "height")
+    return _relative(_curves(counts, curves, by), "height")
 
 
+@apart
 def violins(
     df: DataFrame, value: str, by: Sequence[str], weight: str | None = None
 ) -> DataFrame:
@@ -141,4 +148,4 @@ def violins(
     curves = _group_stats(counts, by).select(
         "_key", "n", "bw", F.col("min").alias("lo"), F.col("max").alias("hi")
     )
-    return _relative(_curves(counts, curves, by), counts, "width")
+    return _relative(_curves(counts, curves, by), "width")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from collidera.functions.numbers import log10_count
 from collidera.operators.attach import attach
 from collidera.operators.counts import group_key, in_group, number_counts
+from collidera.operators.naming import apart
 
 # Relative slack at a bin border, and the bin width for a single value.
 SLACK = 1e-8
@@ -18,6 +19,7 @@ POINT_WIDTH = 0.1
 BLOCK = 4096
 
 
+@apart
 def histogram(
     df: DataFrame,
     value: str,
@@ -35,7 +37,7 @@ def histogram(
     """
     if (width is None) == (bins is None):
         raise ValueError("give either width or bins")
-    counts = number_counts(df, value, by, weight).table
+    counts = number_counts(df, value, by, weight, in_ranges=False).table
     ends = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     layout = ends.select(*_layout(F.col("lo"), F.col("hi"), width, bins))
     binned = attach(counts, layout).select(
@@ -89,7 +91,6 @@ def _bin_of(v: Column) -> Column:
 def _each_bin(groups: DataFrame) -> DataFrame:
     """One row per group and bin, unfolded in two steps so that no array holds all bins."""
     start = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bins") - 1, F.lit(BLOCK)))
-    block_end = F.least(F.col("start") + BLOCK - 1, F.col("bins") - 1)
-    return groups.withColumn("start", start).withColumn(
-        "bin", F.explode(F.sequence("start", block_end))
-    )
+    block_end = F.least(F.col("_start") + BLOCK - 1, F.col("bins") - 1)
+    blocks = groups.withColumn("_start", start).repartition("_start")
+    return blocks.withColumn("bin", F.explode(F.sequence("_start", block_end)))

@@ -8,7 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from collidera.functions.cells import cell
-from collidera.operators.counts import long_counts, profile, row_count, value_counts
+from collidera.operators.counts import (
+    group_key,
+    in_group,
+    long_counts,
+    profile,
+    row_count,
+    value_counts,
+)
+from collidera.sources.shared_folder import Settled, settled
 
 
 def null_counts_wide(
@@ -42,24 +50,35 @@ def describe(df: DataFrame, columns: Sequence[str], weight: str | None = None) -
 
 
 def area_summary(df: DataFrame, weight: str | None = None) -> DataFrame:
-    """Rows, mean and highest speed limit, median casualties per area, in level order."""
-    rows = df.withColumn("_row", F.lit(1))
-    counts = long_counts(
-        rows, ["_row", "speed_limit", "number_of_casualties"], ["area_type", "area_ord"], weight
-    )
-    stats = profile(counts, ["area_type", "area_ord", "column"], {"median": 0.5})
-
-    def of(column: str, stat: str) -> Column:
-        return F.max(F.when(F.col("column") == column, F.col(stat)))
+    """Rows, mean and highest speed limit, median casualties per area, in level order.
 
+    One aggregate over area and casualties holds all of it.
+    """
+    by = ["area_type", "area_ord"]
+    speed = F.col("speed_limit").cast("double")
+    step = F.lit(1).cast("bigint") if weight is None else cell(weight)
+    seen = F.when(speed.isNotNull(), step)
+    counted = df.groupBy(*by, F.col("number_of_casualties").cast("double").alias("v")).agg(
+        F.sum(step).alias("n"),
+        F.sum(speed * step).alias("_sum"),
+        F.sum(seen).alias("_seen"),
+        F.max(speed).alias("_max"),
+    )
+    kept = settled(
+        counted.repartitionByRange(*by, "v").withColumn("_range", F.spark_partition_id())
+    )
+    whole = kept.table.groupBy(group_key(by).alias("_key")).agg(
+        F.sum("n").alias("n"),
+        F.try_divide(F.sum("_sum"), F.sum("_seen")).alias("mean_speed"),
+        F.max("_max").alias("max_speed"),
+    )
+    ordered = Settled(kept.table.where("v is not null").select(*by, "v", "n", "_range"), kept.rows)
+    medians = profile(ordered, by, {"median": 0.5}).select(
+        group_key(by).alias("_of"), F.col("median").alias("median_casualties")
+    )
     return (
-        stats.groupBy("area_type", "area_ord")
-        .agg(
-            of("_row", "n").alias("n"),
-            of("speed_limit", "mean").alias("mean_speed"),
-            of("number_of_casualties", "median").alias("median_casualties"),
-            of("speed_limit", "max").alias("max_speed"),
-        )
+        whole.join(medians, F.col("_key").eqNullSafe(F.col("_of")), "left")
+        .select(*in_group("_key", by), "n", "mean_speed", "median_casualties", "max_speed")
         .orderBy("area_ord")
         .drop("area_ord")
     )

@@ -22,6 +22,7 @@ COLUMNS = [
     "day_ord",
     "day_type",
     "collision_severity",
+    "number_of_vehicles",
     "number_of_casualties",
     "speed_limit",
 ]
@@ -40,7 +41,8 @@ def description(df: DataFrame, weight: str | None = None) -> DataFrame:
 
 
 def correlation(df: DataFrame, weight: str | None = None) -> DataFrame:
-    return spearman(df, [("hour", "number_of_casualties")], "everything", weight)
+    pairs = [("hour", "number_of_casualties"), ("number_of_vehicles", "number_of_casualties")]
+    return spearman(df, pairs, "everything", weight)
 
 
 def correlations(df: DataFrame, weight: str | None = None) -> DataFrame:

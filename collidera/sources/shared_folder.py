@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -59,18 +61,29 @@ def settled(df: DataFrame) -> Settled:
     return Settled(spark.read.schema(df.schema).parquet(path), seen.get["rows"])
 
 
-def release(spark: SparkSession) -> int:
+def release(spark: SparkSession, kept: int = 0) -> int:
     """Delete what ``settled`` and ``new_path`` have laid down in this application.
 
-    Call it once the results that were built on those tables are written. Returns the
-    number of folders deleted.
+    Call it once the results that were built on those tables are written. The first
+    ``kept`` folders stay. Returns the number of folders deleted.
     """
-    jvm, folders = spark.sparkContext._jvm, _written.pop(spark.sparkContext.applicationId, [])
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
+    folders = _written.get(spark.sparkContext.applicationId, [])
+    gone, folders[kept:] = folders[kept:], []
+    for folder in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         files.delete(path, True)
-    return len(folders)
+    return len(gone)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving what was laid down inside, and nothing from before."""
+    kept = len(_written.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release(spark, kept)
 
 
 def put_bytes(spark: SparkSession, path: str, content: bytes) -> None:

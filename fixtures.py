@@ -65,8 +65,11 @@ VIEW = {
     "local_authority_district": f"user_id % {DISTRICTS}",
     "date": "if(event_id % 97 = 0, '31/02/2024', date_format(ts, 'dd/MM/yyyy'))",
     "time": "if(event_id % 89 = 0, null, date_format(ts, 'HH:mm'))",
-    "day_of_week": "dayofweek(ts)",
-    "collision_severity": "case event_type when 'error' then 1 when 'purchase' then 2 else 3 end",
+    "day_of_week": "if(event_id % 71 = 0, null, dayofweek(ts))",
+    "collision_severity": (
+        "case when event_id % 83 = 0 then null when event_type = 'error' then 1"
+        " when event_type = 'purchase' then 2 else 3 end"
+    ),
     "enhanced_severity_collision": (
         "case event_id % 5 when 0 then -1 when 1 then 1 when 2 then 2 else 3 end"
     ),
@@ -80,7 +83,7 @@ VIEW = {
 
 
 def collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One collision per event, with invalid dates, missing times and sentinels."""
+    """One collision per event, with invalid dates, missing cells and sentinels."""
     return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
         "2024 as collision_year",
         *[f"cast({expression} as string) as {name}" for name, expression in VIEW.items()],

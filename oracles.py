@@ -16,8 +16,9 @@ WITH fx AS (
     CAST(user_id % 300 AS VARCHAR) AS local_authority_district,
     CASE WHEN event_id % 97 = 0 THEN '31/02/2024' ELSE strftime(ts, '%d/%m/%Y') END AS date,
     CASE WHEN event_id % 89 = 0 THEN NULL ELSE strftime(ts, '%H:%M') END AS time,
-    CAST(dayofweek(ts) + 1 AS VARCHAR) AS day_of_week,
-    CASE event_type WHEN 'error' THEN '1' WHEN 'purchase' THEN '2' ELSE '3' END
+    CASE WHEN event_id % 71 <> 0 THEN CAST(dayofweek(ts) + 1 AS VARCHAR) END AS day_of_week,
+    CASE WHEN event_id % 83 = 0 THEN NULL WHEN event_type = 'error' THEN '1'
+      WHEN event_type = 'purchase' THEN '2' ELSE '3' END
       AS collision_severity,
     CASE event_id % 5 WHEN 0 THEN '-1' WHEN 1 THEN '1' WHEN 2 THEN '2' ELSE '3' END
       AS enhanced_severity_collision,
@@ -163,11 +164,17 @@ def pair_correlation(table: str, a: str, b: str) -> str:
 
 
 def spearman_pair() -> str:
-    return f"""{BASE}
-      SELECT 'hour' AS var1, 'number_of_casualties' AS var2, n,
-        CASE WHEN (SELECT count(*) FROM q1 WHERE hour IS NULL OR number_of_casualties IS NULL) = 0
-          THEN {r('correlation')} END AS correlation
-      FROM ({pair_correlation('q1', 'hour', 'number_of_casualties')})"""
+    """A pair with missing cells, whose value is null, and one without."""
+
+    def pair(a: str, b: str) -> str:
+        return f"""
+          SELECT '{a}' AS var1, '{b}' AS var2, n,
+            CASE WHEN (SELECT count(*) FROM q1 WHERE {a} IS NULL OR {b} IS NULL) = 0
+              THEN {r('correlation')} END AS correlation
+          FROM ({pair_correlation('q1', a, b)})"""
+
+    incomplete = pair("hour", "number_of_casualties")
+    return f"{BASE} {incomplete} UNION ALL {pair('number_of_vehicles', 'number_of_casualties')}"
 
 
 def spearman_pairwise() -> str:
@@ -247,17 +254,48 @@ def kernel_tables(table: str, value: str, by: str) -> str:
     steps AS (SELECT unnest(generate_series(0, 511)) AS i)"""
 
 
-KERNEL = "sum(m * exp(-pow((x - v) / h, 2) / 2)) / (n * h * sqrt(2 * pi()))"
+def curve_tables(by: str) -> str:
+    """``curves``: points and densities of ``bounds``, which has ``n, h, lo, hi`` per group.
+
+    Weights are binned linearly onto 512 points from four bandwidths before the curve
+    to four behind it, the kernel is summed there, and the curve interpolates the sums.
+    """
+    same = " AND ".join(f"b.{c} IS NOT DISTINCT FROM vc.{c}" for c in by.split(", "))
+    return f"""
+    numbered AS (
+      SELECT *, row_number() OVER () AS g, lo - 4 * h AS left_end, (hi - lo + 8 * h) / 511.0 AS step
+      FROM bounds
+    ),
+    placed AS (
+      SELECT g, m, (vc.v - left_end) / step AS pos FROM numbered b JOIN vc ON {same}
+    ),
+    halves AS (
+      SELECT g, floor(pos) AS j, m * (1 - (pos - floor(pos))) AS w FROM placed
+      UNION ALL SELECT g, floor(pos) + 1, m * (pos - floor(pos)) FROM placed
+    ),
+    weights AS (SELECT g, j, sum(w) AS w FROM halves GROUP BY g, j),
+    sums AS (
+      SELECT g, k.i AS k, sum(w * exp(-pow((j - k.i) * step / h, 2) / 2)) AS y
+      FROM weights JOIN numbered USING (g), steps k GROUP BY g, k.i
+    ),
+    spots AS (
+      SELECT *, lo + i * (hi - lo) / 511.0 AS x, (lo + i * (hi - lo) / 511.0 - left_end) / step AS pos
+      FROM numbered, steps
+    ),
+    curves AS (
+      SELECT {by}, i, x, ((1 - (pos - floor(pos))) * a.y + (pos - floor(pos)) * b.y)
+        / (n * h * sqrt(2 * pi())) AS density
+      FROM spots s JOIN sums a ON a.g = s.g AND a.k = floor(pos)
+        JOIN sums b ON b.g = s.g AND b.k = floor(pos) + 1
+    )"""
 
 
 def kde_hour() -> str:
     return f"""{BASE}, {kernel_tables('q1', 'hour', 'day_type')},
-    grid AS (
-      SELECT day_type, n, h, i, lo + i * (hi - lo) / 511.0 AS x
-      FROM bw, (SELECT min(v) AS lo, max(v) AS hi FROM vc), steps
-    )
-    SELECT day_type, CAST(i AS INTEGER) AS i, {r('x')} AS x, {r(KERNEL)} AS density
-    FROM grid JOIN vc USING (day_type) GROUP BY day_type, i, x, n, h"""
+    bounds AS (
+      SELECT day_type, n, h, lo, hi FROM bw, (SELECT min(v) AS lo, max(v) AS hi FROM vc)
+    ), {curve_tables('day_type')}
+    SELECT day_type, CAST(i AS INTEGER) AS i, {r('x')} AS x, {r('density')} AS density FROM curves"""
 
 
 def ridge_hour() -> str:
@@ -266,29 +304,16 @@ def ridge_hour() -> str:
       SELECT h, (SELECT min(v) FROM vc) - 3 * h AS lo, (SELECT max(v) FROM vc) + 3 * h AS hi
       FROM (SELECT avg(h) AS h FROM bw)
     ),
-    grid AS (
-      SELECT day_of_week, day_type, n, joint.h AS h, i, lo + i * (hi - lo) / 511.0 AS x
-      FROM bw, joint, steps WHERE n >= 3
-    ),
-    curves AS (
-      SELECT g.day_of_week, g.day_type, i, x, {KERNEL} AS density
-      FROM grid g JOIN vc ON g.day_of_week IS NOT DISTINCT FROM vc.day_of_week
-        AND g.day_type = vc.day_type
-      GROUP BY g.day_of_week, g.day_type, i, x, n, h
-    )
+    bounds AS (
+      SELECT day_of_week, day_type, n, joint.h AS h, lo, hi FROM bw, joint WHERE n >= 3
+    ), {curve_tables('day_of_week, day_type')}
     SELECT day_of_week, day_type, CAST(i AS INTEGER) AS i, {r('x')} AS x, {r('density')} AS density,
       {r('density / max(density) OVER ()')} AS height FROM curves"""
 
 
 def violin_speed() -> str:
     return f"""{BASE}, {kernel_tables('q6', 'speed_limit', 'area_type')},
-    grid AS (
-      SELECT area_type, n, h, i, mn + i * (mx - mn) / 511.0 AS x FROM bw, steps
-    ),
-    curves AS (
-      SELECT area_type, i, x, {KERNEL} AS density
-      FROM grid JOIN vc USING (area_type) GROUP BY area_type, i, x, n, h
-    )
+    bounds AS (SELECT area_type, n, h, mn AS lo, mx AS hi FROM bw), {curve_tables('area_type')}
     SELECT area_type, CAST(i AS INTEGER) AS i, {r('x')} AS x, {r('density')} AS density,
       {r('density / max(density) OVER ()')} AS width FROM curves"""
 
@@ -341,7 +366,9 @@ def statements() -> dict[str, str]:
             FROM (SELECT collision_severity AS code, count(*) AS n FROM fx
                   WHERE collision_severity IS NOT NULL GROUP BY 1))
           SELECT code AS collision_severity, ['Fatal', 'Serious', 'Slight'][severity_ord] AS severity,
-            CAST(severity_ord AS INTEGER) AS severity_ord, n FROM ranked""",
+            CAST(severity_ord AS INTEGER) AS severity_ord, n FROM ranked
+          UNION ALL SELECT collision_severity, NULL, NULL, count(*) FROM fx
+            WHERE collision_severity IS NULL GROUP BY 1""",
         "area_filtered_count": f"""{BASE}
           SELECT count(*) AS n, concat('Rows to analyse: ', count(*)) AS message FROM q6""",
         "describe_long": describe_long(),

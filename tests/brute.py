@@ -33,9 +33,17 @@ def bandwidth(values):
 
 
 def kde(values, bw, grid):
-    v = present(values)
-    z = (np.asarray(grid)[:, None] - v[None, :]) / bw
-    return np.exp(-z * z / 2).sum(axis=1) / (len(v) * bw * math.sqrt(2 * math.pi))
+    """Linearly binned onto 512 points, four bandwidths wider than the curve, and read off."""
+    v, grid = present(values), np.asarray(grid, dtype=float)
+    points = np.linspace(grid[0] - 4 * bw, grid[-1] + 4 * bw, len(grid))
+    at = (v - points[0]) / (points[1] - points[0])
+    low = np.floor(at).astype(int)
+    weights = np.zeros(len(points))
+    np.add.at(weights, low, 1 - (at - low))
+    np.add.at(weights, np.minimum(low + 1, len(points) - 1), at - low)
+    z = (points[:, None] - points[None, :]) / bw
+    sums = (np.exp(-z * z / 2) * weights).sum(axis=1)
+    return np.interp(grid, points, sums / (len(v) * bw * math.sqrt(2 * math.pi)))
 
 
 def bins(values, breaks):

@@ -7,11 +7,13 @@ from collidera.operators import counts
 from collidera.operators.correlation import lower_triangle, matrix, spearman
 
 
-@pytest.fixture(params=["whole pairs", "value ranges"])
-def way(request, monkeypatch):
-    if request.param == "value ranges":
-        monkeypatch.setattr(counts, "SMALL", 0)
-    return request.param
+@pytest.fixture(params=["one range", "many ranges"])
+def way(request, spark):
+    """Ranks from one range of values, and from as many as there are partitions."""
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merge, str(request.param == "one range").lower())
+    yield request.param
+    spark.conf.unset(merge)
 
 
 def sample(seed, rows=300):

@@ -10,11 +10,13 @@ from collidera.operators.density import density, ridges, violins
 from collidera.operators.histogram import histogram
 
 
-@pytest.fixture(params=["whole groups", "value ranges"])
-def way(request, monkeypatch):
-    if request.param == "value ranges":
-        monkeypatch.setattr(counts, "SMALL", 0)
-    return request.param
+@pytest.fixture(params=["one range", "many ranges"])
+def way(request, spark):
+    """Ranks from one range of values, and from as many as there are partitions."""
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merge, str(request.param == "one range").lower())
+    yield request.param
+    spark.conf.unset(merge)
 
 
 def sample(seed, rows=300):
@@ -188,3 +190,25 @@ def test_boxes(spark, way):
         assert r.n == len(brute.present(values))
     outliers = {(r.g, r.x, r.n) for r in box_outliers(df, "x", ["g"]).collect()}
     assert outliers == {("both sides", -50.0, 1), ("both sides", 60.0, 2), (None, 9.0, 1)}
+
+
+# ---- names
+
+
+def test_columns_may_have_any_name(spark):
+    """Columns named as the operators name theirs, or with a dot, give the same rows."""
+    rows = [(("a", "b")[k % 2], float(k * k % 17), 1 + k % 3) for k in range(40)]
+    plain = spark.createDataFrame(rows, "g string, x double, m int")
+
+    def rows_of(df):
+        return sorted((tuple(map(str, r)) for r in df.collect()))
+
+    for group, value, weight in [("i", "n", "v"), ("v", "i", "n"), ("a.b", "c.d", "x.y"), ("n", "v", "i")]:
+        odd = spark.createDataFrame(rows, f"`{group}` string, `{value}` double, `{weight}` int")
+        for operator in (box_stats, box_outliers, density, ridges, violins):
+            want = rows_of(operator(plain, "x", ["g"], weight="m"))
+            got = operator(odd, value, [group], weight=weight)
+            assert got.columns[0] == group and len(set(got.columns)) == len(got.columns)
+            assert rows_of(got) == want
+        want = rows_of(histogram(plain, "x", ["g"], bins=5, weight="m"))
+        assert rows_of(histogram(odd, value, [group], bins=5, weight=weight)) == want

@@ -10,7 +10,7 @@ from collidera.operators.counts import value_counts
 from collidera.operators.decode import code_book, decode
 from collidera.plans import areas, hours
 from collidera.plans.prepare import prepared
-from collidera.sources import tables
+from collidera.sources import shared_folder, tables
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -50,7 +50,7 @@ def test_only_needed_columns_are_read_and_decoded(cleaned):
 
 def test_areas_are_read_from_three_columns(cleaned):
     plan = plan_of(areas.severity_shares(areas.features(cleaned)))
-    assert "ReadSchema: struct<user_id:bigint,event_type:string>" in plan
+    assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string>" in plan
     assert "HashJoin" not in plan and plan.count("sf0.001/events.parquet") == 1
 
 
@@ -96,7 +96,9 @@ def test_command_line(spark, cleaned, tmp_path):
     assert sorted(back.collect(), key=str) == sorted(cleaned.collect(), key=str)
 
     for name, plan in {"hours": hours, "areas": areas}.items():
+        laid_down = list(shared_folder._written[spark.sparkContext.applicationId])
         main(["report", name, out, str(tmp_path / name)])
+        assert shared_folder._written[spark.sparkContext.applicationId] == laid_down
         features = plan.features(cleaned)
         for table, operator in plan.TABLES.items():
             written = spark.read.parquet(str(tmp_path / name / table))

@@ -196,3 +196,13 @@ def test_structure(spark):
         (1, "k", "int", "1, 2", 3),
         (2, "s", "string", "NA, b", 3),
     ]
+
+
+def test_released_folders_are_gone(spark):
+    before = shared_folder.settled(spark.range(3)).table
+    with shared_folder.released(spark):
+        inside = shared_folder.settled(spark.range(4)).table
+        paths = inside.inputFiles()
+        assert paths and all(Path(p.removeprefix("file://")).exists() for p in paths)
+    assert not any(Path(p.removeprefix("file://")).exists() for p in paths)
+    assert before.count() == 3
