@@ -68,22 +68,25 @@ def severity_features(df: DataFrame) -> DataFrame:
     )
 
 
+def labelled_severity(df: DataFrame) -> DataFrame:
+    """Adds ``severity`` and ``severity_ord`` from codes or labels, row by row.
+
+    A severity that is neither a listed code nor a label ends as null.
+    """
+    known = first_match(as_text(df, "collision_severity"), coded_levels(SEVERITIES), UNKNOWN)
+    return df.withColumn("severity", level_value(known, SEVERITIES)).withColumn(
+        "severity_ord", level_ordinal(F.col("severity"), SEVERITIES)
+    )
+
+
 def area_features(df: DataFrame) -> DataFrame:
     """Adds area and severity categories and keeps rows of a known area.
 
-    A severity that is neither a listed code nor a label ends as null, and its row
-    is kept.
+    Rows of an unknown severity are kept.
     """
-    labelled = df.withColumn(
-        "area_type",
-        first_match(as_text(df, "urban_or_rural_area"), coded_levels(AREAS), UNKNOWN),
-    ).withColumn(
-        "severity",
-        first_match(as_text(df, "collision_severity"), coded_levels(SEVERITIES), UNKNOWN),
-    )
+    area = first_match(as_text(df, "urban_or_rural_area"), coded_levels(AREAS), UNKNOWN)
     return (
-        labelled.where(F.col("area_type") != UNKNOWN)
-        .withColumn("severity", level_value(F.col("severity"), SEVERITIES))
+        labelled_severity(df.withColumn("area_type", area))
+        .where(F.col("area_type") != UNKNOWN)
         .withColumn("area_ord", level_ordinal(F.col("area_type"), AREAS))
-        .withColumn("severity_ord", level_ordinal(F.col("severity"), SEVERITIES))
     )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from collidera.operators.correlation import lower_triangle, spearman
 from collidera.operators.counts import value_counts
 from collidera.operators.density import density, ridges
-from collidera.operators.derive import severity_features, time_features
+from collidera.operators.derive import labelled_severity, severity_features, time_features
 from collidera.operators.histogram import histogram
 from collidera.operators.shares import log_stack
 from collidera.operators.summary import describe, null_counts_wide
@@ -28,8 +28,11 @@ COLUMNS = [
 ]
 
 
-def features(cleaned: DataFrame) -> DataFrame:
-    return time_features(cleaned)
+def features(
+    cleaned: DataFrame, weekend: str = "weekend", weekday: str = "weekday"
+) -> DataFrame:
+    """Hour, weekday and kind of day, named as asked for, and severity."""
+    return labelled_severity(time_features(cleaned, weekend, weekday))
 
 
 def missing_values(cleaned: DataFrame) -> DataFrame:

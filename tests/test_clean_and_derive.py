@@ -11,6 +11,7 @@ from collidera.operators.clean import (
     retype,
 )
 from collidera.operators.summary import null_counts
+from collidera.plans import hours
 from collidera.operators.derive import area_features, positional_category, time_features
 
 
@@ -134,3 +135,15 @@ def test_clean_with_odd_names_and_spellings(spark):
     assert [tuple(r) for r in clean(df).collect()] == [(30, None, "x"), (None, "b", None)]
     assert rejected_numbers(df).first().asDict() == {"n": 2, "speed_limit": 1}
     assert sorted(map(tuple, null_counts(clean(df)).collect())) == [("a.b", 1), ("n", 1), ("speed_limit", 1)]
+
+
+def test_hours_features_carry_severity_and_named_days(spark):
+    rows = [("17:05", "Sunday", "Fatal"), ("x", None, "2"), (None, "Monday", "other"), ("00:59", "Friday", None)]
+    df = spark.createDataFrame(rows, "time string, day_of_week string, collision_severity string")
+    got = hours.features(df, "free", "work").select("hour", "day_type", "severity", "severity_ord")
+    assert [tuple(r) for r in got.collect()] == [
+        (17, "free", "Fatal", 1),
+        (None, "work", "Serious", 2),
+        (None, "work", None, None),
+        (0, "work", None, None),
+    ]
