@@ -36,9 +36,9 @@ class Template:
 
 def conversations_of(turns: DataFrame) -> DataFrame:
     """``(conv_id, turns)``: each conversation's ordered ``(role, text)``."""
-    turn = F.struct("turn", "role", "text")
+    ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
     rows = F.transform(
-        F.sort_array(F.collect_list(turn)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))
+        ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))
     )
     return turns.groupBy("conv_id").agg(rows.alias("turns"))
 
@@ -53,18 +53,21 @@ def paired_by_opening(turns: DataFrame, group_rows: int = 1000) -> DataFrame:
     """
     first = turns.groupBy("conv_id").agg(
         F.min(F.struct("turn", "role", "text")).alias("_first")
-    ).select(
-        "conv_id",
-        F.sha2(F.concat_ws("\x1f", F.coalesce("_first.role", F.lit("\x00")), F.coalesce("_first.text", F.lit("\x00"))), 256).alias("opening"),
     )
-    known = settled(first)
+    parts_of_turn = [F.coalesce(f"_first.{c}", F.lit("\x00")) for c in ("role", "text")]
+    opening = F.sha2(F.concat_ws("\x1f", *parts_of_turn), 256)
+    known = settled(first.select("conv_id", opening.alias("opening")))
     parts = max(1, -(-known.rows // group_rows))
     dealt = known.table.withColumn("part", F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(parts)))
 
     def neighbours(df: DataFrame, *by: str) -> DataFrame:
         own = Window.partitionBy(*by).orderBy("conv_id")
         return df.withColumns(
-            {"_rn": F.row_number().over(own), "_next": F.lead("conv_id").over(own), "_any": F.lead(F.lit(1)).over(own)}
+            {
+                "_rn": F.row_number().over(own),
+                "_next": F.lead("conv_id").over(own),
+                "_any": F.lead(F.lit(1)).over(own),
+            }
         ).filter("_rn % 2 = 1")
 
     once = settled(neighbours(dealt, "opening", "part")).table
@@ -128,7 +131,10 @@ def preference_pairs(turns: DataFrame, pairs: DataFrame, t: Template = Template(
     shared = F.when(F.col("b").isNull(), prompt_of_one(F.col("a"), t)).otherwise(
         common_prefix(F.col("a"), F.col("b"))
     )
-    rest = lambda c: F.slice(c, F.col("prompt_turns") + 1, F.greatest(F.size(c), F.lit(0)))
+
+    def rest(c: Column) -> Column:
+        return F.slice(c, F.col("prompt_turns") + 1, F.greatest(F.size(c), F.lit(0)))
+
     cut = found.withColumn("prompt_turns", shared).select(
         "chosen_id",
         "rejected_id",

@@ -65,7 +65,8 @@ def coded(classes: DataFrame) -> DataFrame:
                 x /= np.abs(x).max()
                 x /= np.linalg.norm(x)
                 q, scale, length, error = quantised(x)
-                rows.append((x.tobytes(), q.tobytes(), float(scale[0]), float(length[0]), float(error[0])))
+                numbers = (float(n[0]) for n in (scale, length, error))
+                rows.append((x.tobytes(), q.tobytes(), *numbers))
             unit, codes, scale, length, error = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [
@@ -122,9 +123,10 @@ def block_pair(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """``(rep, links, root)`` of the classes of one or two blocks that link across them."""
     pdf = pdf.sort_values(["block", "rep"], ignore_index=True)
     dim, size = int(pdf["dim"].iloc[0]), len(pdf)
+    codes = np.frombuffer(b"".join(pdf["codes"]), np.int8).reshape(size, dim)
     whole = {
         "unit": np.frombuffer(b"".join(pdf["unit"]), np.float64).reshape(size, dim),
-        "codes": np.frombuffer(b"".join(pdf["codes"]), np.int8).reshape(size, dim).astype(np.float32),
+        "codes": codes.astype(np.float32),
         **{c: pdf[c].to_numpy() for c in ("scale", "length", "error")},
     }
     n, block = pdf["n"].to_numpy(), pdf["block"].to_numpy()
@@ -150,11 +152,12 @@ def block_pair(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
                 names = np.concatenate([rows, columns])
                 moved = root != np.arange(len(root))
                 stars.append((names[moved], names[root[moved]]))
-    a, b = (np.concatenate(x) for x in zip(*stars, strict=True)) if stars else (np.zeros(0, int),) * 2
+    a, b = ([np.zeros(0, np.int64), *(s[k] for s in stars)] for k in (0, 1))
+    a, b = np.concatenate(a), np.concatenate(b)
     root = local_roots(size, a, b)
     rep = pdf["rep"].to_numpy()
     hit = links > 0
-    # The smallest index is not the smallest id: name each local component by its first member.
+    # A local component is named by its first member, not yet by its smallest id.
     return pd.DataFrame({"rep": rep[hit], "links": links[hit], "root": rep[root[hit]]})
 
 

@@ -175,9 +175,8 @@ def fit_languages(
         probs = learned(texts, Pieces(p.vocabulary), p)
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], "probs": [probs.tobytes()]})
 
-    rows = (
-        sample.select("lang", "text").groupBy("lang").applyInPandas(learn, "lang string, probs binary")
-    ).collect()
+    by_language = sample.select("lang", "text").groupBy("lang")
+    rows = by_language.applyInPandas(learn, "lang string, probs binary").collect()
     if not rows:
         return [], np.zeros((0, 0))
     found = sorted(rows, key=lambda r: r["lang"])

@@ -79,7 +79,8 @@ def targets(sources: DataFrame, mix: Mix) -> DataFrame:
         F.coalesce(F.sum("_w").over(before), F.lit(0.0)).alias("_fw"),
     )
     level = (F.col("_all") - F.col("_full")) / (F.col("_ws") - F.col("_fw"))
-    free = F.when(F.col("_cap") / F.col("_w") > level, F.struct(F.col("_cap") / F.col("_w"), "key", level))
+    fits = F.col("_cap") / F.col("_w")
+    free = F.when(fits > level, F.struct(fits, "key", level))
     found = known.withColumn("_level", F.min(free).over(every)["col3"])
     target = F.least("_cap", F.coalesce(F.col("_level") * F.col("_w"), F.col("_cap")))
     return found.select("key", "source", "source_size", target.alias("target"))
@@ -111,7 +112,8 @@ def apportioned(parts: DataFrame, group: list[str], key: str, weight: str, seats
         (F.col("_low") + F.col("_step")).alias("_k"),
         "_high",
     ).filter("_k < _high")
-    best = Window.partitionBy(*group).orderBy(F.desc(F.col(weight) / (2 * F.col("_k") + 1)), key, "_k")
+    quotient = F.col(weight) / (2 * F.col("_k") + 1)
+    best = Window.partitionBy(*group).orderBy(F.desc(quotient), key, "_k")
     won = (
         rivals.withColumn("_rank", F.row_number().over(best))
         .filter("_rank <= _left")
@@ -132,10 +134,14 @@ def mix_plan(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
     ``blocks`` of the doubled stream ``quota`` are taken, evenly from ``start``.
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     docs = settled(
         documents.select(
-            "doc_id", "source", word_count().cast("long").alias("size"), key.alias("key"),
-            seeded(F.lit(mix.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_h"),
+            "doc_id",
+            "source",
+            word_count().cast("long").alias("size"),
+            key.alias("key"),
+            seeded(F.lit(mix.seed), named).alias("_h"),
         )
     ).table
     sources = docs.groupBy("key").agg(
@@ -156,12 +162,10 @@ def mix_plan(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
         aimed.withColumns({"_seats": whole, "_one": F.lit(0)}),
         ["_one"], "key", "target", "_seats", "supply",
     ).select("key", "source_size", "target", F.col("quota").alias("_seats"))
+    start = seeded(F.lit(mix.seed), "key", F.col("shard").cast("string"))
     per_cell = apportioned(
         cells.join(per_source, "key"), ["key"], "shard", "cell", "_seats", "blocks"
-    ).withColumn(
-        "start",
-        seeded(F.lit(mix.seed), "key", F.col("shard").cast("string")) % F.greatest("blocks", F.lit(1)),
-    )
+    ).withColumn("start", start % F.greatest("blocks", F.lit(1)))
     order = Window.partitionBy("key", "shard").orderBy("_h", "doc_id", "size")
     place = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     return (
@@ -229,8 +233,8 @@ def mixed_texts(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, rows = [], []
-            placed = zip(batch.column("text").to_pylist(), batch.column(where).to_pylist(), strict=True)
-            for i, (text, at) in enumerate(placed):
+            placed = (batch.column(c).to_pylist() for c in ("text", where))
+            for i, (text, at) in enumerate(zip(*placed, strict=True)):
                 for taken in passes_of(text, mix=mix, **at):
                     texts.append(taken)
                     rows.append(i)
@@ -245,7 +249,9 @@ def mixed_texts(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return joined.mapInArrow(run, documents.schema)
 
 
-def passes_of(text: str, place: int, size: int, cell: int, blocks: int, quota: int, start: int, mix: Mix):
+def passes_of(
+    text: str, place: int, size: int, cell: int, blocks: int, quota: int, start: int, mix: Mix
+) -> Iterator[str]:
     """What each pass over the stream takes of a text, if anything."""
     words = None
     for e in range(mix.epochs):
@@ -274,10 +280,12 @@ weighed AS (
 filled AS (
   SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS goal, sum(w) OVER () AS ws,
     coalesce(sum(cap) OVER o, 0) AS full_caps, coalesce(sum(w) OVER o, 0) AS fw
-  FROM weighed WINDOW o AS (ORDER BY cap / w, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  FROM weighed
+  WINDOW o AS (ORDER BY cap / w, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 levels AS (SELECT *, (goal - full_caps) / (ws - fw) AS lvl FROM filled),
 level AS (SELECT arg_min(lvl, (cap / w, key)) FILTER (cap / w > lvl) AS l FROM levels),
-aimed AS (SELECT key, source_size, shards, least(cap, coalesce(l * w, cap)) AS target FROM levels, level),
+aimed AS (
+  SELECT key, source_size, shards, least(cap, coalesce(l * w, cap)) AS target FROM levels, level),
 dealt AS (SELECT d.*, h % shards AS shard FROM docs d JOIN sources USING (key)),
 cells AS (SELECT key, shard, sum(size)::BIGINT AS cell, ceil(2 * sum(size) / 16.0)::BIGINT AS blocks
   FROM dealt GROUP BY key, shard),
@@ -288,21 +296,26 @@ s_rank AS (
   FROM aimed JOIN supply USING (key), LATERAL (SELECT unnest(range(supply)) AS k)),
 s_quota AS (SELECT key, count(*) AS quota FROM s_rank, seats WHERE r <= n GROUP BY key),
 c_rank AS (
-  SELECT key, shard, row_number() OVER (PARTITION BY key ORDER BY cell::DOUBLE / (2 * k + 1) DESC, shard, k) AS r
+  SELECT key, shard, row_number() OVER (
+      PARTITION BY key ORDER BY cell::DOUBLE / (2 * k + 1) DESC, shard, k) AS r
   FROM cells, LATERAL (SELECT unnest(range(blocks)) AS k)),
 c_quota AS (SELECT key, shard, count(*) AS quota FROM c_rank JOIN s_quota q USING (key)
   WHERE r <= q.quota GROUP BY key, shard),
 placed AS (
   SELECT d.*, cell, greatest(blocks, 1) AS blocks, coalesce(quota, 0)::BIGINT AS quota,
-    CAST('0x' || substr(md5('mix|' || key || '|' || shard), 1, 8) AS BIGINT) % greatest(blocks, 1) AS start,
-    (sum(size) OVER (PARTITION BY key, shard ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS place
+    CAST('0x' || substr(md5('mix|' || key || '|' || shard), 1, 8) AS BIGINT)
+      % greatest(blocks, 1) AS start,
+    (sum(size) OVER (
+      PARTITION BY key, shard ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING
+    ) - size)::BIGINT AS place
   FROM dealt d JOIN cells USING (key, shard) LEFT JOIN c_quota USING (key, shard)),
 edges AS (
   SELECT *, unnest([place, place + size, place + cell, place + size + cell]) AS x,
     unnest([-1, 1, -1, 1]) AS sign FROM placed),
 counted AS (
   SELECT *, (((x // 16) * quota + start) // blocks) * 16
-    + (x % 16) * ((((x // 16) + 1) * quota + start) // blocks - ((x // 16) * quota + start) // blocks) AS before
+    + (x % 16) * ((((x // 16) + 1) * quota + start) // blocks
+      - ((x // 16) * quota + start) // blocks) AS before
   FROM edges)
 SELECT c.doc_id, c.size, source_size, target, sum(sign * before)::BIGINT AS taken
 FROM counted c JOIN aimed USING (key)

@@ -114,14 +114,9 @@ def close_pairs(distinct: DataFrame, radius: int = 4, segments: int = 3) -> Data
     stored = distinct.select(F.col("fp").alias("b"), F.inline(keys))
     asked = distinct.select(F.col("fp").alias("a"), F.inline(probes))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    return (
-        asked.join(
-            stored,
-            (asked["s"] == stored["s"]) & (asked["k"] == stored["k"]) & (F.col("a") < F.col("b")) & close,
-        )
-        .select("a", "b")
-        .distinct()
-    )
+    same_key = (asked["s"] == stored["s"]) & (asked["k"] == stored["k"])
+    found = asked.join(stored, same_key & (F.col("a") < F.col("b")) & close)
+    return found.select("a", "b").distinct()
 
 
 def simhash_groups(documents: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from collidera.llm.skew import lookup
@@ -53,7 +53,8 @@ def record_bytes(
     kind: str, refers_to: int | None, date: str,
 ) -> bytes:
     """One uncompressed record; a revisit has the HTTP header only, with the full length."""
-    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    http = ["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", f"Content-Length: {size}"]
+    block = "\r\n".join([*http, "", ""]).encode()
     if kind == "response":
         block += payload
     lines = [
@@ -134,24 +135,25 @@ def write_warc(pages: DataFrame, folder: str, a: Archives = Archives()) -> DataF
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in COLUMNS), strict=True):
                 page_id, url, html, *rest = row
-                data = record_bytes(page_id, url, (html or "").encode("utf-8", "surrogatepass"), *rest, a.date)
+                payload = (html or "").encode("utf-8", "surrogatepass")
+                data = record_bytes(page_id, url, payload, *rest, a.date)
                 members.append(gzip_member(data, a.level))
                 size += len(members[-1])
                 if size >= a.archive_bytes:
                     close()
         close()
         names, records, sizes = zip(*done, strict=True) if done else ([], [], [])
+        counts = [pa.array(x, pa.int64()) for x in (records, sizes)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array(records, pa.int64()), pa.array(sizes, pa.int64())],
-            names=["archive", "records", "bytes"],
+            [pa.array(names, pa.string()), *counts], names=["archive", "records", "bytes"]
         )
 
     digest = F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)
     roles = page_roles(pages, a).withColumnRenamed("page_id", "_page")
     keyed = pages.select("page_id", "url", "html").withColumn("_digest", digest)
-    joined = keyed.join(
-        roles, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("_digest") == F.col("payload_digest"))
-    ).select(*COLUMNS)
+    same = F.col("page_id").eqNullSafe(F.col("_page"))
+    same &= F.col("_digest") == F.col("payload_digest")
+    joined = keyed.join(roles, same).select(*COLUMNS)
     written = joined.sortWithinPartitions("page_id", "payload_digest", "url")
     return settled(written.mapInArrow(run, "archive string, records long, bytes long")).table
 
@@ -263,6 +265,8 @@ def salvaged(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str]
         at = end
 
 
+#: Record bytes handed over at a time.
+BATCH_BYTES = 16 << 20
 READ_SCHEMA = (
     "archive string, offset long, length long, damage string, record_type string,"
     " record_id string, target_uri string, refers_to string, payload_digest string,"
@@ -285,36 +289,35 @@ def payload_of(headers: dict[str, str], block: bytes) -> tuple[bytes | None, int
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Records and gaps of the archives in ``path``; gaps have ``damage`` and no record."""
 
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in READ_SCHEMA.split(",")]
+    schema = pa.schema([(name, kinds[kind]) for name, kind in fields])
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True)
+        arrays = [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    def row_of(offset: int, length: int, damage: str | None, headers: dict, block: bytes):
+        if damage is not None:
+            return offset, length, damage, *[None] * 7
+        payload, size, digest = payload_of(headers, block)
+        named = ("warc-type", "warc-record-id", "warc-target-uri", "warc-refers-to")
+        stated = (headers.get(h) for h in named)
+        return offset, length, None, *stated, digest, size, payload if with_payload else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(
-            [
-                (name, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[kind])
-                for name, kind in (x.split() for x in READ_SCHEMA.split(","))
-            ]
-        )
         for batch in batches:
             for archive, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows, held = [], 0
-                for offset, length, damage, headers, block in salvaged(content):
-                    row = [archive, offset, length, damage]
-                    if damage is None:
-                        payload, size, digest = payload_of(headers, block)
-                        row += [
-                            headers.get("warc-type"),
-                            headers.get("warc-record-id"),
-                            headers.get("warc-target-uri"),
-                            headers.get("warc-refers-to"),
-                            digest,
-                            size,
-                            payload if with_payload else None,
-                        ]
-                    rows.append(row + [None] * (len(schema) - len(row)))
-                    held += len(block)
-                    if held > 16 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                for found in salvaged(content):
+                    rows.append((archive, *row_of(*found)))
+                    held += len(found[-1])
+                    if held > BATCH_BYTES:
+                        yield batch_of(rows)
                         rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    yield batch_of(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path)
     return files.select("path", "content").mapInArrow(run, READ_SCHEMA)
@@ -325,23 +328,32 @@ def warc_round_trip(pages: DataFrame, a: Archives = Archives()) -> DataFrame:
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
     written = write_warc(pages, folder, a)
-    number = lambda c: F.regexp_extract(c, rf"^<{ID}(-?\d+)>$", 1)
-    if not written.take(1):
-        return spark.createDataFrame(
-            [], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-        )
-    return read_warc(spark, folder, with_payload=False).filter("damage is null").select(
-        F.nullif(number("record_id"), F.lit("")).cast("long").alias("page_id"),
+
+    def number(column: str) -> Column:
+        digits = F.regexp_extract(F.coalesce(column, F.lit("")), rf"^<{ID}(-?\d+)>$", 1)
+        return F.nullif(digits, F.lit("")).cast("long")
+
+    if written.isEmpty():
+        return spark.createDataFrame([], ROUND_TRIP)
+    records = read_warc(spark, folder, with_payload=False).filter("damage is null")
+    return records.select(
+        number("record_id").alias("page_id"),
         "payload_bytes",
         "payload_digest",
         "record_type",
-        F.nullif(number(F.coalesce("refers_to", F.lit(""))), F.lit("")).cast("long").alias("refers_to"),
+        number("refers_to").alias("refers_to"),
     )
 
 
+ROUND_TRIP = (
+    "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+)
+
 #: DuckDB statement for ``warc_round_trip`` with the default parameters.
 ORACLE_SQL = """
-WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha256(coalesce(html, '')) AS d FROM pages),
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha256(coalesce(html, '')) AS d
+  FROM pages),
 g AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
 SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
   CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
