@@ -40,15 +40,20 @@ STEMS = (4, 6)
 
 @dataclass(frozen=True)
 class Machine:
-    """Parameters of learning; ``rows`` bounds the labelled sample."""
+    """Parameters of learning; ``rows`` bounds the labelled sample.
+
+    A vector entry leaves its start once its gradients add up to more than
+    ``factor_chance`` times the root of their squares.
+    """
 
     rows: int = 10_000
     factors: int = 4
     epochs: int = 4
     alpha: float = 0.2
     l1: float = 2.0
-    factor_rate: float = 0.001
+    factor_rate: float = 0.1
     factor_decay: float = 1e-3
+    factor_chance: float = 3.0
     seed: int = 1
 
 
@@ -93,16 +98,18 @@ def fit_machine(examples: list, p: Machine) -> np.ndarray:
     """Rows of ``(weight, vector)`` by column; the last row's weight is the bias.
 
     Weights take leader updates with a penalty that keeps chance terms at zero; vectors
-    take adaptive gradient steps, and only of terms that two examples share.
+    take adaptive averaged steps with a penalty that keeps chance terms at their start,
+    and only of terms that two examples share.
     """
     size = 2**BITS
     z, n, w = np.zeros(size), np.zeros(size), np.zeros(size)
-    v = np.random.default_rng(p.seed).normal(0, 0.01, (size, p.factors))
+    start = np.random.default_rng(p.seed).normal(0, 0.01, (size, p.factors))
     seen = np.zeros(size, np.int32)
     for _, columns, _ in examples:
         seen[columns] += 1
-    v[seen < 2] = 0
-    squares = np.full((size, p.factors), 1e-2)
+    start[seen < 2] = 0
+    v, moved = start.copy(), np.zeros((size, p.factors))
+    squares = np.full((size, p.factors), 1e-4)
     toxic = sum(label for label, *_ in examples)
     bias, bias_squares = np.log(toxic / (len(examples) - toxic)), 1.0
     for _ in range(p.epochs):
@@ -118,9 +125,11 @@ def fit_machine(examples: list, p: Machine) -> np.ndarray:
             n[at] += g * g
             shrunk = np.sign(z[at]) * np.maximum(np.abs(z[at]) - p.l1, 0)
             w[at] = -shrunk * p.alpha / (1 + np.sqrt(n[at]))
-            gv = g * (vi.sum(axis=0) - vi) + p.factor_decay * vi
-            squares[at] += gv * gv
-            v[at] = vi - p.factor_rate * gv / np.sqrt(squares[at])
+            gv = g * (vi.sum(axis=0) - vi) + p.factor_decay * (vi - start[at])
+            total, scale = moved[at] + gv, squares[at] + gv * gv
+            moved[at], squares[at] = total, scale
+            sure = np.maximum(np.abs(total) / np.sqrt(scale) - p.factor_chance, 0)
+            v[at] = start[at] - p.factor_rate * np.sign(total) * sure
     model = np.hstack([w[:, None], v])
     model[seen < 2] = 0
     return np.vstack([model, np.append(bias, np.zeros(p.factors))]).astype(np.float32)

@@ -77,6 +77,25 @@ def test_factors_learn_what_only_a_pair_tells():
     assert of([a, b]) > of([a]) and of([a, b]) > of([b]) and of([]) > of([a])
 
 
+@pytest.mark.parametrize("toxic", ["both or neither", "both"])
+def test_default_machine_learns_a_pair_among_many_terms(toxic):
+    a, b = 1, 2
+    rng = np.random.default_rng(1)
+    examples = []
+    for _ in range(10_000):
+        has = rng.random(2) < 0.5
+        columns = sorted({*(10 + rng.choice(2000, 100, replace=False)), *np.flatnonzero(has) + 1})
+        label = has.all() or (toxic != "both" and not has.any())
+        examples.append((int(label), np.array(columns, np.int32), None))
+    model = tx.fit_machine(examples, tx.Machine()).astype(float)
+    right = 0
+    for label, columns, _ in examples[:2000]:
+        score = tx.sigmoid(tx.logit(model[-1, 0], model[columns, 0], model[columns, 1:]))
+        right += (score >= 0.3) == label
+    assert right > 0.97 * 2000
+    assert model[a, 1:] @ model[b, 1:] > 1
+
+
 def test_quality_on_held_out_documents(spark, docs, labels):
     found = qc.quality(docs, labels).join(labels, "doc_id").filter("held_out")
     rows = [(r.score, r.quality) for r in found.collect()]
