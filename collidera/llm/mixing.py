@@ -127,16 +127,19 @@ def apportioned(parts: DataFrame, group: list[str], key: str, weight: str, seats
     )
 
 
-def mix_plan(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
+def mix_plan(documents: DataFrame, mix: Mix = Mix(), row: str | None = None) -> DataFrame:
     """``(doc_id, size, source, source_size, target, place, cell, blocks, quota, start)``.
 
     ``place`` is where a document begins in its shard's stream of ``cell`` words; of the
-    ``blocks`` of the doubled stream ``quota`` are taken, evenly from ``start``.
+    ``blocks`` of the doubled stream ``quota`` are taken, evenly from ``start``. ``row``
+    names a column that tells rows apart; it orders equal rows and comes first.
     """
+    rows = [row] if row else []
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     named = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     docs = settled(
         documents.select(
+            *rows,
             "doc_id",
             "source",
             word_count().cast("long").alias("size"),
@@ -166,13 +169,13 @@ def mix_plan(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
     per_cell = apportioned(
         cells.join(per_source, "key"), ["key"], "shard", "cell", "_seats", "blocks"
     ).withColumn("start", start % F.greatest("blocks", F.lit(1)))
-    order = Window.partitionBy("key", "shard").orderBy("_h", "doc_id", "size")
+    order = Window.partitionBy("key", "shard").orderBy("_h", "doc_id", "size", *rows)
     place = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     return (
         dealt.withColumn("place", place)
         .join(per_cell.drop("_seats"), ["key", "shard"])
         .select(
-            "doc_id", "size", "source", "source_size", "target",
+            *rows, "doc_id", "size", "source", "source_size", "target",
             "place", "cell", "blocks", "quota", "start",
         )
     )
@@ -219,16 +222,17 @@ def mixed_texts(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
     A text is what the taken blocks hold of it, with the space between its words as it
     was; where blocks are left out in between, the parts are lines of their own. Columns
-    stay as they are, ``n_chars`` follows the text if it is there. Ids must be unique.
+    stay as they are, ``n_chars`` follows the text if it is there. Every row has its own
+    place in the mix, whatever its id: rows are numbered once, when they are settled.
     """
-    names, where = documents.columns, "_mix"
-    while where in names:
-        where += "_"
-    plan = mix_plan(documents, mix).filter("quota > 0 and size > 0").select(
-        F.col("doc_id").alias(f"{where}_id"),
-        F.struct("place", "size", "cell", "blocks", "quota", "start").alias(where),
+    names, where, row = documents.columns, "_mix", "_row"
+    while {where, row} & set(names):
+        where, row = f"{where}_", f"{row}_"
+    numbered = settled(documents.withColumn(row, F.monotonically_increasing_id())).table
+    plan = mix_plan(numbered, mix, row).filter("quota > 0 and size > 0").select(
+        row, F.struct("place", "size", "cell", "blocks", "quota", "start").alias(where)
     )
-    joined = documents.join(plan, documents["doc_id"] == plan[f"{where}_id"]).drop(f"{where}_id")
+    joined = numbered.join(plan, row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

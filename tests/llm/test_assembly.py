@@ -111,6 +111,34 @@ def test_mix_on_odd_rows(spark):
     assert mx.mixed(odd(spark).limit(0)).count() == 0
 
 
+def test_mixed_texts_keep_rows_without_an_id_and_repeated_ids(spark):
+    rows = [(None, f"n{i} " * (20 + i), "a", "en", None, i) for i in range(9)]
+    rows += [(3, f"k{i} " * (40 + 7 * i), "b", "en", None, i) for i in range(5)] + [(3, None, "b", "en", None, 5)]
+    rows += [(4, "same words again " * 10, "a", "en", None, 6)] * 3
+    docs = spark.createDataFrame(rows, DOCS)
+    taken, found = Counter(), Counter()
+    for r in mx.mixed(docs).collect():
+        taken[r.doc_id] += r.taken
+    texts = mx.mixed_texts(docs).collect()
+    for r in texts:
+        found[r.doc_id] += len(r.text.split())
+    assert found == taken and found[None] > 0
+    assert max(Counter((r.doc_id, r.size) for r in texts if r.doc_id != 4).values()) <= 2
+    assert sum(r.doc_id == 4 for r in texts) <= 6
+
+
+def test_all_stages_handle_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "GOOD", 0.0)
+    monkeypatch.setattr(corpus_pipeline, "TOXIC", 1.1)
+    docs = odd(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        path = new_path(spark, name)
+        stage(spark, docs, SF_DIR).write.parquet(path)
+        docs = spark.read.parquet(path)
+        ids = {r.doc_id for r in docs.select("doc_id").collect()}
+        assert {None, 5, 6} <= ids, name
+
+
 def dialogue(spark, rows):
     return spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, prompt int")
 
