@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from collidera.llm import chat_formatting, embedding_dedup, mixing, sql, warc
+from collidera.llm.decontamination import decontamination
 from collidera.llm.language_id import language_id
 from collidera.llm.packing import pack
 from collidera.llm.quality_classifier import quality
@@ -65,6 +66,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
+        "op11_decontamination": op11_decontamination,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -88,4 +94,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_mixing": mixing.ORACLE_SQL,
         "op7_chat_formatting": sql.CHAT_FORMATTING,
         "op8_warc": warc.ORACLE_SQL,
+        "op11_decontamination": sql.DECONTAMINATION,
     }

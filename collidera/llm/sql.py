@@ -96,3 +96,36 @@ SELECT c AS chosen_id, r AS rejected_id, n::INTEGER AS prompt_turns,
     lambda i: (length(array_to_string(cb[1:i], '')) - length(coalesce(tb[i].text, '')) - 8) || '-' || length(array_to_string(cb[1:i], ''))), ',') END AS rejected_learned
 FROM parts
 """
+
+DECONTAMINATION = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+i AS (
+  SELECT item_id, w, least(10, len(w)) AS m FROM (
+    SELECT item_id, regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)
+  WHERE len(w) > 0),
+item_windows AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[j:j + m - 1], ' ') AS x
+  FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS j FROM i)),
+windows AS (
+  SELECT r, m, j, array_to_string(w[j:j + m - 1], ' ') AS x FROM (
+    SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS j
+    FROM d, (SELECT DISTINCT m FROM item_windows) WHERE len(w) >= m)),
+hits AS (SELECT r, j, m, item_id FROM windows JOIN item_windows USING (m, x)),
+words AS (
+  SELECT r, count(DISTINCT p) AS n_hit
+  FROM (SELECT r, unnest(range(j, j + m)) AS p FROM hits) GROUP BY r),
+items AS (
+  SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
