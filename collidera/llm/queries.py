@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from collidera.llm import chat_formatting, embedding_dedup, mixing, sql, warc
+from collidera.llm.centroid_clustering import centroid_clustering
 from collidera.llm.decontamination import decontamination
 from collidera.llm.language_id import language_id
 from collidera.llm.packing import pack
@@ -16,6 +17,7 @@ from collidera.llm.quality_classifier import quality
 from collidera.llm.quality_rules import quality_rules
 from collidera.llm.session import table
 from collidera.llm.simhash import simhash_dedup
+from collidera.llm.token_alignment import token_alignment
 from collidera.llm.toxicity import toxicity
 
 
@@ -70,6 +72,14 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -83,6 +93,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
         "op11_decontamination": op11_decontamination,
+        "op12_centroid_clustering": op12_centroid_clustering,
+        "op13_token_alignment": op13_token_alignment,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -95,4 +107,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_chat_formatting": sql.CHAT_FORMATTING,
         "op8_warc": warc.ORACLE_SQL,
         "op11_decontamination": sql.DECONTAMINATION,
+        "op12_centroid_clustering": sql.centroid_clustering(),
     }

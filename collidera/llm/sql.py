@@ -129,3 +129,43 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
+
+
+def centroid_clustering(clusters: int = 8, rounds: int = 10, dim: int = 64, seed: int = 3) -> str:
+    """Every round written out as two steps: assignment and means."""
+    steps = [
+        f"""
+kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id,
+    list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = {dim}
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, v) - 1 AS k, v AS c
+  FROM kept ORDER BY k LIMIT {clusters})"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""
+a{i} AS MATERIALIZED (
+  SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, arg_min(k, (d, k)) AS k, min(d) AS d
+  FROM (SELECT kept.*, k, list_sum(list_transform(list_zip(v, c),
+      lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM kept, c{i})
+  GROUP BY r)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""
+c{i + 1} AS MATERIALIZED (
+  SELECT k, list(m ORDER BY pos) AS c FROM (
+    SELECT k, pos, floor(sum(x)::DOUBLE / count(*))::BIGINT AS m
+    FROM (SELECT k, unnest(v) AS x, unnest(range({dim})) AS pos FROM a{i}) GROUP BY k, pos)
+  GROUP BY k
+  UNION ALL SELECT k, c FROM c{i} WHERE k NOT IN (SELECT k FROM a{i}))"""
+            )
+    return f"""WITH {",".join(steps)}
+SELECT vec_id, k::INTEGER AS cluster, d AS distance,
+  (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (k)
+"""

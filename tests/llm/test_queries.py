@@ -31,4 +31,4 @@ def test_same_rows_as_sql(spark, name):
 
 def test_one_query_for_each_operator():
     numbers = [n.split("_")[0] for n in queries.queries() if n.startswith("op")]
-    assert sorted(numbers, key=lambda n: int(n[2:])) == [f"op{n}" for n in range(1, 12)]
+    assert sorted(numbers, key=lambda n: int(n[2:])) == [f"op{n}" for n in range(1, 14)]
