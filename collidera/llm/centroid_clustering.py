@@ -158,9 +158,12 @@ def zone_maps(grid: DataFrame, p: Clustering) -> DataFrame:
                 names=["ids", "v", "low", "high", "sums"],
             )
 
+    # Copies stand side by side, and the salt cuts them wherever a range is full.
     salt = F.xxhash64("vec_id", F.monotonically_increasing_id()).alias("_salt")
-    places = grid.mapInArrow(keyed, "vec_id long, v array<int>, _key long").select("*", salt)
-    ordered = places.repartitionByRange("_key", "_salt").sortWithinPartitions("_key", "_salt")
+    places = grid.mapInArrow(keyed, "vec_id long, v array<int>, _key long")
+    places = places.select("vec_id", "v", "_key", F.xxhash64("v").alias("_like"), salt)
+    order = ["_key", "_like", "_salt"]
+    ordered = places.repartitionByRange(*order).sortWithinPartitions(*order)
     return settled(ordered.select("vec_id", "v").mapInArrow(blocks, BLOCK_SCHEMA)).table
 
 
