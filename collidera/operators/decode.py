@@ -11,11 +11,14 @@ How a column is decoded follows from the measured size of its dictionary:
   share one broadcast row that holds a map per column. A map is searched entry by
   entry, so this is for short dictionaries;
 * up to ``BROADCAST_BYTES`` for all of them together: broadcast hash joins;
-* beyond: one shuffled left join per column, over a plan that reads the table once
-  however many columns there are. Codes that fill a large part of the table would pile
-  up in one task there, so the codes of all such columns are counted first, in one
-  pass; common ones are served from a broadcast, which their share bounds, and they
-  and null cells get join keys of their own that match nothing.
+* beyond: the distinct codes of the table are counted, of all such columns in one pass,
+  and each dictionary is reduced to the codes that occur. What fits the byte limit now is
+  broadcast. The other columns share a single lookup: their cells become rows of row
+  number, column and code, take one join with the reduced dictionaries, and come back by
+  row number, so whole rows move once, however many columns there are.
+
+Codes that fill a large part of the table would pile up in one task of that lookup. The
+counts tell them; they are served from a broadcast, which their share bounds.
 """
 
 from __future__ import annotations
@@ -107,14 +110,23 @@ def decode(df: DataFrame, book: CodeBook, broadcast_bytes: int = BROADCAST_BYTES
     """Decode every column that has usable code rows."""
     fields = [c for c in df.columns if c in book.rows]
     out = decode_by_map(df, book, [c for c in fields if c in book.by_map])
-    room, shuffled = broadcast_bytes, []
-    for field in sorted(set(fields) - set(book.by_map), key=lambda f: (book.bytes[f], f)):
-        if book.bytes[field] <= room:
-            room -= book.bytes[field]
-            out = decode_by_join(out, book, field)
-        else:
-            shuffled.append(field)
-    return decode_by_shuffle(out, book, shuffled)
+    others = sorted(set(fields) - set(book.by_map), key=lambda f: (book.bytes[f], f))
+    small, large, room = within(others, book.bytes, broadcast_bytes)
+    for field in small:
+        out = _joined(out, field, book.of(field))
+    return decode_large(out, book, large, room)
+
+
+def within(
+    fields: list[str], sizes: dict[str, int], room: int
+) -> tuple[list[str], list[str], int]:
+    """Fields that fit into ``room`` bytes one after the other, the rest, and what is left."""
+    small, large = [], []
+    for field in fields:
+        fits = sizes[field] <= room
+        (small if fits else large).append(field)
+        room -= sizes[field] if fits else 0
+    return small, large, room
 
 
 def decode_by_map(df: DataFrame, book: CodeBook, fields: list[str]) -> DataFrame:
@@ -138,49 +150,94 @@ def decode_by_join(
 ) -> DataFrame:
     """Decode one column by joining its dictionary."""
     if book.bytes[field] > broadcast_bytes:
-        return decode_by_shuffle(df, book, [field])
-    codes = book.of(field).select(F.col("code").alias("_code"), F.col("label").alias("_label"))
+        return decode_large(df, book, [field], broadcast_bytes)
+    return _joined(df, field, book.of(field))
+
+
+def _joined(df: DataFrame, field: str, codes: DataFrame) -> DataFrame:
+    """A column decoded from a broadcast of ``(code, label)``, one row per code."""
+    codes = codes.select(F.col("code").alias("_code"), F.col("label").alias("_label"))
     text = as_text(df, field)
     joined = df.join(F.broadcast(codes), text == F.col("_code"), "left")
     return joined.withColumn(field, F.coalesce("_label", text)).select(*map(cell, df.columns))
 
 
-def decode_by_shuffle(df: DataFrame, book: CodeBook, fields: list[str]) -> DataFrame:
-    """Decode columns by one shuffled left join each; ``df`` is counted once before."""
+def occurring(df: DataFrame, book: CodeBook, fields: list[str]) -> DataFrame:
+    """``(field, code, label, n)``: the codes in the cells of ``fields``, from one scan.
+
+    ``label`` is null where the code book does not list the code; null cells are left out.
+    """
+    counted = (
+        df.select(F.inline(_cells(df, fields)))
+        .where(F.col("code").isNotNull())
+        .groupBy("field", "code")
+        .agg(F.count("*").alias("n"))
+    )
+    listed = (
+        book.usable.where(F.col("field_name").isin(*fields))
+        .groupBy(F.col("field_name").alias("field"), "code")
+        .agg(F.min_by("label", "_place").alias("label"))
+    )
+    return settled(counted.join(listed, ["field", "code"], "left")).table
+
+
+def _cells(df: DataFrame, fields: list[str]) -> Column:
+    """The cells of some columns as an array of ``(field, code)``."""
+    return F.array(
+        *[F.struct(F.lit(f).alias("field"), as_text(df, f).alias("code")) for f in fields]
+    )
+
+
+def decode_large(df: DataFrame, book: CodeBook, fields: list[str], room: int) -> DataFrame:
+    """Decode columns whose dictionaries together exceed ``room`` bytes.
+
+    Dictionaries are reduced to the codes that occur; those within ``room`` are broadcast,
+    the others are looked up together.
+    """
+    if not fields:
+        return df
+    codes = occurring(df, book, fields)
+    listed = codes.where(F.col("label").isNotNull())
+    size = F.sum(F.octet_length("code") + F.octet_length("label"))
+    measured = listed.groupBy("field").agg(size.alias("bytes")).collect()
+    sizes = dict.fromkeys(fields, 0) | {r["field"]: r["bytes"] for r in measured}
+    ordered = sorted(fields, key=lambda f: (sizes[f], f))
+    small, large, _ = within(ordered, sizes, room)
+    out = df
+    for field in small:
+        out = _joined(out, field, listed.where(F.col("field") == field))
+    return decode_together(out, codes, large)
+
+
+def decode_together(df: DataFrame, codes: DataFrame, fields: list[str]) -> DataFrame:
+    """Decode columns by one join of all their cells and one of whole rows.
+
+    ``codes`` is what ``occurring`` tells of them. Rows are numbered once, when they are
+    settled, so that a repeated task meets the same numbers.
+    """
     if not fields:
         return df
-    names = [cell(c) for c in df.columns]
-    cells = F.array(
-        *[F.struct(F.lit(f).alias("_field"), as_text(df, f).alias("_hot")) for f in fields]
+    row = "_row"
+    while row in df.columns:
+        row += "_"
+    kept = settled(df.withColumn(row, F.monotonically_increasing_id()))
+    cells = kept.table.select(cell(row).alias("row"), F.inline(_cells(df, fields)))
+    # Fewer than HOT_SHARES codes of a column can be hot, listed or not.
+    is_hot = F.col("n") * HOT_SHARES > kept.rows
+    hot = F.broadcast(codes.where(is_hot).select("field", "code", "label"))
+    rare = codes.where(~is_hot & F.col("label").isNotNull()).select("field", "code", "label")
+    key = ["field", "code"]
+    served = cells.join(hot.where(F.col("label").isNotNull()), key)
+    others = cells.where(F.col("code").isNotNull()).join(hot, key, "left_anti").join(rare, key)
+    labels = [f"_label{i}" for i in range(len(fields))]
+    per_row = served.unionByName(others).groupBy("row").agg(
+        *[
+            F.max(F.when(F.col("field") == f, F.col("label"))).alias(label)
+            for f, label in zip(fields, labels, strict=True)
+        ]
     )
-    counted = df.select(F.inline(cells)).groupBy("_field", "_hot").agg(F.count("*").alias("_n"))
-    per_code = settled(counted).table
-    every = per_code.where(F.col("_field") == fields[0]).agg(F.sum("_n").alias("_all"))
-    common = settled(
-        attach(per_code, every)
-        .where(F.col("_hot").isNotNull() & (F.col("_n") * HOT_SHARES > F.col("_all")))
-        .select("_field", "_hot")
-    ).table
-    out = df
-    for field in fields:
-        # The first letter keeps keys that match nothing apart from those of codes.
-        codes = book.of(field).select(
-            F.concat(F.lit("c"), "code").alias("_key"), F.col("label").alias("_label")
-        )
-        hot = common.where(F.col("_field") == field).select("_hot")
-        served = hot.join(
-            codes, F.concat(F.lit("c"), "_hot") == F.col("_key"), "left"
-        ).select("_hot", F.col("_label").alias("_hot_label"))
-        text = as_text(out, field)
-        spread = F.concat(F.lit("-"), F.xxhash64(*names).cast("string"))
-        matched = F.when(text.isNull() | F.col("_hot").isNotNull(), spread).otherwise(
-            F.concat(F.lit("c"), text)
-        )
-        out = (
-            out.join(F.broadcast(served), text == F.col("_hot"), "left")
-            .withColumn("_match", matched)
-            .join(codes.hint("merge"), F.col("_match") == F.col("_key"), "left")
-            .withColumn(field, F.coalesce("_hot_label", "_label", text))
-            .select(*names)
-        )
-    return out
+    whole = kept.table.join(per_row, cell(row) == F.col("row"), "left")
+    decoded = {
+        f: F.coalesce(F.col(label), as_text(df, f)) for f, label in zip(fields, labels, strict=True)
+    }
+    return whole.withColumns(decoded).select(*map(cell, df.columns))

@@ -57,6 +57,26 @@ def guide_table(spark: SparkSession) -> DataFrame:
     )
 
 
+def large_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A code book with a row for each order and customer, for two columns of the view."""
+    order = "'Order of ' || cast(o_orderdate as date) || ', customer ' || o_custkey"
+    parts = {
+        "orders": ("collision_ref_no", "o_orderkey", order),
+        "customer": ("local_authority_highway_current", "'E' || c_custkey", "c_name || ' in ' || c_mktsegment"),
+    }
+    rows = [
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").selectExpr(
+            "'collision' as table",
+            f"'{field}' as `field name`",
+            f"cast({code} as string) as `code/format`",
+            f"{label} as label",
+            "0 as row_idx",
+        )
+        for name, (field, code, label) in parts.items()
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(guide_table(spark))
+
+
 # Text columns of the view, as expressions over an event.
 VIEW = {
     "collision_index": "event_id",

@@ -352,6 +352,13 @@ def statements() -> dict[str, str]:
           SELECT collision_index, coalesce(label, local_authority_district)
             AS local_authority_district
           FROM fx LEFT JOIN codes ON code = local_authority_district""",
+        "decode_large_dictionaries": f"""{BASE} SELECT decoded.* REPLACE (
+            coalesce('Order of ' || o_orderdate::DATE || ', customer ' || o_custkey, collision_ref_no)
+              AS collision_ref_no,
+            coalesce(c_name || ' in ' || c_mktsegment, local_authority_highway_current)
+              AS local_authority_highway_current)
+          FROM decoded LEFT JOIN orders ON o_orderkey::VARCHAR = collision_ref_no
+            LEFT JOIN customer ON 'E' || c_custkey = local_authority_highway_current""",
         "clean_collisions": f"{BASE} SELECT * FROM cleaned",
         "null_summary": null_summary(),
         "null_summary_wide": f"""{BASE} SELECT count(*) - count(time) AS time,

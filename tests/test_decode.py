@@ -1,6 +1,6 @@
 import pytest
 
-from collidera.operators.decode import code_book, decode, decode_by_join
+from collidera.operators.decode import code_book, decode, decode_by_join, occurring
 
 GUIDE = "table string, `field name` string, `code/format` string, label string, row_idx int"
 
@@ -75,39 +75,78 @@ def test_decoding_twice_is_decoding_once(spark, table):
     assert rows_of(decode(once, book)) == rows_of(once)
 
 
-def test_hot_codes_are_kept_apart_in_a_shuffled_lookup(spark):
-    """A third of the rows share a code, a third have none; nothing is lost."""
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def without_broadcasts(spark):
+    """Joins without a hint take the way that they take on large tables."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hot_codes_are_kept_apart_in_a_shuffled_lookup(spark, without_broadcasts):
+    """A third of the rows share a code, a third an unlisted one, a third of the rest none."""
     codes = [("collision", "district", str(k), f"D{k}") for k in range(2000)]
     df = spark.range(9000).selectExpr(
         "id",
-        "case id % 3 when 0 then '7' when 1 then null else cast(id % 3000 as string) end as district",
+        "case when id % 3 = 0 then '7' when id % 3 = 1 then 'x' when id % 9 = 2 then null"
+        " else cast(id % 3000 as string) end as district",
     )
     book = code_book(guide(spark, codes), df.columns)
     shuffled = decode_by_join(df, book, "district", broadcast_bytes=0)
     broadcast = decode_by_join(df, book, "district")
     assert rows_of(shuffled.fillna("null")) == rows_of(broadcast.fillna("null"))
     assert shuffled.where("district = 'D7'").count() == 3000
-    assert shuffled.where("district is null").count() == 3000
-    plan = shuffled._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and ("SortMergeJoin" in plan or "ShuffledHashJoin" in plan)
-
-
-def test_many_large_dictionaries_read_the_table_once(spark, tmp_path):
-    fields = ["a", "b", "c", "d"]
+    assert shuffled.where("district = 'x'").count() == 3000
+    assert shuffled.where("district is null").count() == 1000
+    known = occurring(df, book, ["district"])
+    assert known.where("code = 'x' and label is null and n = 3000").count() == 1
+    plan = plan_of(shuffled)
+    assert "LeftAnti, BuildRight" in plan and plan.count("SortMergeJoin") == 2
+
+
+@pytest.mark.parametrize("k", [1, 2, 4])
+def test_large_dictionaries_move_whole_rows_once(spark, tmp_path, without_broadcasts, k):
+    """One exchange of the table and one of all cells, however many columns there are."""
+    fields = ["a", "b", "c", "d"][:k]
     path = str(tmp_path / "rows.parquet")
     spark.range(6000).selectExpr(
-        "id", *[f"if(id % 3 = 0, '7', if(id % 3 = 1, null, cast(id % {97 + i} as string))) {f}" for i, f in enumerate(fields)]
-    ).write.parquet(path)
+        "id", "id as _row", "repeat('w', 50) as wide",
+        *[f"if(id % 3 = 0, '7', if(id % 3 = 1, null, cast(id % {97 + i} as string))) {f}" for i, f in enumerate(fields)],
+    ).write.parquet(path)
     df = spark.read.parquet(path)
-    codes = [("collision", f, str(k), f"{f}{k}") for f in fields for k in range(100)]
-    for k in (1, 2, 4):
-        book = code_book(guide(spark, [c for c in codes if c[1] in fields[:k]]), df.columns, map_codes=0)
-        out = decode(df, book, broadcast_bytes=0)
-        plan = out._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("FileScan parquet [id#") == 1 and plan.count("SortMergeJoin") >= k
+    codes = [("collision", f, str(c), f"{f}{c}") for f in fields for c in range(100)]
+    book = code_book(guide(spark, codes), df.columns, map_codes=0)
+    out = decode(df, book, broadcast_bytes=0)
+    exchanges = [x for x in plan_of(out).splitlines() if "Exchange hashpartitioning" in x]
+    assert len([x for x in exchanges if "(_row_#" in x]) == 1
+    assert len([x for x in exchanges if "(field#" in x]) == 2
+    assert len([x for x in exchanges if "(row#" in x]) == 1 and len(exchanges) == 4
+    assert out.columns == df.columns
     assert rows_of(out.fillna("-")) == rows_of(decode(df, book).fillna("-"))
-    # Hot and null rows have keys of their own: no join key holds a large part of the rows.
-    assert out.where("a = 'a7'").count() == 2000 + df.where("a = '7' and id % 3 = 2").count()
+
+
+def test_dictionaries_are_reduced_to_the_codes_that_occur(spark, without_broadcasts):
+    """A dictionary far over the limit is broadcast where few of its codes occur."""
+    df = spark.range(3000).selectExpr("id", "cast(id % 50 as string) a", "cast(id as string) b")
+    rows = spark.range(40_000).selectExpr(
+        "'collision' table", "if(id % 2 = 0, 'a', 'b') `field name`",
+        "cast(floor(id / 2) as string) `code/format`", "'label ' || id label", "cast(id as int) row_idx",
+    )
+    book = code_book(rows, df.columns)
+    assert book.bytes["a"] > 100_000 and book.rows["a"] == 20_000
+    out = decode(df, book, broadcast_bytes=100_000)
+    plan = plan_of(out)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+    assert "Exchange hashpartitioning" not in plan
+    # Of what is left one dictionary fits, the other one does not.
+    mixed = decode(df, book, broadcast_bytes=10_000)
+    assert plan_of(mixed).count("SortMergeJoin") == 2
+    for found in (out, mixed):
+        assert rows_of(found) == rows_of(decode(df, book))
 
 
 def test_dotted_columns_pass_through(spark):
