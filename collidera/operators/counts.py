@@ -6,10 +6,11 @@ aggregation before the shuffle, and the rest runs on distinct values. All
 operators take an optional ``weight`` column, so that a table of counts can stand
 in for the rows it was counted from.
 
-Counts are written to the shared folder. Where their order matters they are written
-in ranges of group and value, as many as their size asks for, and each row remembers
-its range; totals per range then give every range its start, and no task ever holds
-all values of a group.
+Counts are written to the shared folder. Quantiles are found by refining histograms over
+them (``selection``). Where the rank of every value is asked for, counts are written in
+ranges of group and value, as many as their size asks for, and each row remembers its
+range; totals per range then give every range its start, and no task ever holds all
+values of a group.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from collidera.functions.cells import cell, quoted
+from collidera.operators.selection import at_ranks
 from collidera.sources.shared_folder import Settled, settled
 
 
@@ -48,32 +50,23 @@ def ranged(counts: DataFrame, by: Sequence[str] = ()) -> Settled:
 
 
 def number_counts(
-    df: DataFrame,
-    value: str,
-    by: Sequence[str] = (),
-    weight: str | None = None,
-    in_ranges: bool = True,
+    df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None
 ) -> Settled:
     """``(*by, v, n)``: settled counts of the non-null values of a numeric column.
 
-    ``in_ranges`` settles them with the ``_range`` that order statistics need.
-
     Nulls are dropped from the counts, not from the rows: a filter below the
     aggregate would compute a derived column twice per row.
     """
     number = cell(value).cast("double")
     counts = value_counts(df, [*by, value], weight)
-    counts = counts.select(*map(cell, by), number.alias("v"), "n")
-    if in_ranges:
-        return ranged(counts, by)
-    kept = settled(counts)
+    kept = settled(counts.select(*map(cell, by), number.alias("v"), "n"))
     return Settled(kept.table.where(F.col("v").isNotNull()), kept.rows)
 
 
 def long_counts(
     df: DataFrame, values: Sequence[str], by: Sequence[str] = (), weight: str | None = None
 ) -> Settled:
-    """``(*by, column, v, n, _range)``: settled counts of several columns from one scan.
+    """``(*by, column, v, n)``: settled counts of several columns from one scan.
 
     Rows are unfolded before they are counted: the columns are counted apart, so it
     does not matter how many combinations of their values there are.
@@ -81,7 +74,8 @@ def long_counts(
     kept = [*by, weight] if weight else [*by]
     numbers = df.select(*map(cell, kept), *[cell(c).cast("double").alias(c) for c in values])
     cells = numbers.unpivot([*map(cell, kept)], [*map(cell, values)], "column", "v")
-    return ranged(value_counts(cells, [*by, "column", "v"], weight), [*by, "column"])
+    found = settled(value_counts(cells, [*by, "column", "v"], weight))
+    return Settled(found.table.where(F.col("v").isNotNull()), found.rows)
 
 
 def group_key(by: Sequence[str]) -> Column:
@@ -135,37 +129,42 @@ def profile(
     interpolate linearly between the two neighbouring rows.
     """
     quantiles = quantiles or {}
-
-    def at(side: str, p: float) -> str:
-        place = f"{side}((total - 1) * {p}D)"
-        return f"max(if(before <= {place} and {place} < before + n, v, null))"
-
-    def between(name: str, p: float) -> str:
-        spot, low, high = f"(n - 1) * {p}D", f"_{name}_floor", f"_{name}_ceil"
-        return f"{low} + ({spot} - floor({spot})) * ({high} - {low}) as {name}"
-
-    picks = [
-        F.expr(at(side, p)).alias(f"_{name}_{side}")
-        for name, p in quantiles.items()
-        for side in ("floor", "ceil")
-    ]
-    summed = (
-        running_counts(counts, by)
-        .groupBy(group_key(by).alias("_key"))
-        .agg(
-            F.expr("sum(n * (v - mean) * (v - mean))").alias("_squares"),
-            F.max("total").alias("n"),
-            F.max("mean").alias("mean"),
+    keyed = counts.table.select(group_key(by).alias("_key"), "v", "n")
+    groups = settled(
+        keyed.groupBy("_key").agg(
+            F.sum("n").alias("total"),
+            F.expr("sum(n * v) / sum(n)").alias("mean"),
             F.min("v").alias("min"),
             F.max("v").alias("max"),
-            *picks,
+            F.count("*").alias("values"),
         )
+    ).table
+    means = groups.select(F.col("_key").alias("_of"), "mean")
+    squares = (
+        keyed.join(means, F.col("_key") == F.col("_of"))
+        .groupBy(F.col("_key").alias("_sq"))
+        .agg(F.expr("sum(n * (v - mean) * (v - mean))").alias("_squares"))
     )
-    return summed.selectExpr(
+    out = groups.join(squares, F.col("_key") == F.col("_sq"))
+    if quantiles:
+        places = [
+            F.expr(f"{side}((total - 1) * {p}D)")
+            for p in quantiles.values()
+            for side in ("floor", "ceil")
+        ]
+        found = at_ranks(keyed, groups, places).withColumnRenamed("_key", "_rk")
+        out = out.join(found, F.col("_key") == F.col("_rk"))
+
+    def between(name: str, p: float) -> str:
+        spot = f"(total - 1) * {p}D"
+        low, high = (f"by_rank[{side}({spot})]" for side in ("floor", "ceil"))
+        return f"{low} + ({spot} - floor({spot})) * ({high} - {low}) as {quoted(name)}"
+
+    return out.selectExpr(
         *[f"_key.{quoted(b)} as {quoted(b)}" for b in by],
-        "n",
+        "total as n",
         "mean",
-        "sqrt(try_divide(_squares, n - 1)) as sd",
+        "sqrt(try_divide(_squares, total - 1)) as sd",
         "min",
         "max",
         *[between(name, p) for name, p in quantiles.items()],

@@ -64,16 +64,14 @@ def area_summary(df: DataFrame, weight: str | None = None) -> DataFrame:
         F.sum(seen).alias("_seen"),
         F.max(speed).alias("_max"),
     )
-    kept = settled(
-        counted.repartitionByRange(*by, "v").withColumn("_range", F.spark_partition_id())
-    )
+    kept = settled(counted)
     whole = kept.table.groupBy(group_key(by).alias("_key")).agg(
         F.sum("n").alias("n"),
         F.try_divide(F.sum("_sum"), F.sum("_seen")).alias("mean_speed"),
         F.max("_max").alias("max_speed"),
     )
-    ordered = Settled(kept.table.where("v is not null").select(*by, "v", "n", "_range"), kept.rows)
-    medians = profile(ordered, by, {"median": 0.5}).select(
+    present = Settled(kept.table.where("v is not null").select(*by, "v", "n"), kept.rows)
+    medians = profile(present, by, {"median": 0.5}).select(
         group_key(by).alias("_of"), F.col("median").alias("median_casualties")
     )
     return (

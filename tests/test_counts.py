@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from collidera.operators import counts
+from collidera.operators import counts, selection
 from collidera.operators.summary import area_summary, describe, null_counts, null_counts_wide
 from collidera.operators.summary import facet_counts, total_rows
 
@@ -49,9 +50,54 @@ def test_profile(spark, way, seed):
             assert r[name] == pytest.approx(np.percentile(v, 100 * p))
 
 
+def spread(name):
+    """Distinct values that are hard to bracket."""
+    rng = np.random.default_rng(8)
+    return {
+        "even": np.arange(3000.0),
+        "lognormal": rng.lognormal(0, 6, 3000),
+        "halving": np.concatenate([2.0 ** -np.arange(1000), -(2.0 ** np.arange(1000))]),
+        "extreme": np.concatenate([rng.normal(size=500) * 1e308, rng.normal(size=500) * 1e-308, [0.0]]),
+        "clustered": np.concatenate([1e9 + rng.random(1500), -1e-9 * rng.random(1500)]),
+        "infinite": np.concatenate([[np.inf, -np.inf], rng.normal(size=900)]),
+    }[name]
+
+
+@pytest.mark.parametrize("name", ["even", "lognormal", "halving", "extreme", "clustered", "infinite"])
+def test_ranks_by_refinement(spark, name):
+    """Few values per bracket and few bins, so that many passes are needed; two groups."""
+    values = spread(name).tolist()
+    rows = [("a", float(v), 1 + i % 3) for i, v in enumerate(values)] + [(None, float(i), 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, v double, n long").selectExpr("struct(g) as _key", "v", "n")
+    table = counts.settled(df).table
+    groups = counts.settled(
+        table.groupBy("_key").agg(
+            F.sum("n").alias("total"), F.min("v").alias("min"), F.max("v").alias("max"), F.count("*").alias("values"),
+        )
+    ).table
+    shares = [0.0, 0.001, 0.37, 0.5, 0.999, 1.0]
+    ranks = [F.floor((F.col("total") - 1) * p) for p in shares]
+    got = {r._key.g: r.by_rank for r in selection.at_ranks(table, groups, ranks, bins=16, few=5).collect()}
+    for g in ("a", None):
+        whole = np.sort(np.repeat([v for h, v, _ in rows if h == g], [n for h, _, n in rows if h == g]))
+        places = {int((len(whole) - 1) * p) for p in shares}
+        assert got[g] == {k: whole[k] for k in places}
+
+
+def test_quantiles_need_no_range_exchange(spark):
+    """And no sort of all values: only a bracket is put in order."""
+    df = spark.range(50_000).selectExpr("cast(id * 7919 % 49999 as double) x", "id % 2 g")
+    found = counts.profile(counts.number_counts(df, "x", ["g"]), ["g"], {"m": 0.5})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "SinglePartition" not in plan
+    for r in found.collect():
+        v = np.array([i * 7919 % 49999 for i in range(50_000) if i % 2 == r.g])
+        assert r.m == np.median(v) and r.n == 25_000
+
+
 def test_running_counts_without_groups(spark, way):
     df = spark.range(2000).selectExpr("cast(id % 700 as int) as x")
-    run = counts.running_counts(counts.number_counts(df, "x"))
+    run = counts.running_counts(counts.ranged(counts.number_counts(df, "x").table))
     got = sorted((r.v, r.n, r.before, r.total) for r in run.collect())
     before = 0
     for v, n, b, total in got:
