@@ -24,9 +24,12 @@ are ignored; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,45 +48,57 @@ LOW = (1 << 32) - 1
 class Alignment:
     """Tokenizer files on every worker (None: those the environment offers); bounds.
 
-    ``slice_bytes`` of text are tokenised at once and about ``held_pairs`` partial counts
+    ``slice_chars`` of text are tokenised at once and about ``held_pairs`` partial counts
     are held by a task.
     """
 
     byte_level: str | None = None
+    ranks: str | None = None
     pieces: str | None = None
     frequent: int = 1 << 20
-    slice_bytes: int = 1 << 20
+    slice_chars: int = 1 << 20
     held_pairs: int = 1 << 22
 
 
 class Encoders:
-    """Both tokenizers, with the bytes and the printed id of every token."""
+    """Both tokenizers, with the bytes and the printed id of every token.
+
+    The first one is run from its rank file, which is the same vocabulary and several
+    times faster, on all texts but very long ones: white space without end would overflow its stack.
+    """
+
+    LONG = 100_000
 
     def __init__(self, p: Alignment):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import public_tokenizers
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
-        byte_level, pieces = p.byte_level, p.pieces
-        if byte_level is None or pieces is None:
-            import public_tokenizers
+        def path(given: str | None, name: str) -> str:
+            return given or public_tokenizers.path(name)
 
-            byte_level = byte_level or public_tokenizers.path("byte_bpe_50k.json")
-            pieces = pieces or public_tokenizers.path("piece_bpe_32k.model")
-        self.a = Tokenizer.from_file(byte_level)
+        self.a = Tokenizer.from_file(path(p.byte_level, "byte_bpe_50k.json"))
         self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
+        with open(path(p.ranks, "byte_bpe_50k.tiktoken"), "rb") as file:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        self.fast = tiktoken.Encoding(
+            "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        )
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path(p.pieces, "piece_bpe_32k.model"))
         byte_of = {c: b for b, c in byte_characters().items()}
         named = self.a.get_vocab()
         self.bytes_a = [b""] * (max(named.values()) + 1)
         for token, i in named.items():
             self.bytes_a[i] = bytes(map(byte_of.__getitem__, token))
-        self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
+        self.bytes_b = list(map(self._piece, range(self.b.get_piece_size())))
         self.sizes = [np.array(list(map(len, t)), np.int64) for t in (self.bytes_a, self.bytes_b)]
         #: Printed ids: inside a group, and at its end on either side.
         self.shown = [
-            (np.array([f"{i}," for i in range(len(t))], object), np.array([f"{i}{end}" for i in range(len(t))], object))
+            [np.array([f"{i}{mark}" for i in range(len(t))], object) for mark in (",", end)]
             for t, end in ((self.bytes_a, "|"), (self.bytes_b, ";"))
-        ]
+        ]
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -91,35 +106,57 @@ class Encoders:
             return bytes([int(piece[3:5], 16)])
         return piece.replace(SPACE, " ").encode()
 
-    def encoded(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
-        """Ids of both kinds, or None where either does not spell the text."""
-        first = self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)
-        second = self.b.encode(texts, num_threads=1)
-        for text, a, b in zip(texts, first, second, strict=True):
-            whole, a = f" {text}".encode(), a.ids
-            spelled = (
-                b"".join(map(self.bytes_a.__getitem__, a)) == whole
-                and b"".join(map(self.bytes_b.__getitem__, b)) == whole
-            )
-            yield (a, b) if spelled and text else None
-
-    def aligned(self, a: list[int], b: list[int]) -> tuple[int, str, np.ndarray, np.ndarray]:
-        """Groups, their digest, and the linked pairs ``a << 32 | b`` with how often each is."""
-        ids = np.array(a, np.int64), np.array(b, np.int64)
-        ends = [np.cumsum(s[i]) for s, i in zip(self.sizes, ids, strict=True)]
-        common = np.zeros(ends[0][-1] + 1, bool)
-        common[ends[0]] = True
-        last_b = np.flatnonzero(common[ends[1]])
-        common[:] = False
-        common[ends[1]] = True
-        last_a = np.flatnonzero(common[ends[0]])
-        printed = self._printed(ids, (last_a, last_b))
-        digest = hashlib.sha256(printed[:-1].encode()).hexdigest()
-        pairs, counts = np.unique(ids[0][last_a] << 32 | ids[1][last_b], return_counts=True)
-        return len(last_a), digest, pairs, counts
-
-    def _printed(self, ids: tuple, last: tuple) -> str:
-        """``a1,a2|b1;a3|b2,b3;``: the groups, tokens of the first kind before the second's."""
+    def byte_level(self, text: str) -> list[int]:
+        """Ids of the first kind."""
+        if len(text) > self.LONG:
+            return self.a.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
+
+    def spells(self, text: str, a: list[int], b: list[int]) -> bool:
+        """Whether the tokens of both kinds are the bytes of a space and the text."""
+        whole = f" {text}".encode()
+        return all(
+            b"".join(map(kind.__getitem__, ids)) == whole
+            for kind, ids in ((self.bytes_a, a), (self.bytes_b, b))
+        )
+
+    def of(self, texts: list[str]) -> list[tuple | None]:
+        """``(n_a, n_b, n_groups, digest, pairs, counts)`` of each text, None where it is not spelled.
+
+        ``pairs`` are the linked pairs as ``a << 32 | b``, each once, and ``counts`` how often
+        each is linked. All texts are aligned at once, laid end to end.
+        """
+        first = [self.byte_level(f" {t}") for t in texts]
+        found = list(zip(texts, first, self.b.encode(texts, num_threads=1), strict=True))
+        spelled = [t != "" and self.spells(t, a, b) for t, a, b in found]
+        rows: list[tuple | None] = [None] * len(texts)
+        if not any(spelled):
+            return rows
+        kinds = [[row[k] for row, ok in zip(found, spelled, strict=True) if ok] for k in (1, 2)]
+        ids = [np.fromiter(chain.from_iterable(k), np.int64) for k in kinds]
+        tokens = [np.fromiter(map(len, k), np.int64, len(k)) for k in kinds]
+        ends = [np.cumsum(size[i]) for size, i in zip(self.sizes, ids, strict=True)]
+        last = []
+        for own, other in (ends, reversed(ends)):
+            there = np.zeros(own[-1] + 1, bool)
+            there[other] = True
+            last.append(np.flatnonzero(there[own]))
+        border = ends[0][np.cumsum(tokens[0]) - 1]
+        groups = np.searchsorted(ends[0][last[0]], border, "right")
+        shown = self._printed(ids, last)
+        pairs = ids[0][last[0]] << 32 | ids[1][last[1]]
+        at = group = 0
+        sizes = zip(np.flatnonzero(spelled).tolist(), *(t.tolist() for t in tokens), groups.tolist(), strict=True)
+        for row, n_a, n_b, after in sizes:
+            printed = "".join(shown[at : at + n_a + n_b])[:-1]
+            digest = hashlib.sha256(printed.encode()).hexdigest()
+            links = np.unique(pairs[group:after], return_counts=True)
+            rows[row] = n_a, n_b, after - group, digest, *links
+            at, group = at + n_a + n_b, after
+        return rows
+
+    def _printed(self, ids: list[np.ndarray], last: list[np.ndarray]) -> list[str]:
+        """All tokens as they are printed, group by group, the first kind's before the second's."""
         sizes = [np.diff(np.append(-1, x)) for x in last]
         start = np.cumsum(sizes[0] + sizes[1]) - sizes[0] - sizes[1]
         out = np.empty(len(ids[0]) + len(ids[1]), object)
@@ -128,7 +165,17 @@ class Encoders:
             inner, final = self.shown[k]
             out[own] = inner[ids[k]]
             out[own[last[k]]] = final[ids[k][last[k]]]
-        return "".join(out.tolist())
+        return out.tolist()
+
+
+_encoders: dict[Alignment, Encoders] = {}
+
+
+def encoders(p: Alignment) -> Encoders:
+    """The worker's encoders; later tasks find what earlier ones remembered."""
+    if p not in _encoders:
+        _encoders[p] = Encoders(p)
+    return _encoders[p]
 
 
 def slices(texts: list[str], size: int) -> Iterator[list[str]]:
@@ -164,20 +211,18 @@ def alignments(texts: DataFrame, p: Alignment = Alignment()) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoders = Encoders(p)
-        nothing = (0, 0, 0, "", b"", b"")
+        found = encoders(p)
         for batch in batches:
             rows = []
-            for part in slices(batch.column("text").to_pylist(), p.slice_bytes):
-                for found in encoders.encoded(part):
-                    if found is None:
-                        rows.append(nothing)
+            for part in slices(batch.column("text").to_pylist(), p.slice_chars):
+                for whole in found.of(part):
+                    if whole is None:
+                        rows.append((0, 0, 0, "", b"", b""))
                         continue
-                    groups, digest, pairs, counts = encoders.aligned(*found)
+                    *numbers, pairs, counts = whole
                     rows.append(
-                        (len(found[0]), len(found[1]), groups, digest,
-                         pairs.astype("<i8").tobytes(), counts.astype("<i4").tobytes())
-                    )
+                        (*numbers, pairs.astype("<i8").tobytes(), counts.astype("<i4").tobytes())
+                    )
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = [pa.int64()] * 3 + [pa.string()] + [pa.binary()] * 2
             yield pa.RecordBatch.from_arrays(

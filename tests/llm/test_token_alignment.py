@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 from collections import Counter
 
 import numpy as np
@@ -115,10 +116,25 @@ def test_odd_texts(spark, tokenizers, frequent):
         "doc_id int, text string, n_a int, digest string",
     )
     want = [((None if i == 4 else i // 2), *r) for i, r in enumerate(plain(tokenizers, texts))]
-    got = ta.token_alignment(docs, ta.Alignment(frequent=frequent, slice_bytes=20, held_pairs=10))
+    got = ta.token_alignment(docs, ta.Alignment(frequent=frequent, slice_chars=20, held_pairs=10))
     assert rows_of(got) == sorted(want, key=str)
 
 
+def test_rank_file_gives_the_same_ids():
+    """White space of every kind, in every company, and runs of it up to the limit."""
+    rng = random.Random(3)
+    parts = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u200b", "\u3000", "\x00"]
+    parts += ["ab", "don't", "1", "23", "!?", "é", "ﬁ", "e\u0301", "漢字", "😀", "'s", "<s>", "'", "x.y", "▁"]
+    parts += ["<|endoftext|>", "Ⅷ", "²", "अ", "\u094d", "'S"]
+    found = ta.Encoders(ta.Alignment())
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(8000)]
+    texts += [c * found.LONG for c in (" ", "\n", "z", "漢", "!")]
+    assert [found.fast.encode_ordinary(t) for t in texts] == [
+        e.ids for e in found.a.encode_batch(texts, add_special_tokens=False)
+    ]
+    assert len(found.byte_level(" " * 1_000_000)) == 1_000_000
+
+
 def test_registered_query(spark, tokenizers):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
@@ -129,7 +145,7 @@ def test_registered_query(spark, tokenizers):
 
 def test_hot_and_very_long_texts(spark, tokenizers):
     """Thousands of copies are one text; a text of millions of characters is one too."""
-    long = "lorem ipsum dolor " * 150_000 + "z" * 100_000
+    long = "lorem ipsum dolor " * 150_000 + " " * 200_000 + "z" * 100_000
     texts = ["same words again"] * 3000 + [long, "z" * 5000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(8)
     assert ta.distinct_texts(docs).count() == 3
