@@ -3,32 +3,35 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 
 from collidera.functions.levels import in_level_order
-from collidera.plans import areas, hours
-from collidera.plans.prepare import clean_step, decode_step, reduced
+from collidera.plans import hours
+from collidera.plans.prepare import REPORTS, clean_step, decode_step, null_metrics, report_cube
 from collidera.sources.shared_folder import released
 from collidera.sources.tables import CLEANED_TYPES, read_table, write_table
 
-REPORTS = {"hours": hours, "areas": areas}
 
+def report_step(spark: SparkSession, names: Sequence[str], cleaned: str, out: str) -> None:
+    """Write every table of the named reports, each below ``out/<report>``.
 
-def report_step(spark: SparkSession, report_name: str, cleaned: str, out: str) -> None:
-    """Write every table of a report below ``out``."""
-    report = REPORTS[report_name]
+    The cleaned table is scanned once for all of them.
+    """
     with released(spark):
-        _write_report(spark, report, cleaned, out)
-
-
-def _write_report(spark: SparkSession, report, cleaned: str, out: str) -> None:
-    df = read_table(spark, cleaned, CLEANED_TYPES, multiline=True)
-    if report is hours:
-        write_table(hours.missing_values(df), f"{out}/missing_values")
-    counts = reduced(report.features(df), report.COLUMNS, f"{out}/counts")
-    for name, table in report.TABLES.items():
-        write_table(in_level_order(table(counts, "n")), f"{out}/{name}")
+        seen = Observation()
+        df, counted = null_metrics(read_table(spark, cleaned, CLEANED_TYPES), seen)
+        cubes = report_cube(df, names)
+        for report, cube in cubes.items():
+            if report == "hours":
+                found = dict(counted()[0].collect())
+                rows = [tuple(found.get(c, 0) for c in hours.CHECKED)]
+                schema = ", ".join(f"{c} bigint" for c in hours.CHECKED)
+                missing = spark.createDataFrame(rows, schema)
+                write_table(missing, f"{out}/{report}/missing_values")
+            for name, table in REPORTS[report].TABLES.items():
+                write_table(in_level_order(table(cube)), f"{out}/{report}/{name}")
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -37,24 +40,24 @@ def main(argv: list[str] | None = None) -> None:
     step = steps.add_parser("decode", help="codes to labels")
     for name in ("raw", "guide", "out"):
         step.add_argument(name)
-    step.add_argument("--multiline", action="store_true", help="cells hold line breaks")
     step = steps.add_parser("clean", help="sentinels to nulls, dates, types")
     for name in ("decoded", "out"):
         step.add_argument(name)
-    step = steps.add_parser("report", help="all tables of a report")
-    step.add_argument("name", choices=sorted(REPORTS))
+    step = steps.add_parser("report", help="all tables of a report, or of all reports")
+    step.add_argument("name", choices=[*sorted(REPORTS), "all"])
     for name in ("cleaned", "out"):
         step.add_argument(name)
     args = parser.parse_args(argv)
 
     spark = SparkSession.builder.appName(f"collidera {args.step}").getOrCreate()
     if args.step == "decode":
-        decode_step(spark, args.raw, args.guide, args.out, args.multiline)
+        decode_step(spark, args.raw, args.guide, args.out)
     elif args.step == "clean":
         for table in clean_step(spark, args.decoded, args.out):
             table.show(truncate=False)
     else:
-        report_step(spark, args.name, args.cleaned, args.out)
+        names = sorted(REPORTS) if args.name == "all" else [args.name]
+        report_step(spark, names, args.cleaned, args.out)
 
 
 if __name__ == "__main__":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -11,13 +12,14 @@ from pyspark.sql import functions as F
 from collidera.functions.cells import cell
 from collidera.functions.numbers import round_even
 from collidera.operators.counts import ranged, row_count, running_counts
+from collidera.operators.cube import Cube, Source
 from collidera.sources.shared_folder import settled
 
 Pair = tuple[str, str]
 
 
 def spearman(
-    df: DataFrame, pairs: Sequence[Pair], missing: str = "pairwise", weight: str | None = None
+    df: Source, pairs: Sequence[Pair], missing: str = "pairwise", weight: str | None = None
 ) -> DataFrame:
     """``(var1, var2, n, correlation)`` for each pair of numeric columns.
 
@@ -32,6 +34,12 @@ def spearman(
     def number(c: str) -> Column:
         return cell(c).cast("double")
 
+    if isinstance(df, Cube):
+        counted = [
+            df.of([a, b]).select(F.lit(i).alias("pair"), number(a).alias("x"), number(b).alias("y"), "n")
+            for i, (a, b) in enumerate(pairs)
+        ]
+        return _from_counts(reduce(DataFrame.unionByName, counted), pairs, missing)
     cells = F.array(
         *[
             F.struct(F.lit(i).alias("_pair"), number(a).alias("_x"), number(b).alias("_y"))
@@ -39,11 +47,17 @@ def spearman(
         ]
     )
     weights = [] if weight is None else [cell(weight).alias("_weight")]
-    combos = settled(
+    counted = (
         df.select(F.inline(cells), *weights)
         .groupBy(F.col("_pair").alias("pair"), F.col("_x").alias("x"), F.col("_y").alias("y"))
         .agg(row_count("_weight" if weight else None).alias("n"))
-    ).table
+    )
+    return _from_counts(counted, pairs, missing)
+
+
+def _from_counts(counted: DataFrame, pairs: Sequence[Pair], missing: str) -> DataFrame:
+    """Correlations from ``(pair, x, y, n)``."""
+    combos = settled(counted).table
     sums = _rank_sums(combos, F.col("x").isNotNull() & F.col("y").isNotNull())
 
     ratio = F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))
@@ -115,7 +129,7 @@ def _rank_sums(combos: DataFrame, whole: Column) -> DataFrame:
     return present.join(sums, "pair", "left").fillna(0, ["n"])
 
 
-def lower_triangle(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> DataFrame:
+def lower_triangle(df: Source, columns: Sequence[str], weight: str | None = None) -> DataFrame:
     """Pairwise-complete correlations of every two columns, with a one-digit label."""
     pairs = list(combinations(columns, 2))
     return spearman(df, pairs, "pairwise", weight).withColumn(
@@ -123,7 +137,7 @@ def lower_triangle(df: DataFrame, columns: Sequence[str], weight: str | None = N
     )
 
 
-def matrix(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> DataFrame:
+def matrix(df: Source, columns: Sequence[str], weight: str | None = None) -> DataFrame:
     """``(var1, var2, correlation, label)`` for every ordered pair, the diagonal 1.
 
     A pair is null when a row lacks one of its columns. The label has two digits.
@@ -136,7 +150,7 @@ def matrix(df: DataFrame, columns: Sequence[str], weight: str | None = None) ->
     both = half.select(F.explode(cells).alias("cell")).select("cell.*")
     names = F.explode(F.array(*[F.lit(c) for c in columns]))
     diagonal = (
-        df.sparkSession.range(1)
+        half.sparkSession.range(1)
         .select(names.alias("var1"))
         .select("var1", F.col("var1").alias("var2"), F.lit(1.0).alias("correlation"))
     )

@@ -16,11 +16,13 @@ values of a group.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from collidera.functions.cells import cell, quoted
+from collidera.operators.cube import Cube, Source
 from collidera.operators.selection import at_ranks
 from collidera.sources.shared_folder import Settled, settled
 
@@ -30,9 +32,11 @@ def row_count(weight: str | None) -> Column:
 
 
 def value_counts(
-    df: DataFrame, columns: Sequence[str], weight: str | None = None
+    df: Source, columns: Sequence[str], weight: str | None = None
 ) -> DataFrame:
     """``(*columns, n)``: rows per combination of values, nulls kept as a value."""
+    if isinstance(df, Cube):
+        return df.of(columns)
     return df.groupBy(*map(cell, columns)).agg(row_count(weight).alias("n"))
 
 
@@ -50,7 +54,7 @@ def ranged(counts: DataFrame, by: Sequence[str] = ()) -> Settled:
 
 
 def number_counts(
-    df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None
+    df: Source, value: str, by: Sequence[str] = (), weight: str | None = None
 ) -> Settled:
     """``(*by, v, n)``: settled counts of the non-null values of a numeric column.
 
@@ -64,13 +68,22 @@ def number_counts(
 
 
 def long_counts(
-    df: DataFrame, values: Sequence[str], by: Sequence[str] = (), weight: str | None = None
+    df: Source, values: Sequence[str], by: Sequence[str] = (), weight: str | None = None
 ) -> Settled:
     """``(*by, column, v, n)``: settled counts of several columns from one scan.
 
     Rows are unfolded before they are counted: the columns are counted apart, so it
     does not matter how many combinations of their values there are.
     """
+    if isinstance(df, Cube):
+        parts = [
+            df.of([*by, c]).select(
+                *map(cell, by), F.lit(c).alias("column"), cell(c).cast("double").alias("v"), "n"
+            )
+            for c in values
+        ]
+        found = settled(reduce(DataFrame.unionByName, parts))
+        return Settled(found.table.where(F.col("v").isNotNull()), found.rows)
     kept = [*by, weight] if weight else [*by]
     numbers = df.select(*map(cell, kept), *[cell(c).cast("double").alias(c) for c in values])
     cells = numbers.unpivot([*map(cell, kept)], [*map(cell, values)], "column", "v")

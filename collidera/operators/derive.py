@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from collidera.functions.cells import as_text, hour_of
@@ -84,9 +84,16 @@ def area_features(df: DataFrame) -> DataFrame:
 
     Rows of an unknown severity are kept.
     """
+    return named_areas(df).where(known_area())
+
+
+def named_areas(df: DataFrame) -> DataFrame:
+    """Adds area and severity categories; rows of an unknown area are kept."""
     area = first_match(as_text(df, "urban_or_rural_area"), coded_levels(AREAS), UNKNOWN)
-    return (
-        labelled_severity(df.withColumn("area_type", area))
-        .where(F.col("area_type") != UNKNOWN)
-        .withColumn("area_ord", level_ordinal(F.col("area_type"), AREAS))
+    return labelled_severity(df.withColumn("area_type", area)).withColumn(
+        "area_ord", level_ordinal(F.col("area_type"), AREAS)
     )
+
+
+def known_area() -> Column:
+    return F.col("area_type") != UNKNOWN

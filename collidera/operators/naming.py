@@ -9,6 +9,7 @@ from inspect import signature
 from pyspark.sql import DataFrame
 
 from collidera.functions.cells import cell
+from collidera.operators.cube import rows_of
 
 
 def apart(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -25,6 +26,7 @@ def apart(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         given.apply_defaults()
         asked = given.arguments
         by: Sequence[str] = asked["by"]
+        asked["df"], asked["weight"] = rows_of(asked["df"], [*by, asked["value"]], asked["weight"])
         inner = [f"_by{i}" for i in range(len(by))]
         columns = [cell(b).alias(k) for b, k in zip(by, inner, strict=True)]
         columns.append(cell(asked["value"]).alias("_value"))

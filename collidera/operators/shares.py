@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from collidera.functions.cells import all_present
 from collidera.functions.numbers import log10_count, percent
 from collidera.operators.counts import value_counts
+from collidera.operators.cube import Source, rows_of
 
 
 def stack_top(height: Column, bar: str, ordinal: str) -> Column:
@@ -25,9 +26,10 @@ def stack_top(height: Column, bar: str, ordinal: str) -> Column:
 
 
 def category_share(
-    df: DataFrame, group: str, category: str, ordinal: str, weight: str | None = None
+    df: Source, group: str, category: str, ordinal: str, weight: str | None = None
 ) -> DataFrame:
     """``(group, category, ordinal, n, pct)``: percent of the group; nulls left out."""
+    df, weight = rows_of(df, [group, category, ordinal], weight)
     counts = value_counts(
         df.where(all_present(group, category)), [group, category, ordinal], weight
     )
@@ -36,7 +38,7 @@ def category_share(
 
 
 def filled_stack(
-    df: DataFrame, group: str, category: str, ordinal: str, weight: str | None = None
+    df: Source, group: str, category: str, ordinal: str, weight: str | None = None
 ) -> DataFrame:
     """Shares stacked to 1: ``share``, ``ymin`` and ``ymax`` of every segment."""
     shares = category_share(df, group, category, ordinal, weight)

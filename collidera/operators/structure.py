@@ -2,41 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from collidera.operators.attach import attach
+from collidera.functions.cells import cell
 
 
-def structure(df: DataFrame, first: int = 5) -> DataFrame:
-    """``(position, column, type, n_rows, first_values)``, one row per column.
+COLUMNS = "position int, column string, type string, first_values string, n_rows bigint"
 
-    ``first_values`` shows the column in the ``first`` rows that lead when the
-    table is sorted by all its columns; a null shows as ``NA``.
-    """
 
-    def shown_cell(cell: Column) -> Column:
-        return F.coalesce(cell, F.lit("NA"))
-
-    order = df.columns
-    shown = (
-        df.orderBy(*order)
-        .limit(first)
-        .agg(F.sort_array(F.collect_list(F.struct(*order))).alias("head"))
-    )
-    facts = attach(df.agg(F.count("*").alias("n_rows")), shown)
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("position"),
-                F.lit(field.name).alias("column"),
-                F.lit(field.dataType.simpleString()).alias("type"),
-                F.concat_ws(
-                    ", ",
-                    F.transform(F.col("head")[field.name].cast("array<string>"), shown_cell),
-                ).alias("first_values"),
-            )
-            for i, field in enumerate(df.schema, start=1)
-        ]
-    )
-    return facts.select("n_rows", F.explode(cells).alias("cell")).select("cell.*", "n_rows")
+def structure(df: DataFrame, first: int = 5, n_rows: int | None = None) -> DataFrame:
+    """``(position, column, type, first_values, n_rows)``, one row per column.
+
+    ``first_values`` shows the column in the ``first`` rows that lead when the table is
+    sorted by all its columns; a null shows as ``NA``. One scan finds these rows, as each
+    task keeps no more than ``first``, and counts all rows on the way. Where ``n_rows`` is
+    known, the table's own first rows are shown and no more than they is read.
+    """
+    texts = [F.coalesce(cell(c).cast("string"), F.lit("NA")) for c in df.columns]
+    if n_rows is None:
+        seen = Observation()
+        counted = df.observe(seen, F.count(F.lit(1)).alias("n_rows"))
+        head = counted.orderBy(*map(cell, df.columns)).limit(first).select(*texts).collect()
+        n_rows = seen.get["n_rows"]
+    else:
+        head = df.limit(first).select(*texts).collect()
+    rows = [
+        (i, field.name, field.dataType.simpleString(), ", ".join(r[i - 1] for r in head), n_rows)
+        for i, field in enumerate(df.schema, start=1)
+    ]
+    return df.sparkSession.createDataFrame(rows, COLUMNS)

@@ -16,6 +16,7 @@ from collidera.operators.counts import (
     row_count,
     value_counts,
 )
+from collidera.operators.cube import Source, rows_of
 from collidera.sources.shared_folder import Settled, settled
 
 
@@ -39,7 +40,7 @@ def null_counts(
     return wide.unpivot([], [cell(c) for c in wide.columns], "column", "n_null").where(F.col("n_null") > 0)
 
 
-def describe(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> DataFrame:
+def describe(df: Source, columns: Sequence[str], weight: str | None = None) -> DataFrame:
     """``(metric, value)`` with mean, median, sample sd, min and max of each column.
 
     Nulls are left out. Metrics are named ``{column}_{statistic}``.
@@ -49,12 +50,13 @@ def describe(df: DataFrame, columns: Sequence[str], weight: str | None = None) -
     return long.select(F.concat_ws("_", "column", "stat").alias("metric"), "value")
 
 
-def area_summary(df: DataFrame, weight: str | None = None) -> DataFrame:
+def area_summary(df: Source, weight: str | None = None) -> DataFrame:
     """Rows, mean and highest speed limit, median casualties per area, in level order.
 
     One aggregate over area and casualties holds all of it.
     """
     by = ["area_type", "area_ord"]
+    df, weight = rows_of(df, [*by, "speed_limit", "number_of_casualties"], weight)
     speed = F.col("speed_limit").cast("double")
     step = F.lit(1).cast("bigint") if weight is None else cell(weight)
     seen = F.when(speed.isNotNull(), step)
@@ -82,14 +84,15 @@ def area_summary(df: DataFrame, weight: str | None = None) -> DataFrame:
     )
 
 
-def total_rows(df: DataFrame, text: str, weight: str | None = None) -> DataFrame:
+def total_rows(df: Source, text: str, weight: str | None = None) -> DataFrame:
     """One row: the number of rows, and a sentence that ends with it."""
+    df, weight = rows_of(df, [], weight)
     n = df.agg(F.coalesce(row_count(weight), F.lit(0)).alias("n"))
     return n.select("n", F.concat_ws(" ", F.lit(text), F.col("n").cast("string")).alias("message"))
 
 
 def facet_counts(
-    df: DataFrame, panel: str, category: str, weight: str | None = None
+    df: Source, panel: str, category: str, weight: str | None = None
 ) -> DataFrame:
     """Rows per (panel, category) and the largest count of the panel.
 

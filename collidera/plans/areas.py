@@ -10,19 +10,20 @@ from collidera.operators.box import box_outliers, box_stats
 from collidera.operators.correlation import matrix
 from collidera.operators.counts import value_counts
 from collidera.operators.density import violins
-from collidera.operators.derive import area_features
+from collidera.operators.cube import Cube
+from collidera.operators.derive import area_features, known_area, named_areas
 from collidera.operators.histogram import histogram
 from collidera.operators.shares import category_share, filled_stack
 from collidera.operators.summary import area_summary, facet_counts, total_rows
 
-COLUMNS = [
-    "area_type",
-    "area_ord",
-    "severity",
-    "severity_ord",
-    "speed_limit",
-    "number_of_vehicles",
-    "number_of_casualties",
+# Sets of columns whose counts the tables below are made of; each names the area.
+SETS = [
+    ["area_type"],
+    ["area_type", "area_ord", "speed_limit", "number_of_casualties"],
+    ["area_type", "number_of_vehicles", "number_of_casualties"],
+    ["area_type", "number_of_casualties"],
+    ["area_type", "speed_limit"],
+    ["area_type", "severity", "severity_ord"],
 ]
 ROWS_TEXT = "Rows to analyse:"
 
@@ -31,6 +32,16 @@ def features(cleaned: DataFrame) -> DataFrame:
     return area_features(cleaned)
 
 
+def add_features(cleaned: DataFrame) -> DataFrame:
+    """The columns of ``SETS``, with rows of unknown areas."""
+    return named_areas(cleaned)
+
+
+def of_cube(cube: Cube) -> Cube:
+    """The part of a cube over ``SETS`` that the report is about."""
+    return cube.where("area_type", known_area())
+
+
 def rows(df: DataFrame, weight: str | None = None) -> DataFrame:
     return total_rows(df, ROWS_TEXT, weight)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from collidera.operators.correlation import lower_triangle, spearman
 from collidera.operators.counts import value_counts
+from collidera.operators.cube import Cube
 from collidera.operators.density import density, ridges
 from collidera.operators.derive import labelled_severity, severity_features, time_features
 from collidera.operators.histogram import histogram
@@ -16,15 +17,18 @@ from collidera.operators.summary import describe, null_counts_wide
 from collidera.sources.shared_folder import settled
 
 CHECKED = ["time", "day_of_week", "collision_severity", "number_of_casualties"]
-COLUMNS = [
-    "hour",
-    "day_of_week",
-    "day_ord",
-    "day_type",
-    "collision_severity",
-    "number_of_vehicles",
-    "number_of_casualties",
-    "speed_limit",
+# Sets of columns whose counts the tables below are made of.
+SETS = [
+    ["hour"],
+    ["number_of_casualties"],
+    ["hour", "number_of_casualties"],
+    ["number_of_vehicles", "number_of_casualties"],
+    ["hour", "speed_limit"],
+    ["number_of_casualties", "speed_limit"],
+    ["day_type", "hour"],
+    ["day_of_week", "day_type", "hour"],
+    ["day_of_week", "hour"],
+    ["hour", "collision_severity"],
 ]
 
 
@@ -35,6 +39,16 @@ def features(
     return labelled_severity(time_features(cleaned, weekend, weekday))
 
 
+def add_features(cleaned: DataFrame) -> DataFrame:
+    """The columns of ``SETS``."""
+    return features(cleaned)
+
+
+def of_cube(cube: Cube) -> Cube:
+    """The part of a cube over ``SETS`` that the report is about: all of it."""
+    return cube
+
+
 def missing_values(cleaned: DataFrame) -> DataFrame:
     return null_counts_wide(cleaned, CHECKED)
 

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from collidera.functions.cells import cell
 from collidera.operators.clean import clean
-from collidera.operators.counts import value_counts
+from collidera.operators.cube import Cube, cubed
 from collidera.operators.decode import CodeBook, code_book, decode
 from collidera.operators.structure import structure
-from collidera.operators.summary import null_counts
+from collidera.plans import areas, hours
 from collidera.sources.tables import CLEANED_TYPES, RAW_TYPES, read_table, write_table
 from collidera.sources.workbook import read_guide, workbook_files
 
-__all__ = ["clean_step", "decode_step", "prepared", "read_code_book", "reduced"]
-
-
 def prepared(df: DataFrame, book: CodeBook) -> DataFrame:
     """Decoded and cleaned in one plan, without a table in between."""
     return clean(decode(df, book))
@@ -28,35 +28,65 @@ def read_code_book(spark: SparkSession, path: str) -> DataFrame:
     """
     if path.endswith(".xlsx"):
         return read_guide(workbook_files(spark, path))
-    rows = read_table(spark, path, {}, multiline=True)
+    rows = read_table(spark, path, {})
     if "row_idx" in rows.columns:
         return rows.withColumn("row_idx", F.col("row_idx").cast("bigint"))
     return rows.withColumn("row_idx", F.monotonically_increasing_id())
 
 
-def decode_step(
-    spark: SparkSession, raw: str, guide: str, out: str, multiline: bool = False
-) -> None:
+def decode_step(spark: SparkSession, raw: str, guide: str, out: str) -> None:
     """Decode the raw table at ``raw`` with the code book at ``guide`` into ``out``."""
-    df = read_table(spark, raw, RAW_TYPES, multiline)
+    df = read_table(spark, raw, RAW_TYPES)
     write_table(decode(df, code_book(read_code_book(spark, guide), df.columns)), out, null="")
 
 
 def clean_step(spark: SparkSession, decoded: str, out: str) -> tuple[DataFrame, DataFrame]:
     """Clean the decoded table at ``decoded`` into ``out``.
 
-    Returns the structure of the cleaned table and its null counts.
+    Returns the structure of the cleaned table, with its first rows as they were written,
+    and its null counts. Rows and nulls are counted while they are written; nothing but
+    the first rows is read again.
     """
-    write_table(clean(read_table(spark, decoded, RAW_TYPES, multiline=True)), out, null="NA")
-    cleaned = read_table(spark, out, CLEANED_TYPES, multiline=True)
-    return structure(cleaned), null_counts(cleaned)
+    cleaned = clean(read_table(spark, decoded, RAW_TYPES))
+    seen = Observation()
+    observed, counts = null_metrics(cleaned, seen)
+    write_table(observed, out, null="NA")
+    nulls, n_rows = counts()
+    return structure(read_table(spark, out, CLEANED_TYPES), n_rows=n_rows), nulls
 
 
-def reduced(df: DataFrame, columns: list[str], path: str) -> DataFrame:
-    """Row counts per combination of ``columns``, written to ``path`` and read back.
+def null_metrics(
+    df: DataFrame, seen: Observation
+) -> tuple[DataFrame, Callable[[], tuple[DataFrame, int]]]:
+    """``df`` that counts its rows and nulls as it is computed, and what it has counted.
 
-    A report asks for many statistics of few columns; from this table on, each of
-    them costs a pass over combinations instead of rows.
+    The second part gives ``(column, n_null)`` of the columns with nulls, and the number
+    of rows, once the first one is written.
     """
-    value_counts(df, columns).write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    columns = df.columns
+    nulls = [F.count_if(cell(c).isNull()).alias(f"nulls{i}") for i, c in enumerate(columns)]
+    observed = df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *nulls)
+
+    def counts() -> tuple[DataFrame, int]:
+        rows = [(c, seen.get[f"nulls{i}"]) for i, c in enumerate(columns)]
+        found = [(c, n) for c, n in rows if n]
+        table = df.sparkSession.createDataFrame(found, "column string, n_null bigint")
+        return table, seen.get["n_rows"]
+
+    return observed, counts
+
+
+def report_cube(
+    cleaned: DataFrame, reports: Sequence[str], path: str | None = None
+) -> dict[str, Cube]:
+    """Counts that the tables of the named reports need, from one scan of the cleaned table."""
+    features = cleaned
+    sets: list[list[str]] = []
+    for name in reports:
+        features = REPORTS[name].add_features(features)
+        sets += REPORTS[name].SETS
+    whole = cubed(features, sets, path)
+    return {name: REPORTS[name].of_cube(whole) for name in reports}
+
+
+REPORTS = {"hours": hours, "areas": areas}

@@ -7,6 +7,7 @@ import zipfile
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DISTRICTS = 300
 
@@ -112,6 +113,19 @@ def collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def as_written(df: DataFrame) -> DataFrame:
+    """Every column as the text that a file would have, and columns of a few more kinds."""
+    texts = df.select(*[F.col(c).cast("string") for c in df.columns])
+    return texts.selectExpr(
+        "*",
+        "speed_limit || '.5' as half_limit",
+        "concat_ws('-', substring(date, 7, 4), substring(date, 4, 2), '05') as month",
+        "'0' || collision_ref_no as padded",
+        "collision_ref_no || '00000000' as large",
+        "cast(null as string) as empty",
+    )
+
+
 def guide_workbook() -> bytes:
     """The code book as the first sheet of a workbook."""
     header = ("table", "field name", "code/format", "label")

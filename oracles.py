@@ -333,6 +333,72 @@ BOXES = """
     )"""
 
 
+RAW_COLUMNS = [
+    "collision_year", "collision_index", "collision_ref_no", "local_authority_highway_current",
+    "local_authority_district", "date", "time", "day_of_week", "collision_severity",
+    "enhanced_severity_collision", "junction_detail", "urban_or_rural_area", "speed_limit",
+    "number_of_vehicles", "number_of_casualties",
+]
+
+
+def guessed_types() -> str:
+    """The narrowest type that every cell of a column can be read as."""
+    more = {
+        "half_limit": "speed_limit || '.5'",
+        "month": "concat_ws('-', substr(date, 7, 4), substr(date, 4, 2), '05')",
+        "padded": "'0' || collision_ref_no",
+        "large": "collision_ref_no || '00000000'",
+        "empty": "CAST(NULL AS VARCHAR)",
+    }
+    whole = "regexp_full_match(c, '[+-]?(0|[1-9][0-9]*)')"
+    able = {
+        "int": f"{whole} AND TRY_CAST(c AS INTEGER) IS NOT NULL",
+        "bigint": f"{whole} AND TRY_CAST(c AS BIGINT) IS NOT NULL",
+        "double": r"""regexp_full_match(c, '[+-]?((0|[1-9][0-9]*)(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?')
+          AND TRY_CAST(c AS DOUBLE) IS NOT NULL""",
+        "time": "regexp_full_match(c, '([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9])?')",
+        "date": "regexp_full_match(c, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND TRY_CAST(c AS DATE) IS NOT NULL",
+    }
+    cases = " ".join(f"WHEN bool_and({test}) FILTER (c IS NOT NULL) THEN '{name}'" for name, test in able.items())
+    parts = [
+        f"""SELECT {i} AS position, '{name}' AS "column",
+          CASE WHEN count(c) = 0 THEN 'string' {cases} ELSE 'string' END AS type, count(c) AS n
+          FROM (SELECT CAST({more.get(name, name)} AS VARCHAR) AS c FROM fx)"""
+        for i, name in enumerate([*RAW_COLUMNS, *more], start=1)
+    ]
+    return f"{BASE} {' UNION ALL '.join(parts)}"
+
+
+#: Sets of columns that the two reports count.
+REPORT_SETS = [
+    "hour", "number_of_casualties", "hour, number_of_casualties",
+    "number_of_vehicles, number_of_casualties", "hour, speed_limit",
+    "number_of_casualties, speed_limit", "day_type, hour", "day_of_week, day_type, hour",
+    "day_of_week, hour", "hour, collision_severity", "area_type",
+    "area_type, area_ord, speed_limit, number_of_casualties",
+    "area_type, number_of_vehicles, number_of_casualties", "area_type, number_of_casualties",
+    "area_type, speed_limit", "area_type, severity, severity_ord",
+]
+
+
+def report_counts() -> str:
+    """Each set grouped by itself."""
+    columns = list(dict.fromkeys(c for s in REPORT_SETS for c in s.split(", ")))
+    kinds = {c: "VARCHAR" for c in ("day_type", "day_of_week", "collision_severity", "area_type", "severity")}
+    parts = [
+        "SELECT "
+        + ", ".join(c if c in s.split(", ") else f"NULL::{kinds.get(c, 'INTEGER')} AS {c}" for c in columns)
+        + f", {i} AS set, count(*) AS n FROM every GROUP BY {s}"
+        for i, s in enumerate(REPORT_SETS)
+    ]
+    return f"""{BASE}, every AS (
+        SELECT *, CASE WHEN urban_or_rural_area IN ('Urban', 'Rural') THEN urban_or_rural_area
+            ELSE 'Unknown' END AS area_type,
+          CASE urban_or_rural_area WHEN 'Urban' THEN 1 WHEN 'Rural' THEN 2 END AS area_ord
+        FROM q1)
+      {' UNION ALL '.join(parts)}"""
+
+
 def statements() -> dict[str, str]:
     severity_counts = """
       SELECT area_type, severity, severity_ord, count(*) AS n FROM q6
@@ -430,6 +496,8 @@ def statements() -> dict[str, str]:
         "csv_roundtrip": f"""{BASE} SELECT *,
             'line one, "quoted"' || chr(10) || 'line two; ' || number_of_vehicles AS note
             FROM cleaned""",
+        "guessed_types": guessed_types(),
+        "report_counts": report_counts(),
         "excel_guide": f"""{BASE}
           SELECT collision_severity, urban_or_rural_area, day_of_week, junction_detail,
             count(*) AS n FROM decoded GROUP BY ALL""",

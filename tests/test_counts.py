@@ -57,7 +57,7 @@ def spread(name):
         "even": np.arange(3000.0),
         "lognormal": rng.lognormal(0, 6, 3000),
         "halving": np.concatenate([2.0 ** -np.arange(1000), -(2.0 ** np.arange(1000))]),
-        "extreme": np.concatenate([rng.normal(size=500) * 1e308, rng.normal(size=500) * 1e-308, [0.0]]),
+        "extreme": np.concatenate([rng.normal(size=500) * 1e307, rng.normal(size=500) * 1e-308, [0.0]]),
         "clustered": np.concatenate([1e9 + rng.random(1500), -1e-9 * rng.random(1500)]),
         "infinite": np.concatenate([[np.inf, -np.inf], rng.normal(size=900)]),
     }[name]

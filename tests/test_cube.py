@@ -1,0 +1,86 @@
+"""Grouping sets: every table of the reports from counts of its own columns."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import fixtures
+from collidera.operators.counts import value_counts
+from collidera.operators.cube import Cube, counted_sets, cubed
+from collidera.operators.decode import code_book
+from collidera.plans import areas, hours
+from collidera.plans.prepare import prepared, report_cube
+
+SF_DIR = "/root/testdata/sf0.001"
+ROWS = [("a", 1, None), ("a", None, "x"), (None, 1, "x"), ("a", 1, "y"), (None, None, None)]
+
+
+@pytest.fixture
+def table(spark):
+    return spark.createDataFrame(ROWS, "`g.h` string, k int, t string")
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+SETS = [["g.h"], ["k", "g.h"], ["t"], []]
+
+
+def test_nulls_of_cells_and_of_sets_are_apart(table):
+    got = counted_sets(table, SETS)
+    assert got.columns == ["g.h", "k", "t", "set", "n"]
+    for i, s in enumerate(SETS):
+        own = got.where(F.col("set") == i)
+        assert rows_of(own.select(*[f"`{c}`" for c in s], "n")) == rows_of(value_counts(table, s))
+
+
+def test_a_cube_gives_sets_and_parts_of_them(spark, table):
+    cube = cubed(table, SETS)
+    for columns in (["g.h"], ["g.h", "k"], ["k"], ["t"], []):
+        assert rows_of(cube.of(columns)) == rows_of(value_counts(table, columns))
+    with pytest.raises(KeyError, match="t, k"):
+        cube.of(["t", "k"])
+    part = cube.where("g.h", F.col("`g.h`") == "a").of(["k"])
+    assert rows_of(part) == rows_of(value_counts(table.where("`g.h` = 'a'"), ["k"]))
+    empty = cubed(table.limit(0), SETS[:3])
+    assert all(t.count() == 0 for t in empty.tables.values())
+
+
+def test_one_scan_feeds_both_reports(spark):
+    """Tables from the cube are those from the rows, and rows are computed once."""
+    fx = fixtures.collisions(spark, SF_DIR)
+    cleaned = prepared(fx, code_book(fixtures.guide_table(spark), fx.columns))
+    passed = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def counting(_):
+        passed.add(1)
+        return True
+
+    total = cleaned.count()
+    seen = cleaned.where(counting(F.rand(1)))
+    cubes = report_cube(seen, ["hours", "areas"])
+    found = {}
+    for name, report in {"hours": hours, "areas": areas}.items():
+        assert isinstance(cubes[name], Cube)
+        for table, operator in report.TABLES.items():
+            found[name, table] = rounded(operator(cubes[name]))
+    assert passed.value == total
+    for name, report in {"hours": hours, "areas": areas}.items():
+        rows = report.features(cleaned)
+        for table, operator in report.TABLES.items():
+            assert found[name, table] == rounded(operator(rows)), table
+
+
+def rounded(df):
+    return sorted(
+        (tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()), key=str
+    )
+
+
+def test_each_table_reads_counts_of_its_own_size(spark):
+    """A column with a value per row stays out of the counts of all tables that do not use it."""
+    df = spark.range(5000).selectExpr("id as fine", "id % 3 as g", "id % 24 as hour")
+    cube = cubed(df, [["g", "hour"], ["fine"], ["g"]])
+    assert cube.of(["g", "hour"]).count() == 24 and cube.of(["g"]).count() == 3
+    assert cube.of(["fine"]).count() == 5000

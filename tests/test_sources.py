@@ -3,10 +3,12 @@ import zipfile
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from collidera.operators.decode import code_book
 from collidera.operators.structure import structure
+from collidera.plans import prepare
 from collidera.plans.prepare import clean_step, read_code_book
 import fixtures
 from collidera.sources import shared_folder, tables, workbook
@@ -44,7 +46,7 @@ def test_csv_reading(spark, tmp_path):
 def test_quoted_line_breaks(spark, tmp_path):
     path = write(tmp_path / "raw.csv", 'a,b\n1,"two\nlines"\n')
     schema = tables.csv_schema(spark, path, {})
-    assert tables.read_csv(spark, path, schema, multiline=True).first().b == "two\nlines"
+    assert tables.read_csv(spark, path, schema).first().b == "two\nlines"
 
 
 def test_a_differing_header_fails(spark, tmp_path):
@@ -68,10 +70,36 @@ def test_cells_with_line_breaks_survive_the_hand_offs(spark, tmp_path, text):
     raw, out = str(tmp_path / "decoded.csv"), str(tmp_path / "cleaned.csv")
     tables.write_table(df, raw, null="")
     clean_step(spark, raw, out)
-    back = tables.read_table(spark, out, tables.CLEANED_TYPES, multiline=True)
+    back = tables.read_table(spark, out, tables.CLEANED_TYPES)
     assert sorted(map(tuple, back.collect())) == sorted([(text, 30), ("plain", 40)])
 
 
+def test_cleaning_reads_the_table_once(spark, tmp_path, monkeypatch):
+    """Rows and nulls are counted while the cleaned table is written."""
+    rows = [("Unknown", "30", None), ("x", None, "01/02/2024"), ("y", "50", "31/02/2024")] * 50
+    df = spark.createDataFrame(rows, "note string, speed_limit string, date string")
+    decoded, out = str(tmp_path / "decoded"), str(tmp_path / "cleaned")
+    tables.write_table(df, decoded)
+    passed = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def counting(_):
+        passed.add(1)
+        return True
+
+    def reading(spark, path, *types):
+        table = tables.read_table(spark, path, *types)
+        return table.where(counting(F.rand(1))) if path == decoded else table
+
+    monkeypatch.setattr(prepare, "read_table", reading)
+    preview, nulls = clean_step(spark, decoded, out)
+    assert sorted(map(tuple, nulls.collect())) == [("date", 100), ("note", 50), ("speed_limit", 50)]
+    found = {r.column: r for r in preview.collect()}
+    assert {r.n_rows for r in found.values()} == {150} and found["date"].type == "date"
+    assert found["note"].first_values.count(",") == 4
+    assert passed.value == 150
+
+
 @pytest.mark.parametrize("kind", ["csv", "parquet"])
 def test_code_books_without_row_numbers(spark, tmp_path, kind):
     path = str(tmp_path / f"guide.{kind}")
