@@ -4,7 +4,7 @@ Values are first binned linearly onto an even grid that goes four bandwidths pas
 curve on both sides: a value gives its weight to the two neighbouring points, the more
 to the nearer one. The kernel is summed over these points and the curve is read off by
 linear interpolation. A curve so costs a fixed number of terms, however many values it
-is made of.
+is made of, and they are summed inside one array per group.
 """
 
 from __future__ import annotations
@@ -46,10 +46,10 @@ def _group_stats(counts: Settled, by: Sequence[str]) -> DataFrame:
 def _curves(counts: Settled, curves: DataFrame, by: Sequence[str]) -> DataFrame:
     """``(*by, i, x, density)``; ``curves`` has ``_key, n, bw, lo, hi`` per group.
 
-    The curves are used three times and so settled.
+    The weights of a group's grid points become one array, which is folded with the kernel
+    by array functions: all that moves between tasks is a row per group and grid point.
     """
     end = POINTS - 1
-    points = f"explode(sequence(0, {end}))"
     groups = settled(
         curves.selectExpr(
             "_key",
@@ -65,33 +65,32 @@ def _curves(counts: Settled, curves: DataFrame, by: Sequence[str]) -> DataFrame:
         struct(least(int(floor(_at)), {end}) as _j, 1 - (_at - floor(_at)) as _share),
         struct(least(int(floor(_at)) + 1, {end}) as _j, _at - floor(_at) as _share)))"""
     weights = (
-        counts.table.select(group_key(by).alias("_key"), F.col("v").alias("_v"), F.col("n").alias("_m"))
-        .join(groups, "_key")
-        .selectExpr("_key", "_m", "(_v - _left) / _step as _at")
-        .selectExpr("_key", "_m", shared)
-        .groupBy("_key", "_j")
+        counts.table.select(group_key(by).alias("_of"), F.col("v").alias("_v"), F.col("n").alias("_m"))
+        .join(groups, F.col("_of") == F.col("_key"))
+        .selectExpr("_of", "_m", "(_v - _left) / _step as _at")
+        .selectExpr("_of", "_m", shared)
+        .groupBy("_of", "_j")
         .agg(F.expr("sum(_m * _share)").alias("_w"))
+        .groupBy("_of")
+        .agg(F.map_from_entries(F.collect_list(F.struct("_j", "_w"))).alias("_weights"))
     )
-    summed = (
-        weights.join(groups, "_key")
-        .selectExpr("_key", "_w", "_j * _step / _bw as _z", "_step / _bw as _dz", f"{points} as _k")
-        .groupBy("_key", "_k")
-        .agg(F.expr("sum(_w * exp(-power(_z - _k * _dz, 2) / 2))").alias("_y"))
-    )
-    spots = (
-        groups.selectExpr("*", f"{points} as _i")
-        .selectExpr("*", f"_lo + _i * (_hi - _lo) / {end} as _x")
-        .selectExpr("_key", "_i", "_x", "_rows", "_bw", "(_x - _left) / _step as _at")
-        .selectExpr("_key", "_i", "_x", "_rows", "_bw", shared)
-    )
-    height = F.expr("sum(_share * _y) / max(_rows * _bw * sqrt(2 * pi()))")
+    # A lambda over an array of one binds its argument, so that it is computed once.
+    points = f"sequence(0, {end})"
+    grid = f"transform({points}, j -> coalesce(try_element_at(_weights, j), 0D))"
+    kernel = f"transform(sequence({-end}, {end}), d -> exp(-power(d * _step / _bw, 2) / 2))"
+    products = f"zip_with(a.w, slice(a.k, {POINTS} - p, {POINTS}), (w, k) -> w * k)"
+    sums = f"""transform(array(struct({grid} as w, {kernel} as k)),
+        a -> transform({points}, p -> aggregate({products}, 0D, (total, x) -> total + x)))"""
+    at = "(x - _left) / _step"
+    between = f"""(1 - ({at} - floor({at}))) * y[least(int(floor({at})), {end})]
+        + ({at} - floor({at})) * y[least(int(floor({at})) + 1, {end})]"""
+    curve = f"""transform({sums}, y -> transform({points}, i -> transform(
+        array(_lo + i * (_hi - _lo) / {end}),
+        x -> struct(i as i, x as x, ({between}) / (_rows * _bw * sqrt(2 * pi())) as density))[0]))[0]"""
     return (
-        spots.join(summed, [spots["_key"] == summed["_key"], F.col("_j") == F.col("_k")])
-        .groupBy(spots["_key"], "_i")
-        .agg(F.max("_x").alias("x"), height.alias("density"))
-        .selectExpr(
-            *[f"_key.{quoted(b)} as {quoted(b)}" for b in by], "_i as i", "x", "density"
-        )
+        groups.join(weights, F.col("_key") == F.col("_of"))
+        .selectExpr("_key", f"inline({curve})")
+        .selectExpr(*[f"_key.{quoted(b)} as {quoted(b)}" for b in by], "i", "x", "density")
     )
 
 

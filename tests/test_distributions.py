@@ -212,3 +212,10 @@ def test_columns_may_have_any_name(spark):
             assert rows_of(got) == want
         want = rows_of(histogram(plain, "x", ["g"], bins=5, weight="m"))
         assert rows_of(histogram(odd, value, [group], bins=5, weight=weight)) == want
+
+
+def test_curves_move_no_more_than_their_points(spark):
+    """No row per pair of grid points: the kernel is folded inside arrays."""
+    df = spark.range(2000).selectExpr("id % 7 as g", "cast(id % 301 as double) as x")
+    plan = density(df, "x", ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 0 and plan.count("Generate inline") == 2
