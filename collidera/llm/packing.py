@@ -1,11 +1,18 @@
 """Packing documents into windows with their lexical neighbours.
 
-Documents are dealt to shards of about ``shard_bytes`` of text. In a shard, whole
-windows are cut off long documents first; what is left of each document goes into a
-BM25 inverted index over token ids. Then windows are filled greedily: a seed document,
-its best unused neighbours by score, and, when none shares a weighted term with it, the
-next unused documents. The document that does not fit is cut, and its rest seeds the
-next window. Only the last window of a shard is padded.
+Documents are encoded once and written as token ids with a content key: four weighted
+min-hashes of the distinct ids, later ids of the vocabulary weighing more as they are
+rarer. Documents with much in common share the first of them with a likelihood that grows with what
+they share, and so stand side by side when the table is put in order of the keys. The
+ordered ranges are cut into shards of about ``shard_bytes`` of text, so close documents
+meet in a shard at every size of the table, and a key that very many documents share is
+cut like any other.
+
+In a shard, whole windows are cut off long documents first; what is left of each document
+goes into a BM25 inverted index over token ids. Then windows are filled greedily: a seed
+document, its best unused neighbours by score, and, when none shares a weighted term with
+it, the next unused documents. The document that does not fit is cut, and its rest seeds
+the next window. Only the last window of a shard is padded.
 
 Tokens come from a public tokenizer file that is only read. Pieces of text between
 ASCII white space are encoded independently and remembered, which gives the same ids as
@@ -13,26 +20,36 @@ encoding the text at once because the tokenizer never joins across white space.
 
 Defined results: a null or empty text is one end token. Repeated rows are separate
 documents; null ids stay. Columns besides ``doc_id`` and ``text`` are ignored; an empty
-table gives an empty one. A lost task packs its shard again in the same way.
+table gives an empty one. A lost task packs its range again in the same way.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from collidera.sources.shared_folder import settled
+
 FRAGMENT = re.compile(r"[^\x20\x09-\x0D]+")
-#: Fragments of these characters need no Unicode normalisation; each lower-cases to itself
+#: Texts of these characters need no Unicode normalisation; each lower-cases to itself
 #: or to one other of them.
-PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+PLAIN = re.compile(r"[\x09-\x0D\x20-~À-ÖØ-öø-ÿ]+")
 LETTERS = "a-zß-öø-ÿ"
-PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^0-9{LETTERS}]+")
+#: Of the min-hashes.
+SALTS = np.array([1, 2, 3, 4], np.uint64) << np.uint64(20)
+WORDS = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^0-9{LETTERS}\x09-\x0D\x20]+"
+)
 
 
 @dataclass(frozen=True)
@@ -42,6 +59,7 @@ class Packing:
     window: int = 4096
     end_id: int = 2
     shard_bytes: int = 4 << 20
+    bytes_per_token: int = 3
     k1: float = 1.2
     b: float = 0.75
     tokenizer: str | None = None
@@ -54,8 +72,24 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class Remembered(dict):
+    """Results by text, computed when they are first asked for."""
+
+    def __init__(self, compute: Callable[[str], bytes]):
+        super().__init__()
+        self.compute = compute
+
+    def __missing__(self, text: str) -> bytes:
+        self[text] = value = self.compute(text)
+        return value
+
+
 class Encoder:
-    """Ids of whole texts, as little-endian 32-bit numbers."""
+    """Ids of whole texts, as little-endian 32-bit numbers.
+
+    A text of plain characters is parted into words, each encoded once; any other text into
+    the pieces between white space.
+    """
 
     KEPT = 400_000
 
@@ -68,34 +102,29 @@ class Encoder:
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
         self.characters = byte_characters()
-        self.words: dict[str, bytes] = {}
-        outer = self
+        self.words = Remembered(self._word)
+        self.fragments = Remembered(self._fragment)
 
-        class Fragments(dict):
-            def __missing__(self, fragment: str) -> bytes:
-                self[fragment] = value = outer.fragment(fragment)
-                return value
+    def _word(self, word: str) -> bytes:
+        shown = word
+        if not word.isascii():
+            shown = "".join(map(self.characters.__getitem__, word.encode()))
+        return array("I", [token.id for token in self.tokenizer.model.tokenize(shown)]).tobytes()
 
-        self.fragments = Fragments()
+    def _fragment(self, fragment: str) -> bytes:
+        if "<|" not in fragment and PLAIN.fullmatch(fragment):
+            return self._plain(fragment)
+        return array("I", self.tokenizer.encode(fragment, add_special_tokens=False).ids).tobytes()
 
-    def fragment(self, fragment: str) -> bytes:
-        if "<|" in fragment or not PLAIN.fullmatch(fragment):
-            ids = self.tokenizer.encode(fragment, add_special_tokens=False).ids
-            return np.array(ids, "<u4").tobytes()
-        return b"".join(map(self.word, PRETOKEN.findall(fragment.lower())))
-
-    def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            shown = "".join(map(self.characters.__getitem__, word.encode()))
-            ids = [token.id for token in self.tokenizer.model.tokenize(shown)]
-            self.words[word] = found = np.array(ids, "<u4").tobytes()
-        return found
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, WORDS.findall(text.lower())))
 
     def encode(self, text: str) -> bytes:
-        if len(self.fragments) > self.KEPT or len(self.words) > self.KEPT:
-            self.fragments.clear()
-            self.words.clear()
+        for kept in (self.words, self.fragments):
+            if len(kept) > self.KEPT:
+                kept.clear()
+        if "<|" not in text and PLAIN.fullmatch(text):
+            return self._plain(text)
         return b"".join(map(self.fragments.__getitem__, FRAGMENT.findall(text)))
 
 
@@ -187,6 +216,66 @@ def packed(lengths: list[int], tails: list[np.ndarray], p: Packing) -> list[tupl
     return pieces
 
 
+def content_key(ids: np.ndarray) -> int:
+    """Four weighted min-hashes of distinct ids, 15 bits each, the first one highest.
+
+    Each id draws an exponential waiting time from its hash, shorter the later it stands
+    in the vocabulary; the first to arrive is the min-hash.
+    """
+    distinct = np.unique(ids).astype(np.uint64)
+    key = 0
+    for salt in SALTS:
+        mixed = (distinct + salt) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        uniform = ((mixed >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53
+        first = distinct[np.argmin(-np.log(uniform) / (distinct.astype(np.float64) + 1))]
+        key = key << 15 | (int(first) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 49
+    return key
+
+
+def encoded(documents: DataFrame, p: Packing = Packing()) -> DataFrame:
+    """``(doc_id, ids, key)``: token ids with the end token, and the content key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = encoder(p.tokenizer).encode, np.array([p.end_id], "<u4").tobytes()
+        for batch in batches:
+            ids = [encode(t or "") + end for t in batch.column("text").to_pylist()]
+            keys = [content_key(np.frombuffer(x, "<u4")) for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(keys, pa.int64())],
+                names=["doc_id", "ids", "key"],
+            )
+
+    doc_id = documents.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {doc_id}, ids binary, key long"
+    return documents.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def packed_shard(rows: pa.Table, p: Packing, first: int, with_ids: bool) -> tuple[pa.RecordBatch, int]:
+    """Pieces of a shard, its sequences numbered from ``first``, and the number after them."""
+    ids = rows.column("ids").to_pylist()
+    lengths = [len(x) // 4 for x in ids]
+    tails = [
+        np.frombuffer(x, "<u4", offset=4 * (n - n % p.window))
+        for x, n in zip(ids, lengths, strict=True)
+    ]
+    pieces = packed(lengths, tails, p)
+    doc, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
+    spans = [ids[d][4 * a : 4 * (a + n)] for d, a, n, _, _ in pieces]
+    columns = {
+        "doc_id": rows.column("doc_id").combine_chunks().take(pa.array(doc)),
+        "start": pa.array(start),
+        "length": pa.array(length),
+        "ids_crc32": pa.array([zlib.crc32(s) for s in spans], pa.int64()),
+        "doc_tokens": pa.array(np.array(lengths, np.int64)[doc]),
+        "sequence_id": pa.array(first + sequence),
+        "offset": pa.array(offset),
+    }
+    if with_ids:
+        columns["ids"] = pa.array([np.frombuffer(s, "<i4") for s in spans], pa.list_(pa.int32()))
+    return pa.RecordBatch.from_pydict(columns), first + int(sequence[-1]) + 1
+
+
 def pack(documents: DataFrame, p: Packing = Packing(), with_ids: bool = True) -> DataFrame:
     """One row per piece: ``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``,
     ``sequence_id``, ``offset`` and, if asked for, ``ids``, the piece's token ids.
@@ -194,39 +283,40 @@ def pack(documents: DataFrame, p: Packing = Packing(), with_ids: bool = True) ->
     Pieces of a sequence stand next to each other from offset 0; what is missing to the
     window is padding.
     """
-    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // p.shard_bytes))
-    shard = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(shards))
     doc_id = documents.schema["doc_id"].dataType.simpleString()
     schema = (
         f"doc_id {doc_id}, start long, length long, ids_crc32 long, doc_tokens long,"
         " sequence_id long, offset long" + ", ids array<int>" * with_ids
     )
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "text"], ignore_index=True)
-        encode, end = encoder(p.tokenizer).encode, np.array([p.end_id], "<u4").tobytes()
-        ids = [encode(t or "") + end for t in rows["text"]]
-        lengths = [len(x) // 4 for x in ids]
-        tails = [
-            np.frombuffer(x, "<u4", offset=4 * (n - n % p.window))
-            for x, n in zip(ids, lengths, strict=True)
-        ]
-        pieces = packed(lengths, tails, p)
-        found = pd.DataFrame(pieces, columns=["d", "start", "length", "sequence", "offset"])
-        spans = [ids[d][4 * a : 4 * (a + n)] for d, a, n, _, _ in pieces]
-        return pd.DataFrame(
-            {
-                "doc_id": rows["doc_id"].to_numpy()[found["d"]],
-                "start": found["start"],
-                "length": found["length"],
-                "ids_crc32": [zlib.crc32(s) for s in spans],
-                "doc_tokens": np.array(lengths)[found["d"]],
-                "sequence_id": int(key[0]) * 2**32 + found["sequence"],
-                "offset": found["offset"],
-            }
-            | ({"ids": [np.frombuffer(s, "<i4") for s in spans]} if with_ids else {})
-        )
-
-    dealt = documents.select("doc_id", "text").withColumn("_shard", shard)
-    return dealt.groupBy("_shard").applyInPandas(run, schema)
+    shard_ids = 4 * max(1, p.shard_bytes // p.bytes_per_token)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequence = TaskContext.get().partitionId() << 32
+        held, room = [], shard_ids
+
+        def given() -> pa.RecordBatch:
+            nonlocal sequence
+            found, sequence = packed_shard(pa.Table.from_batches(held), p, sequence, with_ids)
+            return found
+
+        for batch in batches:
+            sizes = pc.binary_length(batch.column("ids")).to_numpy()
+            begin = 0
+            while begin < len(sizes):
+                # Rows up to the one that fills the shard.
+                after = np.cumsum(sizes[begin:], dtype=np.int64)
+                end = begin + int(np.searchsorted(after, room)) + 1
+                held.append(batch.slice(begin, end - begin))
+                room -= int(sizes[begin:end].sum())
+                begin = end
+                if room <= 0:
+                    yield given()
+                    held, room = [], shard_ids
+        if held:
+            yield given()
+
+    keyed = settled(encoded(documents, p)).table
+    # Copies of a key are cut wherever a range is full.
+    salted = keyed.withColumn("salt", F.xxhash64("doc_id", F.monotonically_increasing_id()))
+    ordered = salted.repartitionByRange("key", "salt").sortWithinPartitions("key", "salt")
+    return ordered.select("doc_id", "ids").mapInArrow(run, schema)

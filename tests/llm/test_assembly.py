@@ -326,6 +326,45 @@ def test_every_token_is_packed_once(spark, rows):
     assert pk.pack(docs.limit(0), p).count() == 0
 
 
+def test_large_ids_stay_exact_beside_nulls(spark):
+    """64-bit ids do not pass through floats, whatever else a shard holds."""
+    ids = [None, 2**60 + 1, None, -(2**62) - 1, 2**53 + 1]
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in ids], "doc_id long, text string")
+    found = pk.pack(docs.coalesce(1)).collect()
+    assert Counter(r.doc_id for r in found) == Counter(ids)
+    named = spark.createDataFrame([("a", "x"), (None, "y")], "doc_id string, text string")
+    assert {r.doc_id for r in pk.pack(named).collect()} == {"a", None}
+
+
+def test_close_documents_meet_in_a_shard(spark):
+    """Documents of 40 topics, dealt at random, in shards of about one topic each."""
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(4000)]
+    topic = rng.permutation(np.repeat(np.arange(40), 25))
+    texts = [" ".join(words[t * 100 + k] for k in rng.integers(0, 100, 60)) for t in topic]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    p = replace(pk.Packing(), window=512, shard_bytes=12_000, bytes_per_token=2)
+    rows = pk.pack(docs.repartition(7), p, with_ids=False).collect()
+    shares = defaultdict(Counter)
+    for r in rows:
+        shares[r.sequence_id][int(topic[r.doc_id])] += r.length
+    pure = [max(c.values()) / sum(c.values()) for c in shares.values()]
+    assert len(shares) > 100 and np.mean(pure) > 0.5
+
+
+def test_copies_share_a_key_and_fill_many_shards(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('same words here ', 100) AS text")
+    p = replace(pk.Packing(), shard_bytes=50_000)
+    keyed = pk.encoded(docs, p)
+    assert keyed.select("key").distinct().count() == 1
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = spark.createDataFrame(pk.pack(docs, p, with_ids=False).collect())
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    # Ranges are cut inside the key, and shards are cut inside ranges.
+    assert rows.selectExpr("sequence_id >> 32 AS task").distinct().count() > 4
+    assert rows.select("doc_id").distinct().count() == 3000
+
+
 def test_pipeline_stages_do_what_their_operators_say(spark):
     from collidera.llm.quality_classifier import fit_quality, quality_scorer
     from collidera.llm.simhash import simhash_dedup
