@@ -32,9 +32,18 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of its file system, so that every reader opens the same one."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]+:", path):
+        return path
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return re.sub(r"^file:/+", "file:///", files.makeQualified(target).toString())
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own below the shared folder, remembered for ``release``."""
-    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    folder = f"{qualified(spark, shared_folder(spark))}/{uuid.uuid4().hex}"
     _written.setdefault(spark.sparkContext.applicationId, []).append(folder)
     return f"{folder}/{name}"
 
