@@ -9,21 +9,20 @@ every partial sum is exact.
 
 Copies are one class with a count and are never paired. A task compares two blocks of
 classes and returns, per class, how many vectors it links to and a local root, so its
-output does not grow with the number of links.
+output does not grow with the number of links. Vectors travel as they are stored; tasks
+make the integers themselves.
 
 Defined results: null and zero vectors, and those with null or non-finite components,
 link with nothing; so do vectors of different length. Rows are vectors: repeated rows
-are separate vectors that link to each other. A null ``vec_id`` takes no part in naming
-a component, and its own row has ``kept`` false. Columns besides ``vec_id`` and
+are separate vectors that link to each other, and rows that share an id but not the vector
+are linked apart. A null ``vec_id`` takes no part in naming a component, though its vector
+links like any other, and its own row has ``kept`` false. Columns besides ``vec_id`` and
 ``embedding`` are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +32,7 @@ from collidera.llm.skew import lookup
 from collidera.sources.shared_folder import settled
 
 #: Vectors of a block, so a task holds two of them; and of a tile within it.
-BLOCK = 8192
+BLOCK = 4096
 TILE = 1024
 #: Room for the rounding of 32-bit scales.
 SLACK = 1e-5
@@ -54,37 +53,11 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return q, scale, np.linalg.norm(near, axis=1), np.linalg.norm(x - near, axis=1)
 
 
-def coded(classes: DataFrame) -> DataFrame:
-    """``(rep, n, dim, unit, codes, scale, length, error)``: unit vectors and their integers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for v in batch.column("embedding").to_pylist():
-                x = np.array([v], np.float64)
-                x /= np.abs(x).max()
-                x /= np.linalg.norm(x)
-                q, scale, length, error = quantised(x)
-                numbers = (float(n[0]) for n in (scale, length, error))
-                rows.append((x.tobytes(), q.tobytes(), *numbers))
-            unit, codes, scale, length, error = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("rep"),
-                    batch.column("n"),
-                    batch.column("dim"),
-                    pa.array(unit, pa.binary()),
-                    pa.array(codes, pa.binary()),
-                    *(pa.array(x, pa.float64()) for x in (scale, length, error)),
-                ],
-                names=["rep", "n", "dim", "unit", "codes", "scale", "length", "error"],
-            )
-
-    schema = (
-        "rep long, n long, dim int, unit binary, codes binary,"
-        " scale double, length double, error double"
-    )
-    return classes.select("rep", "n", "dim", "embedding").mapInArrow(run, schema)
+def unit_vectors(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, in doubles, without overflow on the way."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def local_roots(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -119,19 +92,26 @@ def tile_links(
     return linked
 
 
-def block_pair(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """``(rep, links, root)`` of the classes of one or two blocks that link across them."""
-    pdf = pdf.sort_values(["block", "rep"], ignore_index=True)
-    dim, size = int(pdf["dim"].iloc[0]), len(pdf)
-    codes = np.frombuffer(b"".join(pdf["codes"]), np.int8).reshape(size, dim)
+def block_pair(key: tuple, table: pa.Table, threshold: float) -> pa.Table:
+    """``(class, links, root)`` of the classes of one or two blocks that link across them.
+
+    The key names both blocks: a pair of which one block has no vector has no links.
+    """
+    dim, low, high = (k.as_py() for k in key)
+    table = table.sort_by([("block", "ascending"), ("class", "ascending")])
+    size, block = len(table), table.column("block").to_numpy()
+    flat = table.column("embedding").combine_chunks().flatten().to_numpy()
+    unit = unit_vectors(flat.reshape(size, dim))
+    codes, scale, length, error = quantised(unit)
     whole = {
-        "unit": np.frombuffer(b"".join(pdf["unit"]), np.float64).reshape(size, dim),
+        "unit": unit,
         "codes": codes.astype(np.float32),
-        **{c: pdf[c].to_numpy() for c in ("scale", "length", "error")},
+        "scale": scale,
+        "length": length,
+        "error": error,
     }
-    n, block = pdf["n"].to_numpy(), pdf["block"].to_numpy()
-    one = block[0] == block[-1]
-    split = size if one else int(np.searchsorted(block, block[-1]))
+    n, one = table.column("n").to_numpy(), low == high
+    split = size if one else int(np.searchsorted(block, high))
     links, stars = np.zeros(size, np.int64), []
     for s in range(0, split, TILE):
         rows = np.arange(s, min(s + TILE, split))
@@ -153,27 +133,29 @@ def block_pair(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
                 moved = root != np.arange(len(root))
                 stars.append((names[moved], names[root[moved]]))
     a, b = ([np.zeros(0, np.int64), *(s[k] for s in stars)] for k in (0, 1))
-    a, b = np.concatenate(a), np.concatenate(b)
-    root = local_roots(size, a, b)
-    rep = pdf["rep"].to_numpy()
-    hit = links > 0
-    # A local component is named by its first member, not yet by its smallest id.
-    return pd.DataFrame({"rep": rep[hit], "links": links[hit], "root": rep[root[hit]]})
+    root = local_roots(size, np.concatenate(a), np.concatenate(b))
+    name, hit = table.column("class").to_numpy(), links > 0
+    # A local component is named by its first class, not yet by its smallest id.
+    return pa.table({"class": name[hit], "links": links[hit], "root": name[root[hit]]})
 
 
-def embedding_links(classes: DataFrame, total: int, threshold: float, block: int = BLOCK):
-    """``(rep, links, root)`` of all block pairs; a class occurs once per pair it links in."""
+def embedding_links(
+    classes: DataFrame, total: int, threshold: float, block: int = BLOCK
+) -> DataFrame:
+    """``(class, links, root)`` of all block pairs; a class occurs once per pair it links in."""
     blocks = max(1, -(-total // block))
-    own = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")
-    paired = coded(classes).withColumn("block", own).withColumn(
+    own = F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int")
+    paired = classes.select("class", "n", "dim", "embedding", own.alias("block")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
     keyed = paired.withColumns(
         {"low": F.least("block", "other"), "high": F.greatest("block", "other")}
     )
-    return keyed.groupBy("dim", "low", "high").applyInPandas(
-        lambda pdf: block_pair(pdf, threshold), "rep long, links long, root long"
-    )
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        return block_pair(key, table, threshold)
+
+    return keyed.groupBy("dim", "low", "high").applyInArrow(run, "class long, links long, root long")
 
 
 def embedding_dedup(
@@ -183,24 +165,37 @@ def embedding_dedup(
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     valid = settled(rows.filter(usable()))
     classes = settled(
-        valid.table.groupBy("embedding").agg(
+        valid.table.groupBy("embedding")
+        .agg(
             F.min("vec_id").alias("rep"),
             F.count("*").alias("n"),
             F.size("embedding").alias("dim"),
         )
+        .withColumn("class", F.monotonically_increasing_id())
     )
-    named = classes.table.filter("rep is not null")
-    parts = settled(embedding_links(named, classes.rows, threshold, block)).table
-    links = parts.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(parts.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    found = settled(
-        classes.table.join(links, "rep", "left")
-        .join(roots, F.col("rep") == F.col("node"), "left")
+    parts = settled(embedding_links(classes.table, classes.rows, threshold, block)).table
+    links = parts.groupBy(F.col("class").alias("of")).agg(F.sum("links").alias("links"))
+    roots = components(parts.select(F.col("class").alias("u"), F.col("root").alias("v")))
+    placed = settled(
+        classes.table.join(links, F.col("class") == F.col("of"), "left")
+        .join(roots, F.col("class") == F.col("node"), "left")
         .select(
             "embedding",
+            "rep",
             (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-            F.coalesce("root", "rep").alias("component_id"),
-            F.col("n").alias("_n"),
+            F.coalesce("root", "class").alias("component"),
+            F.col("n").alias("copies"),
+        )
+    )
+    # A component is named by its smallest id, whichever class that stands in.
+    named = settled(
+        placed.table.groupBy("component").agg(
+            F.min("rep").alias("component_id"), F.count("*").alias("_n")
+        )
+    ).table
+    found = settled(
+        lookup(placed.table, named, "component", placed.rows).select(
+            "embedding", "n_links", "component_id", F.col("copies").alias("_n")
         )
     ).table
     linked = lookup(valid.table, found, "embedding", valid.rows).select(

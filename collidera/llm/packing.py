@@ -54,12 +54,17 @@ WORDS = re.compile(
 
 @dataclass(frozen=True)
 class Packing:
-    """``tokenizer`` is a file on every worker; None is the one the environment offers."""
+    """``tokenizer`` is a file on every worker; None is the one the environment offers.
+
+    Its ids have to fit ``id_bytes``, 2 or 4. A shard holds ``shard_bytes`` of text at
+    ``bytes_per_token``.
+    """
 
     window: int = 4096
     end_id: int = 2
     shard_bytes: int = 4 << 20
     bytes_per_token: int = 3
+    id_bytes: int = 2
     k1: float = 1.2
     b: float = 0.75
     tokenizer: str | None = None
@@ -73,27 +78,38 @@ def byte_characters() -> dict[int, str]:
 
 
 class Remembered(dict):
-    """Results by text, computed when they are first asked for."""
+    """Results by text, computed when they are first asked for.
+
+    Two generations are kept: when the newer one is full the older one is forgotten, and
+    what is asked for again moves from the older to the newer one.
+    """
+
+    KEPT = 250_000
 
     def __init__(self, compute: Callable[[str], bytes]):
         super().__init__()
         self.compute = compute
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, text: str) -> bytes:
-        self[text] = value = self.compute(text)
+        value = self.older.get(text)
+        if value is None:
+            value = self.compute(text)
+        if len(self) >= self.KEPT:
+            self.older = dict(self)
+            self.clear()
+        self[text] = value
         return value
 
 
 class Encoder:
-    """Ids of whole texts, as little-endian 32-bit numbers.
+    """Ids of whole texts, as little-endian numbers of ``id_bytes`` bytes.
 
     A text of plain characters is parted into words, each encoded once; any other text into
     the pieces between white space.
     """
 
-    KEPT = 400_000
-
-    def __init__(self, path: str | None):
+    def __init__(self, path: str | None = None, id_bytes: int = 4):
         from tokenizers import Tokenizer
 
         if path is None:
@@ -101,6 +117,11 @@ class Encoder:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
+        self.size = max(self.tokenizer.get_vocab().values()) + 1
+        if self.size > 256**id_bytes:
+            raise ValueError(f"ids of {path} need more than {id_bytes} bytes")
+        self.kind = f"<u{id_bytes}"
+        self.code = {2: "H", 4: "I"}[id_bytes]
         self.characters = byte_characters()
         self.words = Remembered(self._word)
         self.fragments = Remembered(self._fragment)
@@ -109,33 +130,32 @@ class Encoder:
         shown = word
         if not word.isascii():
             shown = "".join(map(self.characters.__getitem__, word.encode()))
-        return array("I", [token.id for token in self.tokenizer.model.tokenize(shown)]).tobytes()
+        tokens = self.tokenizer.model.tokenize(shown)
+        return array(self.code, [token.id for token in tokens]).tobytes()
 
     def _fragment(self, fragment: str) -> bytes:
         if "<|" not in fragment and PLAIN.fullmatch(fragment):
             return self._plain(fragment)
-        return array("I", self.tokenizer.encode(fragment, add_special_tokens=False).ids).tobytes()
+        ids = self.tokenizer.encode(fragment, add_special_tokens=False).ids
+        return array(self.code, ids).tobytes()
 
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, WORDS.findall(text.lower())))
 
     def encode(self, text: str) -> bytes:
-        for kept in (self.words, self.fragments):
-            if len(kept) > self.KEPT:
-                kept.clear()
         if "<|" not in text and PLAIN.fullmatch(text):
             return self._plain(text)
         return b"".join(map(self.fragments.__getitem__, FRAGMENT.findall(text)))
 
 
-_encoders: dict[str | None, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str | None) -> Encoder:
+def encoder(path: str | None, id_bytes: int) -> Encoder:
     """The worker's encoder of a file; later tasks find what earlier ones remembered."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, id_bytes) not in _encoders:
+        _encoders[path, id_bytes] = Encoder(path, id_bytes)
+    return _encoders[path, id_bytes]
 
 
 class Bm25:
@@ -216,31 +236,37 @@ def packed(lengths: list[int], tails: list[np.ndarray], p: Packing) -> list[tupl
     return pieces
 
 
-def content_key(ids: np.ndarray) -> int:
-    """Four weighted min-hashes of distinct ids, 15 bits each, the first one highest.
+def waiting_times(size: int) -> np.ndarray:
+    """For each min-hash an exponential waiting time of every id of a vocabulary.
 
-    Each id draws an exponential waiting time from its hash, shorter the later it stands
-    in the vocabulary; the first to arrive is the min-hash.
+    It comes from the id's hash and is shorter the later the id stands in the vocabulary;
+    the id of a document that arrives first is its min-hash.
     """
-    distinct = np.unique(ids).astype(np.uint64)
+    ids = np.arange(size, dtype=np.uint64)
+    mixed = (ids[None] + SALTS[:, None]) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    uniform = ((mixed >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53
+    return -np.log(uniform) / (ids.astype(np.float64) + 1)
+
+
+def content_key(ids: np.ndarray, waiting: np.ndarray) -> int:
+    """The min-hashes of a document's ids, 15 bits each, the first one highest."""
     key = 0
-    for salt in SALTS:
-        mixed = (distinct + salt) * np.uint64(0x9E3779B97F4A7C15)
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        uniform = ((mixed >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53
-        first = distinct[np.argmin(-np.log(uniform) / (distinct.astype(np.float64) + 1))]
-        key = key << 15 | (int(first) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 49
+    for times in waiting:
+        first = int(ids[np.argmin(times[ids])])
+        key = key << 15 | (first * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 49
     return key
 
 
 def encoded(documents: DataFrame, p: Packing = Packing()) -> DataFrame:
-    """``(doc_id, ids, key)``: token ids with the end token, and the content key."""
+    """``(doc_id, ids, key)``: token ids of ``id_bytes`` with the end token, and the content key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(p.tokenizer).encode, np.array([p.end_id], "<u4").tobytes()
+        found = encoder(p.tokenizer, p.id_bytes)
+        end, waiting = np.array([p.end_id], found.kind).tobytes(), waiting_times(found.size)
         for batch in batches:
-            ids = [encode(t or "") + end for t in batch.column("text").to_pylist()]
-            keys = [content_key(np.frombuffer(x, "<u4")) for x in ids]
+            ids = [found.encode(t or "") + end for t in batch.column("text").to_pylist()]
+            keys = [content_key(np.frombuffer(x, found.kind), waiting) for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(keys, pa.int64())],
                 names=["doc_id", "ids", "key"],
@@ -253,26 +279,25 @@ def encoded(documents: DataFrame, p: Packing = Packing()) -> DataFrame:
 
 def packed_shard(rows: pa.Table, p: Packing, first: int, with_ids: bool) -> tuple[pa.RecordBatch, int]:
     """Pieces of a shard, its sequences numbered from ``first``, and the number after them."""
-    ids = rows.column("ids").to_pylist()
-    lengths = [len(x) // 4 for x in ids]
-    tails = [
-        np.frombuffer(x, "<u4", offset=4 * (n - n % p.window))
-        for x, n in zip(ids, lengths, strict=True)
-    ]
+    every = rows.column("ids").to_pylist()
+    lengths = [len(x) // p.id_bytes for x in every]
+    whole = np.frombuffer(b"".join(every), f"<u{p.id_bytes}").astype("<u4")
+    ids = np.split(whole, np.cumsum(lengths)[:-1])
+    tails = [x[n - n % p.window :] for x, n in zip(ids, lengths, strict=True)]
     pieces = packed(lengths, tails, p)
     doc, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
-    spans = [ids[d][4 * a : 4 * (a + n)] for d, a, n, _, _ in pieces]
+    spans = [ids[d][a : a + n] for d, a, n, _, _ in pieces]
     columns = {
         "doc_id": rows.column("doc_id").combine_chunks().take(pa.array(doc)),
         "start": pa.array(start),
         "length": pa.array(length),
-        "ids_crc32": pa.array([zlib.crc32(s) for s in spans], pa.int64()),
+        "ids_crc32": pa.array([zlib.crc32(s.tobytes()) for s in spans], pa.int64()),
         "doc_tokens": pa.array(np.array(lengths, np.int64)[doc]),
         "sequence_id": pa.array(first + sequence),
         "offset": pa.array(offset),
     }
     if with_ids:
-        columns["ids"] = pa.array([np.frombuffer(s, "<i4") for s in spans], pa.list_(pa.int32()))
+        columns["ids"] = pa.array([s.astype(np.int32) for s in spans], pa.list_(pa.int32()))
     return pa.RecordBatch.from_pydict(columns), first + int(sequence[-1]) + 1
 
 
@@ -288,7 +313,7 @@ def pack(documents: DataFrame, p: Packing = Packing(), with_ids: bool = True) ->
         f"doc_id {doc_id}, start long, length long, ids_crc32 long, doc_tokens long,"
         " sequence_id long, offset long" + ", ids array<int>" * with_ids
     )
-    shard_ids = 4 * max(1, p.shard_bytes // p.bytes_per_token)
+    shard_ids = p.id_bytes * max(1, p.shard_bytes // p.bytes_per_token)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 32

@@ -7,7 +7,8 @@ table of pieces, and each match is verified over all 64 bits.
 
 Defined results: texts without a word, null ones too, have fingerprint zero and link
 like any other; copies share a fingerprint and are never expanded into pairs; a null
-``doc_id`` gets a fingerprint and the component of its equals. Columns besides ``doc_id``
+``doc_id`` gets a fingerprint and a component, through which others are reached; a component
+without any id has none. Columns besides ``doc_id``
 and ``text`` are ignored, and an empty table gives an empty one.
 """
 
@@ -119,29 +120,47 @@ def close_pairs(distinct: DataFrame, radius: int = 4, segments: int = 3) -> Data
     return found.select("a", "b").distinct()
 
 
-def simhash_groups(documents: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
+def segments_for(prints: int) -> int:
+    """Three segments, or two where a segment's keys would be shared by many fingerprints.
+
+    Three make few probes that each meet ``prints / 2 ** 21`` others, two make 562 probes
+    of 32 bits; the pairs are the same.
+    """
+    return 3 if prints <= 1 << 25 else 2
+
+
+def simhash_groups(
+    documents: DataFrame, radius: int = 4, segments: int | None = None
+) -> DataFrame:
     """``(doc_id, fp, component_id)``: the smallest id reachable over close fingerprints."""
     prints = settled(fingerprints(documents))
     classes = settled(
-        prints.table.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n"))
-    ).table
-    pairs = settled(close_pairs(classes.select("fp"), radius, segments)).table
-    reps = classes.select("fp", "rep")
-    links = (
-        pairs.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a")
-        .join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b")
-        .select("u", "v")
+        prints.table.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     )
-    roots = components(links)
+    pairs = close_pairs(classes.table.select("fp"), radius, segments or segments_for(classes.rows))
+    roots = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    placed = settled(
+        classes.table.join(roots, F.col("fp") == F.col("node"), "left").select(
+            "fp", "rep", F.coalesce("root", "fp").alias("component"), F.col("n").alias("copies")
+        )
+    )
+    # A component is named by its smallest id, whichever fingerprint has it.
+    named = settled(
+        placed.table.groupBy("component").agg(
+            F.min("rep").alias("component_id"), F.count("*").alias("_n")
+        )
+    ).table
     found = settled(
-        classes.join(roots, F.col("rep") == F.col("node"), "left").select(
-            "fp", F.coalesce("root", "rep").alias("component_id"), "_n"
+        lookup(placed.table, named, "component", placed.rows).select(
+            "fp", "component_id", F.col("copies").alias("_n")
         )
     ).table
     return lookup(prints.table, found, "fp", prints.rows)
 
 
-def simhash_dedup(documents: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
+def simhash_dedup(
+    documents: DataFrame, radius: int = 4, segments: int | None = None
+) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, the fingerprint as 16 hexadecimal digits."""
     return simhash_groups(documents, radius, segments).select(
         "doc_id",

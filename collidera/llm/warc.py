@@ -8,7 +8,8 @@ when it is whole; its rows are sorted, so a repeated task writes the same files
 
 The reader checks members, version lines, lengths, record ends and block digests. After
 a failed check it searches for the next member or version line that starts a valid
-record, goes on there, and reports the bytes in between as a gap.
+record, goes on there, and reports the bytes in between as a gap. A member that is cut
+or damaged is read as far as it unpacks, and version lines are searched in what came out.
 
 Defined results: a null payload is an empty one, a null url is left out, line breaks in
 a url are percent-encoded. A null id is read back as null; it never becomes the response
@@ -23,6 +24,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -219,49 +221,67 @@ def records_of(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, st
         at = end
 
 
-def member_at(data: bytes, at: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at an offset."""
-    unpacker = zlib.decompressobj(31)
-    try:
-        content = unpacker.decompress(memoryview(data)[at:])
-    except zlib.error as error:
-        raise Damage("gzip member is damaged") from error
-    if not unpacker.eof:
-        raise Damage("gzip member not ended")
-    if not VERSION_LINE.match(content):
-        raise Damage("no version line")
-    return content, len(data) - len(unpacker.unused_data)
+#: Compressed bytes given to the unpacker at first, and at most, at a time.
+FIRST_PIECE, LARGEST_PIECE = 512, 64 << 10
+
+
+def member_at(data: bytes, at: int) -> tuple[bytes, int | None]:
+    """Content and end of the gzip member at an offset.
+
+    Of a damaged member the content before the damage, and no end. A member is fed in
+    pieces that grow with it, so that its time does not depend on what follows it.
+    """
+    unpacker, view = zlib.decompressobj(31), memoryview(data)
+    found, size, begin = [], FIRST_PIECE, at
+    while not unpacker.eof and begin < len(data):
+        piece = view[begin : begin + size]
+        before = unpacker.copy()
+        try:
+            found.append(unpacker.decompress(piece))
+        except zlib.error:
+            # What the piece holds before the damage, byte by byte.
+            with suppress(zlib.error):
+                for k in range(len(piece)):
+                    found.append(before.decompress(piece[k : k + 1]))
+            return b"".join(found), None
+        begin, size = begin + len(piece), min(2 * size, LARGEST_PIECE)
+    if unpacker.eof:
+        return b"".join(found), begin - len(unpacker.unused_data)
+    return b"".join([*found, unpacker.flush()]), None
+
+
+def member_after(data: bytes, at: int) -> int:
+    """The next offset at which a member begins that holds a version line, or the end."""
+    while (at := data.find(MAGIC, at + 1)) >= 0:
+        with suppress(zlib.error):
+            head = zlib.decompressobj(31).decompress(memoryview(data)[at : at + LARGEST_PIECE])
+            if VERSION_LINE.search(head):
+                return at
+    return len(data)
 
 
 def salvaged(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str], bytes]]:
     """Records and gaps of an archive, compressed by member or plain.
 
     Offsets are bytes of the archive. A record of a member has the member's offset and
-    length, and so has a gap inside one.
+    length, and so has a gap inside one. Of a damaged member those records are kept whose
+    block digests prove them right; the member itself is a gap that ends where the next
+    one begins.
     """
     if VERSION_LINE.search(data) and MAGIC not in data[:3]:
         yield from records_of(data)
         return
     at = 0
     while at < len(data):
-        try:
-            content, end = member_at(data, at)
-        except Damage as damage:
-            end = at
-            while True:
-                end = data.find(MAGIC, end + 1)
-                if end < 0:
-                    end = len(data)
-                    break
-                try:
-                    member_at(data, end)
-                except Damage:
-                    continue
-                break
-            yield at, end - at, str(damage), {}, b""
-        else:
-            for _, _, reason, headers, block in records_of(content):
+        content, end = member_at(data, at)
+        whole = end is not None
+        if not whole:
+            end = member_after(data, at)
+        for _, _, reason, headers, block in records_of(content):
+            if whole or reason is None and headers.get("warc-block-digest", "").startswith("sha256:"):
                 yield at, end - at, reason, headers, block
+        if not whole or not content:
+            yield at, end - at, "gzip member is damaged" if not whole else "empty gzip member", {}, b""
         at = end
 
 

@@ -1,6 +1,7 @@
 """Mixing, dialogues, archives, packing and the pipeline against plain code."""
 
 import hashlib
+import time
 import zlib
 from collections import Counter, defaultdict
 from dataclasses import replace
@@ -243,6 +244,43 @@ def test_damage_is_skipped_and_logged(compressed):
         assert not compressed or any(x[2] for x in found)
 
 
+def ids_in(data):
+    return [x[3]["warc-record-id"] for x in wa.salvaged(data) if x[2] is None]
+
+
+def test_records_of_damaged_members_are_kept():
+    """Ten records in one member: cut at its end, with a bad first line, with wrong bytes inside."""
+    parts = archive(False)[:10]
+    names = [f"<urn:page:{i}>" for i in range(10)]
+    rng = np.random.default_rng(2)
+    noise = bytes(rng.integers(0, 256, 4000, dtype=np.uint8))
+    other = archive(True)[11]
+    member = wa.gzip_member(b"".join(parts), 0)
+    assert ids_in(member + other) == [*names, "<urn:page:11>"]
+    assert ids_in(member[:-8] + other) == [*names, "<urn:page:11>"]
+    assert ids_in(member[:-20] + other) == [*names[:9], "<urn:page:11>"]
+    assert ids_in(member[: len(member) // 2] + noise + other) == [*names[:4], "<urn:page:11>"]
+    bad_line = wa.gzip_member(b"XARC/1.1" + b"".join(parts)[8:], 6)
+    assert ids_in(bad_line + other) == [*names[1:], "<urn:page:11>"]
+    wrong_sum = bytearray(wa.gzip_member(b"".join(parts), 6))
+    wrong_sum[-6] ^= 1
+    found = list(wa.salvaged(bytes(wrong_sum) + other))
+    assert [x[3]["warc-record-id"] for x in found if x[2] is None] == [*names, "<urn:page:11>"]
+    assert [x[:3] for x in found if x[2]] == [(0, len(wrong_sum), "gzip member is damaged")]
+
+
+def test_reading_takes_linear_time():
+    """Twice the members take about twice the time, however small they are."""
+    def seconds(n):
+        data = b"".join(archive(True)) * n
+        start = time.process_time()
+        assert sum(x[2] is None for x in wa.salvaged(data)) == 12 * n
+        return time.process_time() - start
+
+    seconds(50)
+    assert seconds(8000) < 12 * max(seconds(2000), 0.1)
+
+
 def test_reader_reports_gaps(spark):
     parts = archive(True)
     path = new_path(spark, "damaged")
@@ -260,7 +298,7 @@ def test_fragments_encode_like_whole_texts(spark):
     texts = [r.text or "" for r in odd(spark).collect()]
     texts += [r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
     texts += ["".join(map(chr, range(1, 0x250))), "Å ́x ß ẞ İı ªº½ 中文字 🙂! 's'S'LL", "we've I'M ''' -- a'd"]
-    encode = pk.Encoder(None).encode
+    encode = pk.Encoder().encode
     for text in texts:
         want = tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(encode(text), "<u4").tolist() == want
@@ -302,7 +340,7 @@ def test_every_token_is_packed_once(spark, rows):
     docs = odd(spark) if rows == "odd" else spark.read.parquet(f"{SF_DIR}/documents.parquet")
     p = replace(pk.Packing(), shard_bytes=100_000)
     found = pk.pack(docs, p).collect()
-    encode = pk.Encoder(None).encode
+    encode = pk.Encoder().encode
     want = Counter((r.doc_id, encode(r.text or "") + b"\x02\x00\x00\x00") for r in docs.collect())
     by_sequence, starts = defaultdict(list), defaultdict(list)
     for r in found:

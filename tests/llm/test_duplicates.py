@@ -116,6 +116,20 @@ def test_simhash_on_odd_rows(spark):
     assert sh.simhash_dedup(table.limit(0)).count() == 0
 
 
+def test_simhash_chain_over_a_document_without_id(spark):
+    """Its fingerprint is a node like any other."""
+    table = spark.createDataFrame([(0, 0b0, 5), (1, 0b1111, None), (2, 0b11111111, 7)], "k int, fp long, doc_id long")
+    prints = table.select("doc_id", "fp")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(sh, "fingerprints", lambda _: prints)
+        for segments in (None, 2):
+            got = {r.fp: r.component_id for r in sh.simhash_groups(table, 4, segments).collect()}
+            assert got == {0b0: 5, 0b1111: 5, 0b11111111: 5}
+        patch.setattr(sh, "fingerprints", lambda _: prints.where("doc_id is null"))
+        assert [r.component_id for r in sh.simhash_groups(table).collect()] == [None]
+    assert sh.segments_for(10**6) == 3 and sh.segments_for(10**8) == 2
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 48)) * rng.choice([1, 1, 30], (400, 48))
@@ -153,3 +167,49 @@ def test_vectors_against_plain_code(spark):
             assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
         assert got[None].component_id == 0 and not got[None].kept
     assert ed.embedding_dedup(table.limit(0)).count() == 0
+
+
+def links_of(spark, rows, block):
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    return sorted(((tuple(r)) for r in ed.embedding_dedup(table, block=block).collect()), key=str)
+
+
+def plain_links(rows):
+    """Links of rows, counted pair by pair."""
+    def cosine(a, b):
+        return np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+
+    n = len(rows)
+    pairs = [
+        (i, j) for i, j in itertools.combinations(range(n), 2)
+        if len(rows[i][1]) == len(rows[j][1]) and cosine(rows[i][1], rows[j][1]) >= 0.95
+    ]
+    roots = plain_roots(range(n), pairs)
+    found = []
+    for i, (vec_id, _) in enumerate(rows):
+        ids = [rows[j][0] for j in range(n) if roots[j] == roots[i] and rows[j][0] is not None]
+        component = min(ids, default=None)
+        links = sum(i in p for p in pairs)
+        kept = vec_id is not None and vec_id == component
+        found.append((vec_id, links, component, kept))
+    return sorted(found, key=str)
+
+
+@pytest.mark.parametrize("block", [3, 40, 4096])
+def test_rare_lengths_and_empty_blocks(spark, block):
+    """Of some lengths only one of two blocks has vectors."""
+    rng = np.random.default_rng(block)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(150)]
+    for k in range(10):
+        x = rng.normal(size=20 + k)
+        rows += [(200 + 2 * k, x.tolist()), (201 + 2 * k, (x + 0.01).tolist())]
+    assert links_of(spark, rows, block) == plain_links(rows)
+
+
+@pytest.mark.parametrize("block", [2, 4096])
+def test_repeated_and_missing_ids(spark, block):
+    """An id of two vectors, and a chain over a vector without id."""
+    turn = [[np.cos(a), np.sin(a)] for a in (0.0, 0.3, 0.6, 2.0, 2.1, 4.0)]
+    rows = list(zip([5, None, 7, 9, 3, 9], [list(map(float, t)) for t in turn], strict=True))
+    rows += [(None, rows[5][1]), (None, [-1.0, 0.3]), (11, rows[0][1])]
+    assert links_of(spark, rows, block) == plain_links(rows)
