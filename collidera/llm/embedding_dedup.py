@@ -34,7 +34,7 @@ from collidera.sources.shared_folder import settled
 #: Vectors of a block, so a task holds two of them; and of a tile within it.
 BLOCK = 4096
 TILE = 1024
-#: Room for the rounding of 32-bit scales.
+#: Room for the rounding of 32-bit products with their scales.
 SLACK = 1e-5
 
 
@@ -77,19 +77,27 @@ def local_roots(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def tile_links(
     left: dict[str, np.ndarray], right: dict[str, np.ndarray], threshold: float
-) -> np.ndarray:
-    """Which pairs of two tiles link."""
-    near = np.zeros((len(left["scale"]), len(right["scale"])), np.float64)
+) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of two tiles that link, as places in both.
+
+    The tiles' largest error leaves few pairs open; those have a bound of their own, and
+    what that leaves open is computed in doubles.
+    """
+    products = np.zeros((len(left["scale"]), len(right["scale"])), np.float32)
     for k in range(0, left["codes"].shape[1], 1024):
-        near += left["codes"][:, k : k + 1024] @ right["codes"][:, k : k + 1024].T
-    near *= left["scale"][:, None] * right["scale"][None, :]
-    bound = left["length"][:, None] * right["error"][None, :] + left["error"][:, None] + SLACK
+        products += left["codes"][:, k : k + 1024] @ right["codes"][:, k : k + 1024].T
+    widest = left["length"].max() * right["error"].max() + left["error"].max() + SLACK
+    products *= right["scale"].astype(np.float32)
+    least = ((threshold - widest) / left["scale"]).astype(np.float32)
+    i, j = np.nonzero(products >= least[:, None])
+    near = products[i, j] * left["scale"][i]
+    bound = left["length"][i] * right["error"][j] + left["error"][i] + SLACK
     linked = near - bound >= threshold
-    i, j = np.nonzero((near + bound >= threshold) & ~linked)
-    for k in range(0, len(i), 1 << 16):
-        a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-        linked[a, b] = np.einsum("ij,ij->i", left["unit"][a], right["unit"][b]) >= threshold
-    return linked
+    open_ = np.flatnonzero((near + bound >= threshold) & ~linked)
+    for k in range(0, len(open_), 1 << 16):
+        at = open_[k : k + (1 << 16)]
+        linked[at] = np.einsum("ij,ij->i", left["unit"][i[at]], right["unit"][j[at]]) >= threshold
+    return i[linked], j[linked]
 
 
 def block_pair(key: tuple, table: pa.Table, threshold: float) -> pa.Table:
@@ -117,17 +125,16 @@ def block_pair(key: tuple, table: pa.Table, threshold: float) -> pa.Table:
         rows = np.arange(s, min(s + TILE, split))
         for t in range(s if one else split, size, TILE):
             columns = np.arange(t, min(t + TILE, size))
-            linked = tile_links(
+            i, j = tile_links(
                 {k: v[rows] for k, v in whole.items()},
                 {k: v[columns] for k, v in whole.items()},
                 threshold,
             )
             if one and s == t:
-                linked = np.triu(linked, 1)
-            if linked.any():
-                links[rows] += linked @ n[columns]
-                links[columns] += n[rows] @ linked
-                i, j = np.nonzero(linked)
+                i, j = i[i < j], j[i < j]
+            if len(i):
+                np.add.at(links, s + i, n[t + j])
+                np.add.at(links, t + j, n[s + i])
                 root = local_roots(len(rows) + len(columns), i, j + len(rows))
                 names = np.concatenate([rows, columns])
                 moved = root != np.arange(len(root))

@@ -15,7 +15,7 @@ never all of them.
 Defined results: a null text has size 0 and takes nothing; null is a source of its own,
 ordered last; a null id is dealt like an empty one; equal rows may swap their places but
 not their sum; an empty table gives an empty one. Documents that share an id share a
-shard. Columns besides ``doc_id``, ``source`` and ``text`` are ignored. Everything is
+shard, unless the id is so common that its rows are dealt one by one. Columns besides ``doc_id``, ``source`` and ``text`` are ignored. Everything is
 built-in expressions.
 """
 
@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from collidera.sources.shared_folder import settled
+from collidera.llm.skew import PARTS
+from collidera.sources.shared_folder import Settled, settled
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -127,6 +128,41 @@ def apportioned(parts: DataFrame, group: list[str], key: str, weight: str, seats
     )
 
 
+def spread(docs: Settled, mix: Mix) -> DataFrame:
+    """``docs`` with a draw ``_h`` of its own for each row of an id that very many rows have.
+
+    Such ids, the missing one among them, have more than ``shard_rows`` rows and a
+    ten-thousandth of all, so they are few. Their rows are dealt by text; equal rows by
+    their number among their equals, which is made of the number in a part of the table
+    and the rows in the parts before. Whatever the parts are, equal rows so get the
+    numbers from 0, and reruns agree.
+    """
+    most = max(mix.shard_rows, docs.rows / PARTS)
+    hot = docs.table.groupBy("_named").agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    hot = settled(hot.select("_named"))
+    if not hot.rows:
+        return docs.table
+    few = F.broadcast(hot.table)
+    same = ["_named", "key", "_text"]
+    part = F.shiftright(F.monotonically_increasing_id(), 33).alias("_part")
+    mine = docs.table.select("*", part, F.monotonically_increasing_id().alias("_at"))
+    mine = settled(mine.join(few, "_named", "left_semi")).table
+    counts = mine.groupBy(*same, "_part").agg(F.count("*").alias("_own"))
+    upto = Window.partitionBy(*same).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    starts = counts.select(
+        *[F.col(c).alias(f"{c}_of") for c in (*same, "_part")],
+        (F.sum("_own").over(upto) - F.col("_own")).alias("_start"),
+    )
+    inside = F.row_number().over(Window.partitionBy(*same, "_part").orderBy("_at")) - 1
+    joined = mine.withColumn("_place", inside).join(
+        starts, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in (*same, "_part")]
+    )
+    number = (F.col("_start") + F.col("_place")).cast("string")
+    draw = seeded(F.lit(mix.seed), "_named", F.col("_text").cast("string"), number)
+    dealt = joined.withColumn("_h", draw).select(docs.table.columns)
+    return docs.table.join(few, "_named", "left_anti").select(docs.table.columns).unionByName(dealt)
+
+
 def mix_plan(documents: DataFrame, mix: Mix = Mix(), row: str | None = None) -> DataFrame:
     """``(doc_id, size, source, source_size, target, place, cell, blocks, quota, start)``.
 
@@ -144,9 +180,12 @@ def mix_plan(documents: DataFrame, mix: Mix = Mix(), row: str | None = None) ->
             "source",
             word_count().cast("long").alias("size"),
             key.alias("key"),
+            named.alias("_named"),
+            F.xxhash64("text").alias("_text"),
             seeded(F.lit(mix.seed), named).alias("_h"),
         )
-    ).table
+    )
+    docs = spread(docs, mix).drop("_named", "_text")
     sources = docs.groupBy("key").agg(
         F.first("source").alias("source"),
         F.sum("size").alias("source_size"),

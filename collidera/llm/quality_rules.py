@@ -2,7 +2,8 @@
 
 Every line is judged by itself. A line with words is removed when it
 
-* is a single word without a final punctuation mark (``no_end``),
+* has at most ``unended_words`` words and ends without a final punctuation mark
+  (``no_end``); longer lines without one are prose that was cut and stay,
 * is navigation (``navigation``: separators such as ``|`` or ``»`` make up a fifth or
   more of its words, two of them at least),
 * is boilerplate (``boilerplate``: it contains one of the fixed phrases),
@@ -32,7 +33,6 @@ from pyspark.sql import DataFrame
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_SPACE = " \t\n\v\f\r"
 BLANKS = " \t\v\f\r"
-BLANK = re.compile(f"[{BLANKS}]")
 SYMBOLS = "#*$%&|<>"
 SYMBOL_RUN = re.compile(r"([#*$%&|<>])\1|!!")
 ENDS = tuple(".!?:;\"'…»”)")
@@ -60,8 +60,9 @@ SUSPECT = re.compile(f"{SYMBOL_RUN.pattern}|[{''.join(sorted({x[0] for x in SEPA
 
 @dataclass(frozen=True)
 class LineRules:
-    """Thresholds of the rules, as shares of words."""
+    """Thresholds of the rules: shares of words, and the longest line that needs an end."""
 
+    unended_words: int = 20
     min_kept_share: float = 0.7
     navigation_share: float = 0.2
     symbol_share: float = 0.1
@@ -98,7 +99,7 @@ def line_verdict(line: str, rules: LineRules) -> tuple[str | None, int]:
     noisy = sum(SYMBOL_RUN.search(w) is not None for w in words)
     if noisy and noisy >= rules.symbol_share * n:
         return "symbols", n
-    if n == 1 and not words[-1].endswith(ENDS):
+    if n <= rules.unended_words and not words[-1].endswith(ENDS):
         return "no_end", n
     return None, n
 
@@ -118,7 +119,7 @@ def judged(text: str | None, rules: LineRules = LineRules()) -> dict:
         if bare:
             dup_lines += line in seen
             seen.add(line)
-        if watched or (bare and not BLANK.search(bare) and not bare.endswith(ENDS)):
+        if watched or (bare and not bare.endswith(ENDS)):
             rule, line_words = line_verdict(line, rules)
             if rule:
                 removed += 1

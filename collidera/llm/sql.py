@@ -18,7 +18,7 @@ judged_lines AS (
   FROM lines WHERE len(lw) > 0),
 removed AS (
   SELECT r, count(*) AS n_removed_lines, sum(n) AS lost FROM judged_lines
-  WHERE (seps >= 2 AND seps >= 0.2 * n) OR boiler OR (noisy > 0 AND noisy >= 0.1 * n) OR (n = 1 AND NOT ended)
+  WHERE (seps >= 2 AND seps >= 0.2 * n) OR boiler OR (noisy > 0 AND noisy >= 0.1 * n) OR (n <= 20 AND NOT ended)
   GROUP BY r),
 dups AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM judged_lines GROUP BY r),
 windows AS (

@@ -70,9 +70,9 @@ def labelled_sample(
     drawn = (
         labels.filter(admitted & F.col(label).isin(0, 1))
         .select("doc_id", F.col(label).cast("int").alias("label"), key.alias("key"))
+        .distinct()
         .orderBy("key", "doc_id", "label")
         .limit(rows)
-        .distinct()
     )
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return texts.join(F.broadcast(drawn), "doc_id").select("key", "text", "label")

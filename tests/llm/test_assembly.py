@@ -103,6 +103,24 @@ def test_mix_meets_its_targets_and_agrees_with_its_texts(spark):
     assert sorted(mx.mixed(docs).collect()) == sorted(mx.mixed(docs.repartition(5)).collect())
 
 
+def test_rows_of_a_common_id_are_spread_and_reruns_agree(spark):
+    """A third of the rows lacks an id, another third is one row over and over."""
+    docs = spark.range(6000).selectExpr(
+        "case when id % 3 = 0 then null when id % 3 = 1 then 7 else id end doc_id",
+        "if(id % 3 = 1, 'a b c', repeat('w ', int(id % 11))) text", "'s' source",
+    )
+    mix = mx.Mix(shard_rows=200)
+    kinds = (docs, docs.repartition(7), docs.orderBy(F.rand(3)).coalesce(2))
+    found = [Counter(map(tuple, mx.mixed(d, mix).collect())) for d in kinds]
+    assert found[0] == found[1] == found[2] and sum(found[0].values()) == 6000
+    plan = mx.mix_plan(docs, mix)
+    largest = plan.groupBy("cell", "start", "blocks", "quota").count().agg(F.max("count")).first()[0]
+    assert largest < 400
+    taken = sum(n * row[4] for row, n in found[0].items())
+    target = found[0].most_common(1)[0][0][3]
+    assert abs(taken - target) < 0.01 * target
+
+
 def test_mix_on_odd_rows(spark):
     rows = mx.mixed(odd(spark)).collect()
     assert len(rows) == len(ODD)

@@ -2,6 +2,8 @@
 
 import itertools
 import math
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -12,7 +14,7 @@ from collidera.llm import quality_classifier as qc
 from collidera.llm import quality_rules as qr
 from collidera.llm import toxicity as tx
 from collidera.llm.session import importable
-from collidera.llm.terms import TermHashes
+from collidera.llm.terms import TermHashes, labelled_sample
 
 SF_DIR = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, score double, label int"
@@ -171,6 +173,98 @@ def test_forward_pass_sums_all_segmentations():
     assert np.allclose(counts, want / total)
 
 
+def test_leader_updates_against_plain_code():
+    """Follow the regularised leader, weight by weight, in plain numbers."""
+    rng = np.random.default_rng(7)
+    p = qc.Ftrl(epochs=2, alpha=0.4, beta=0.7, l1=0.3, l2=0.2)
+    examples = []
+    for _ in range(60):
+        columns = np.unique(rng.integers(0, 12, 4))
+        label = int(rng.random() < (0.8 if columns[0] < 4 else 0.2))
+        examples.append((label, columns.astype(np.int32), rng.random(len(columns)).astype(np.float32)))
+    z, n = Counter(), Counter()
+    bias = 2**qc.BITS
+
+    def weight(i):
+        penalty = 0 if i == bias else p.l1
+        if abs(z[i]) <= penalty:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * penalty) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for label, columns, values in examples:
+            x = dict(zip(columns.tolist(), map(float, values), strict=True)) | {bias: 1.0}
+            w = {i: weight(i) for i in x}
+            chance = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (chance - label) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / p.alpha * w[i]
+                n[i] += g * g
+    got = qc.ftrl(examples, p)
+    used = np.flatnonzero(got)
+    assert 4 < len(used) and set(used.tolist()) <= set(z)
+    for i in z:
+        assert got[i] == pytest.approx(weight(i), abs=1e-9)
+
+
+def test_repeated_label_rows_take_one_place_of_the_draw(spark):
+    docs = spark.range(100).selectExpr("id doc_id", "'text ' || id text")
+    labels = spark.range(100).selectExpr("id doc_id", "cast(id % 2 as int) quality")
+    again = spark.range(500).selectExpr("7L doc_id", "1 quality")
+    sample = labelled_sample(docs, labels.union(again), "quality", F.lit(True), 50, 1).collect()
+    assert len(sample) == 50 and len({r.text for r in sample}) == 50
+
+
+def test_long_words_are_summed_without_a_border():
+    """Sixty and more letters, against exact sums; also through the logarithms at every length."""
+    pieces = object.__new__(li.Pieces)
+    pieces.ids = {p: i for i, p in enumerate(["a", "b", "ab", "ba", "aba", "bab"])}
+    pieces.longest, pieces.unknown = 3, 6
+    rng = np.random.default_rng(4)
+    probs = np.vstack([rng.random((6, 2)) * 1e-6, [[li.UNKNOWN] * 2, [0, 0]]])
+    for size in (4, 23, 24, 25, 60, 400):
+        words = ["".join(rng.choice(list("abx"), size)) for _ in range(3)]
+        found = li.word_logs(pieces.lattice(words), probs)
+        logs = li.forward_logs(pieces.lattice(words), np.log(np.maximum(probs, 1e-320)))[-1]
+        for word, row, other in zip(words, found, logs, strict=True):
+            for language in range(2):
+                sums = [Fraction(1)]
+                for j in range(1, size + 1):
+                    ways = [(i, pieces.ids.get(word[i:j])) for i in range(max(0, j - 3), j)]
+                    ways = [(i, pieces.unknown if k is None and j - i == 1 else k) for i, k in ways]
+                    sums.append(sum(sums[i] * Fraction(float(probs[k, language])) for i, k in ways if k is not None))
+                exact = math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+                assert row[language] == pytest.approx(exact) and other[language] == pytest.approx(exact)
+        one = pieces.lattice(words[:1])
+        plain = li._expected_by_logs(one, probs[:, :1], np.array([2.0]))
+        if size < 30:
+            assert np.allclose(plain, li.expected_counts(one, probs[:, :1], np.array([2.0])))
+        used = sum(len(p) * plain[i] for p, i in pieces.ids.items()) + plain[pieces.unknown]
+        assert used == pytest.approx(2 * size)
+
+
+def test_sample_is_bounded_under_repeated_rows(spark):
+    """A text that is most of the table counts once; the bound holds for every language."""
+    rows = spark.range(20_000).selectExpr("'en' lang", "'the same text' text").union(
+        spark.range(3000).selectExpr("if(id % 3 = 0, 'de', 'en')", "'text ' || id")
+    )
+    p = li.Learning(rows=50)
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    for seed in range(6):
+        p = li.Learning(rows=50, seed=seed)
+        sample = li.language_sample(rows, counts, p).collect()
+        found = Counter(r.lang for r in sample)
+        assert max(found.values()) <= 50 and found["de"] > 35
+        assert len(set(sample)) == len(sample)
+
+
+def test_too_many_languages_fail(spark):
+    docs = spark.range(40).selectExpr("id doc_id", "'l' || id lang", "'text here' text")
+    with pytest.raises(ValueError, match="languages"):
+        li.language_id(docs, li.Learning(model_bytes=10 * 8 * 32_000))
+
+
 def test_language_of_held_out_documents(spark, docs):
     found = li.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")
     rows = found.collect()
@@ -192,6 +286,10 @@ def test_line_rules():
     assert found["clean_text"] == "This is a line of prose."
     assert found["n_removed_lines"] == 4 and found["n_kept_words"] == 6
     prose = " ".join(f"word{i}" for i in range(60))
+    unended = " ".join(["word"] * 8)
+    assert qr.judged("\n".join([unended] * 30))["n_removed_lines"] == 30
+    assert qr.line_verdict(" ".join(["word"] * 21), qr.LineRules()) == (None, 21)
+    assert qr.line_verdict(unended + ".", qr.LineRules()) == (None, 8)
     assert qr.judged(prose)["kept"] and not qr.judged(prose + "\n" + text * 9)["kept"]
 
 
