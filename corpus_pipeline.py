@@ -6,8 +6,7 @@ group of near-duplicates the document with the smallest id stays. The mix repeat
 cuts what is left to the target weights of its sources, and packing turns the result
 into sequences. Every stage reads the table that the one before wrote.
 
-Repeated rows of a kept id stay once after the near-duplicate stage; rows without an id
-pass the filters, and of those without one near-duplicate with an id, one stays.
+Rows that repeat an id or have none are documents like any other in every stage.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from collidera.llm.session import table
 from collidera.llm.simhash import simhash_groups
 from collidera.llm.terms import kept_by_score
 from collidera.llm.toxicity import fit_toxicity, toxicity_scorer
-from collidera.sources.shared_folder import new_path
+from collidera.sources.shared_folder import new_path, settled
 
 GOOD = 0.5
 TOXIC = 0.3
@@ -41,14 +40,25 @@ def harmless_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    groups = simhash_groups(docs)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.filter("doc_id is null")
-    if groups.filter("component_id is null").isEmpty():
-        return named
-    return named.unionByName(nameless.dropDuplicates(["text"]))
+    """One document of each group of near-duplicates.
+
+    Rows are told apart by their place, so that repeated and missing ids are documents like
+    any other. The smallest id stays; of its rows the one whose text hashes lowest.
+    """
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    numbered = settled(docs.withColumn(row, F.monotonically_increasing_id())).table
+    place = F.struct(
+        F.col("doc_id").isNull().alias("nameless"),
+        F.col("doc_id").alias("id"),
+        F.xxhash64("text").alias("hash"),
+        F.col(row).alias("row"),
+    )
+    groups = simhash_groups(numbered.select(place.alias("doc_id"), "text"))
+    kept = groups.filter(F.col("doc_id.row") == F.col("component_id.row"))
+    stays = kept.select(F.col("doc_id.row").alias(row))
+    return numbered.join(stays, row, "left_semi").select(docs.columns)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
