@@ -9,8 +9,8 @@ Defined results: turns are ordered by number, then role and text, and repeated r
 turns of their own. A null role renders as an empty one, a null text as no text; nulls
 equal nulls in the prefix. Without a rejected conversation the prompt ends before the
 last assistant turn and ``rejected`` is null. If one conversation continues the other,
-or both are equal, the shorter completion is an empty text. Rows without ``conv_id`` are
-one conversation. Columns besides the four named ones are ignored; an empty table gives
+or both are equal, the shorter completion is an empty text. A row without ``conv_id`` is a
+conversation of its own, with a null id. Columns besides the four named ones are ignored; an empty table gives
 an empty one. A conversation has to fit one row.
 """
 
@@ -34,45 +34,58 @@ class Template:
     learned_role: str = "assistant"
 
 
+#: A conversation: its id, or the number of a row that has none.
+KEY = ["conv_id", "_row"]
+
+
+def numbered(turns: DataFrame) -> DataFrame:
+    """The four columns and ``_row``, a number for each row without an id."""
+    columns = turns.select("conv_id", "turn", "role", "text")
+    number = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    return settled(columns.withColumn("_row", number)).table
+
+
 def conversations_of(turns: DataFrame) -> DataFrame:
-    """``(conv_id, turns)``: each conversation's ordered ``(role, text)``."""
+    """``(conv_id, _row, turns)``: each conversation's ordered ``(role, text)``."""
     ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
     rows = F.transform(
         ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))
     )
-    return turns.groupBy("conv_id").agg(rows.alias("turns"))
+    return turns.groupBy(*KEY).agg(rows.alias("turns"))
 
 
 def paired_by_opening(turns: DataFrame, group_rows: int = 1000) -> DataFrame:
-    """``(chosen_id, rejected_id)``: neighbours among conversations with one opening turn.
+    """``(chosen_id, rejected_id, chosen_row, rejected_row)``: neighbours by opening turn.
 
     Every conversation is in one pair, and at most one of each opening is left alone,
     with a null ``rejected_id``. The smaller id is the chosen one. Conversations are
     first paired within seeded parts of an opening, then the odd ones of all parts, so no
     task sees more than a part of a very common opening.
     """
-    first = turns.groupBy("conv_id").agg(
+    first = turns.groupBy(*KEY).agg(
         F.min(F.struct("turn", "role", "text")).alias("_first")
     )
     parts_of_turn = [F.coalesce(f"_first.{c}", F.lit("\x00")) for c in ("role", "text")]
     opening = F.sha2(F.concat_ws("\x1f", *parts_of_turn), 256)
-    known = settled(first.select("conv_id", opening.alias("opening")))
+    known = settled(first.select(*KEY, opening.alias("opening")))
     parts = max(1, -(-known.rows // group_rows))
-    dealt = known.table.withColumn("part", F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(parts)))
+    dealt = known.table.withColumn("part", F.pmod(F.coalesce(*KEY), F.lit(parts)))
 
     def neighbours(df: DataFrame, *by: str) -> DataFrame:
-        own = Window.partitionBy(*by).orderBy("conv_id")
+        own = Window.partitionBy(*by).orderBy(*KEY)
         return df.withColumns(
             {
                 "_rn": F.row_number().over(own),
                 "_next": F.lead("conv_id").over(own),
+                "_next_row": F.lead("_row").over(own),
                 "_any": F.lead(F.lit(1)).over(own),
             }
         ).filter("_rn % 2 = 1")
 
     once = settled(neighbours(dealt, "opening", "part")).table
-    odd = neighbours(once.filter("_any is null").select("conv_id", "opening"), "opening")
-    columns = [F.col("conv_id").alias("chosen_id"), F.col("_next").alias("rejected_id")]
+    odd = neighbours(once.filter("_any is null").select(*KEY, "opening"), "opening")
+    names = {"conv_id": "chosen_id", "_next": "rejected_id", "_row": "chosen_row", "_next_row": "rejected_row"}
+    columns = [F.col(c).alias(name) for c, name in names.items()]
     return once.filter("_any is not null").select(*columns).unionByName(odd.select(*columns))
 
 
@@ -121,12 +134,16 @@ def prompt_of_one(turns: Column, t: Template) -> Column:
 
 def preference_pairs(turns: DataFrame, pairs: DataFrame, t: Template = Template()) -> DataFrame:
     """``(chosen_id, rejected_id, prompt_turns, prompt, chosen, rejected, chosen_learned,
-    rejected_learned)``, one row per pair of ``(chosen_id, rejected_id)``."""
+    rejected_learned)``, one row per pair of ``paired_by_opening``; ``turns`` are numbered."""
     whole = settled(conversations_of(turns)).table
-    chosen = whole.select(F.col("conv_id").alias("_c"), F.col("turns").alias("a"))
-    rejected = whole.select(F.col("conv_id").alias("_r"), F.col("turns").alias("b"))
-    found = pairs.join(chosen, F.col("chosen_id").eqNullSafe(F.col("_c"))).join(
-        rejected, F.col("rejected_id") == F.col("_r"), "left"
+    chosen = whole.select(F.col("conv_id").alias("_c"), F.col("_row").alias("_cr"), F.col("turns").alias("a"))
+    rejected = whole.select(F.col("conv_id").alias("_r"), F.col("_row").alias("_rr"), F.col("turns").alias("b"))
+
+    def same(number: str, row: str, conv: str, own: str) -> Column:
+        return F.col(number).eqNullSafe(F.col(conv)) & F.col(row).eqNullSafe(F.col(own))
+
+    found = pairs.join(chosen, same("chosen_id", "chosen_row", "_c", "_cr")).join(
+        rejected, same("rejected_id", "rejected_row", "_r", "_rr"), "left"
     )
     shared = F.when(F.col("b").isNull(), prompt_of_one(F.col("a"), t)).otherwise(
         common_prefix(F.col("a"), F.col("b"))
@@ -157,4 +174,5 @@ def preference_pairs(turns: DataFrame, pairs: DataFrame, t: Template = Template(
 
 def preferences(turns: DataFrame, t: Template = Template()) -> DataFrame:
     """All conversations of a table as preference pairs, paired by their opening turn."""
-    return preference_pairs(turns, paired_by_opening(turns), t)
+    known = numbered(turns)
+    return preference_pairs(known, paired_by_opening(known), t)

@@ -182,7 +182,7 @@ def test_preference_pair(spark):
 
 def test_every_conversation_is_in_one_pair_however_common_its_opening(spark):
     rows = [(i, t, "user", "same" if t == 0 else str(i % 7)) for i in range(301) for t in range(2)]
-    pairs = cf.paired_by_opening(dialogue(spark, rows), group_rows=20).collect()
+    pairs = cf.paired_by_opening(cf.numbered(dialogue(spark, rows)), group_rows=20).collect()
     ids = [x for r in pairs for x in (r.chosen_id, r.rejected_id) if x is not None]
     assert sorted(ids) == list(range(301))
     assert sum(r.rejected_id is None for r in pairs) == 1
@@ -190,6 +190,20 @@ def test_every_conversation_is_in_one_pair_however_common_its_opening(spark):
     assert len(whole) == 151
 
 
+def test_rows_without_a_conversation_stay_apart(spark):
+    """Each is a conversation of its own, paired by its opening like any other."""
+    rows = [(None, t % 3, "user", "same" if t % 2 else f"other {t}") for t in range(300)]
+    rows += [(1, 0, "user", "same"), (1, 1, "assistant", "x"), (2, 0, "user", "alone")]
+    known = cf.numbered(dialogue(spark, rows))
+    assert cf.conversations_of(known).selectExpr("max(size(turns))").first()[0] == 2
+    found = cf.preferences(dialogue(spark, rows)).collect()
+    # 151 conversations begin alike per number of the turn; nothing is lost or doubled.
+    shown = sum(r.prompt_turns for r in found)
+    assert len(found) < 302 and sum(r.prompt.count("same") for r in found) >= 75
+    both = sum(1 + (r.rejected is not None) for r in found)
+    assert both == 302 and shown >= len(found) - 1
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, payload string")
 
@@ -457,6 +471,17 @@ def test_pipeline_stages_do_what_their_operators_say(spark):
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
+def test_near_duplicate_stage_tells_rows_apart(spark):
+    """Different texts of one id and texts without an id all have their say."""
+    long = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(4)]
+    rows = [(1, long[0]), (1, long[1]), (1, long[0]), (None, long[1]), (None, long[2]), (None, long[2]), (0, long[3]), (5, long[3])]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, _row int")
+    kept = corpus_pipeline.distinct_documents(spark, docs, SF_DIR)
+    assert kept.columns == docs.columns
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert found == sorted([(1, long[0]), (1, long[1]), (None, long[2]), (0, long[3])], key=str)
+
+
 def test_pipeline_filters_handle_odd_rows(spark):
     docs = odd(spark)
     for _, stage in corpus_pipeline.STAGES[:3]:
