@@ -49,8 +49,8 @@ class Machine:
     rows: int = 10_000
     factors: int = 4
     epochs: int = 4
-    alpha: float = 0.2
-    l1: float = 2.0
+    alpha: float = 0.4
+    l1: float = 6.0
     factor_rate: float = 0.1
     factor_decay: float = 1e-3
     factor_chance: float = 3.0
