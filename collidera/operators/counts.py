@@ -165,7 +165,7 @@ def profile(
             for p in quantiles.values()
             for side in ("floor", "ceil")
         ]
-        found = at_ranks(keyed, groups, places).withColumnRenamed("_key", "_rk")
+        found = at_ranks(keyed, groups, places, rows=counts.rows).withColumnRenamed("_key", "_rk")
         out = out.join(found, F.col("_key") == F.col("_rk"))
 
     def between(name: str, p: float) -> str:

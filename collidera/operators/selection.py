@@ -105,15 +105,17 @@ def at_ranks(
     ranks: Sequence[Column],
     bins: int = BINS,
     few: int = FEW,
+    rows: int | None = None,
 ) -> DataFrame:
     """``(_key, by_rank)``: a map from each wanted zero-based rank to the value there.
 
     ``counts`` has ``(_key, v, n)`` and ``groups`` a row per key with ``min``, ``max`` and
     the number of rows of ``counts``, ``values``; both are settled, as they are read in every pass.
-    ``ranks`` are expressions over ``groups``.
+    ``ranks`` are expressions over ``groups``. ``rows`` says how many rows ``counts`` has,
+    where that is known: no group has more, so few rows need no look at the groups.
     """
     brackets, even = brackets_of(groups, ranks), True
-    while (brackets.agg(F.max("values")).first()[0] or 0) > few:
+    while (rows is None or rows > few) and (brackets.agg(F.max("values")).first()[0] or 0) > few:
         brackets = settled(refined(counts, brackets, even, bins)).table
         # A bracket of one value needs no further pass, however often it is counted.
         if brackets.where((F.col("lo") < F.col("hi")) & (F.col("values") > few)).isEmpty():
