@@ -27,28 +27,36 @@ from collidera.sources.shared_folder import settled
 #: one that other ranges share.
 WHOLE, END, BEGIN, MIDDLE = range(4)
 
-LINES = "file string, split long, inside boolean, line string"
-PIECES = "file string, split long, kind int, first boolean, text string"
+#: What the tasks are given, and what they return as whole records and as pieces.
+LINES = ["range", "inside", "begin", "line"]
+RECORDS = "first boolean, text string"
+PIECES = "range long, kind int, first boolean, text string"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, split, line)``: physical lines; ``split`` is the start of their byte range."""
+    """``(file, split, place, line)``: physical lines; ``split`` is the start of their byte range.
+
+    Files and places go by the hash of their names, as numbers are cheap to group and join.
+    """
     text = spark.read.option("lineSep", "\n").text(path)
+    name, split = "_metadata.file_path", "_metadata.file_block_start"
     return text.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("split"),
+        F.xxhash64(name).alias("file"),
+        F.col(split).alias("split"),
+        F.xxhash64(name, split).alias("place"),
         F.col("value").alias("line"),
     )
 
 
 def quote_parity(found: DataFrame) -> DataFrame | None:
-    """``(file, split, inside, after)``: whether a range begins and ends inside quotes.
+    """``(file, split, place, range, begin, inside, after)``: whether a range begins a file,
+    and whether it begins and ends inside quotes; ``range`` numbers them.
 
     None if every line closes the quotes that it opens, so that lines are records.
     """
-    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    quotes = F.octet_length("line") - F.octet_length(F.replace("line", F.lit('"'), F.lit("")))
     counted = settled(
-        found.groupBy("file", "split").agg(
+        found.groupBy("file", "split", "place").agg(
             F.sum(quotes).alias("quotes"), F.count_if(quotes % 2 == 1).alias("open")
         )
     ).table
@@ -60,13 +68,16 @@ def quote_parity(found: DataFrame) -> DataFrame | None:
         counted.select(
             "file",
             "split",
+            "place",
+            F.monotonically_increasing_id().alias("range"),
+            (F.col("split") == 0).alias("begin"),
             ((total - F.col("quotes")) % 2 == 1).alias("inside"),
             (total % 2 == 1).alias("after"),
         )
     ).table
     ends = state.groupBy("file").agg(F.max_by("after", "split").alias("open")).where("open")
-    for row in ends.limit(1).collect():
-        raise ValueError(f"{row['file']}: a quote is not closed")
+    if not ends.isEmpty():
+        raise ValueError("a quote is not closed")
     return state
 
 
@@ -79,11 +90,11 @@ def cut(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBat
         n = len(texts)
         flags = np.zeros(n, bool)
         flags[:1] = lead
-        columns = [pa.repeat(key[0], n), pa.repeat(key[1], n), pa.repeat(pa.scalar(kind, pa.int32()), n)]
-        return pa.RecordBatch.from_arrays(
-            [*columns, pa.array(flags), texts.cast(pa.string())],
-            names=["file", "split", "kind", "first", "text"],
-        )
+        columns = {"first": pa.array(flags), "text": texts.cast(pa.string())}
+        if not whole:
+            place = {"range": pa.repeat(key, n), "kind": pa.repeat(pa.scalar(kind, pa.int32()), n)}
+            columns = place | columns
+        return pa.RecordBatch.from_pydict(columns)
 
     def joined(arrays: list[pa.Array]) -> pa.Array:
         every = pa.concat_arrays([a.cast(pa.string()) for a in arrays])
@@ -94,18 +105,15 @@ def cut(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBat
             yield piece(MIDDLE if shared else BEGIN, joined(held), first)
 
     for batch in batches:
-        file, split = batch.column("file"), batch.column("split").to_numpy()
+        ranges = batch.column("range").to_numpy()
         quotes = pc.count_substring(batch.column("line"), '"').to_numpy(zero_copy_only=False)
-        turns = np.flatnonzero(split[1:] != split[:-1]) + 1
-        other = pc.not_equal(file.slice(1), file.slice(0, max(0, len(file) - 1)))
-        turns = np.union1d(turns, np.flatnonzero(other.to_numpy(zero_copy_only=False)) + 1)
-        for a, b in zip([0, *turns.tolist()], [*turns.tolist(), len(split)], strict=True):
+        turns = (np.flatnonzero(ranges[1:] != ranges[:-1]) + 1).tolist()
+        for a, b in zip([0, *turns], [*turns, len(ranges)], strict=True):
             if a == b:
                 continue
-            now = (file[a].as_py(), int(split[a]))
-            if now != key:
+            if int(ranges[a]) != key:
                 yield from rest()
-                key, held, first = now, [], now[1] == 0
+                key, held, first = int(ranges[a]), [], batch.column("begin")[a].as_py()
                 inside = shared = batch.column("inside")[a].as_py()
             own = batch.column("line").slice(a, b - a)
             after = (np.cumsum(quotes[a:b]) + inside) % 2 == 1
@@ -136,17 +144,20 @@ def records(spark: SparkSession, path: str) -> DataFrame | None:
     None if no record goes over a line break, so that Spark's own reader parts them right.
     """
     found = lines(spark, path)
-    state = quote_parity(found)
+    try:
+        state = quote_parity(found)
+    except ValueError as error:
+        raise ValueError(f"{path}: {error}") from None
     if state is None:
         return None
     # One row for each byte range; a range that the count did not meet fails the read, as
     # it would if the file or the size of ranges changed in between.
-    key = ["file", "split"]
-    begun = found.join(F.broadcast(state.select(*key, "inside")), key, "left")
-    unknown = F.raise_error(F.concat(F.lit("changed while it was read: "), F.col("file")))
-    known = begun.withColumn("inside", F.coalesce("inside", unknown.cast("boolean")))
-    bordering = found.join(F.broadcast(state.where("inside or after").drop("after")), key)
-    order = ["file", "split", "inside", "line"]
+    given = found.select("place", "line")
+    facts = state.select("place", "range", "begin", "inside", "after")
+    begun = given.join(F.broadcast(facts.drop("after")), "place", "left")
+    unknown = F.raise_error(F.lit(f"{path}: changed while it was read"))
+    known = begun.withColumn("range", F.coalesce("range", unknown.cast("long")))
+    bordering = given.join(F.broadcast(facts.where("inside or after").drop("after")), "place")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return cut(batches, True)
@@ -156,7 +167,8 @@ def records(spark: SparkSession, path: str) -> DataFrame | None:
 
     # A record that ranges share begins with a BEGIN; what follows it in the file is its rest.
     place = F.struct("split", F.when(F.col("kind") == BEGIN, 1).otherwise(0).alias("late"))
-    pieces = settled(bordering.select(*order).mapInArrow(ends, PIECES)).table
+    cuts = settled(bordering.select(*LINES).mapInArrow(ends, PIECES)).table
+    pieces = cuts.join(state.select("range", "file", "split"), "range")
     upto = Window.partitionBy("file").orderBy(place)
     shared = (
         pieces.withColumn("record", F.count_if(F.col("kind") == BEGIN).over(upto))
@@ -167,5 +179,5 @@ def records(spark: SparkSession, path: str) -> DataFrame | None:
         )
         .select("first", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text"))
     )
-    own = known.select(*order).mapInArrow(whole, PIECES).select("first", "text")
+    own = known.select(*LINES).mapInArrow(whole, RECORDS)
     return own.unionByName(shared)
