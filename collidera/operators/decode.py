@@ -19,6 +19,9 @@ How a column is decoded follows from the measured size of its dictionary:
 
 Codes that fill a large part of the table would pile up in one task of that lookup. The
 counts tell them; they are served from a broadcast, which their share bounds.
+
+That lookup broadcasts nothing else: left to Spark, joins go by the compressed size of
+settled files, of which cells and labels are a large multiple. So they ask for a merge.
 """
 
 from __future__ import annotations
@@ -178,7 +181,7 @@ def occurring(df: DataFrame, book: CodeBook, fields: list[str]) -> DataFrame:
         .groupBy(F.col("field_name").alias("field"), "code")
         .agg(F.min_by("label", "_place").alias("label"))
     )
-    return settled(counted.join(listed, ["field", "code"], "left")).table
+    return settled(counted.join(listed.hint("merge"), ["field", "code"], "left")).table
 
 
 def _cells(df: DataFrame, fields: list[str]) -> Column:
@@ -228,7 +231,8 @@ def decode_together(df: DataFrame, codes: DataFrame, fields: list[str]) -> DataF
     rare = codes.where(~is_hot & F.col("label").isNotNull()).select("field", "code", "label")
     key = ["field", "code"]
     served = cells.join(hot.where(F.col("label").isNotNull()), key)
-    others = cells.where(F.col("code").isNotNull()).join(hot, key, "left_anti").join(rare, key)
+    others = cells.where(F.col("code").isNotNull()).join(hot, key, "left_anti")
+    others = others.join(rare.hint("merge"), key)
     labels = [f"_label{i}" for i in range(len(fields))]
     per_row = served.unionByName(others).groupBy("row").agg(
         *[
@@ -236,7 +240,7 @@ def decode_together(df: DataFrame, codes: DataFrame, fields: list[str]) -> DataF
             for f, label in zip(fields, labels, strict=True)
         ]
     )
-    whole = kept.table.join(per_row, cell(row) == F.col("row"), "left")
+    whole = kept.table.join(per_row.hint("merge"), cell(row) == F.col("row"), "left")
     decoded = {
         f: F.coalesce(F.col(label), as_text(df, f)) for f, label in zip(fields, labels, strict=True)
     }

@@ -1,5 +1,6 @@
 import pytest
 
+from collidera.operators import decode as module
 from collidera.operators.decode import code_book, decode, decode_by_join, occurring
 
 GUIDE = "table string, `field name` string, `code/format` string, label string, row_idx int"
@@ -149,6 +150,34 @@ def test_dictionaries_are_reduced_to_the_codes_that_occur(spark, without_broadca
         assert rows_of(found) == rows_of(decode(df, book))
 
 
+def test_only_hot_codes_are_broadcast_in_the_lookup(spark, monkeypatch):
+    """Neither cells nor dictionaries, however small their files let Spark take them for."""
+    settled, plans = module.settled, []
+
+    def seen(df):
+        plans.append(plan_of(df))
+        return settled(df)
+
+    df = spark.range(3000).selectExpr("id", "cast(id as string) a", "if(id % 2 = 0, '3', 'x') b")
+    codes = [("collision", f, str(c), f"{f}{c}") for f in "ab" for c in range(0, 2000, 3)]
+    book = code_book(guide(spark, codes), df.columns, map_codes=0)
+    monkeypatch.setattr(module, "settled", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        out = decode(df, book, broadcast_bytes=0)
+        before, found = plan_of(out), rows_of(out)
+        after = plan_of(out).partition("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    counts, kept = plans
+    assert counts.count("SortMergeJoin") == 1 and "Broadcast" not in counts
+    assert "Join" not in kept
+    for plan in (before, after):
+        assert plan.count("SortMergeJoin") == 2 and plan.count("BroadcastHashJoin") == 2
+    assert "isFinalPlan=true" in after
+    assert found == rows_of(decode(df, book))
+
+
 def test_dotted_columns_pass_through(spark):
     df = spark.createDataFrame([("1", 2, "x")], "severity string, `a.b` int, `c``d` string")
     for broadcast_bytes in (1 << 20, 0):
